@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pagewright.llm import chat, licenses, media, quality
+from pagewright.llm import chat, licenses, media, packing, quality, token_store
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_token_store": token_store.op2_token_store,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_license_scan": licenses.op4_license_scan,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op10_media_columns": media.op10_media_columns,

@@ -1,0 +1,26 @@
+import pytest
+
+AWKWARD = [
+    (1, "plain words here " * 8),
+    (2, None),
+    (3, ""),
+    (4, "  \t\n\x0b\x0c\r "),
+    (5, "ünïcode 𝛼𝛽 ß İ Σ ﬁ   x y <|endoftext|> it's we'll 12345 ... !!"),
+    (6, "word " * 30_000),
+    (7, "a"),
+    (None, "a row without an id, and some more words in it"),
+    (1, "plain words here " * 8),
+    (9, "tie tie tie tie tie tie tie tie tie tie tie tie"),
+]
+
+
+@pytest.fixture(scope="session")
+def awkward(spark):
+    """Nulls, empty and very long texts, a repeated row, and columns with clashing names."""
+    rows = [(i, t, "x", t, 0, "m") for i, t in AWKWARD]
+    return spark.createDataFrame(rows, "doc_id long, text string, rid string, body string, n_words int, key string")
+
+
+@pytest.fixture(scope="session")
+def nothing(awkward):
+    return awkward.where("false")
