@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import chat, licenses, media, packing, quality, token_store
+from pagewright.llm import chat, licenses, media, neardup, packing, quality, token_store
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_license_scan": licenses.op4_license_scan,
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op10_media_columns": media.op10_media_columns,
     }
 
