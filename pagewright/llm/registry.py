@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import chat, licenses, media, neardup, packing, quality, token_store
+from pagewright.llm import chat, licenses, media, neardup, packing, quality, substrings, token_store
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_token_store": token_store.op2_token_store,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_license_scan": licenses.op4_license_scan,
+        "op6_substring_dedup": substrings.op6_substring_dedup,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op10_media_columns": media.op10_media_columns,
@@ -21,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.ORACLE,
         "op4_license_scan": licenses.ORACLE,
+        "op6_substring_dedup": substrings.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
     }
