@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import chat, licenses, media, neardup, packing, quality, substrings, token_store
+from pagewright.llm import chat, licenses, media, neardup, packing, pieces, quality, substrings, token_store, warc
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op2_token_store": token_store.op2_token_store,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_license_scan": licenses.op4_license_scan,
+        "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_substring_dedup": substrings.op6_substring_dedup,
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op8_warc_bundles": warc.op8_warc_bundles,
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op10_media_columns": media.op10_media_columns,
     }
@@ -24,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_scan": licenses.ORACLE,
         "op6_substring_dedup": substrings.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
+        "op8_warc_bundles": warc.ORACLE,
     }
