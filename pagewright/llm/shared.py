@@ -85,6 +85,47 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_RNG = np.random.default_rng(20_240_301)
+_BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _RNG.integers(0, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[*range(9, 14), 32]] = True
+
+
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and how many each text has.
+
+    A word is what words_of gives. All arithmetic is over the bytes of the texts together, which should be
+    some hundred kB: a sum of products of random numbers for each byte and place, then spread.
+    """
+    counts = np.zeros(len(texts), np.int64)
+    data = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
+    space = _IS_SPACE[data]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), counts
+    bounds = np.cumsum([len(t or b"") + 1 for t in texts])
+    counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
+    lengths = ends - starts
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    sums = np.add.reduceat(_BYTE[data[~space]] * _PLACE[place & 1023], first)
+    return mixed(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), counts
+
+
+def blocks_of(texts: list[bytes | None], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of some `size` bytes, one text at least."""
+    first = total = 0
+    for k, t in enumerate(texts):
+        total += len(t or b"")
+        if total >= size:
+            yield first, k + 1
+            first, total = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads their bits (the splitmix64 finalizer)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -92,23 +133,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windows_of(hashes: np.ndarray, size: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """A 64-bit hash of each run of `size` consecutive items; empty if there are fewer items."""
+def windows_of(hashes: np.ndarray, size: int, base: int = 0x9E3779B97F4A7C15, spread: bool = True) -> np.ndarray:
+    """A 64-bit hash of each run of `size` consecutive items; empty if there are fewer items. Without spread only its high bits are good."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    b, out, power = np.uint64(base), np.zeros(n, np.uint64), size
+    out, power = np.zeros(n, np.uint64), size
     # Doubling: a run of 2k items joins two runs of k, so the work grows with log(size).
     part, length, done = hashes, 1, 0
     while power:
         if power & 1:
-            out = out * np.uint64(pow(base, length, 1 << 64)) + part[done : done + n]
+            out = out * np.uint64(pow(base, length, 1 << 64)) + part[done : done + n] if done else part[:n]
             done += length
         power >>= 1
         if power:
-            part = part[:-length] * np.uint64(pow(int(b), length, 1 << 64)) + part[length:]
+            part = part[:-length] * np.uint64(pow(base, length, 1 << 64)) + part[length:]
             length *= 2
-    return mixed(out)
+    return mixed(out) if spread else out
 
 
 def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

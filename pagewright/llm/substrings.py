@@ -15,17 +15,18 @@ A part's automaton holds just those phrases that occur in it: work grows with th
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.shared import WordHashes, binaries, windows_of, words_of
+from pagewright.llm.shared import binaries, blocks_of, hashed_words, windows_of, words_of
 
 WINDOW, SEED = 35, 8
 PART_BYTES = 8 << 20
-_HASHES = WordHashes()
 _SENT = "shard int, part int, hashes binary"
 
 
@@ -38,10 +39,22 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - length)], x[size - length :]) if size > length else x
 
 
-def _anchors(hashes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the seeds, and the anchor of each window."""
-    seeds = windows_of(hashes, seed)
-    return seeds, sliding_min(seeds, window - seed + 1)
+def _inside(counts: np.ndarray, size: int) -> np.ndarray:
+    """Of the runs of `size` words over texts one after the other, those that lie within one text."""
+    total = int(counts.sum())
+    ends = np.repeat(np.cumsum(counts), counts)
+    return np.arange(max(0, total - size + 1)) + size <= ends[: max(0, total - size + 1)]
+
+
+def _anchors(hashes: np.ndarray, counts: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds that lie within a text, which windows do, and the anchor of each window."""
+    seeds, inside = windows_of(hashes, seed), _inside(counts, window)
+    return seeds[_inside(counts, seed)], inside, sliding_min(seeds, window - seed + 1)
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """x without what repeats the value before."""
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def _once_or_twice(values: list[np.ndarray]) -> np.ndarray:
@@ -64,11 +77,10 @@ def _dealt(values: np.ndarray, part: int, shards: int) -> pa.Table:
 def _recurring(group: pa.Table) -> pa.Table:
     """Of a shard's values, by part, those that are there twice."""
     held = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
-    different, counts = np.unique(np.concatenate(held), return_counts=True)
-    again = different[counts > 1]
-    found = [np.unique(x[np.isin(x, again, kind="sort")]) for x in held]
-    keep = [len(x) > 0 for x in found]
-    parts = [p for p, k in zip(group.column("part").to_pylist(), keep) if k]
+    every = np.sort(np.concatenate(held))
+    again = _changes(every[1:][every[1:] == every[:-1]])
+    found = [_changes(x[_among(x, again)]) for x in held]
+    parts = [p for p, x in zip(group.column("part").to_pylist(), found) if len(x)]
     return pa.table({"part": pa.array(parts, pa.int32()), "hashes": pa.array([x.tobytes() for x in found if len(x)], pa.binary())})
 
 
@@ -85,25 +97,34 @@ def _gathered(told: pa.Table) -> np.ndarray:
 
 
 class Phrases:
-    """Word sequences, and an automaton over their tiles that finds every run of `window` words or more which they share with a text."""
+    """Word sequences, and an automaton over their tiles that finds every run of `window` words or more which they share with a text.
+
+    A word is a number below `most`. The automaton reads it as so many digits of five bits: its nodes have few
+    children then, which it looks through one by one.
+    """
 
-    def __init__(self, window: int):
+    def __init__(self, window: int, most: int):
         # Any `window` words of a phrase hold a whole tile.
         self.window, self.tile = window, (window + 1) // 2
+        self.digits = max(1, -(-max(1, (most - 1).bit_length()) // 5))
         self.phrases: list[np.ndarray] = []
-        self.tiles: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.tiles: dict[str, list[tuple[int, int]]] = {}
         self.automaton = None
 
+    def spelled(self, words: np.ndarray) -> str:
+        shifts = np.arange(5 * (self.digits - 1), -1, -5)
+        return (((words[:, None] >> shifts) & 31) + 64).astype(np.uint8).tobytes().decode("ascii")
+
     def add(self, phrase: np.ndarray) -> None:
-        number = len(self.phrases)
+        number, spelled, width = len(self.phrases), self.spelled(phrase), self.digits
         self.phrases.append(phrase)
         for at in range(0, len(phrase) - self.tile + 1, self.tile):
-            self.tiles.setdefault(tuple(phrase[at : at + self.tile].tolist()), []).append((number, at))
+            self.tiles.setdefault(spelled[at * width : (at + self.tile) * width], []).append((number, at))
 
     def compile(self) -> None:
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton()
         for tile, places in self.tiles.items():
             self.automaton.add_word(tile, places)
         if self.tiles:
@@ -115,10 +136,13 @@ class Phrases:
         if not self.tiles or len(words) < self.window:
             return out
         seen: dict[tuple[int, int], int] = {}
-        for last, places in self.automaton.iter(tuple(words.tolist())):
-            at = last - self.tile + 1
+        for end, places in self.automaton.iter(self.spelled(words)):
+            last, odd = divmod(end + 1, self.digits)
+            if odd:  # from the middle of a word
+                continue
+            at = last - self.tile
             for number, offset in places:
-                if seen.get((number, at - offset), -1) > last:
+                if seen.get((number, at - offset), -1) >= last:
                     continue
                 phrase = self.phrases[number]
                 n = min(at, offset)
@@ -126,32 +150,46 @@ class Phrases:
                 start = at - n + (int(differs[-1]) + 1 if len(differs) else 0)
                 n = min(len(words) - at, len(phrase) - offset)
                 differs = np.flatnonzero(words[at : at + n] != phrase[offset : offset + n])
-                end = at + (int(differs[0]) if len(differs) else n)
-                seen[number, at - offset] = end
-                if end - start >= self.window:
-                    out[start:end] = True
+                end_of = at + (int(differs[0]) if len(differs) else n)
+                seen[number, at - offset] = end_of
+                if end_of - start >= self.window:
+                    out[start:end_of] = True
         return out
 
 
-def covered_words(texts: list[list[bytes]], confirmed: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each text (as words) which of them lie in a window whose hash is confirmed."""
-    vocabulary: dict[bytes, int] = {}
-    ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words)) for words in texts]
-    phrases, included = Phrases(window), np.zeros(len(confirmed), bool)
-    for words, of in zip(texts, ids):
-        hashes = windows_of(_HASHES.of(words), window)
-        if not len(hashes) or not len(confirmed):
+def covered_words(texts: list[bytes | None], confirmed: np.ndarray, window: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """How many words each text has; by text, if any, which of them lie in a window whose hash is confirmed."""
+    counts = np.zeros(len(texts), np.int64)
+    chosen: dict[int, np.ndarray] = {}
+    included = np.zeros(len(confirmed), bool)
+    for first, end in blocks_of(texts):
+        hashes, n = hashed_words(texts[first:end])
+        counts[first:end] = n
+        inside = _inside(n, window)
+        if not len(confirmed) or not inside.any():
             continue
-        at = np.minimum(np.searchsorted(confirmed, hashes), len(confirmed) - 1)
-        new = (confirmed[at] == hashes) & ~included[at]
-        if not new.any():
-            continue
-        included[at[new]] = True
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], new, [False]]).astype(np.int8)))
+        of = windows_of(hashes, window)
+        at = np.minimum(np.searchsorted(confirmed, of), len(confirmed) - 1)
+        found = inside & (confirmed[at] == of)
+        starts = np.cumsum(n) - n
+        for k in np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero(found), np.append(starts, len(hashes))))).tolist():
+            # The windows that no phrase has yet become phrases. They are dropped at once, so a window twice in this text is in one.
+            here = slice(starts[k], starts[k] + n[k] - window + 1)
+            new = found[here] & ~included[at[here]]
+            included[at[here][new]] = True
+            chosen[first + k] = new
+    vocabulary: dict[bytes, int] = {}
+    ids = {}
+    for k in chosen:
+        words = words_of(texts[k])
+        ids[k] = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words))
+    phrases = Phrases(window, len(vocabulary))
+    for k, new in chosen.items():
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], new, [False]]).view(np.int8)))
         for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            phrases.add(of[start : end + window - 1])
+            phrases.add(ids[k][start : end + window - 1])
     phrases.compile()
-    return [phrases.covered(of) for of in ids]
+    return counts, {k: phrases.covered(of) for k, of in ids.items()}
 
 
 def remove_repeated(docs: DataFrame, text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -167,37 +205,38 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = WINDOW, s
     while part in docs.columns:
         part += "_"
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     dealt = docs.withColumn(part, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map"))), F.lit(parts)).cast("int"))
 
-    def words(table: pa.Table) -> list[list[bytes]]:
-        return [words_of(t) for t in binaries(table.column(text))]
-
     def anchors(table: pa.Table) -> pa.Table:
-        found = []
-        for w in words(table):
-            if len(w) >= window:
-                seeds, of = _anchors(_HASHES.of(w), window, seed)
-                found.append(seeds[_among(seeds, np.unique(of))])
+        found, texts = [], binaries(table.column(text))
+        for first, end in blocks_of(texts):
+            seeds, inside, of = _anchors(*hashed_words(texts[first:end]), window, seed)
+            found.append(seeds[_among(seeds, np.unique(_changes(of[inside])))])
         return _dealt(_once_or_twice(found), table.column(part)[0].as_py(), parts)
 
     def windows(table: pa.Table, told: pa.Table) -> pa.Table:
-        known, found = _gathered(told), []
-        for w in words(table) if len(known) else ():
-            if len(w) >= window:
-                hashes = _HASHES.of(w)
-                found.append(windows_of(hashes, window)[_among(_anchors(hashes, window, seed)[1], known)])
+        known, found, texts = _gathered(told), [], binaries(table.column(text))
+        for first, end in blocks_of(texts) if len(known) else ():
+            hashes, counts = hashed_words(texts[first:end])
+            _, inside, of = _anchors(hashes, counts, window, seed)
+            found.append(windows_of(hashes, window)[inside & _among(of, known)])
         return _dealt(_once_or_twice(found), table.column(part)[0].as_py() if table.num_rows else 0, parts)
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def located(table: pa.Table, told: pa.Table) -> pa.Table:
-        texts = words(table)
-        covered = covered_words(texts, _gathered(told), window)
-        kept = [b" ".join([w for w, c in zip(t, x.tolist()) if not c] if x.any() else t).decode("utf-8", "replace") for t, x in zip(texts, covered)]
+        texts = binaries(table.column(text))
+        counts, covered = covered_words(texts, _gathered(told), window)
+        kept = []
+        for k, t in enumerate(texts):
+            words = words_of(t)
+            if k in covered:
+                words = itertools.compress(words, (~covered[k]).tolist())
+            kept.append(b" ".join(words).decode("utf-8", "replace"))
         out = table.drop_columns([part])
-        out = out.append_column("n_words", pa.array([len(t) for t in texts], pa.int64()))
-        out = out.append_column("n_removed", pa.array([int(x.sum()) for x in covered], pa.int64()))
+        out = out.append_column("n_words", pa.array(counts, pa.int64()))
+        out = out.append_column("n_removed", pa.array([int(covered[k].sum()) if k in covered else 0 for k in range(len(texts))], pa.int64()))
         return out.append_column("kept_text", pa.array(kept, pa.string()))
 
     # The three passes read the same exchange of documents, which Spark then makes once.

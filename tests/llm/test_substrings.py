@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pagewright.llm import substrings
+from pagewright.llm.shared import hashed_words, windows_of
 
 
 def brute(texts, window):
@@ -33,12 +34,30 @@ def test_sliding_min(items, size):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("aab"), max_size=40), max_size=5), st.integers(2, 6))
 def test_automaton_locates_whatever_recurs(texts, window):
-    lists = [[w.encode() for w in t] for t in texts]
-    all_windows = [substrings.windows_of(substrings._HASHES.of(w), window) for w in lists]
+    joined = [" ".join(t).encode() for t in texts]
+    all_windows = [windows_of(hashed_words([t])[0], window) for t in joined]
     different, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *all_windows]), return_counts=True)
-    covered = substrings.covered_words(lists, different[counts > 1], window)
+    n, covered = substrings.covered_words(joined, different[counts > 1], window)
     want = brute([" ".join(t) for t in texts], window)
-    assert [int(c.sum()) for c in covered] == [n for _, n, _ in want]
+    assert [(int(n[k]), int(covered[k].sum()) if k in covered else 0) for k in range(len(texts))] == [(a, b) for a, b, _ in want]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab é\t\n\x0b\x0c\r\x1c\x85 ", max_size=30)), max_size=6))
+def test_hashed_words(texts):
+    data = [None if t is None else t.encode() for t in texts]
+    lists = [(t or b"").split() for t in data]
+    hashes, counts = hashed_words(data)
+    assert counts.tolist() == [len(x) for x in lists]
+    words = [w for x in lists for w in x]
+    assert len(hashes) == len(words) and len(set(hashes.tolist())) == len(set(words))
+    assert len(set(zip(words, hashes.tolist()))) == len(set(words))
+
+
+def test_long_words():
+    texts = [b"x" * 5000 + b" " + b"x" * 4999 + b" y", b"", b"x" * 5000]
+    hashes, counts = hashed_words(texts)
+    assert counts.tolist() == [3, 0, 1] and hashes[0] == hashes[3] and len(set(hashes.tolist())) == 3
 
 
 def corpus():
