@@ -149,9 +149,9 @@ def _pieces(path: str, end_id: int, capacity: int):
         of = encoder(path)
         for batch in batches:
             texts, doc_ids = binaries(batch.column("text")), batch.column("doc_id").to_pylist()
-            for k in range(0, len(texts), 512):
+            for k in range(0, len(texts), 256):
                 rows = []
-                for doc_id, data in zip(doc_ids[k : k + 512], of.encode(texts[k : k + 512])):
+                for doc_id, data in zip(doc_ids[k : k + 256], of.encode(texts[k : k + 256])):
                     data += end
                     for n, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]

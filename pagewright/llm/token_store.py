@@ -25,17 +25,20 @@ from pagewright.llm.shared import binaries, mixed, new_folder, struct_array, str
 from pagewright.llm.tokens import encoder, tokenizer_path
 
 WINDOW, LEAST, MOST = 16, 64, 4096
-_MASK = np.uint64(511)
+#: A window ends a chunk if its hash is below this: one in 512.
+_BELOW = np.uint64(1 << 55)
+#: A hash for each of the usual ids.
+_SPREAD = mixed(np.arange(1 << 16, dtype=np.uint64))
 #: The hashes of a recipe as an array.
 _KEYS = "transform(sequence(0, cast(length(hashes) div 16 as int) - 1), k -> substring(hashes, k * 16 + 1, 16))"
 _ROWS = "kind string, key binary, doc_id long, n_tokens long, body binary"
 
 
 def cuts(ids: np.ndarray) -> list[int]:
-    """Where chunks end: after ids whose last WINDOW hash to 0 in nine bits, LEAST to MOST ids a chunk; the last may be shorter."""
-    hashes = windows_of(mixed(ids.astype(np.uint64)), WINDOW)
+    """Where chunks end: after ids whose last WINDOW hash low enough, LEAST to MOST ids a chunk; the last may be shorter."""
+    hashes = windows_of(_SPREAD[ids] if not len(ids) or ids.max() < len(_SPREAD) else mixed(ids.astype(np.uint64)), WINDOW, spread=False)
     out, start = [], 0
-    for end in [*(np.flatnonzero(hashes & _MASK == 0) + WINDOW).tolist(), len(ids)]:
+    for end in [*(np.flatnonzero(hashes < _BELOW) + WINDOW).tolist(), len(ids)]:
         while end - start > MOST:
             start += MOST
             out.append(start)
@@ -77,9 +80,9 @@ def _cut(path: str, end_id: int):
         of, sent = encoder(path), set()
         for batch in batches:
             texts, doc_ids = binaries(batch.column("text")), batch.column("doc_id").to_pylist()
-            for k in range(0, len(texts), 512):
+            for k in range(0, len(texts), 256):
                 rows = []
-                for doc_id, data in zip(doc_ids[k : k + 512], of.encode(texts[k : k + 512])):
+                for doc_id, data in zip(doc_ids[k : k + 256], of.encode(texts[k : k + 256])):
                     data += end
                     hashes, start = [], 0
                     for stop in cuts(np.frombuffer(data, "<u4")):

@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
+import array
 import functools
 import os
+import sys
 from collections.abc import Iterable
 
+import regex
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
+#: ASCII but white space and the apostrophe (which the tokenizer cuts specially), and Latin letters that no
+#: normalisation composes or takes apart: all but U+0130, whose lower case is two characters.
+_PLAIN = regex.compile(r"[!-&(-~\u00C0-\u012F\u0131-\u024F]*")
+_PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def _characters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
+_CHARACTERS = _characters()
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit integers.
 
     For tokenizers that cut at white space before anything else (word_bpe_49k.json does): a text's ids are
-    those of its words in order, a word being what bytes.split() gives. Words are encoded once, and at most
-    `most` of them are remembered, which bounds the memory; the others are encoded again.
+    those of its words in order, a word being what bytes.split() gives. Words are remembered in two
+    generations: when the younger has `most` words it becomes the older, whose words are forgotten unless
+    they were met again. That bounds the memory and keeps whatever is frequent.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -22,26 +50,59 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.known: dict[bytes, bytes] = {}
+        self.marks = {m.encode(): _packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in (".", ",")}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, stems: list[bytes]) -> None:
+        """Put the stems' ids into the younger generation.
+
+        Stems of plain characters take the library's steps one by one (cut into letters, digits and others,
+        bytes to characters, merges by its model), which saves what an Encoding holds besides ids; all
+        others are encoded as texts.
+        """
+        merge, young, others = self.tokenizer.model.tokenize, self.young, []
+        for stem in stems:
+            if stem.isalpha():  # ASCII letters, in lower case by now
+                young[stem] = _packed([t.id for t in merge(stem.decode())])
+                continue
+            word = stem.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(word) and "<|" not in word:
+                word = word.lower()
+                parts = (word,) if word.isalpha() else _PARTS.findall(word)
+                young[stem] = _packed([t.id for part in parts for t in merge(part if part.isascii() else part.encode().decode("latin-1").translate(_CHARACTERS))])
+            else:
+                others.append(stem)
+        for k in range(0, len(others), 20_000):
+            part = others[k : k + 20_000]
+            for stem, found in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                young[stem] = _packed(found.ids)
 
     def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
-        """For each text (null: empty) its ids' bytes. special tokens in a text are found, none are added."""
-        import numpy as np
+        """For each text (null: empty) its ids' bytes. Special tokens in a text are found, none are added.
 
+        A new word is looked up without its last full stop or comma, and in lower case if it is all ASCII,
+        where the ids are the same: after an ASCII letter or digit that character is a token of its own, and
+        such a word is lower-cased before all else. Nothing is changed in what might be a special token.
+        """
         lists = [t.split() if t else [] for t in texts]
-        known = self.known
-        new = list({w for words in lists for w in words if w not in known})
-        fresh: dict[bytes, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            fresh.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found)))
-        room = max(0, self.most - len(known))
-        if len(fresh) <= room:
-            known.update(fresh)
-            return [b"".join(map(known.__getitem__, words)) for words in lists]
-        out = [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in lists]
-        known.update(list(fresh.items())[:room])
+        young, old, here, stems = self.young, self.old, {}, {}
+        for w in set().union(*lists):
+            known = young.get(w)
+            if known is None:
+                known = old.get(w)
+                if known is None:
+                    stem = w[:-1] if w[-1] in b".," and w[-2:-1].isalnum() else w
+                    stems[w] = stem.lower() if stem.isascii() and b"<|" not in stem else stem
+                    continue
+                young[w] = known
+            here[w] = known
+        self._learn([s for s in set(stems.values()) if s not in young])
+        for w, stem in stems.items():
+            here[w] = young[w] = young[stem] + self.marks[w[-1:]] if len(stem) < len(w) else young[stem]
+        out = [b"".join(map(here.__getitem__, words)) for words in lists]
+        if len(young) > self.most:
+            self.young, self.old = {}, young
         return out
 
 
