@@ -7,20 +7,28 @@ piece covers are written as their bytes' pieces.
 
 from __future__ import annotations
 
+import array
 import functools
+import math
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import struct_array, struct_of
-
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Pieces:
     """Encoder and decoder for a SentencePiece model file.
 
@@ -29,7 +37,7 @@ class Pieces:
     are remembered, in two generations of `most`.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 150_000):
         import ahocorasick
         import sentencepiece
 
@@ -47,6 +55,7 @@ class Pieces:
         for i in plain:
             self.automaton.add_word(self.names[i], (len(self.names[i]), i, self.scores[i]))
         self.automaton.make_automaton()
+        self.singles = frozenset(self.names[i] for i in plain if len(self.names[i]) == 1)
         self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", self.names[i]) for i in plain)
         self.most = most
         self.young: dict[str, tuple[bytes, float]] = {}
@@ -60,6 +69,17 @@ class Pieces:
     def best(self, unit: str) -> tuple[list[int], float]:
         """Ids and score of the best segmentation; of equal ones that whose last piece is longest, and so on to the front."""
         n = len(unit)
+        if self.singles.issuperset(unit):  # every place can be reached by pieces
+            score, start, piece = [0.0] + [-math.inf] * n, [0] * (n + 1), [0] * (n + 1)
+            for last, (length, i, value) in self.automaton.iter(unit):
+                value += score[last + 1 - length]
+                if value > score[last + 1]:  # of equal ones the longest comes first
+                    score[last + 1], start[last + 1], piece[last + 1] = value, last + 1 - length, i
+            out, end = [], n
+            while end:
+                out.append(piece[end])
+                end = start[end]
+            return out[::-1], score[n]
         score, start, piece = [0.0] + [0.0] * n, [-1] * (n + 1), [-1] * (n + 1)
         start[0], done = 0, 0
 
@@ -103,7 +123,7 @@ class Pieces:
                 known = old.get(unit)
                 if known is None:
                     ids, score = self.best(unit)
-                    known = np.array(ids, "<u4").tobytes(), score
+                    known = _packed(ids), score
                 if len(unit) <= 64:
                     young[unit] = known
                     if len(young) > self.most:
@@ -140,39 +160,43 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-_ENCODED = struct_of("n_pieces long,score double,ids binary")
+def _sliced(run, names: list[str], kinds: list[pa.DataType], size: int = 256):
+    """A function on batches that hands rows on some hundred at a time, so that few results are in memory at once."""
 
+    def batches_of(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, size):
+                part = batch.slice(k, size)
+                columns = run(part)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(columns, kinds))], names=[*part.schema.names, *names])
 
-def encoded(path: str):
-    """Arrow UDF: a text's pieces, their score and ids (little-endian u32). A null text is empty."""
+    return batches_of
 
-    @F.arrow_udf(_ENCODED)
-    def run(texts: pa.Array) -> pa.Array:
-        of = pieces(path)
-        rows = []
-        for text in texts.to_pylist():
-            ids, score = of.encode(text or "")
-            rows.append((len(ids) // 4, score, ids))
-        return struct_array(_ENCODED, rows)
 
-    return run
+def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, n_pieces, score, ids): a row for each row of docs; ids are little-endian u32.
 
+    A null text is empty and has no pieces, score 0. Repeated rows are encoded each; an empty table gives none.
+    """
 
-def decoded(path: str):
-    """Arrow UDF: the text of ids (little-endian u32). Null of null."""
+    def run(batch: pa.RecordBatch):
+        of = pieces(model)
+        found = [of.encode(t) for t in batch.column("text").to_pylist()]
+        return [len(ids) // 4 for ids, _ in found], [score for _, score in found], [ids for ids, _ in found]
 
-    @F.arrow_udf("string")
-    def run(ids: pa.Array) -> pa.Array:
-        of = pieces(path)
-        return pa.array([None if x is None else of.decode(x) for x in ids.to_pylist()], pa.string())
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(_sliced(run, ["n_pieces", "score", "ids"], [pa.int64(), pa.float64(), pa.binary()]), "doc_id long, text string, n_pieces long, score double, ids binary")
 
-    return run
 
+def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
+    """The rows of encode_documents with decoded: the text of their ids."""
 
-def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, n_pieces, score, ids): a row for each row of docs. A null text is empty and has no pieces, score 0."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.withColumn("e", encoded(model)("text")).select("doc_id", "text", "e.*")
+    def run(batch: pa.RecordBatch):
+        of = pieces(model)
+        return [[of.decode(x) for x in batch.column("ids").to_pylist()]]
+
+    kind = "doc_id long, text string, n_pieces long, score double, ids binary, decoded string"
+    return encoded.mapInArrow(_sliced(run, ["decoded"], [pa.string()]), kind)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,5 +206,5 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     only texts with a space mark of their own do not.
     """
     model = model_path()
-    rows = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), model).withColumn("back", decoded(model)("ids"))
-    return rows.select("doc_id", "n_pieces", "score", F.crc32("ids").alias("ids_crc32"), F.sha2("back", 256).alias("decoded_sha256"), (F.col("back") == F.col("text")).alias("same"))
+    rows = decode_documents(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), model), model)
+    return rows.select("doc_id", "n_pieces", "score", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("same"))
