@@ -10,7 +10,7 @@ import functools
 import unicodedata
 
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.tables import CYRILLIC, GAPS, GLIDED, VOWELS
@@ -52,20 +52,41 @@ def needs_python() -> str:
     return f"[가-힣{_table()[2]}]"
 
 
-def folded(text: Column) -> Column:
-    """The fold as built-in functions, for texts that `needs_python` doesn't find."""
-    ones, to, _ = _table()
-    c = F.regexp_replace(text, rf"(?<=(?<![0-9])[0-9]{{1,3}})[{GAPS}](?=[0-9]{{3}}(?![0-9]))", "")
-    c = F.lower(F.translate(c, "Σ", "σ"))
-    c = F.regexp_replace(c, "[ṛṝ]", "ri")
+def _without_gaps(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?<=(?<![0-9])[0-9]{{1,3}})[{GAPS}](?=[0-9]{{3}}(?![0-9]))", "")
+
+
+def _lower(c: Column) -> Column:
+    # Character by character: at the end of a word lower() would give another sigma.
+    return F.lower(F.regexp_replace(c, "Σ", "σ"))
+
+
+def _from_cyrillic(c: Column) -> Column:
     c = F.regexp_replace(c, "дж", _J)
     c = F.regexp_replace(c, f"[ьъ](?=[{GLIDED}])", _GLIDE)
     c = F.regexp_replace(c, f"(?<![{_CONSONANTS}{_J}{_GLIDE}])([яю])", "й$1")
     c = F.regexp_replace(F.regexp_replace(c, "ж", "zh"), "ц", "ts")
     single = {k: v for k, v in CYRILLIC.items() if len(v) == 1} | {_J: "j", _GLIDE: "y"}
-    c = F.translate(c, "".join(single), "".join(single.values()))
-    c = F.translate(c, "ьъ", "")
-    return F.translate(c, ones, to)
+    return F.translate(F.translate(c, "".join(single), "".join(single.values())), "ьъ", "")
+
+
+def _without_marks(c: Column) -> Column:
+    ones, to, _ = _table()
+    return F.translate(F.regexp_replace(c, "[ṛṝ]", "ri"), ones, to)
+
+
+def folded(text: Column) -> Column:
+    """The fold as built-in functions, for texts that `needs_python` doesn't find."""
+    return _without_marks(_from_cyrillic(_lower(_without_gaps(text))))
+
+
+def with_fold(df: DataFrame, text: str, fold: str) -> DataFrame:
+    """df with the fold of column text. Steps that most texts don't need are only taken where a test finds work for them."""
+    step = lambda test, f: F.when(F.col(fold).rlike(test), f(F.col(fold))).otherwise(F.col(fold))
+    out = df.withColumn(fold, F.when(F.col(text).rlike(f"[0-9][{GAPS}][0-9]"), _without_gaps(F.col(text))).otherwise(F.col(text)))
+    out = out.withColumn(fold, _lower(F.col(fold)))
+    out = out.withColumn(fold, step("[\u0400-\u04FF]", _from_cyrillic))
+    return out.withColumn(fold, step("[^\\x00-\\x7F]", _without_marks))
 
 
 def fold_places(text: str) -> tuple[str, list[int]]:

@@ -1,11 +1,436 @@
-"""Queries by name, and their SQL."""
+"""Queries by name over the given tables, and SQL that gives the same rows.
+
+Documents are pages, their lines blocks; conversations likewise with a turn a block; pages of HTML are cut;
+names of parts are names of pages. Words that queries look for are written here or come from `benchmark`.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.functions import formulas, query, snippets
+from pagewright.functions.tables import ENTITIES, LETTERS, SYMBOLS
+from pagewright.operators import index, names, profile, repair, search
+from pagewright.sources import html, tables
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, sf_dir, "documents")
+    return tables.document_pages(docs), tables.line_blocks(docs)
+
+
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages, blocks = _site(spark, sf_dir)
+    return index.searchable_titles(pages), index.searchable(blocks)
+
+
+# What several queries start from, in SQL. A line's fold is its lower case without accents: all that the four languages need.
+_BLOCKS = """
+lines AS (SELECT doc_id AS page_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents),
+blocks AS (SELECT page_id, (i - 1)::INTEGER AS block_seq, ls[i] AS text FROM lines, unnest(range(1, len(ls) + 1)) AS u(i)),
+records AS (SELECT *, strip_accents(lower(text)) AS fold FROM blocks),
+words AS (SELECT page_id, block_seq, page_id * 1048576 + block_seq // 32 AS chunk, unnest(regexp_extract_all(fold, '[a-z0-9]+')) AS word FROM records),
+posts AS (SELECT DISTINCT word, chunk FROM words)
+"""
+_PAGES = """
+pages_ AS (SELECT doc_id AS page_id, '/' || coalesce(lang, '') || '/' || coalesce(source, '') || '/' || doc_id || '/' AS url, 'Document ' || doc_id AS title, lang, source AS section FROM documents)
+"""
+
+
+def _found(*terms: str) -> str:
+    return " AND ".join(f"regexp_matches(fold, '(^|[^a-z0-9])({t})')" for t in terms)
+
+
+SEARCHED = {"search_and": "the and", "search_ladder": "erings theres", "two_tier_search": "que elle"}
+#: The needles of these queries, as the ladder gives them.
+_NEEDLES = {q: ["|".join(t.needles) for t in query.parse(q)] for q in SEARCHED.values()}
+
+
+def search_and(spark, sf_dir):
+    pages, records = _records(spark, sf_dir)
+    return search.search(pages, records, SEARCHED["search_and"]).select("page_id", "kind", "block_seq")
+
+
+def search_ladder(spark, sf_dir):
+    pages, records = _records(spark, sf_dir)
+    return search.search(pages, records, SEARCHED["search_ladder"]).select("page_id", "kind", "block_seq")
+
+
+def _search_sql(q: str) -> str:
+    return f"""WITH {_BLOCKS} SELECT page_id, 1::INTEGER AS kind, block_seq FROM records WHERE {_found(*_NEEDLES[q])} ORDER BY page_id, block_seq LIMIT 100"""
+
+
+def search_count(spark, sf_dir):
+    pages, records = _records(spark, sf_dir)
+    return search.matches(pages, records, query.parse("the and")).agg(F.count(F.lit(1)).alias("found"), F.count_distinct("page_id").alias("pages"))
+
+
+def two_tier_search(spark, sf_dir):
+    pages, records = _records(spark, sf_dir)
+    return search.search_by_index(pages, records, index.postings(records), SEARCHED["two_tier_search"]).select("page_id", "kind", "block_seq")
+
+
+def candidates_intersect(spark, sf_dir):
+    _, records = _records(spark, sf_dir)
+    return search.candidates(index.postings(records), query.parse("que elle"))
+
+
+def prefix_lookup(spark, sf_dir):
+    _, records = _records(spark, sf_dir)
+    of = index.postings(records).where(F.col("word").startswith("ein"))
+    return of.groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def _benchmark_words(spark, sf_dir, n):
+    """(item_id, words): the first n folded words of four letters or more of each benchmark text."""
+    fold = formulas.with_record(_table(spark, sf_dir, "benchmark"), F.col("text"))
+    found = F.filter(F.regexp_extract_all("fold", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 4)
+    return fold.select("item_id", F.slice(found, 1, n).alias("words"))
+
+
+_ITEMS = """items AS (SELECT item_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+'), lambda w: length(w) >= 4) AS ws FROM benchmark)"""
+
+
+def search_batch(spark, sf_dir):
+    pages, records = _records(spark, sf_dir)
+    needles = search.batch_needles(_benchmark_words(spark, sf_dir, 2).select(F.col("item_id").alias("query_id"), F.array_distinct("words").alias("words")))
+    return search.search_batch(pages, records, index.postings(records), needles).select("query_id", "rank", "page_id", "block_seq")
+
+
+def blocks_from_lines(spark, sf_dir):
+    return _site(spark, sf_dir)[1].select("page_id", "block_seq", "text")
+
+
+def blocks_from_turns(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").where("text <> ''")
+    return turns.groupBy(F.col("conv_id").alias("page_id"), F.col("role").alias("heading")).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def blocks_from_paragraphs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("content", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return tables.paragraph_blocks(docs, "doc_id", "content").groupBy("page_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def lang_visible(spark, sf_dir):
+    return tables.visible(_site(spark, sf_dir)[0], "de-AT").select("page_id", "lang")
+
+
+def drop_repeated(spark, sf_dir):
+    return index.without_repeated(_site(spark, sf_dir)[1]).select("page_id", "block_seq")
+
+
+def section_rules(spark, sf_dir):
+    pages, _ = _site(spark, sf_dir)
+    listed = [("src1", None, {"en": "First"}, 1), ("src2", "Second", None, 2), (None, "Others", {"en": "Rest"}, 9)]
+    of = spark.createDataFrame(listed, "segment string, section string, named map<string,string>, order_ int")
+    out = tables.with_sections(pages, of, "en")
+    return out.groupBy("section", "order_", "fallback").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def chunk_map(spark, sf_dir):
+    return index.chunk_map(_site(spark, sf_dir)[1])
+
+
+def postings(spark, sf_dir):
+    """Words alone, which SQL can tell; formula_bigrams has the rest."""
+    _, records = _records(spark, sf_dir)
+    return index.postings(records).where(F.col("word").rlike(f"^[{LETTERS}]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk").alias("first"), F.max("chunk").alias("last"))
+
+
+def lexicon_df(spark, sf_dir):
+    _, records = _records(spark, sf_dir)
+    return index.lexicon(index.postings(records)).where(F.col("word").rlike(f"^[{LETTERS}]+$"))
+
+
+def lexicon_tf(spark, sf_dir):
+    return index.lexicon_by_occurrence(_records(spark, sf_dir)[1])
+
+
+def formula_bigrams(spark, sf_dir):
+    _, records = _records(spark, sf_dir)
+    return index.postings(records).where("word LIKE '$%'").groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def formula_search(spark, sf_dir):
+    pages, records = _records(spark, sf_dir)
+    return search.search(pages, records, "|").select("page_id", "kind", "block_seq")
+
+
+def widen_stem(spark, sf_dir):
+    _, records = _records(spark, sf_dir)
+    lexicon = index.lexicon(index.postings(records)).where(F.col("word").rlike(f"^[{LETTERS}]+$"))
+    words = _benchmark_words(spark, sf_dir, 1).select(F.concat(F.get("words", F.lit(0)), F.lit("zq")).alias("word")).where("word IS NOT NULL")
+    return repair.widen(words, lexicon)
+
+
+def _misspelt(spark, sf_dir, n):
+    """(item_id, pos, word): benchmark words without their third letter."""
+    rows = _benchmark_words(spark, sf_dir, n).select("item_id", F.posexplode("words").alias("pos", "w"))
+    return rows.select("item_id", "pos", F.concat(F.left("w", F.lit(2)), F.substring("w", 4, 100)).alias("word"))
+
+
+def nearest_word(spark, sf_dir):
+    _, records = _records(spark, sf_dir)
+    lexicon = index.lexicon_by_occurrence(records)
+    return repair.nearest(_misspelt(spark, sf_dir, 1).select("word"), lexicon).withColumn("distance", F.col("distance").cast("long"))
+
+
+def correct_query(spark, sf_dir):
+    _, records = _records(spark, sf_dir)
+    return repair.correct(_misspelt(spark, sf_dir, 3).withColumnRenamed("item_id", "query_id"), index.lexicon_by_occurrence(records), cap=1)
+
+
+def prefix_owner(spark, sf_dir):
+    _, records = _records(spark, sf_dir)
+    words = _benchmark_words(spark, sf_dir, 3).select(F.explode("words").alias("word"))
+    return repair.only(words, index.lexicon_by_occurrence(records))
+
+
+_NEAREST = """
+lex AS (SELECT word, count(*) AS weight FROM words GROUP BY word),
+spelt AS (SELECT DISTINCT word, CASE WHEN length(word) >= 8 THEN {two} WHEN length(word) >= 4 THEN 1 ELSE 0 END AS most, s FROM wrong,
+          unnest([word, regexp_replace(regexp_replace(word, 'r([^aeiou])', 'ri\\1', 'g'), 'r([^aeiou]|$)', 'ri\\1', 'g')]) AS u(s)),
+near AS (SELECT s.word, l.word AS near, levenshtein(s.s, l.word) AS d, weight FROM spelt s JOIN lex l
+         ON length(l.word) BETWEEN length(s.s) - most AND length(s.s) + most WHERE most > 0 AND levenshtein(s.s, l.word) <= most
+         AND (levenshtein(s.s, l.word) <= 1 OR left(s.s, 2) = left(l.word, 2))),
+best AS (SELECT word, first(near ORDER BY d, weight DESC, near) AS nearest, min(d) AS distance FROM near GROUP BY word)
+"""
+
+
+def profile_totals(spark, sf_dir):
+    return profile.ratios(profile.totals(*_site(spark, sf_dir)))
+
+
+def profile_sections(spark, sf_dir):
+    return profile.sections(*_site(spark, sf_dir))
+
+
+def profile_suspect(spark, sf_dir):
+    return profile.complaint_counts(profile.complaints(_site(spark, sf_dir)[1]))
+
+
+def profile_samples(spark, sf_dir):
+    return profile.complaint_samples(profile.complaints(_site(spark, sf_dir)[1]))
+
+
+def profile_repeated(spark, sf_dir):
+    return profile.repeated(_site(spark, sf_dir)[1])
+
+
+def profile_biggest(spark, sf_dir):
+    return profile.biggest(*_site(spark, sf_dir)).select("page_id", "url", "title", "blocks", "chars")
+
+
+def profile_empty_dup(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    dup = profile.duplicate_urls(pages).select(F.col("url"), F.lit("duplicate").alias("kind"))
+    blocks = tables.line_blocks(_table(spark, sf_dir, "documents"))
+    gone = profile.empty(tables.document_pages(_table(spark, sf_dir, "documents")), blocks).select("url", F.lit("empty").alias("kind"))
+    return dup.unionByName(gone)
+
+
+def profile_rollup(spark, sf_dir):
+    """Totals of several indexes and over all of them: documents and conversations."""
+    docs = _site(spark, sf_dir)[1].select(F.lit("documents").alias("index"), "page_id", "text")
+    turns = _table(spark, sf_dir, "conversations").where("text <> ''").select(F.lit("conversations").alias("index"), F.col("conv_id").alias("page_id"), "text")
+    return docs.unionByName(turns).rollup("index").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).cast("long").alias("chars"), F.count_distinct("page_id").alias("pages"))
+
+
+def _part_pages(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    url = F.concat(F.lit("/part/"), F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]+", "-")), F.lit("/"), F.col("p_partkey"), F.lit("/"))
+    door = part.groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey")).select(
+        F.concat(F.lit("/part/"), F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]+", "-")), F.lit("/")).alias("url"), F.lit("Overview").alias("title"), F.col("p_brand").alias("section")
+    )
+    return part.select(url.alias("url"), F.col("p_name").alias("title"), F.col("p_brand").alias("section")).unionByName(door).withColumns({"order_": F.lit(0), "fallback": F.lit(False)})
+
+
+_PARTS = """
+parts AS (SELECT '/part/' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g')) || '/' || p_partkey || '/' AS url, p_name AS title, p_brand AS section, 3 AS depth FROM part
+          UNION ALL SELECT DISTINCT '/part/' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g')) || '/', 'Overview', p_brand, 2 FROM part)
+"""
+PICKED = "brand#1 2"
+
+
+def palette_pick(spark, sf_dir):
+    return names.pick(names.prepared(_part_pages(spark, sf_dir)), PICKED).select("url", "title", F.col("score").cast("long").alias("score"))
+
+
+def palette_scores(spark, sf_dir):
+    return names.scored(names.prepared(_part_pages(spark, sf_dir)), PICKED).groupBy("score").agg(F.count(F.lit(1)).alias("names")).withColumn("score", F.col("score").cast("long"))
+
+
+def section_doors(spark, sf_dir):
+    return names.prepared(_part_pages(spark, sf_dir)).where("home IS NOT NULL").select("url", "section", "home")
+
+
+def _tokens(spark, sf_dir):
+    """(token): the first letters, one to three, of the words of all parts' names, as they would be typed behind a backslash."""
+    words = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", "[^A-Za-z]+")).alias("w")).where("w <> ''")
+    typed = words.select(F.explode(F.sequence(F.lit(1), F.least(F.length("w"), F.lit(3)))).alias("n"), "w").select(F.concat(F.lit("x \\"), F.left("w", F.col("n"))).alias("t"))
+    return typed.select(names.token_at_end(F.col("t")).alias("token")).distinct()
+
+
+def symbol_match(spark, sf_dir):
+    return names.matching(names.catalogue(spark), _tokens(spark, sf_dir)).select("token", F.col("rank").cast("long").alias("rank"), "name", "glyph")
+
+
+def symbol_usage(spark, sf_dir):
+    """Which glyphs of the catalogue stand in the documents and pages, and under which names they are offered."""
+    cells = names.cells(names.catalogue(spark))
+    texts = _table(spark, sf_dir, "documents").select("text").unionByName(_table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
+    used = names.usage(texts, "text", names.catalogue(spark))
+    return cells.join(used, "glyph", "left").select(F.col("ord").cast("long").alias("ord"), "glyph", "names", F.coalesce("uses", F.lit(0)).cast("long").alias("uses"))
+
+
+def html_blocks(spark, sf_dir):
+    return html.html_blocks(_table(spark, sf_dir, "pages")).select("page_id", F.col("block_seq").cast("long").alias("block_seq"), "anchor", "heading", "text")
+
+
+def html_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.sha2(html.text(html.body(F.col("html"))), 256).alias("text_sha256"))
+
+
+def html_sections(spark, sf_dir):
+    blocks = html.html_blocks(_table(spark, sf_dir, "pages"))
+    return blocks.groupBy("heading").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("page_id").alias("pages"))
+
+
+def snippet_rows(spark, sf_dir):
+    pages, records = _records(spark, sf_dir)
+    terms = query.parse("the and")
+    found = search.search(pages, records, "the and")
+    shown = found.join(records.select("page_id", "block_seq", "text"), ["page_id", "block_seq"]).withColumn("s", snippets.snippets(F.col("text"), terms))
+    return shown.select("page_id", "block_seq", F.col("s.snippet").alias("snippet"), F.size("s.marks").alias("marks"))
+
+
+def _body_sql() -> str:
+    out = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
+    for tag in ("script", "style", "noscript"):
+        out = f"regexp_replace({out}, '<{tag}\\b.*?</{tag}>', '', 'gis')"
+    out = f"regexp_replace({out}, '^.*?<body[^>]*>', '', 'is')"
+    return f"regexp_replace({out}, '</body>.*$', '', 'is')"
+
+
+def _clean_sql(x: str) -> str:
+    for name, glyph in ENTITIES.items():
+        if name != "amp":
+            x = f"regexp_replace({x}, '&{name};', '{glyph.replace(chr(39), chr(39) * 2)}', 'gi')"
+    return f"trim(regexp_replace(regexp_replace({x}, '&amp;', '&', 'gi'), '\\s+', ' ', 'g'))"
+
+
+_CUT = rf"""
+b AS (SELECT page_id, {_body_sql()} AS b FROM pages),
+z AS (SELECT page_id, string_split_regex(b, '{html.TAG}') AS texts, regexp_extract_all(b, '{html.TAG}') AS tags FROM b),
+e AS (SELECT page_id, i AS pos, texts[i] AS text, tags[i] AS tag, lower(regexp_extract(tags[i], '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM z, unnest(range(1, len(texts) + 1)) AS u(i)),
+m AS (SELECT page_id, pos, text || CASE WHEN name IN ('td', 'th') THEN ' · ' ELSE '' END AS text,
+             CASE WHEN regexp_full_match(name, 'h[1-6]|{html.BREAKS}') THEN 1 ELSE 0 END AS ended,
+             regexp_full_match(name, 'h[1-6]') AND NOT starts_with(tag, '</') AS opens,
+             CASE WHEN NOT starts_with(tag, '</') THEN coalesce(nullif(regexp_extract(tag, '\bid\s*=\s*"([^"]+)"', 1, 'i'), ''),
+                  CASE WHEN name = 'a' THEN nullif(regexp_extract(tag, '\bname\s*=\s*"([^"]+)"', 1, 'i'), '') END) END AS own FROM e),
+p AS (SELECT page_id, pos, text, coalesce(sum(ended) OVER w, 0) AS piece, last_value(own IGNORE NULLS) OVER w AS anchor,
+             coalesce(lag(opens) OVER (PARTITION BY page_id ORDER BY pos), false) AS begins FROM m
+      WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT page_id, piece, string_agg(text, '' ORDER BY pos) AS raw, arg_min_null(anchor, pos) AS anchor, arg_min(begins, pos) AS is_heading FROM p GROUP BY page_id, piece),
+t AS (SELECT *, trim(regexp_replace(regexp_replace({_clean_sql("raw")}, '(\s*·\s*)+', ' · ', 'g'), '^ ?· | ?· ?$', '', 'g')) AS text FROM q),
+n AS (SELECT *, last_value(CASE WHEN is_heading AND text <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM t),
+cut AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY piece) - 1 AS block_seq, anchor, heading, text FROM n WHERE NOT is_heading AND length(text) > 1)
+"""
+
+_SYMBOL_ROWS = ", ".join(f"({n}, '{name}', '{glyph}')" for n, (name, glyph) in enumerate(SYMBOLS))
+_LEAK = r"""CASE WHEN regexp_matches(text, '(?i)</?[a-z][^>]*>') THEN 'markup' WHEN regexp_matches(text, '(?i)&(?:[a-z]+|#\d+);') THEN 'entities'
+            WHEN regexp_matches(text, '\]\(|^\s*#{1,6}\s|\*\*') THEN 'markdown' END"""
+_COMPLAINTS = f"""complaints AS (SELECT {_LEAK} AS kind, * FROM blocks WHERE {_LEAK} IS NOT NULL UNION ALL SELECT 'tiny', * FROM blocks WHERE length(text) < 25)"""
+_GRADE = "CASE WHEN {n} = '{w}' THEN 0 WHEN starts_with({n}, '{w}') THEN 1 WHEN contains({n}, ' {w}') OR contains({n}, '—{w}') THEN 2 WHEN contains({n}, '{w}') THEN 3 END"
+
+
+def _scores_sql() -> str:
+    grades = [f"coalesce(least({_GRADE.format(n='fold', w=w)}, {_GRADE.format(n='home', w=w)}), CASE WHEN contains(tail, '{w}') THEN 4 END)" for w in PICKED.split()]
+    return f"""{_PARTS}, prep AS (SELECT *, lower(title) AS fold, lower(url || ' ' || section) AS tail, CASE WHEN depth = min(depth) OVER (PARTITION BY section) THEN lower(section) END AS home FROM parts),
+    graded AS (SELECT *, {', '.join(f'{g} AS g{k}' for k, g in enumerate(grades))} FROM prep),
+    scored AS (SELECT *, greatest({', '.join(f'g{k}' for k in range(len(grades)))})::BIGINT AS score FROM graded WHERE {' AND '.join(f'g{k} IS NOT NULL' for k in range(len(grades)))})"""
+
 
 def queries() -> dict:
-    return {}
+    return {
+        f.__name__: f
+        for f in (
+            search_and, search_count, search_ladder, two_tier_search, candidates_intersect, prefix_lookup, search_batch, blocks_from_lines, blocks_from_turns, blocks_from_paragraphs, lang_visible,
+            drop_repeated, section_rules, chunk_map, postings, lexicon_df, lexicon_tf, formula_bigrams, formula_search, widen_stem, nearest_word, correct_query, prefix_owner, profile_totals,
+            profile_sections, profile_suspect, profile_samples, profile_repeated, profile_biggest, profile_empty_dup, profile_rollup, palette_pick, palette_scores, section_doors, symbol_match,
+            symbol_usage, html_blocks, html_text, html_sections, snippet_rows,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    wrong = lambda n: f"""{_ITEMS}, wrong AS (SELECT item_id, i - 1 AS pos, left(ws[i], 2) || substring(ws[i], 4) AS word FROM items, unnest(range(1, least(len(ws), {n}) + 1)) AS u(i))"""
+    return {
+        "search_and": _search_sql(SEARCHED["search_and"]),
+        "search_ladder": _search_sql(SEARCHED["search_ladder"]),
+        "two_tier_search": _search_sql(SEARCHED["two_tier_search"]),
+        "search_count": f"WITH {_BLOCKS} SELECT count(*) AS found, count(DISTINCT page_id) AS pages FROM records WHERE {_found('the', 'and')}",
+        "candidates_intersect": f"""WITH {_BLOCKS}, t AS (SELECT chunk FROM posts WHERE {' OR '.join(f"starts_with(word, '{n}')" for n in _NEEDLES['que elle'][0].split('|'))} INTERSECT
+            SELECT chunk FROM posts WHERE {' OR '.join(f"starts_with(word, '{n}')" for n in _NEEDLES['que elle'][1].split('|'))}) SELECT chunk FROM t""",
+        "prefix_lookup": f"WITH {_BLOCKS} SELECT word, count(*) AS chunks FROM posts WHERE starts_with(word, 'ein') GROUP BY word",
+        "search_batch": f"""WITH {_BLOCKS}, {_ITEMS}, q AS (SELECT item_id, list_distinct(ws[1:2]) AS ws FROM items WHERE len(ws) > 0),
+            hit AS (SELECT item_id, page_id, block_seq FROM q, records WHERE regexp_matches(fold, '(^|[^a-z0-9])' || ws[1]) AND (len(ws) < 2 OR regexp_matches(fold, '(^|[^a-z0-9])' || ws[2])))
+            SELECT * FROM (SELECT item_id AS query_id, (row_number() OVER (PARTITION BY item_id ORDER BY page_id, block_seq))::INTEGER AS rank, page_id, block_seq FROM hit) WHERE rank <= 100""",
+        "blocks_from_lines": f"WITH {_BLOCKS} SELECT page_id, block_seq, text FROM blocks",
+        "blocks_from_turns": "SELECT conv_id AS page_id, role AS heading, count(*) AS blocks, sum(length(text))::BIGINT AS chars FROM conversations WHERE text <> '' GROUP BY ALL",
+        "lang_visible": "SELECT doc_id AS page_id, lang FROM documents WHERE lang IS NULL OR lang = '' OR lower(left(lang, 2)) = 'de'",
+        "drop_repeated": f"""WITH {_BLOCKS} SELECT page_id, block_seq FROM blocks WHERE length(text) < 60 OR text NOT IN
+            (SELECT text FROM blocks WHERE length(text) >= 60 GROUP BY text HAVING count(DISTINCT page_id) >= 4)""",
+        "section_rules": """SELECT section, order_::INTEGER AS order_, fallback, count(*) AS pages FROM (SELECT CASE source WHEN 'src1' THEN 'First' WHEN 'src2' THEN 'Second' ELSE 'Rest' END AS section,
+            CASE source WHEN 'src1' THEN 1 WHEN 'src2' THEN 2 ELSE 9 END AS order_, source NOT IN ('src1', 'src2') AS fallback FROM documents) GROUP BY ALL""",
+        "chunk_map": f"WITH {_BLOCKS} SELECT page_id * 1048576 + block_seq // 32 AS chunk, page_id, min(block_seq)::BIGINT AS first_block, count(*) AS n_blocks FROM blocks GROUP BY ALL",
+        "postings": f"WITH {_BLOCKS} SELECT word, count(*) AS chunks, min(chunk) AS first, max(chunk) AS last FROM posts GROUP BY word",
+        "lexicon_df": f"WITH {_BLOCKS} SELECT word, count(*) AS weight FROM posts GROUP BY word",
+        "lexicon_tf": f"WITH {_BLOCKS} SELECT word, count(*) AS weight FROM words GROUP BY word",
+        "widen_stem": f"""WITH {_BLOCKS}, {_ITEMS}, w AS (SELECT DISTINCT ws[1] || 'zq' AS word FROM items WHERE len(ws) > 0),
+            pre AS (SELECT DISTINCT left(word, n) AS stem FROM (SELECT DISTINCT word FROM posts), unnest(range(4, length(word) + 1)) AS u(n)),
+            tried AS (SELECT word, left(word, n) AS stem FROM w, unnest(range(greatest(4, ceil(length(word) * 0.6))::BIGINT, length(word))) AS u(n))
+            SELECT w.word, (SELECT max_by(t.stem, length(t.stem)) FROM tried t JOIN pre USING (stem) WHERE t.word = w.word) AS stem FROM w""",
+        "nearest_word": f"""WITH {_BLOCKS}, {wrong(1)}, {_NEAREST.format(two=2)} SELECT word, nearest, distance FROM (SELECT DISTINCT word FROM wrong) LEFT JOIN best USING (word)""",
+        "correct_query": f"""WITH {_BLOCKS}, {wrong(3)}, {_NEAREST.format(two=1)},
+            have AS (SELECT DISTINCT left(word, n) AS word FROM lex, unnest(range(1, length(word) + 1)) AS u(n)),
+            each AS (SELECT item_id, pos, w.word NOT IN (SELECT word FROM have) AS missing, CASE WHEN w.word IN (SELECT word FROM have) THEN w.word ELSE nearest END AS now FROM wrong w LEFT JOIN best USING (word))
+            SELECT item_id AS query_id, CASE WHEN bool_and(now IS NOT NULL) AND bool_or(missing) THEN string_agg(now, ' ' ORDER BY pos) END AS corrected FROM each GROUP BY item_id""",
+        "prefix_owner": f"""WITH {_BLOCKS}, {_ITEMS}, p AS (SELECT DISTINCT unnest(ws[1:3]) AS word FROM items), l AS (SELECT DISTINCT word AS w FROM words)
+            SELECT word, CASE WHEN count(w) = 1 THEN min(w) END AS only FROM p LEFT JOIN l ON starts_with(w, word) GROUP BY word""",
+        "profile_totals": rf"""WITH {_BLOCKS}, w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^0-9a-zа-яё]+')) AS w FROM blocks),
+            s AS (SELECT (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM blocks) AS blocks, (SELECT coalesce(sum(length(text)), 0)::BIGINT FROM blocks) AS chars, 0::BIGINT AS anchored,
+                  (SELECT count(*) FROM w WHERE length(w) >= 2) AS words)
+            SELECT *, floor(anchored * 100 / blocks + 0.5)::BIGINT AS anchored_percent, floor(chars / blocks + 0.5)::BIGINT AS chars_a_block, floor(blocks / pages + 0.5)::BIGINT AS blocks_a_page FROM s""",
+        "profile_sections": f"""WITH {_BLOCKS}, s AS (SELECT page_id, count(*) AS blocks, sum(length(text)) AS chars FROM blocks GROUP BY page_id)
+            SELECT coalesce(source, '—') AS section, count(*) AS pages, sum(coalesce(blocks, 0))::BIGINT AS blocks, sum(coalesce(chars, 0))::BIGINT AS chars, 0::INTEGER AS order_
+            FROM documents LEFT JOIN s ON page_id = doc_id GROUP BY 1""",
+        "profile_suspect": f"WITH {_BLOCKS}, {_COMPLAINTS} SELECT kind, count(*) AS n FROM complaints GROUP BY kind",
+        "profile_samples": f"""WITH {_BLOCKS}, {_COMPLAINTS} SELECT kind, rank, page_id, block_seq, left(text, 140) AS text FROM
+            (SELECT *, (row_number() OVER (PARTITION BY kind ORDER BY page_id, block_seq))::INTEGER AS rank FROM complaints) WHERE rank <= 8""",
+        "profile_repeated": f"WITH {_BLOCKS} SELECT text, count(*) AS n FROM blocks WHERE length(text) >= 60 GROUP BY text HAVING count(*) > 1",
+        "profile_biggest": f"""WITH {_BLOCKS}, {_PAGES}, s AS (SELECT page_id, count(*) AS blocks, sum(length(text)) AS chars FROM blocks GROUP BY page_id)
+            SELECT page_id, url, title, coalesce(blocks, 0)::BIGINT AS blocks, coalesce(chars, 0)::BIGINT AS chars FROM pages_ LEFT JOIN s USING (page_id) ORDER BY chars DESC, page_id LIMIT 10""",
+        "profile_empty_dup": f"""WITH {_BLOCKS}, {_PAGES} SELECT url, 'duplicate' AS kind FROM pages GROUP BY url HAVING count(*) > 1 UNION ALL
+            SELECT url, 'empty' FROM pages_ WHERE page_id NOT IN (SELECT page_id FROM blocks)""",
+        "profile_rollup": f"""WITH {_BLOCKS}, r AS (SELECT 'documents' AS index, page_id, text FROM blocks UNION ALL SELECT 'conversations', conv_id, text FROM conversations WHERE text <> '')
+            SELECT index, count(*) AS blocks, sum(length(text))::BIGINT AS chars, count(DISTINCT page_id) AS pages FROM r GROUP BY ROLLUP (index)""",
+        "palette_pick": f"""WITH {_scores_sql()} SELECT url, title, score FROM scored ORDER BY score, depth,
+            lower(regexp_replace(regexp_replace(title, '([0-9]+)', '000000000000\\1', 'g'), '0+([0-9]{{12}})([^0-9]|$)', '\\1\\2', 'g')), url LIMIT 12""",
+        "palette_scores": f"WITH {_scores_sql()} SELECT score, count(*) AS names FROM scored GROUP BY score",
+        "section_doors": f"WITH {_PARTS} SELECT url, section, lower(section) AS home FROM parts WHERE depth = 2",
+        "symbol_match": f"""WITH s AS (SELECT * FROM (VALUES {_SYMBOL_ROWS}) AS v(ord, name, glyph)),
+            w AS (SELECT unnest(string_split_regex(p_name, '[^A-Za-z]+')) AS w FROM part), t AS (SELECT DISTINCT left(w, n) AS token FROM w, unnest([1, 2, 3]) AS u(n) WHERE w <> ''),
+            g AS (SELECT *, CASE WHEN name = token THEN 0 WHEN starts_with(name, token) THEN 1 WHEN lower(name) = lower(token) THEN 2 WHEN starts_with(lower(name), lower(token)) THEN 3 END AS grade FROM t, s)
+            SELECT token, rank, name, glyph FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY grade, ord) AS rank FROM g WHERE grade IS NOT NULL) WHERE rank <= 8""",
+        "symbol_usage": f"""WITH s AS (SELECT * FROM (VALUES {_SYMBOL_ROWS}) AS v(ord, name, glyph)), c AS (SELECT glyph, min(ord)::BIGINT AS ord, string_agg(name, ' ' ORDER BY ord) AS names FROM s GROUP BY glyph)
+            SELECT ord, glyph, names, ((SELECT coalesce(sum(length(text) - length(replace(text, glyph, ''))), 0) FROM documents) + (SELECT coalesce(sum(length(html) - length(replace(html, glyph, ''))), 0) FROM pages))::BIGINT AS uses FROM c""",
+        "html_blocks": f"WITH {_CUT} SELECT page_id, block_seq::BIGINT AS block_seq, anchor, heading, text FROM cut",
+        "html_text": f"""SELECT page_id, sha256({_clean_sql(f"regexp_replace({_body_sql()}, '<[^>]*>', ' ', 'g')")}) AS text_sha256 FROM pages""",
+        "html_sections": f"WITH {_CUT} SELECT heading, count(*) AS blocks, count(DISTINCT page_id) AS pages FROM cut GROUP BY heading",
+    }

@@ -1,0 +1,71 @@
+"""Pages and blocks from tables of texts.
+
+pages:  page_id, url, title, also, lang, section, order_, fallback
+blocks: page_id, block_seq, anchor, heading, text
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def language(tag: Column) -> Column:
+    """The first two letters of a language tag, in lower case; null if there are none."""
+    return F.nullif(F.lower(F.left(F.coalesce(tag, F.lit("")), F.lit(2))), F.lit(""))
+
+
+def visible(pages: DataFrame, lang: str | None) -> DataFrame:
+    """Pages in the reader's language, and those that name none; all if the reader names none."""
+    if not lang:
+        return pages
+    own = language(F.col("lang"))
+    return pages.where(own.isNull() | (own == language(F.lit(lang))))
+
+
+def document_pages(docs: DataFrame) -> DataFrame:
+    url = F.concat(F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"))
+    return docs.select(
+        F.col("doc_id").alias("page_id"), url.alias("url"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("also"),
+        "lang", F.col("source").alias("section"), F.lit(0).alias("order_"), F.lit(False).alias("fallback"),
+    )
+
+
+def line_blocks(docs: DataFrame, page_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A block for each line that isn't empty, numbered within its page."""
+    lines = F.filter(F.split(F.col(text), "\n"), lambda x: x != "")
+    return docs.select(F.col(page_id).alias("page_id"), F.posexplode(lines).alias("block_seq", "text")).select(
+        "page_id", "block_seq", F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("string").alias("heading"), "text"
+    )
+
+
+def paragraph_blocks(pages: DataFrame, page_id: str, content: str, least: int = 17) -> DataFrame:
+    """Blocks of Markdown or plain text cut at blank lines, of `least` characters or more once its marks are gone.
+
+    Chunks that hold the word nosearch in a comment are left out.
+    """
+    chunks = F.filter(F.split(F.col(content), r"\n[ \t]*\n"), lambda x: ~x.contains("nosearch"))
+    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), r"(^|\n)\s*(#{1,6}|>|[-*+])\s+|\*\*|__|`|!?\[([^\]]*)\]\([^)]*\)", "$1$3"), r"\s+", " "))
+    kept = F.filter(F.transform(chunks, clean), lambda x: F.length(x) >= least)
+    return pages.select(F.col(page_id).alias("page_id"), F.posexplode(kept).alias("block_seq", "text")).select(
+        "page_id", "block_seq", F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("string").alias("heading"), "text"
+    )
+
+
+def with_sections(pages: DataFrame, sections: DataFrame, lang: str | None = None) -> DataFrame:
+    """Pages with section, order_ and fallback from their address: its first segment, or the second where the first is the page's language.
+
+    sections: segment (null: the default), section, named (map of language to name), order_. It is a list
+    that somebody wrote, of which only the entries are joined; pages of other segments fall back to the default.
+    """
+    parts = F.filter(F.split("url", "/"), lambda x: x != "")
+    segment = F.when((F.size(parts) > 2) & (F.lower(F.get(parts, F.lit(0))) == language(F.col("lang"))), F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))
+    naming = F.coalesce(F.try_element_at("named", F.lit(lang)) if lang else F.lit(None), F.col("s_section"))
+    named = sections.select("segment", "named", F.col("section").alias("s_section"), F.col("order_").alias("s_order"))
+    default = named.where("segment IS NULL").select(naming.alias("d_section"), F.col("s_order").alias("d_order")).limit(1)
+    entries = named.where("segment IS NOT NULL").select("segment", naming.alias("s_section"), "s_order")
+    joined = pages.drop("section", "order_", "fallback").withColumn("segment", segment).join(entries, "segment", "left").join(F.broadcast(default), F.lit(True), "left")
+    return joined.select(
+        *(c for c in pages.columns if c not in ("section", "order_", "fallback")),
+        F.coalesce("s_section", "d_section").alias("section"), F.coalesce("s_order", "d_order", F.lit(99)).alias("order_"), F.col("s_section").isNull().alias("fallback"),
+    )

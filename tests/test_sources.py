@@ -1,0 +1,90 @@
+import json
+
+from pyspark.sql import functions as F
+
+from pagewright.operators import index, names, profile, repair
+from pagewright.sources import html, jsonindex, tables
+
+
+def cut(spark, page):
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    return [(r.anchor, r.heading, r.text) for r in html.html_blocks(df).orderBy("block_seq").collect()]
+
+
+def test_html_blocks(spark):
+    page = """<html><head><title>x</title><script>var t="</p>";</script></head><body><!-- <p>no</p> --><nav>menu item</nav>
+    <h2 id="first">One <b>bold</b></h2><p>Text a<b>b</b>c &amp; d<p id="two">Second &copy; &#169; &#60;b&#62;<br>third line
+    <table><tr><td>term</td><td>gloss</td></tr></table><h3></h3><a name="x">inside</a> piece<p>after x<p>z</body></html>"""
+    assert cut(spark, page) == [
+        (None, None, "menu item"), ("first", "One bold", "Text abc & d"), ("two", "One bold", "Second © © <b>"), ("two", "One bold", "third line"),
+        ("two", "One bold", "term · gloss"), ("two", "One bold", "inside piece"), ("x", "One bold", "after x"),
+    ]
+
+
+def test_formulas_in_html(spark):
+    page = """<body><p>so <span class="math inline">x_1 &lt; y</span>5 and <span class="math display">z</span> <script type="math/tex">q</script>
+    <span class="katex-display"><span class="katex"><span><annotation encoding="application/x-tex">a
+    b</annotation></span><span>junk</span></span></span> end</p></body>"""
+    assert cut(spark, page) == [(None, None, "so \\(x_1 < y\\)5 and \\[z\\] \\(q\\) \\[a b\\] end")]
+
+
+def test_html_without_body_or_text(spark):
+    assert cut(spark, None) == [] and cut(spark, "") == [] and cut(spark, "<p>x</p>") == [] and cut(spark, "bare text") == [(None, None, "bare text")]
+
+
+def test_json_index(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    first = {"pages": [{"url": "/a/", "title": "A", "lang": "de-AT", "blocks": ["plain", {"text": "object", "anchor": "x", "section": "H"}, "", {"text": ""}]}], "shards": [{"url": "sub/b.json", "section": "B", "named": {"en": "Bee"}, "order": 3}, {"url": "sub/b.json"}]}
+    second = {"pages": [{"url": "/b/", "title": "B", "order": 7, "blocks": []}, {"url": "/c/", "title": "C", "section": "Own", "blocks": ["c"]}], "shards": [{"url": "../a.json"}]}
+    (tmp_path / "a.json").write_text(json.dumps(first))
+    (tmp_path / "sub/b.json").write_text(json.dumps(second))
+    sources = jsonindex.read_sources(spark, f"file://{tmp_path}/a.json")
+    assert [s["url"].rsplit("/", 1)[1] for s in sources] == ["a.json", "b.json"]
+    pages, blocks = jsonindex.read_index(spark, sources, "en")
+    got = {r.url: (r.section, r.order_, r.lang) for r in pages.collect()}
+    assert got == {"/a/": (None, 0, "de-AT"), "/b/": ("Bee", 7, None), "/c/": ("Own", 3, None)}
+    assert sorted((r.block_seq, r.anchor, r.heading, r.text) for r in blocks.collect()) == [(0, None, None, "c"), (0, None, None, "plain"), (1, "x", "H", "object")]
+    jsonindex.write_index(pages, blocks, str(tmp_path / "out"), "gzip")
+    back = spark.read.json(str(tmp_path / "out"))
+    assert back.count() == 3 and back.where("url = '/a/'").first().blocks[1].anchor == "x"
+    sizes = pages.withColumn("n_chunks", F.lit(2))
+    assert sorted(r["first"] for r in jsonindex.numbered(sizes).collect()) == [0, 2, 4]
+
+
+def test_paragraphs_and_visibility(spark):
+    df = spark.createDataFrame([(1, "# A heading of some length\n\nshort\n\n**Bold** text with [a link](http://x) in it\n\n<!-- nosearch --> this long chunk is left out")], "id long, content string")
+    assert [r.text for r in tables.paragraph_blocks(df, "id", "content").orderBy("block_seq").collect()] == ["A heading of some length", "Bold text with a link in it"]
+    pages = spark.createDataFrame([(1, "de"), (2, "EN-us"), (3, None), (4, "")], "page_id long, lang string")
+    assert [r.page_id for r in tables.visible(pages, "en").orderBy("page_id").collect()] == [2, 3, 4] and tables.visible(pages, None).count() == 4
+
+
+def test_doors(spark):
+    rows = [("/s/", "S", "Sec", False), ("/s/a/", "A", "Sec", False), ("/t/x/", "X", "Tee", False), ("/t/y/", "Y", "Tee", False), ("/", "Home", "Fall", True), ("/u/", "U", None, False)]
+    pages = spark.createDataFrame(rows, "url string, title string, section string, fallback boolean").withColumn("order_", F.lit(0))
+    doors = {r.url for r in names.prepared(pages).where("home IS NOT NULL").collect()}
+    assert doors == {"/s/", "/t/x/", "/t/y/"}
+    assert [r.title for r in names.pick(names.prepared(pages), "sec").collect()] == ["S", "A"]
+    numbered = spark.createDataFrame([(f"/p/{n}/", f"Part {n}", "P", False) for n in (10, 9, 2)], "url string, title string, section string, fallback boolean").withColumn("order_", F.lit(0))
+    assert [r.title for r in names.pick(names.prepared(numbered), "part").collect()] == ["Part 2", "Part 9", "Part 10"]
+
+
+def test_repair(spark):
+    lexicon = spark.createDataFrame([("suffering", 3), ("suffer", 9), ("nritta", 2), ("mind", 5), ("mint", 7), ("house", 1)], "word string, weight long")
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    near = {r.word: (r.nearest, r.distance) for r in repair.nearest(words("sufering", "nrta", "minx", "abc", "xouse", "zzffering"), lexicon).collect()}
+    assert near == {"sufering": ("suffering", 1), "nrta": ("nritta", 1), "minx": ("mint", 1), "abc": (None, None), "xouse": ("house", 1), "zzffering": (None, None)}
+    stems = {r.word: r.stem for r in repair.widen(words("sufferance", "minding", "house", "hou"), lexicon).collect()}
+    assert stems == {"sufferance": "suffer", "minding": None, "house": "hous", "hou": None}
+    asked = spark.createDataFrame([(1, 0, "mind"), (1, 1, "hause"), (2, 0, "qqqq"), (3, 0, "mind")], "query_id int, pos int, word string")
+    assert {r.query_id: r.corrected for r in repair.correct(asked, lexicon).collect()} == {1: "mind house", 2: None, 3: None}
+    assert {r.word: r.only for r in repair.only(words("suff", "hou", "x"), lexicon).collect()} == {"suff": None, "hou": "house", "x": None}
+
+
+def test_profile_and_repeats(spark):
+    blocks = spark.createDataFrame(
+        [(1, 0, "a", "<b>x</b> &amp; **"), (1, 1, None, "&nbsp; text of an entity in a line"), (2, 0, None, "see [this](that) for more about it"), (2, 1, None, "r" * 60), (3, 0, None, "r" * 60), (3, 1, None, "r" * 60)],
+        "page_id long, block_seq int, anchor string, text string",
+    )
+    assert {(r.kind, r.n) for r in profile.complaint_counts(profile.complaints(blocks)).collect()} == {("markup", 1), ("entities", 1), ("markdown", 1), ("tiny", 1)}
+    assert [(r.n) for r in profile.repeated(blocks).collect()] == [3]
+    assert index.without_repeated(blocks, 2).count() == 3 and index.without_repeated(blocks, 3).count() == 6 and index.without_repeated(blocks, 1).count() == 6

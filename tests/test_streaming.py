@@ -1,0 +1,22 @@
+from pagewright.operators import index, search
+from pagewright.plans import catalog
+from pagewright.streaming import index as streaming
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_index_that_follows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").repartition(3)
+    source, folder = str(tmp_path / "in"), str(tmp_path / "index")
+    for n, part in enumerate((docs.where("doc_id < 100"), docs.where("doc_id >= 100"))):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        query = streaming.maintain(stream, folder)
+        query.awaitTermination()
+        assert query.exception() is None
+    pages, records, postings = streaming.read(spark, folder)
+    whole_pages, whole_records = catalog._records(spark, SF)
+    assert pages.count() == 200 and records.count() == whole_records.count()
+    assert postings.exceptAll(index.postings(whole_records)).count() == 0
+    want = [tuple(r) for r in search.search(whole_pages, whole_records, "the and").collect()]
+    assert [tuple(r) for r in search.search_by_index(pages, records, postings, "the and").collect()] == want
