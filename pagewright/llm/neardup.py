@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     # The pairs of blocks that a document's block is in: as many as there are blocks.
     dealt = members.join(sizes, "cluster").select("node", "class", "cluster", "blocks", block.alias("block"))
     dealt = dealt.select("node", "class", "cluster", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> least(x, block) * 1000000L + greatest(x, block))")).alias("pair"))
-    told = rows.join(dealt, rows.doc_id == dealt.node).select("cluster", "pair", "node", "class", "text")
+    # Sorted and merged whatever the size: the table of clusters grows with the documents.
+    told = rows.hint("merge").join(dealt, rows.doc_id == dealt.node).select("cluster", "pair", "node", "class", "text")
     sets = told.mapInArrow(_sets(size), "cluster long, pair long, node long, shingles binary")
     met = sets.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair")
     links = met.mapInArrow(_linked(percent), "a long, b long")
