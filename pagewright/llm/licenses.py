@@ -136,7 +136,7 @@ class Automaton:
         for start in [i for i, w in enumerate(words) if w in begins]:
             states: tuple[int, ...] | set[int] = begins[words[start]]
             reached = {self.accepts[s] for s in states if s in self.accepts}
-            for word in words[start + 1 :] if len(words) < 64 else _tail(words, start + 1):
+            for word in _tail(words, start + 1):
                 after: set[int] = set()
                 for s in states:
                     if word in self.next[s]:

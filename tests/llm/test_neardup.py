@@ -6,9 +6,6 @@ from hypothesis import strategies as st
 
 from pagewright.llm import graph, neardup
 
-PLAIN = "[^ \t-\r]+"
-
-
 def brute(rows, size, percent):
     import re
 
