@@ -17,6 +17,7 @@ from pagewright.functions.tables import CYRILLIC, GAPS, GLIDED, VOWELS
 
 _CONSONANTS = "".join(c for c in CYRILLIC if c not in VOWELS)
 _GAP = regex.compile(rf"(?<=(?<![0-9])[0-9]{{1,3}})[{GAPS}](?=[0-9]{{3}}(?![0-9]))")
+_GROUPED = regex.compile(f"[0-9][{GAPS}][0-9]")
 #: Stand-ins while letters still need their neighbours: a glide, and дж.
 _GLIDE, _J = "﷐", "﷑"
 
@@ -91,7 +92,9 @@ def with_fold(df: DataFrame, text: str, fold: str) -> DataFrame:
 
 def fold_places(text: str) -> tuple[str, list[int]]:
     """The folded text and, for each of its characters and its end, the place in text that it comes from."""
-    gaps = {m.start() for m in _GAP.finditer(text)}
+    gaps = {m.start() for m in _GAP.finditer(text)} if _GROUPED.search(text) else ()
+    if text.isascii() and not gaps:
+        return text.lower(), list(range(len(text) + 1))
     low = [c.lower() for c in text]
     out: list[str] = []
     places: list[int] = []

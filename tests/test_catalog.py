@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from pagewright.functions import formulas, snippets
 from pagewright.functions import query as queries_of
 from pagewright.operators import index, search
 from pagewright.plans import catalog
@@ -62,3 +63,51 @@ def test_no_nested_loops(spark):
     for name in ("search_batch", "nearest_word", "widen_stem", "correct_query", "prefix_owner", "two_tier_search"):
         plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+@pytest.fixture(scope="module")
+def lines(spark):
+    out = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        for n, line in enumerate(x for x in (r.text or "").split("\n") if x):
+            out[r.doc_id, n] = line
+    return out
+
+
+def test_formula_pairs(spark, lines):
+    chunks = {}
+    for (page, n), line in lines.items():
+        for word in formulas.vocabulary(formulas.record(" " + line)):
+            if word.startswith("$") and len(word) > 1:
+                chunks.setdefault(word, set()).add((page, n // 32))
+    got = {r.word: r.chunks for r in catalog.formula_bigrams(spark, SF).collect()}
+    assert got == {w: len(c) for w, c in chunks.items()} and got
+
+
+def test_formula_search(spark, lines):
+    want = [k for k, line in sorted(lines.items()) if queries_of.answers(" " + line, "|")][:100]
+    assert [(r.page_id, r.block_seq) for r in catalog.formula_search(spark, SF).collect()] == want and want
+
+
+def test_snippet_rows(spark, lines):
+    terms = queries_of.parse("the and")
+    got = catalog.snippet_rows(spark, SF).collect()
+    assert len(got) == 100
+    for r in got:
+        shown, marks = snippets.snippet(lines[r.page_id, r.block_seq], terms)
+        assert (r.snippet, r.marks) == (shown, len(marks)) and marks
+
+
+def test_paragraphs(spark):
+    import re
+
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        for part in re.split(r"\n[ \t]*\n", r.text.replace("\n", "\n\n")):
+            part = re.sub(r"<[^>]*>", " ", part)
+            part = re.sub(r"(^|\n)\s*(#{1,6}|>|[-*+])\s+|\*\*|__|`|!?\[([^\]]*)\]\([^)]*\)", lambda m: (m[1] or "") + (m[3] or ""), part)
+            part = re.sub(r"[ \t-\r]+", " ", part).strip(" ")
+            if len(part) >= 17 and "nosearch" not in part:
+                n, chars = want.get(r.doc_id, (0, 0))
+                want[r.doc_id] = (n + 1, chars + len(part))
+    assert {r.page_id: (r.blocks, r.chars) for r in catalog.blocks_from_paragraphs(spark, SF).collect()} == want
