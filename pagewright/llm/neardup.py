@@ -2,11 +2,11 @@
 
 1. A document's set is that of its hashed word shingles. Documents with equal sets are one class, linked by
    that; only its representative (the smallest doc_id) goes on.
-2. Signatures of PERMUTATIONS minima. A forest of TREES sorted orders, each over its own permutation of the
-   signature: within a region (equal first values) neighbours in order share the longest prefixes. Regions
-   are not searched by pairs: each document names the next one only, so the depth at which two documents
-   meet adapts to how many lie between them, and a region of n documents gives n - 1 candidates.
-3. Candidates whose signatures agree in at least half the places form clusters. Documents that are similar
+2. Signatures of PERMUTATIONS minima. A forest of TREES, each over its own permutation of the signature;
+   documents with equal first values are in one region. All documents of a region meet, however many they
+   are and whatever lies between them: in regions of up to SMALL as pairs, each named once over all trees; in
+   crowded ones in blocks, pairs of blocks to a task, where signatures are compared in place.
+3. Documents of a region whose signatures agree in at least half the places form clusters. Documents that are similar
    enough share a region in some tree up to a chance of 1e-8 (similarity 0.85; 1e-5 at 0.8), so linked documents are in one cluster.
 4. Within a cluster all sets meet, and links are exact. Large clusters are dealt into blocks, and pairs of
    blocks to tasks, so that a task holds two blocks at most; links come back as a spanning forest.
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from pagewright.llm.graph import components
 from pagewright.llm.shared import WordHashes, binaries, grouped, mixed, windows_of, words_of, written
 
-PERMUTATIONS, TREES, DEPTH, DEEPER = 128, 40, 5, 8
+PERMUTATIONS, TREES, DEPTH = 128, 40, 5
+#: Documents of a region that are named in pairs, and those in a block of a region that has more.
+SMALL, CROWD = 8, 2048
 #: Documents, and shingles of all of them, in a block.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -45,7 +47,7 @@ def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_229)
     a = rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
-    orders = np.array([rng.permutation(PERMUTATIONS)[: DEPTH + DEEPER] for _ in range(TREES)])
+    orders = np.array([rng.permutation(PERMUTATIONS)[:DEPTH] for _ in range(TREES)])
     return a, b, orders
 
 
@@ -70,7 +72,6 @@ def _signed(size: int):
     def run(batches):
         hashes, (a, b, orders) = WordHashes(), _constants()
         salts = mixed(np.arange(1, TREES + 1, dtype=np.uint64))
-        tree = pa.struct([("region", pa.int64()), ("rest", pa.int64())])
         for batch in batches:
             texts, doc_ids = binaries(batch.column("text")), batch.column("doc_id")
             for k in range(0, len(texts), 256):
@@ -84,16 +85,11 @@ def _signed(size: int):
                     region = np.broadcast_to(salts, (len(full), TREES)).copy()
                     for d in range(DEPTH):
                         region = mixed(region * np.uint64(0x9E3779B97F4A7C15) + of[:, orders[:, d]])
-                    rest = np.zeros((len(full), TREES), np.uint64)
-                    for d in range(DEPTH, DEPTH + DEEPER):
-                        rest = rest << np.uint64(8) | low[:, orders[:, d]]
                     for n, i in enumerate(full):
-                        signed[i], trees[i] = low[n].tobytes(), (region[n].view(np.int64), rest[n].view(np.int64))
+                        signed[i], trees[i] = low[n].tobytes(), region[n].view(np.int64)
                 offsets = np.cumsum([0, *(TREES if t is not None else 0 for t in trees)])
                 held = [t for t in trees if t is not None]
-                values = pa.StructArray.from_arrays(
-                    [pa.array(np.concatenate([t[j] for t in held]) if held else np.zeros(0, np.int64), pa.int64()) for j in (0, 1)], fields=list(tree)
-                )
+                values = pa.array(np.concatenate(held) if held else np.zeros(0, np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         doc_ids.slice(k, len(sets)),
@@ -115,6 +111,54 @@ def _agree(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((x == y).sum(axis=1) * 2 >= PERMUTATIONS)
 
 
+def meeting(signed: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of signatures (rows of bytes) that agree in at least half the places."""
+    left, out = np.arange(len(signed)), []
+    rows = signed
+    while len(left):
+        rest, left, rows = [int(left[0])], left[1:], rows[1:]
+        while rest and len(left):
+            x = rest.pop()
+            # Eight places to a word, up to 16 in each byte; the product adds its bytes up.
+            same = (rows == signed[x]).view(np.uint64).sum(axis=1) * np.uint64(0x0101010101010101) >> np.uint64(56)
+            near = same * 2 >= PERMUTATIONS
+            if near.any():
+                rest += left[near].tolist()
+                out += [(x, y) for y in left[near].tolist()]
+                left, rows = left[~near], rows[~near]
+    return out
+
+
+def _met(batches):
+    for group in grouped(batches, ["region", "pair"]):
+        group = group.combine_chunks()
+        nodes = group.column("node").to_numpy()
+        found = meeting(np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS))
+        if found:
+            i, j = np.array(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i], pa.int64()), pa.array(nodes[j], pa.int64())], names=["a", "b"])
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): links that join all nodes that share a region and agree, from (class, node, signature, trees)."""
+    # A class by its hash: a node stands for several only if its doc_id has several texts; then any agreement counts.
+    keyed = classes.select(F.xxhash64("class").alias("k"), "node", "signature")
+    placed = classes.select(F.xxhash64("class").alias("k"), F.explode("trees").alias("region"))
+    places = written(placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("region"))).where("n > 1"), "places")
+
+    few = places.where(F.col("n") <= SMALL).groupBy("region").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    pairs = few.select(F.explode(F.expr(f"flatten(transform(ks, (x, i) -> transform(slice(ks, i + 2, {SMALL}), y -> struct(x AS ka, y AS kb))))")).alias("p")).select("p.*").distinct()
+    sides = [keyed.select(F.col("k").alias(f"k{x}"), F.col("node").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"]
+    agree = F.arrow_udf(_agree, "boolean")
+    told = pairs.join(sides[0], "ka").join(sides[1], "kb").where("a <> b").where(agree("sa", "sb")).select("a", "b")
+
+    crowd = places.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / CROWD).cast("int"))
+    crowd = crowd.withColumn("block", F.pmod(F.xxhash64("k", "region"), F.col("blocks")).cast("int"))
+    crowd = crowd.join(keyed, "k").select("region", "node", "signature", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> least(x, block) * 1000000L + greatest(x, block))")).alias("pair"))
+    met = crowd.repartition("region", "pair").sortWithinPartitions("region", "pair").mapInArrow(_met, "a long, b long")
+    return told.unionAll(met.where("a <> b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many items each two sets share."""
     n = len(sets)
@@ -211,19 +255,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     table gives none. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = written(rows.mapInArrow(_signed(size), "doc_id long, n_shingles long, class binary, signature binary, trees array<struct<region:long,rest:long>>"), "signed")
+    signed = written(rows.mapInArrow(_signed(size), "doc_id long, n_shingles long, class binary, signature binary, trees array<long>"), "signed")
     named = signed.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(named.groupBy("class").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("trees").alias("trees")), "classes")
 
-    order = Window.partitionBy("region").orderBy("rest", "node")
-    placed = classes.select("node", F.explode("trees").alias("t")).select("node", "t.region", "t.rest")
-    beside = placed.select("node", F.lead("node").over(order).alias("next")).where("next IS NOT NULL AND next <> node")
-    pairs = beside.select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
-    # A node can stand for several classes only if its doc_id has several texts; then any agreement counts.
-    of = classes.select("node", "signature")
-    both = pairs.join(of.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(of.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    agree = F.arrow_udf(_agree, "boolean")
-    clusters = components(both.where(agree("sa", "sb")).select("a", "b")).withColumnRenamed("component", "cluster")
+    clusters = components(candidates(classes)).withColumnRenamed("component", "cluster")
 
     members = written(classes.select("node", "class").join(clusters, "node").join(named.groupBy("class").agg(F.max("n_shingles").alias("n")), "class"), "members")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))

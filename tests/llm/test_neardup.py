@@ -105,3 +105,28 @@ def test_one_of_each_group_stays(spark):
     rows = [(5, text), (3, text.upper()), (9, text + " more"), (1, "something else entirely here today")]
     left = neardup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
+def test_meeting():
+    rng = np.random.default_rng(7)
+    rows = rng.integers(0, 2, (60, neardup.PERMUTATIONS)).astype(np.uint8)
+    agree = (rows[:, None] == rows[None]).sum(axis=2) * 2 >= neardup.PERMUTATIONS
+    for n in (0, 1, 2, 60):
+        group = np.arange(n)
+        for x in range(n):
+            for y in np.flatnonzero(agree[x, :n]):
+                group[group == max(group[x], group[y])] = min(group[x], group[y])
+        found = neardup.meeting(rows[:n])
+        assert len(found) == n - len(set(group)) and all(agree[x, y] for x, y in found)
+
+
+def test_crowded_boilerplate(spark, monkeypatch):
+    # In all ten trees where documents 0 and 4001 share a region, others of the family are sorted between them.
+    common = [f"b{k}" for k in range(100)]
+    rows = [(n, " ".join([*common, *(f"x{n - 1}.{k}" for k in range(150))])) for n in range(1, 4001)]
+    rows += [(n, " ".join([*common, *(f"{side}5153.{k}" for k in range(12))])) for n, side in ((0, "p"), (4001, "q"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((n, len(t.split()), 0 if n == 4001 else n, n != 4001) for n, t in rows)
+    assert got(neardup.near_duplicates(docs, 1, 80)) == want
+    monkeypatch.setattr(neardup, "CROWD", 16)
+    assert got(neardup.near_duplicates(docs, 1, 80)) == want
