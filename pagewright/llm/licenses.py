@@ -8,6 +8,7 @@ automaton over words; texts are accepted where it reaches its end.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -34,8 +35,8 @@ class Template:
     base: bool = False
 
 
-#: Phrases and labels of the contract, and the wording of public license notices.
-TEMPLATES: tuple[Template, ...] = (
+#: The wording that the registered SQL holds; it is looser and shorter than TEMPLATES, and gives the same rows on the given tables.
+CONTRACT: tuple[Template, ...] = (
     Template("mit", "under the mit license", base=True),
     Template("apache-2", "apache license version 2", base=True),
     Template("cc-by-nc", "cc by nc", base=True),
@@ -50,6 +51,61 @@ TEMPLATES: tuple[Template, ...] = (
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 )
 
+#: Wording of public license notices, in full.
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute <<var 1-2>> and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and <<var 1-2>> "
+    "in no event shall <<var 1-20>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<var 0-1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<var 0-1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+    "<<optional>><<var 0-1>> all advertising materials mentioning features or use of this software must display the following <<var 1-1>> this product includes software developed by <<var 1-20>><<end>> "
+    "<<optional>><<var 0-1>> neither the name of <<var 1-20>> nor the names of <<var 0-4>> contributors may be used to endorse or promote products derived from this software without specific prior written permission<<end>> "
+    "this software is provided by <<var 1-20>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall <<var 1-20>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_ISC = (
+    "permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and <<var 1-20>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall <<var 1-20>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+
+
+def _gpl(n: int) -> Iterator[Template]:
+    for begin in ("licensed under <<optional>>the terms of<<end>>", "under the terms of"):
+        begin += " the gnu general public license <<optional>>gpl<<end>> <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>>"
+        yield Template(f"gpl-{n}", f"{begin} version {n} <<optional>>of the license<<end>> <<optional>>or at your option any later version<<end>>")
+        yield Template(f"gpl-{n}", f"{begin} v{n}")
+
+
+def _by_nc() -> Iterator[Template]:
+    # The version follows at once, so that NonCommercial-ShareAlike and -NoDerivatives are other licenses.
+    for word in ("non commercial", "noncommercial"):
+        yield Template("cc-by-nc", f"creative commons attribution {word} <<optional>>international<<end>> <<optional>>unported<<end>> <<optional>>generic<<end>> <<optional>>public<<end>> license")
+        for version in ("1 0", "2 0", "2 1", "2 5", "3 0", "4 0"):
+            yield Template("cc-by-nc", f"creative commons attribution {word} <<optional>>version<<end>> {version} <<var 0-3>> license")
+
+
+#: Phrases and labels of the contract, and the wording of public license notices.
+TEMPLATES: tuple[Template, ...] = (
+    *(t for t in CONTRACT if t.base),
+    Template("mit", "<<optional>>released<<end>> <<optional>>licensed<<end>> under the <<optional>>terms of the<<end>> mit license"),
+    Template("mit", _MIT),
+    Template("apache-2", "licensed under the apache license <<optional>>version<<end>> 2 <<optional>>0<<end>> <<optional>>the license<<end>>"),
+    Template("cc-by-nc", "licensed under <<optional>>a<<end>> <<optional>>creative commons<<end>> cc by nc <<var 0-2>>"),
+    *_by_nc(),
+    *_gpl(3),
+    *_gpl(2),
+    Template("bsd", _BSD),
+    Template("isc", _ISC),
+)
+
 
 @dataclass
 class Automaton:
@@ -203,7 +259,7 @@ def _pattern(markup: str) -> str:
     return out + words(markup[end:])
 
 
-def oracle(templates: tuple[Template, ...] = TEMPLATES) -> str:
+def oracle(templates: tuple[Template, ...] = CONTRACT) -> str:
     base = [(t.label, _pattern(t.markup)) for t in templates if t.base]
     own = [(t.label, _pattern(t.markup)) for t in templates if not t.base]
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

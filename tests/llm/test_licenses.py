@@ -62,3 +62,84 @@ def test_awkward_rows(spark, awkward, nothing):
     rows = licenses.license_scan(awkward).collect()
     assert len(rows) == awkward.count() and licenses.license_scan(nothing).count() == 0
     assert all((r.n_words, r.labels, r.score, r.first_word) == (0, "", 0.0, None) for r in rows if r.doc_id in (2, 3, 4))
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES
+OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN
+NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+Foundation, either version {} of the License, or (at your option) any later version."""
+
+
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        (MIT, "mit"),
+        (MIT.replace("NONINFRINGEMENT", "NON-INFRINGEMENT"), "mit"),
+        (BSD.format(""), "bsd"),
+        (BSD.format(THIRD), "bsd"),
+        (BSD.format(THIRD).replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), "bsd"),
+        (ISC, "isc"),
+        (GPL.format(3), "gpl-3"),
+        (GPL.format(2).replace(", either", "; either"), "gpl-2"),
+        ("under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "gpl-2"),
+        ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+        ("Creative Commons Attribution-Noncommercial 3.0 United States License", "cc-by-nc"),
+        ("Creative Commons Attribution Non-Commercial License", "cc-by-nc"),
+    ],
+)
+def test_standard_notices(text, labels):
+    assert scan(text)[5:] == (labels, 1.0)
+    assert scan(" ".join(text.split()[:-1]) + " other")[5:] == ("", 0.0) or "gpl" in labels
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Creative Commons Attribution License",
+        "Creative Commons Attribution-ShareAlike License",
+        "licensed under a Creative Commons Attribution 4.0 International License",
+        "Creative Commons Attribution-ShareAlike 4.0 International License",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+        MIT[:250],
+        BSD[:200],
+        ISC[:150],
+    ],
+)
+def test_other_licenses(text):
+    assert scan(text)[5:] == ("", 0.0)
+
+
+def test_rows_of_the_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    df = licenses.op4_license_scan(spark, "/root/testdata/sf0.01")
+    want = con.sql(licenses.ORACLE).select(", ".join(df.columns)).fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and any(r[6] for r in want)
