@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group: five words to a shingle, similarity 0.8."""
-    return neardup.without_near_duplicates(docs, size=5, percent=80)
+    """One row, that of the smallest doc_id, of each group: five words to a shingle, similarity 0.8."""
+    return neardup.one_of_each(docs, size=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

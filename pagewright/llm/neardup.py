@@ -287,6 +287,21 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -
     return docs.join(gone, "doc_id", "left_anti")
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of alike texts: that of the smallest doc_id, rows without one last.
+
+    Every row counts by its own text, so of rows that repeat a doc_id, or have none, one stays of each group
+    too, and rows of one doc_id with different texts stay each. Rows without words are alike to none. With
+    unique ids these are the rows of without_near_duplicates.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, size, percent, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    # A minimum is taken before rows are dealt, so a group's size doesn't matter.
+    first = groups.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("none", "id", "_row")).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(docs.columns)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: three words to a shingle, similarity 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=85)

@@ -60,3 +60,14 @@ def test_order():
 def test_rules(spark, text, failed):
     row = quality.ledger(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.failed_bits & 7 == failed & 7
+
+
+def test_copies_without_an_id_of_their_own_stay_once(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(4, a), (4, a), (None, b), (None, b + " more"), (7, c), (7, b), (3, a.upper()), (None, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, [(3, a.upper()), (7, b), (7, c), (None, None), (8, None)]))
+    texts = [r.text for r in corpus_pipeline.substring_dedup(spark, left, "").where("doc_id IN (3, 7)").collect()]
+    assert sorted(texts) == sorted([a.upper(), b, c])
