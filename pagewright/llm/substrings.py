@@ -1,14 +1,17 @@
-"""Removing passages that recur, located by Aho-Corasick automata.
+"""Removing passages that recur, located by hashes and checked by Aho-Corasick automata.
 
 Documents are dealt into parts of some 8 MB. What leaves a part is hashes only, packed and dealt by value:
 
 1. Anchors. Of every window of WINDOW words the smallest hash among its runs of SEED words: equal windows
    have equal anchors, and few words in a hundred begin one. Anchors met once are dropped.
 2. Confirmation. Windows with an anchor that recurs send their own hash; those met twice recur.
-3. Location. Each part turns the windows confirmed for it into phrases (runs of windows, each window in one
-   phrase), compiles tiles of the phrases into an automaton with pyahocorasick, and streams all of its
-   documents through it. A tile found is extended word by word against its phrase, so what is removed is
-   equal in wording, not only in hash. Every WINDOW words of a phrase hold a whole tile, so none is missed.
+3. Location. Each part looks its windows' hashes up among those confirmed for it: this locates them. They
+   are turned into phrases (runs of windows, each window in one phrase), whose tiles are compiled into an
+   automaton with pyahocorasick, and the part's documents that hold such windows, those only, are streamed
+   through it. A tile found is extended word by word against its phrase, so within a part what is removed
+   is equal in wording. A window's first occurrence in a part is the phrase itself, and the words of
+   occurrences in other parts aren't compared: between parts, equal 64-bit hashes decide. Every WINDOW words
+   of a phrase hold a whole tile, so none is missed.
 
 A part's automaton holds just those phrases that occur in it: work grows with the text, not with parts times phrases.
 """
