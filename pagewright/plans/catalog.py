@@ -137,7 +137,7 @@ def chunk_map(spark, sf_dir):
 
 
 def postings(spark, sf_dir):
-    """Words alone, which SQL can tell; formula_bigrams has the rest."""
+    """Words alone, which SQL can tell; formula_bigrams has the pairs, glyph_postings the single glyphs."""
     _, records = _records(spark, sf_dir)
     return index.postings(records).where(F.col("word").rlike(f"^[{LETTERS}]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk").alias("first"), F.max("chunk").alias("last"))
 
@@ -156,6 +156,13 @@ def formula_bigrams(spark, sf_dir):
     return index.postings(records).where("word LIKE '$%'").groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def glyph_postings(spark, sf_dir):
+    """The entries that are neither words of letters nor pairs: Greek letters, arrows, operators."""
+    _, records = _records(spark, sf_dir)
+    rest = index.postings(records).where(f"NOT (word RLIKE '^[{LETTERS}]+$' OR word LIKE '$%')")
+    return rest.groupBy("word").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk").alias("first"), F.max("chunk").alias("last"))
+
+
 def formula_search(spark, sf_dir):
     pages, records = _records(spark, sf_dir)
     return search.search(pages, records, "|").select("page_id", "kind", "block_seq")
@@ -361,7 +368,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             search_and, search_count, search_ladder, two_tier_search, candidates_intersect, prefix_lookup, search_batch, blocks_from_lines, blocks_from_turns, blocks_from_paragraphs, lang_visible,
-            drop_repeated, section_rules, chunk_map, postings, lexicon_df, lexicon_tf, formula_bigrams, formula_search, widen_stem, nearest_word, correct_query, prefix_owner, profile_totals,
+            drop_repeated, section_rules, chunk_map, postings, lexicon_df, lexicon_tf, formula_bigrams, glyph_postings, formula_search, widen_stem, nearest_word, correct_query, prefix_owner, profile_totals,
             profile_sections, profile_suspect, profile_samples, profile_repeated, profile_biggest, profile_empty_dup, profile_rollup, palette_pick, palette_scores, section_doors, symbol_match,
             symbol_usage, html_blocks, html_text, html_sections, snippet_rows,
         )
