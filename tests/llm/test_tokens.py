@@ -64,11 +64,16 @@ def test_windows_hash_runs_of_items():
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 49_000, 20_000).astype(np.uint32)
-    at = token_store.cuts(ids)
+    (at,) = token_store.cuts(ids, [len(ids)])
     assert at[-1] == len(ids) and all(token_store.LEAST <= b - a <= token_store.MOST for a, b in zip([0, *at], at[:-1]))
-    moved = token_store.cuts(np.concatenate([ids[:5], ids]))
+    (moved,) = token_store.cuts(np.concatenate([ids[:5], ids]), [len(ids) + 5])
     assert len({len(ids) - a for a in at} & {len(ids) + 5 - a for a in moved}) > 0.8 * len(at)
-    assert token_store.cuts(np.zeros(10_000, np.uint32))[-1] == 10_000 and token_store.cuts(ids[:1]) == [1]
+    assert token_store.cuts(np.zeros(10_000, np.uint32), [10_000])[0][-1] == 10_000 and token_store.cuts(ids[:1], [1]) == [[1]]
+    # Documents that stand one after the other are cut as each by itself.
+    lengths = [1, 7_000, 15, 16, 5_000, 63, 64, 7_841]
+    starts = np.cumsum([0, *lengths[:-1]])
+    alone = [[int(a) + s for a in token_store.cuts(ids[s : s + n], [n])[0]] for s, n in zip(starts.tolist(), lengths)]
+    assert token_store.cuts(ids, lengths) == alone
 
 
 @given(st.binary(max_size=50), st.binary(max_size=50))
@@ -95,21 +100,75 @@ def test_store_round_trip(spark, awkward, plain):
     assert got == Counter((i, tuple(ids)) for i, ids in want)
     keys = [r.key for r in store.chunks(spark).collect()]
     assert len(keys) == len(set(keys))
-    assert sum(r.n_docs for r in token_store.manifest(store, spark).collect()) == len(want)
+    assert sum(r.n_docs for r in store.manifest(spark).collect()) == len(want)
 
 
 def test_empty_store(spark, nothing):
     store = token_store.write_store(nothing, new_folder(spark, "t"), PATH, 2)
-    assert token_store.read_store(store, spark).count() == 0
+    assert token_store.read_store(store, spark).count() == 0 and token_store.reconstruct(store, spark).count() == 0
+    assert store.manifest(spark).count() == 0
 
 
-def test_damage_is_found(spark, awkward):
-    store = token_store.write_store(awkward, new_folder(spark, "t"), PATH, 2)
+def test_other_tokenizers_encode_whole_texts(plain):
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    own, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = ["  two  spaces, and It's", "", "ünï 12345\n\tx"]
+    assert not own.by_word and tokens.Encoder(PATH).by_word
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.fixture
+def store(spark, awkward):
+    return token_store.write_store(awkward, new_folder(spark, "t"), PATH, 2)
+
+
+def replaced(spark, folder, change):
+    """The table in folder, changed."""
+    whole = spark.read.parquet(folder)
+    changed = spark.createDataFrame([tuple(r) for r in change(whole.collect())], whole.schema)
+    changed.coalesce(1).write.mode("overwrite").parquet(folder)
+
+
+def refused(spark, store, message):
+    with pytest.raises(Exception, match=message):
+        token_store.read_store(store, spark).collect()
+
+
+def test_a_changed_chunk_is_found(spark, store):
     broken = store.chunks(spark).selectExpr("key", "n_tokens", "concat(substring(body, 1, 1), X'0102', substring(body, 4)) AS body")
     with pytest.raises(Exception, match="doesn't hold"):
         broken.select(token_store._checked("key", "body")).collect()
 
 
+def test_a_lost_chunk_is_found(spark, store):
+    replaced(spark, f"{store.path}/objects/kind=chunk", lambda rows: rows[1:])
+    refused(spark, store, "no chunk")
+    with pytest.raises(Exception, match="is lost"):
+        token_store.reconstruct(store, spark).collect()
+
+
+def test_a_lost_recipe_is_found(spark, store):
+    replaced(spark, f"{store.path}/recipes", lambda rows: rows[:-1])
+    refused(spark, store, "what the manifest says")
+
+
+@pytest.mark.parametrize("column,value", [("n_tokens", 3), ("root", bytes(16)), ("hashes", bytes(16))])
+def test_a_changed_recipe_is_found(spark, store, column, value):
+    def change(rows):
+        return [{**rows[0].asDict(), column: value}.values(), *rows[1:]]
+
+    replaced(spark, f"{store.path}/recipes", change)
+    refused(spark, store, "no chunk" if column == "hashes" else "what the manifest says")
+
+
+@pytest.mark.parametrize("change", [lambda rows: rows[:-1], lambda rows: [{**rows[0].asDict(), "n_docs": 77}.values(), *rows[1:]]])
+def test_a_changed_manifest_is_found(spark, store, change):
+    replaced(spark, f"{store.path}/manifest", change)
+    refused(spark, store, "the store's root")
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=14))
 def test_bins_are_as_few_as_can_be(lengths):
