@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pagewright.functions.tables import CYRILLIC, GAPS, GLIDED, VOWELS
 
 _CONSONANTS = "".join(c for c in CYRILLIC if c not in VOWELS)
-_GAP = regex.compile(rf"(?<=(?<![0-9])[0-9]{{1,3}})[{GAPS}](?=[0-9]{{3}}(?![0-9]))")
 _GROUPED = regex.compile(f"[0-9][{GAPS}][0-9]")
 #: Stand-ins while letters still need their neighbours: a glide, and дж.
 _GLIDE, _J = "﷐", "﷑"
@@ -90,34 +89,42 @@ def with_fold(df: DataFrame, text: str, fold: str) -> DataFrame:
     return out.withColumn(fold, step("[^\\x00-\\x7F]", _without_marks))
 
 
+#: What is spelled anew in lower-case text and how, the first that fits; None: without its marks.
+_RULES: tuple[tuple[str, str | None], ...] = (
+    (rf"(?<=(?<![0-9])[0-9]{{1,3}})[{GAPS}](?=[0-9]{{3}}(?![0-9]))", ""),
+    ("дж", "j"),
+    (f"[ьъ](?=[{GLIDED}])", "y"),
+    *((f"(?<![{_CONSONANTS}]){c}", f"y{CYRILLIC[c]}") for c in "яю"),
+    *CYRILLIC.items(),
+    ("[ṛṝ]", "ri"),
+    (r"[^\x00-\x7F]", None),
+)
+_RULE = regex.compile("|".join(f"({pattern})" for pattern, _ in _RULES))
+_marked = functools.lru_cache(1 << 16)(_plain)
+
+
 def fold_places(text: str) -> tuple[str, list[int]]:
     """The folded text and, for each of its characters and its end, the place in text that it comes from."""
-    gaps = {m.start() for m in _GAP.finditer(text)} if _GROUPED.search(text) else ()
-    if text.isascii() and not gaps:
+    if text.isascii() and not _GROUPED.search(text):
         return text.lower(), list(range(len(text) + 1))
-    low = [c.lower() for c in text]
+    # Lower case character by character; some characters become two.
+    lower = [c.lower() for c in text]
+    low = "".join(lower)
     out: list[str] = []
     places: list[int] = []
-    skip = False
-    for i, c in enumerate(low):
-        if skip or i in gaps:
-            skip = False
-            continue
-        after = low[i + 1] if i + 1 < len(low) else ""
-        before = low[i - 1] if i else ""
-        if c in ("ṛ", "ṝ"):
-            piece = "ri"
-        elif c == "д" and after == "ж":
-            piece, skip = "j", True
-        elif c in ("ь", "ъ"):
-            piece = "y" if after and after in GLIDED else ""
-        elif c in ("я", "ю"):
-            piece = ("" if before and before in _CONSONANTS else "y") + CYRILLIC[c]
-        else:
-            piece = CYRILLIC[c] if c in CYRILLIC else c if c.isascii() else _plain(c)
-        out.append(piece)
-        places += [i] * len(piece)
-    return "".join(out), [*places, len(text)]
+    at = 0
+    for m in _RULE.finditer(low):
+        new = _RULES[m.lastindex - 1][1]
+        new = _marked(m[0]) if new is None else new
+        out += (low[at : m.start()], new)
+        places += range(at, m.start())
+        places += [m.start()] * len(new)
+        at = m.end()
+    places += range(at, len(low) + 1)
+    if len(low) != len(text):
+        origin = [i for i, piece in enumerate(lower) for _ in piece]
+        places = [*map([*origin, len(text)].__getitem__, places)]
+    return "".join(out) + low[at:], places
 
 
 def fold(text: str) -> str:

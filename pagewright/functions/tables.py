@@ -35,16 +35,15 @@ _GREEK_LETTERS = [(name, glyph) for name, glyph in SYMBOLS if "Ͱ" <= glyph <= "
 GREEK = {name: glyph for name, glyph in _GREEK_LETTERS if name.islower() and not name.startswith("var")}
 
 
-def _bracketed(name: str) -> str:
-    if name[0].isupper():
-        return f"Capital{name}"
-    return f"Curly{name[3:].capitalize()}" if name.startswith("var") else name.capitalize()
-
-
-#: Names in \\[...], made from the table above, and fixed values besides.
-NAMED = {_bracketed(name): glyph for name, glyph in _GREEK_LETTERS} | {
-    "FinalSigma": "σ", "Rule": "→", "RuleDelayed": "→", "Infinity": "∞", "PartialD": "∂", "Element": "∈", "LessEqual": "≤",
-    "GreaterEqual": "≥", "NotEqual": "≠", "Times": "×", "Dagger": "†", "HBar": "ħ", "Sqrt": "√",
+# Names in \\[...] and their glyphs.
+NAMED = {
+    "Alpha": "α", "Beta": "β", "Gamma": "γ", "Delta": "δ", "Epsilon": "ε", "CurlyEpsilon": "ε", "Zeta": "ζ", "Eta": "η", "Theta": "θ",
+    "CurlyTheta": "θ", "Iota": "ι", "Kappa": "κ", "Lambda": "λ", "Mu": "μ", "Nu": "ν", "Xi": "ξ", "Omicron": "ο", "Pi": "π", "CurlyPi": "π",
+    "Rho": "ρ", "CurlyRho": "ρ", "Sigma": "σ", "CurlySigma": "σ", "FinalSigma": "σ", "Tau": "τ", "Upsilon": "υ", "Phi": "φ", "CurlyPhi": "φ",
+    "Chi": "χ", "Psi": "ψ", "Omega": "ω", "CapitalGamma": "Γ", "CapitalDelta": "Δ", "CapitalTheta": "Θ", "CapitalLambda": "Λ",
+    "CapitalXi": "Ξ", "CapitalPi": "Π", "CapitalSigma": "Σ", "CapitalUpsilon": "Υ", "CapitalPhi": "Φ", "CapitalPsi": "Ψ", "CapitalOmega": "Ω",
+    "Rule": "→", "RuleDelayed": "→", "Infinity": "∞", "PartialD": "∂", "Element": "∈", "LessEqual": "≤", "GreaterEqual": "≥",
+    "NotEqual": "≠", "Times": "×", "Dagger": "†", "HBar": "ħ", "Sqrt": "√",
 }
 
 # Commands that say how a formula looks, and accents.

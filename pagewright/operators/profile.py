@@ -52,6 +52,7 @@ def duplicate_urls(pages: DataFrame) -> DataFrame:
 
 def leak(text: Column) -> Column:
     """What was left in a text: markup, else entities, else markdown; null if nothing was."""
+    # The three patterns.
     return (
         F.when(text.rlike("(?i)</?[a-z][^>]*>"), "markup").when(text.rlike(r"(?i)&(?:[a-z]+|#\d+);"), "entities").when(text.rlike(r"\]\(|^\s*#{1,6}\s|\*\*"), "markdown")
     )
