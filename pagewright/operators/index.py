@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.formulas import PART, with_record
+from pagewright.functions.query import started
 from pagewright.functions.tables import GLYPHS, LETTERS
 
-CHUNK, REPEAT_CHARS = 32, 60
+#: Blocks to a chunk, characters from which a text is furniture, and the number of a title among blocks and chunks.
+CHUNK, REPEAT_CHARS, TITLE = 32, 60, -1
 WORDS = f"[{LETTERS}]+|[{GLYPHS}]"
 
 
@@ -22,50 +27,110 @@ def without_repeated(blocks: DataFrame, threshold: int = 4, least: int = REPEAT_
     return blocks.join(furniture, "text", "left_anti").select(*blocks.columns)
 
 
-def searchable(blocks: DataFrame) -> DataFrame:
-    """Blocks with fold and squeezed of heading and text."""
-    return with_record(blocks, F.concat(F.coalesce("heading", F.lit("")), F.lit(" "), F.col("text")))
-
+def entries(pages: DataFrame, blocks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """What is searched: (order_, page_id, block_seq, chunk, anchor, heading, text, marked, squeezed).
 
-def searchable_titles(pages: DataFrame) -> DataFrame:
-    return with_record(pages, F.concat("title", F.lit(" "), F.coalesce("also", F.lit(""))))
+    A page's title and other names are its block TITLE, in a chunk of its own; its other chunks are `size`
+    blocks each. marked is the fold of heading and text with a sign before each word. Folding is most of the
+    work of a search: `build` stores these rows.
+    """
+    none = F.lit(None).cast("string")
+    titles = pages.select(
+        "order_", "page_id", F.lit(TITLE).alias("block_seq"), none.alias("anchor"), none.alias("heading"), F.col("title").alias("text"),
+        F.concat("title", F.lit(" "), F.coalesce("also", F.lit(""))).alias("said"),
+    )
+    under = blocks.join(pages.select("page_id", "order_"), "page_id").select(
+        "order_", "page_id", "block_seq", "anchor", "heading", "text", F.concat(F.coalesce("heading", F.lit("")), F.lit(" "), F.col("text")).alias("said")
+    )
+    rows = with_record(titles.unionByName(under), F.col("said"))
+    chunk = F.when(F.col("block_seq") == TITLE, TITLE).otherwise(chunk_of(size=size)).cast("int")
+    return rows.select("order_", "page_id", "block_seq", chunk.alias("chunk"), "anchor", "heading", "text", started(F.col("fold")).alias("marked"), "squeezed")
 
 
-def chunk_of(page_id: str = "page_id", block_seq: str = "block_seq", size: int = CHUNK) -> Column:
-    """A chunk's number: `size` blocks of one page. Up to 2^20 chunks a page, so that no numbering over all pages is needed."""
-    return F.shiftleft(F.col(page_id), 20) + F.floor(F.col(block_seq) / size).cast("long")
+def chunk_of(block_seq: str = "block_seq", size: int = CHUNK) -> Column:
+    """A chunk's number within its page: (page_id, chunk) is its key, so neither runs over."""
+    return F.floor(F.col(block_seq) / size).cast("int")
 
 
 def chunk_map(blocks: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(chunk, page_id, first_block, n_blocks) of each chunk."""
-    return blocks.groupBy(chunk_of(size=size).alias("chunk"), "page_id").agg(F.min("block_seq").cast("long").alias("first_block"), F.count(F.lit(1)).alias("n_blocks"))
+    """(page_id, chunk, first_block, n_blocks) of each chunk."""
+    return blocks.groupBy("page_id", chunk_of(size=size).alias("chunk")).agg(F.min("block_seq").cast("long").alias("first_block"), F.count(F.lit(1)).alias("n_blocks"))
 
 
-def vocabulary(records: DataFrame) -> DataFrame:
-    """records with words: the distinct words and glyphs of the fold, and pairs of neighbours in formulas with a $ in front."""
-    words = F.array_distinct(F.regexp_extract_all("fold", F.lit(WORDS), F.lit(0)))
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """Entries with words: the distinct words and glyphs of the fold, and pairs of neighbours in formulas with a $ in front."""
+    words = F.array_distinct(F.regexp_extract_all("marked", F.lit(WORDS), F.lit(0)))
     n = F.length("squeezed")
     pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(F.col("squeezed"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     pairs = F.transform(F.filter(pairs, lambda p: ~p.contains(PART)), lambda p: F.concat(F.lit("$"), p))
-    return records.withColumn("words", F.array_union(words, pairs))
+    return rows.withColumn("words", F.array_union(words, pairs))
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """(word, page_id, chunk), distinct: which chunks of the entries hold a word. Long lists stay rows, so a word of every chunk is no array."""
+    return vocabulary(rows).select("page_id", "chunk", F.explode("words").alias("word")).distinct().select("word", "page_id", "chunk")
+
 
+def weights(of: DataFrame) -> DataFrame:
+    """(word, weight, titles): from postings, in how many chunks of blocks each entry is, and in how many titles."""
+    return of.groupBy("word").agg(F.count_if(F.col("chunk") != TITLE).alias("weight"), F.count_if(F.col("chunk") == TITLE).alias("titles"))
 
-def postings(records: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(word, chunk), distinct: which chunks hold a word. Long lists stay rows, so a word of every chunk is no array."""
-    return vocabulary(records).select(chunk_of(size=size).alias("chunk"), F.explode("words").alias("word")).distinct().select("word", "chunk")
 
+def lexicon(of: DataFrame, titles: bool = False) -> DataFrame:
+    """(word, weight) of weights: the number of chunks, those of titles too if they count; formulas' pairs left out."""
+    weight = F.col("weight") + F.col("titles") if titles else F.col("weight")
+    return of.where("word NOT LIKE '$%'").select("word", weight.alias("weight")).where("weight > 0")
 
-def lexicon(of: DataFrame) -> DataFrame:
-    """(word, weight): the number of chunks, from postings; formulas' pairs left out."""
-    return of.where("word NOT LIKE '$%'").groupBy("word").agg(F.count(F.lit(1)).alias("weight"))
 
+def merged(*lexicons: DataFrame) -> DataFrame:
+    """One lexicon of several indexes' ones: weights are summed."""
+    rows = functools.reduce(DataFrame.unionByName, (of.select("word", "weight") for of in lexicons))
+    return rows.groupBy("word").agg(F.sum("weight").alias("weight"))
 
-def lexicon_by_occurrence(records: DataFrame) -> DataFrame:
-    """(word, weight): the number of occurrences."""
-    words = records.select(F.explode(F.regexp_extract_all("fold", F.lit(f"[{LETTERS}]+"), F.lit(0))).alias("word"))
+
+def lexicon_by_occurrence(rows: DataFrame, titles: bool = False) -> DataFrame:
+    """(word, weight): the number of occurrences, from entries."""
+    rows = rows if titles else rows.where(F.col("block_seq") != TITLE)
+    words = rows.select(F.explode(F.regexp_extract_all("marked", F.lit(f"[{LETTERS}]+"), F.lit(0))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("weight"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """A stored index: pages, what is searched of them, and which chunks hold which words."""
+
+    folder: str
+
+    def _table(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/{name}")
+
+    def pages(self, spark: SparkSession) -> DataFrame:
+        return self._table(spark, "pages")
+
+    def entries(self, spark: SparkSession) -> DataFrame:
+        return self._table(spark, "entries")
+
+    def postings(self, spark: SparkSession) -> DataFrame:
+        return self._table(spark, "postings")
+
+    def weights(self, spark: SparkSession) -> DataFrame:
+        return self._table(spark, "weights")
+
+
 def write_postings(of: DataFrame, path: str) -> None:
     """Postings sorted by word, so that a prefix is a few row groups. Spark's Parquet writer codes what neighbours share."""
-    of.repartitionByRange("word", "chunk").sortWithinPartitions("word", "chunk").write.option("compression", "zstd").parquet(path)
+    of.repartitionByRange("word", "page_id", "chunk").sortWithinPartitions("word", "page_id", "chunk").write.option("compression", "zstd").parquet(path)
+
+
+def build(pages: DataFrame, blocks: DataFrame, folder: str, size: int = CHUNK, posted: bool = True) -> Index:
+    """Write the index below folder. Every text is folded once, here; searches read what they need of it.
+
+    Without `posted` there are no postings and weights, which only searches by index and repairs need.
+    """
+    spark, index = pages.sparkSession, Index(folder)
+    pages.write.option("compression", "zstd").parquet(f"{folder}/pages")
+    entries(index.pages(spark), blocks, size).write.option("compression", "zstd").parquet(f"{folder}/entries")
+    if posted:
+        write_postings(postings(index.entries(spark)), f"{folder}/postings")
+        weights(index.postings(spark)).write.option("compression", "zstd").parquet(f"{folder}/weights")
+    return index

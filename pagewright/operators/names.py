@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.fold import fold, folded
+from pagewright.functions.fold import fold, fold_places, folded
 from pagewright.functions.tables import SYMBOLS
 
 SHOWN, OFFERED = 12, 8
@@ -55,6 +58,29 @@ def pick(names: DataFrame, query: str, shown: int = SHOWN) -> DataFrame:
     return rows.orderBy("score", "order_", "depth", "key", "url").limit(shown).drop("key")
 
 
+def marks(title: Column, query: str) -> Column:
+    """Places in titles (start, end) of the first occurrence of each of the query's words, none within another; for the few that are shown."""
+    words = fold(query).split()
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def run(titles: pa.Array) -> pa.Array:
+        rows = []
+        for text in titles.to_pylist():
+            folded_text, places = fold_places(text or "")
+            found = sorted((places[at], places[at + len(w)]) for w in words if (at := folded_text.find(w)) >= 0)
+            apart = itertools.accumulate(found, lambda held, m: m if m[0] >= held[1] else held)
+            rows.append([{"start": a, "end": b} for a, b in dict.fromkeys(apart)])
+        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    return run(title)
+
+
+def frequent(usage: DataFrame, symbols: DataFrame, n: int = OFFERED) -> DataFrame:
+    """(glyph, uses): the symbols used most, the earlier in the catalogue first among equal ones."""
+    ranked = usage.join(symbols.groupBy("glyph").agg(F.min("ord").alias("ord")), "glyph")
+    return ranked.orderBy(F.desc("uses"), "ord").limit(n).select("glyph", "uses")
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, name, glyph) for n, (name, glyph) in enumerate(SYMBOLS)], "ord int, name string, glyph string")
 

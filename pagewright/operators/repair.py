@@ -26,21 +26,32 @@ def widen(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return words.distinct().join(found, "word", "left")
 
 
+def _without_one(word: Column) -> Column:
+    """A word and all that are left of it without one letter."""
+    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.left(word, i - 1), F.substr(word, i + 1)))
+    return F.array_distinct(F.concat(F.array(word), less))
+
+
 def nearest(words: DataFrame, lexicon: DataFrame, cap: int = 2) -> DataFrame:
     """(word, nearest, distance): the lexicon word with the fewest letters changed, then the greatest weight, then the first; null if none is near enough.
 
-    Words and their spelling with vowels after r count alike. Two changes count only if the first two letters
-    agree. Lengths that can be reached are the join's key.
+    Words and their spelling with vowels after r count alike. Words one change apart have a word in common once
+    each may leave a letter out; two changes count only if the first two letters agree, which then are the key
+    together with the length.
     """
     other = F.regexp_replace("word", "r(?![aeiou])", "ri")
     most = F.least(allowance(F.col("word")), F.lit(cap))
-    spelt = words.distinct().select("word", most.alias("most"), F.explode(F.array_distinct(F.array(F.col("word"), other))).alias("spelling")).where("most > 0")
-    banded = spelt.select("*", F.explode(F.sequence(F.length("spelling") - F.col("most"), F.length("spelling") + F.col("most"))).alias("len"))
-    known = lexicon.select(F.col("word").alias("near"), "weight", F.length("word").alias("len"))
-    d = F.levenshtein("spelling", "near")
-    near = banded.join(known, "len").withColumn("d", d).where("d <= most AND (d <= 1 OR left(spelling, 2) = left(near, 2))")
+    asked = words.select("word", most.alias("most")).distinct()
+    spelt = asked.select("word", "most", F.explode(F.array_distinct(F.array(F.col("word"), other))).alias("spelling")).where("most > 0")
+    known = lexicon.select(F.col("word").alias("near"), "weight")
+    one = spelt.withColumn("k", F.explode(_without_one(F.col("spelling")))).join(known.withColumn("k", F.explode(_without_one(F.col("near")))), "k").drop("k")
+    size = F.length("spelling")
+    two = spelt.where("most > 1").select("*", F.left("spelling", F.lit(2)).alias("start"), F.explode(F.sequence(size - 2, size + 2)).alias("len"))
+    two = two.join(known.select("*", F.left("near", F.lit(2)).alias("start"), F.length("near").alias("len")), ["start", "len"]).drop("start", "len")
+    met = one.select("word", "most", "spelling", "near", "weight").unionByName(two.select("word", "most", "spelling", "near", "weight"))
+    near = met.withColumn("d", F.levenshtein("spelling", "near")).where("d <= most AND (d <= 1 OR left(spelling, 2) = left(near, 2))")
     best = near.groupBy("word").agg(F.min(F.struct("d", (-F.col("weight")).alias("w"), "near")).alias("b"))
-    return words.distinct().join(best, "word", "left").select("word", F.col("b.near").alias("nearest"), F.col("b.d").alias("distance"))
+    return asked.join(best, "word", "left").select("word", F.col("b.near").alias("nearest"), F.col("b.d").alias("distance"))
 
 
 def correct(queries: DataFrame, lexicon: DataFrame, cap: int = 2) -> DataFrame:
@@ -59,5 +70,6 @@ def correct(queries: DataFrame, lexicon: DataFrame, cap: int = 2) -> DataFrame:
 def only(prefixes: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(word, only): of (word), the one lexicon word that begins with it; null if there are none or several."""
     known = lexicon.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("n")).select(F.left("word", F.col("n")).alias("p"), F.col("word").alias("w"))
-    counted = known.join(prefixes.distinct().withColumnRenamed("word", "p"), "p").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("w"))
+    # Counted before they are shuffled: short prefixes are those of very many words.
+    counted = known.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("w"))
     return prefixes.distinct().join(counted, F.col("word") == F.col("p"), "left").select("word", F.when(F.col("n") == 1, F.col("w")).alias("only"))

@@ -2,37 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.query import Term, all_found, keys, parse
-from pagewright.functions.tables import LETTERS
-from pagewright.operators.index import CHUNK, chunk_of
+from pagewright.functions.query import Term, all_found, keys, parse, parsed
+from pagewright.operators.index import TITLE, Index
+from pagewright.sources.jsonindex import numbered
+from pagewright.storage import written
 
 LIMIT = 100
+#: Pages, first in site order, in which many queries are answered first, and how much further each round reaches.
+FIRST, FURTHER = 2048, 16
 
 
-def matches(pages: DataFrame, records: DataFrame, terms: list[Term]) -> DataFrame:
-    """(order_, page_id, kind, block_seq): titles (kind 0) and blocks (kind 1) that hold all terms.
-
-    pages and records have fold and squeezed of what is searched.
-    """
-    test = all_found(F.col("fold"), F.col("squeezed"), terms)
-    titles = pages.where(test).select("order_", "page_id", F.lit(0).alias("kind"), F.lit(-1).alias("block_seq"))
-    blocks = records.where(test).select("page_id", "block_seq").join(pages.select("page_id", "order_"), "page_id")
-    return titles.unionByName(blocks.select("order_", "page_id", F.lit(1).alias("kind"), "block_seq"))
+def matches(entries: DataFrame, terms: list[Term]) -> DataFrame:
+    """Entries that hold all terms, with kind: 0 for titles, 1 for blocks."""
+    return entries.where(all_found(F.col("marked"), F.col("squeezed"), terms)).withColumn("kind", F.when(F.col("block_seq") == TITLE, 0).otherwise(1))
 
 
 def top(of: DataFrame, limit: int = LIMIT) -> DataFrame:
-    return of.orderBy("order_", "page_id", "kind", "block_seq").limit(limit)
+    return of.orderBy("order_", "page_id", "block_seq").limit(limit)
+
 
+def search(entries: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
+    """The first entries that answer the query, read from all."""
+    return top(matches(entries, parse(query)), limit)
 
-def search(pages: DataFrame, records: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
-    return top(matches(pages, records, parse(query)), limit)
+
+def found(entries: DataFrame, query: str) -> DataFrame:
+    """One row (found, titles, pages): how much answers the query, shown or not."""
+    return matches(entries, parse(query)).agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("kind") == 0).alias("titles"), F.count_distinct("page_id").alias("pages"))
 
 
 def candidates(postings: DataFrame, terms: list[Term]) -> DataFrame | None:
-    """(chunk): those that may hold all terms, by the index alone; None if it can tell of no term.
+    """(page_id, chunk): those that may hold all terms, by the index alone; None if it can tell of no term.
 
     A needle's keys must all be there, any needle of a term will do, and all terms must be met. Each step is
     a count over distinct keys, summed up before the shuffle.
@@ -45,54 +50,74 @@ def candidates(postings: DataFrame, terms: list[Term]) -> DataFrame | None:
     if not wanted:
         return None
     # The query's keys are known here; each becomes a filter that reaches the scan.
-    hit = None
-    for key in dict.fromkeys(key for *_, key in wanted):
-        test = F.col("word").startswith(key)
-        hit = test if hit is None else hit | test
+    hit = functools.reduce(Column.__or__, (F.col("word").startswith(key) for key in dict.fromkeys(key for *_, key in wanted)))
     flags = F.array(*(F.when(F.col("word").startswith(key), F.struct(F.lit(t).alias("t"), F.lit(n).alias("n"), F.lit(k).alias("k"))) for t, n, k, key in wanted))
-    held = postings.where(hit).select("chunk", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("f")).select("chunk", "f.*").distinct()
+    held = postings.where(hit).select("page_id", "chunk", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("f")).select("page_id", "chunk", "f.*").distinct()
     sizes: dict[tuple[int, int], int] = {}
     for t, n, *_ in wanted:
         sizes[t, n] = sizes.get((t, n), 0) + 1
     need = F.coalesce(*(F.when((F.col("t") == t) & (F.col("n") == n), F.lit(size)) for (t, n), size in sizes.items()))
-    whole = held.groupBy("chunk", "t", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == need)
+    whole = held.groupBy("page_id", "chunk", "t", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == need)
     n_terms = len({t for t, *_ in wanted})
-    return whole.groupBy("chunk").agg(F.count_distinct("t").alias("c")).where(F.col("c") == n_terms).select("chunk")
+    return whole.groupBy("page_id", "chunk").agg(F.count_distinct("t").alias("c")).where(F.col("c") == n_terms).select("page_id", "chunk")
 
 
-def search_by_index(pages: DataFrame, records: DataFrame, postings: DataFrame, query: str, limit: int = LIMIT, size: int = CHUNK) -> DataFrame:
+def search_by_index(entries: DataFrame, postings: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
     """The same rows as search: the index names chunks, which are then read and tested."""
     terms = parse(query)
     chunks = candidates(postings, terms)
-    near = records
-    if chunks is not None:
-        near = records.withColumn("chunk", chunk_of(size=size)).join(chunks, "chunk", "left_semi")
-    return top(matches(pages, near, terms), limit)
-
-
-def batch_needles(queries: DataFrame) -> DataFrame:
-    """(query_id, term, needle) of a table (query_id, words array): folded words, one needle each."""
-    return queries.select("query_id", F.posexplode("words").alias("term", "needle"))
+    near = entries if chunks is None else entries.join(chunks, ["page_id", "chunk"], "left_semi")
+    return top(matches(near, terms), limit)
 
 
-def _prefix_key(c: Column) -> Column:
-    return F.left(c, F.lit(3))
+def _chunks_of(index: Index, spark: SparkSession, terms: DataFrame) -> DataFrame:
+    """(of, page_id, chunk): for each different list of keys (of, needles) the chunks that the index names."""
+    each = terms.select("of", F.posexplode("needles").alias("n", "keys")).select("of", "n", F.size("keys").alias("need"), F.explode("keys").alias("key"))
+    short = lambda c: F.left(c, F.lit(3))
+    # Keys meet words as equals: by three letters, or by all that shorter ones have.
+    words = index.weights(spark).select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.left("word", i)))).alias("k3"))
+    met = each.select("key").distinct().withColumn("k3", short(F.col("key"))).join(words, "k3").where(F.expr("startswith(word, key)")).select("key", "word")
+    held = met.join(index.postings(spark), "word").select("key", "page_id", "chunk").distinct()
+    whole = each.join(held, "key").groupBy("of", "n", "need", "page_id", "chunk").agg(F.count(F.lit(1)).alias("c")).where("c = need")
+    return whole.select("of", "page_id", "chunk").distinct()
 
 
-def search_batch(pages: DataFrame, records: DataFrame, postings: DataFrame, needles: DataFrame, limit: int = LIMIT, size: int = CHUNK) -> DataFrame:
-    """(query_id, rank, page_id, block_seq): the first blocks of each of many queries, as (query_id, term, needle) of three letters or more.
+def search_batch(index: Index, queries: DataFrame, limit: int = LIMIT, first: int = FIRST, further: int = FURTHER) -> DataFrame:
+    """(query_id, rank, page_id, block_seq): for each of (query_id, query) the rows of `search`.
 
-    Needles meet the lexicon's words by their first three letters, then by prefix; words meet postings; chunks
-    with all terms meet blocks, which are tested. No step compares all needles with all words.
+    Each query is answered from the chunks of that of its terms which the fewest chunks have, found once for
+    all queries with that term. They are read in site order, in rounds that reach `further` times as many
+    pages each; queries that have all they show leave. So a query of common words reads few chunks, and one
+    of rare words has few.
     """
-    words = postings.select("word").distinct().where(~F.col("word").startswith("$")).withColumn("k3", _prefix_key(F.col("word")))
-    met = needles.withColumn("k3", _prefix_key(F.col("needle"))).join(words, "k3").where(F.expr("startswith(word, needle)")).select("query_id", "term", "word")
-    counts = needles.groupBy("query_id").agg(F.count_distinct("term").alias("n_terms"), F.collect_list("needle").alias("needles"))
-    held = met.join(postings, "word").select("query_id", "term", "chunk").distinct()
-    chunks = held.groupBy("query_id", "chunk").agg(F.count(F.lit(1)).alias("c")).join(counts, "query_id").where("c = n_terms").select("query_id", "chunk", "needles")
-    read = records.withColumn("chunk", chunk_of(size=size)).join(chunks, "chunk")
-    fold = F.concat(F.lit(" "), F.regexp_replace("fold", f"[^{LETTERS}]", " "))
-    right = read.withColumn("spaced", fold).where(F.forall("needles", lambda n: F.contains(F.col("spaced"), F.concat(F.lit(" "), n))))
-    site = right.join(pages.select("page_id", "order_"), "page_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("order_", "page_id", "block_seq"))
-    return site.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "page_id", "block_seq")
+    spark = queries.sparkSession
+    asked = written(queries.select("query_id", parsed("query").alias("terms")).where(F.size("terms") > 0), "queries")
+    each = asked.select("query_id", F.explode("terms.keys").alias("needles")).withColumn("of", F.to_json("needles"))
+    told = each.where(F.size("needles") > 0)
+    places = index.pages(spark).select("page_id", "order_", F.lit(1).alias("one"))
+    seq = numbered(places, "one").select("page_id", F.col("first").alias("seq"))
+    # Where no term can tell, all chunks are read.
+    every = index.entries(spark).select(F.lit("[]").alias("of"), "page_id", "chunk").distinct()
+    lists = _chunks_of(index, spark, told.select("of", "needles").distinct()).unionByName(every)
+    lists = written(lists.join(seq, "page_id"), "lists")
+    sizes = lists.where("of <> '[]'").groupBy("of").agg(F.count(F.lit(1)).alias("n"))
+    least = told.select("query_id", "of").distinct().join(sizes, "of", "left").groupBy("query_id").agg(F.min_by("of", F.coalesce("n", F.lit(0))).alias("of"))
+    left = written(asked.join(least, "query_id", "left").withColumn("of", F.coalesce("of", F.lit("[]"))), "left")
+
+    n_pages, low, high, rounds = places.count(), 0, first, []
+    order = Window.partitionBy("query_id").orderBy("seq", "block_seq")
+    test = F.forall(
+        "terms", lambda t: F.exists(t["needles"], lambda n: F.when(t["formula"], F.contains(F.col("squeezed"), n)).otherwise(F.contains(F.col("marked"), n)))
+    )
+    while True:
+        near = lists.where(F.col("seq").between(low, high - 1)).join(left, "of").select("query_id", "terms", "page_id", "chunk", "seq")
+        read = index.entries(spark).select("page_id", "chunk", "block_seq", "marked", "squeezed").join(near, ["page_id", "chunk"]).where(test)
+        ranked = read.select("query_id", "seq", "page_id", "block_seq").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+        rounds.append(written(ranked, "answers"))
+        if high >= n_pages:
+            break
+        low, high = high, high * further
+        full = functools.reduce(DataFrame.unionByName, rounds).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+        left = written(left.join(full, "query_id", "left_anti"), "left")
+    rows = functools.reduce(DataFrame.unionByName, rounds).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return rows.select("query_id", "rank", "page_id", "block_seq")

@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions import formulas, query, snippets
+from pagewright.functions import formulas, query
 from pagewright.functions.tables import ENTITIES, LETTERS, SYMBOLS
-from pagewright.operators import index, names, profile, repair, search
+from pagewright.operators import answer, index, names, profile, repair, search
 from pagewright.sources import html, tables
+from pagewright.storage import new_folder, spread, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -24,9 +25,18 @@ def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tables.document_pages(docs), tables.line_blocks(docs)
 
 
-def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pages, blocks = _site(spark, sf_dir)
-    return index.searchable_titles(pages), index.searchable(blocks)
+def _index(spark: SparkSession, sf_dir: str, posted: bool = True) -> index.Index:
+    """The documents' index, built once for each call."""
+    return index.build(*_site(spark, sf_dir), new_folder(spark, "index"), posted=posted)
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, posted=False).entries(spark)
+
+
+#: A chunk of blocks as one number, for comparison with SQL.
+_NUMBER = "page_id * 1048576 + chunk"
+_WORDS = f"word RLIKE '^[{LETTERS}]+$' AND chunk <> {index.TITLE}"
 
 
 # What several queries start from, in SQL. A line's fold is its lower case without accents: all that the four languages need.
@@ -46,60 +56,122 @@ def _found(*terms: str) -> str:
     return " AND ".join(f"regexp_matches(fold, '(^|[^a-z0-9])({t})')" for t in terms)
 
 
-SEARCHED = {"search_and": "the and", "search_ladder": "erings theres", "two_tier_search": "que elle"}
+SEARCHED = {"search_and": "the and", "search_ladder": "erings theres", "two_tier_search": "que elle", "search_titles": "document 7"}
 #: The needles of these queries, as the ladder gives them.
 _NEEDLES = {q: ["|".join(t.needles) for t in query.parse(q)] for q in SEARCHED.values()}
 
 
+def _found_rows(of: DataFrame) -> DataFrame:
+    return of.select("page_id", "kind", "block_seq")
+
+
 def search_and(spark, sf_dir):
-    pages, records = _records(spark, sf_dir)
-    return search.search(pages, records, SEARCHED["search_and"]).select("page_id", "kind", "block_seq")
+    return _found_rows(search.search(_entries(spark, sf_dir), SEARCHED["search_and"]))
 
 
 def search_ladder(spark, sf_dir):
-    pages, records = _records(spark, sf_dir)
-    return search.search(pages, records, SEARCHED["search_ladder"]).select("page_id", "kind", "block_seq")
+    return _found_rows(search.search(_entries(spark, sf_dir), SEARCHED["search_ladder"]))
+
+
+def search_titles(spark, sf_dir):
+    return _found_rows(search.search(_entries(spark, sf_dir), SEARCHED["search_titles"]))
+
+
+#: Endings that lines get by page, so that scripts, digit groups and formulas are met at scale; and the queries that find them.
+ENDINGS = (" ночная вьюга", " 12 345 steps", r" by $\omega_g = 2$", " plain")
+SCRIPTS = ("НОЧНАЯ", "вьюга", "vyug", "12345", "12 345 step", "ω_{g}", r"\omega_g=2", "omega_g", "ω_h", "steps ω_g")
+#: Which ending answers which query, by hand.
+_ANSWERED = {"НОЧНАЯ": 0, "вьюга": 0, "vyug": 0, "12345": 1, "12 345 step": 1, "ω_{g}": 2, r"\omega_g=2": 2, "omega_g": 2}
+
+
+def search_scripts(spark, sf_dir):
+    """(query, found, pages): how many of the documents' lines, each with an ending by its page, answer each query."""
+    pages, blocks = _site(spark, sf_dir)
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.pmod("page_id", F.lit(len(ENDINGS))) + 1).cast("int"))
+    stored = index.build(pages, blocks.withColumn("text", F.concat("text", ending)), new_folder(spark, "index"), posted=False).entries(spark)
+    told = None
+    for q in SCRIPTS:
+        one = search.found(stored, q).select(F.lit(q).alias("query"), "found", "pages")
+        told = one if told is None else told.unionByName(one)
+    return told
 
 
 def _search_sql(q: str) -> str:
     return f"""WITH {_BLOCKS} SELECT page_id, 1::INTEGER AS kind, block_seq FROM records WHERE {_found(*_NEEDLES[q])} ORDER BY page_id, block_seq LIMIT 100"""
 
 
+def _search_titles_sql() -> str:
+    return f"""WITH {_BLOCKS}, every AS (SELECT page_id, 1::INTEGER AS kind, block_seq, fold FROM records UNION ALL SELECT doc_id, 0, -1, 'document ' || doc_id FROM documents)
+        SELECT page_id, kind, block_seq FROM every WHERE {_found(*_NEEDLES[SEARCHED["search_titles"]])} ORDER BY page_id, block_seq LIMIT 100"""
+
+
+def _scripts_sql() -> str:
+    rows = ", ".join(f"('{q}', {_ANSWERED.get(q, -1)})" for q in SCRIPTS)
+    return f"""WITH {_BLOCKS}, q AS (SELECT * FROM (VALUES {rows}) AS v(query, ending))
+        SELECT query, count(page_id) AS found, count(DISTINCT page_id) AS pages FROM q LEFT JOIN blocks ON page_id % {len(ENDINGS)} = ending GROUP BY query"""
+
+
 def search_count(spark, sf_dir):
-    pages, records = _records(spark, sf_dir)
-    return search.matches(pages, records, query.parse("the and")).agg(F.count(F.lit(1)).alias("found"), F.count_distinct("page_id").alias("pages"))
+    return search.found(_entries(spark, sf_dir), "the and").select("found", "pages")
+
+
+def result_rows(spark, sf_dir):
+    """The first rows of a search with address, trail and the number of all, whatever is shown."""
+    stored = _index(spark, sf_dir, posted=False)
+    rows = answer.shown(stored.entries(spark), stored.pages(spark), query.parse("the and"))
+    return rows.select(F.col("rank").cast("long").alias("rank"), "kind", "page_id", "block_seq", "url", "trail", "found")
 
 
 def two_tier_search(spark, sf_dir):
-    pages, records = _records(spark, sf_dir)
-    return search.search_by_index(pages, records, index.postings(records), SEARCHED["two_tier_search"]).select("page_id", "kind", "block_seq")
+    stored = _index(spark, sf_dir)
+    return _found_rows(search.search_by_index(stored.entries(spark), stored.postings(spark), SEARCHED["two_tier_search"]))
 
 
 def candidates_intersect(spark, sf_dir):
-    _, records = _records(spark, sf_dir)
-    return search.candidates(index.postings(records), query.parse("que elle"))
+    found = search.candidates(_index(spark, sf_dir).postings(spark), query.parse("que elle"))
+    return found.where(f"chunk <> {index.TITLE}").select(F.expr(_NUMBER).alias("chunk"))
 
 
 def prefix_lookup(spark, sf_dir):
-    _, records = _records(spark, sf_dir)
-    of = index.postings(records).where(F.col("word").startswith("ein"))
+    of = _index(spark, sf_dir).postings(spark).where(F.col("word").startswith("ein")).where(_WORDS)
     return of.groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-def _benchmark_words(spark, sf_dir, n):
-    """(item_id, words): the first n folded words of four letters or more of each benchmark text."""
+def _benchmark_words(spark, sf_dir):
+    """(item_id, words): the folded words of four letters or more of each benchmark text."""
     fold = formulas.with_record(_table(spark, sf_dir, "benchmark"), F.col("text"))
-    found = F.filter(F.regexp_extract_all("fold", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 4)
-    return fold.select("item_id", F.slice(found, 1, n).alias("words"))
+    return fold.select("item_id", F.filter(F.regexp_extract_all("fold", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 4).alias("words"))
 
 
 _ITEMS = """items AS (SELECT item_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+'), lambda w: length(w) >= 4) AS ws FROM benchmark)"""
 
 
+def _benchmark_queries(spark, sf_dir):
+    """(query_id, query): each benchmark text as a query, and its words two by two."""
+    texts = _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 2).cast("int")), lambda k: F.array_join(F.slice("w", k * 2 + 1, F.lit(2)), " "))
+    two = texts.select("item_id", words.alias("w")).where("size(w) > 0").select("item_id", F.posexplode(pairs).alias("n", "query"))
+    number = F.col("item_id") * 10_000
+    return two.select((number + F.col("n") + 1).alias("query_id"), "query").unionByName(texts.select(number.alias("query_id"), F.col("text").alias("query")))
+
+
 def search_batch(spark, sf_dir):
-    pages, records = _records(spark, sf_dir)
-    needles = search.batch_needles(_benchmark_words(spark, sf_dir, 2).select(F.col("item_id").alias("query_id"), F.array_distinct("words").alias("words")))
-    return search.search_batch(pages, records, index.postings(records), needles).select("query_id", "rank", "page_id", "block_seq")
+    return search.search_batch(_index(spark, sf_dir), _benchmark_queries(spark, sf_dir)).select("query_id", "rank", "page_id", "block_seq")
+
+
+def _batch_sql() -> str:
+    """Terms as the ladder shortens them: the shortest of a word's spellings is a prefix of the others."""
+    soft = lambda w: f"left({w}, 3) || regexp_replace(substring({w}, 4), '[aeiouy]{{1,2}}$', '')"
+    vocal = "regexp_replace(regexp_replace(w, 'r([^aeiou])', 'ri\\1', 'g'), 'r([^aeiou]|$)', 'ri\\1', 'g')"
+    mark = lambda x: f"regexp_replace({x}, '(^|[^a-z0-9])([a-z0-9])', '\\1|\\2', 'g')"
+    return f"""WITH {_BLOCKS}, b AS (SELECT item_id, list_filter(string_split_regex(strip_accents(lower(text)), '\\s+'), lambda x: x <> '') AS ws FROM benchmark),
+        q AS (SELECT item_id * 10000 AS query_id, ws FROM b UNION ALL SELECT item_id * 10000 + n + 1, ws[2 * n + 1:2 * n + 2] FROM b, unnest(range(0, (len(ws) + 1) // 2)) AS u(n)),
+        asked AS (SELECT query_id, [[{mark(f"CASE WHEN regexp_matches(w, '[a-z]{{4,}}s$') THEN left(w, -1) ELSE {soft('w')} END")}, {mark(soft(f'({vocal})'))}] FOR w IN ws] AS terms
+                  FROM q WHERE length(array_to_string(ws, ' ')) >= 2),
+        every AS (SELECT page_id, block_seq, {mark('fold')} AS marked FROM records UNION ALL SELECT doc_id, -1, '|document |' || doc_id FROM documents),
+        hit AS (SELECT query_id, page_id, block_seq FROM asked, every WHERE len(list_filter(terms, lambda t: contains(marked, t[1]) OR contains(marked, t[2]))) = len(terms))
+        SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY page_id, block_seq))::INTEGER AS rank, page_id, block_seq FROM hit) WHERE rank <= 100"""
 
 
 def blocks_from_lines(spark, sf_dir):
@@ -133,69 +205,86 @@ def section_rules(spark, sf_dir):
 
 
 def chunk_map(spark, sf_dir):
-    return index.chunk_map(_site(spark, sf_dir)[1])
+    return index.chunk_map(_site(spark, sf_dir)[1]).select(F.expr(_NUMBER).alias("chunk"), "page_id", "first_block", "n_blocks")
 
 
 def postings(spark, sf_dir):
-    """Words alone, which SQL can tell; formula_bigrams has the pairs, glyph_postings the single glyphs."""
-    _, records = _records(spark, sf_dir)
-    return index.postings(records).where(F.col("word").rlike(f"^[{LETTERS}]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk").alias("first"), F.max("chunk").alias("last"))
+    """Words of blocks alone, which SQL can tell; formula_bigrams has the pairs, glyph_postings the single glyphs."""
+    return _chunks_by_word(_index(spark, sf_dir).postings(spark).where(_WORDS))
+
+
+def _chunks_by_word(of: DataFrame) -> DataFrame:
+    number = F.expr(_NUMBER)
+    return of.groupBy("word").agg(F.count(F.lit(1)).alias("chunks"), F.min(number).alias("first"), F.max(number).alias("last"))
 
 
 def lexicon_df(spark, sf_dir):
-    _, records = _records(spark, sf_dir)
-    return index.lexicon(index.postings(records)).where(F.col("word").rlike(f"^[{LETTERS}]+$"))
+    return index.lexicon(_index(spark, sf_dir).weights(spark)).where(F.col("word").rlike(f"^[{LETTERS}]+$"))
 
 
 def lexicon_tf(spark, sf_dir):
-    return index.lexicon_by_occurrence(_records(spark, sf_dir)[1])
+    return index.lexicon_by_occurrence(_entries(spark, sf_dir))
+
+
+def lexicon_merged(spark, sf_dir):
+    """The words of two indexes, documents with their titles and conversations, with the sums of their weights."""
+    turns = _table(spark, sf_dir, "conversations").where("text <> ''")
+    pages = turns.select(F.col("conv_id").alias("page_id")).distinct().withColumns({"title": F.lit(""), "also": F.lit(None).cast("string"), "order_": F.lit(0)})
+    blocks = turns.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("block_seq"), F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("string").alias("heading"), "text")
+    other = index.build(pages, blocks, new_folder(spark, "index"), posted=False).entries(spark)
+    both = index.merged(index.lexicon_by_occurrence(_entries(spark, sf_dir), titles=True), index.lexicon_by_occurrence(other))
+    return both.where(F.col("word").rlike(f"^[{LETTERS}]+$"))
 
 
 def formula_bigrams(spark, sf_dir):
-    _, records = _records(spark, sf_dir)
-    return index.postings(records).where("word LIKE '$%'").groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
+    of = _index(spark, sf_dir).postings(spark).where(f"word LIKE '$%' AND chunk <> {index.TITLE}")
+    return of.groupBy("word").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def glyph_postings(spark, sf_dir):
     """The entries that are neither words of letters nor pairs: Greek letters, arrows, operators."""
-    _, records = _records(spark, sf_dir)
-    rest = index.postings(records).where(f"NOT (word RLIKE '^[{LETTERS}]+$' OR word LIKE '$%')")
-    return rest.groupBy("word").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk").alias("first"), F.max("chunk").alias("last"))
+    rest = _index(spark, sf_dir).postings(spark).where(f"NOT (word RLIKE '^[{LETTERS}]+$' OR word LIKE '$%') AND chunk <> {index.TITLE}")
+    return _chunks_by_word(rest)
 
 
 def formula_search(spark, sf_dir):
-    pages, records = _records(spark, sf_dir)
-    return search.search(pages, records, "|").select("page_id", "kind", "block_seq")
+    return _found_rows(search.search(_entries(spark, sf_dir), "|"))
 
 
 def widen_stem(spark, sf_dir):
-    _, records = _records(spark, sf_dir)
-    lexicon = index.lexicon(index.postings(records)).where(F.col("word").rlike(f"^[{LETTERS}]+$"))
-    words = _benchmark_words(spark, sf_dir, 1).select(F.concat(F.get("words", F.lit(0)), F.lit("zq")).alias("word")).where("word IS NOT NULL")
+    lexicon = index.lexicon(_index(spark, sf_dir).weights(spark)).where(F.col("word").rlike(f"^[{LETTERS}]+$"))
+    words = _benchmark_words(spark, sf_dir).select(F.explode("words").alias("w")).select(F.concat("w", F.lit("zq")).alias("word"))
     return repair.widen(words, lexicon)
 
 
-def _misspelt(spark, sf_dir, n):
+def _misspelt(spark, sf_dir):
     """(item_id, pos, word): benchmark words without their third letter."""
-    rows = _benchmark_words(spark, sf_dir, n).select("item_id", F.posexplode("words").alias("pos", "w"))
+    rows = _benchmark_words(spark, sf_dir).select("item_id", F.posexplode("words").alias("pos", "w"))
     return rows.select("item_id", "pos", F.concat(F.left("w", F.lit(2)), F.substring("w", 4, 100)).alias("word"))
 
 
+def _by_occurrence(spark, sf_dir):
+    return written(index.lexicon_by_occurrence(_entries(spark, sf_dir)), "lexicon")
+
+
 def nearest_word(spark, sf_dir):
-    _, records = _records(spark, sf_dir)
-    lexicon = index.lexicon_by_occurrence(records)
-    return repair.nearest(_misspelt(spark, sf_dir, 1).select("word"), lexicon).withColumn("distance", F.col("distance").cast("long"))
+    return repair.nearest(_misspelt(spark, sf_dir).select("word"), _by_occurrence(spark, sf_dir)).withColumn("distance", F.col("distance").cast("long"))
 
 
 def correct_query(spark, sf_dir):
-    _, records = _records(spark, sf_dir)
-    return repair.correct(_misspelt(spark, sf_dir, 3).withColumnRenamed("item_id", "query_id"), index.lexicon_by_occurrence(records), cap=1)
+    """Each benchmark text with its words misspelt, a query of five words after the other, corrected."""
+    lexicon = _by_occurrence(spark, sf_dir)
+    return repair.correct(_misspelt(spark, sf_dir).select((F.col("item_id") * 10_000 + F.floor(F.col("pos") / 5)).alias("query_id"), "pos", "word"), lexicon)
+
+
+def correct_query_by_one(spark, sf_dir):
+    """The same where stems found something, so that a word may be one letter off only."""
+    lexicon = _by_occurrence(spark, sf_dir)
+    return repair.correct(_misspelt(spark, sf_dir).select((F.col("item_id") * 10_000 + F.floor(F.col("pos") / 5)).alias("query_id"), "pos", "word"), lexicon, cap=1)
 
 
 def prefix_owner(spark, sf_dir):
-    _, records = _records(spark, sf_dir)
-    words = _benchmark_words(spark, sf_dir, 3).select(F.explode("words").alias("word"))
-    return repair.only(words, index.lexicon_by_occurrence(records))
+    return repair.only(_benchmark_words(spark, sf_dir).select(F.explode("words").alias("word")), _by_occurrence(spark, sf_dir))
 
 
 _NEAREST = """
@@ -234,13 +323,20 @@ def profile_biggest(spark, sf_dir):
 
 
 def profile_empty_dup(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages")
-    dup = profile.duplicate_urls(pages).select(F.col("url"), F.lit("duplicate").alias("kind"))
-    blocks = tables.line_blocks(_table(spark, sf_dir, "documents"))
-    gone = profile.empty(tables.document_pages(_table(spark, sf_dir, "documents")), blocks).select("url", F.lit("empty").alias("kind"))
+    """Turns as pages at their conversation's address: those addresses that come again, and pages without a line that ends in a full stop."""
+    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.concat(F.lit("/"), "conv_id", F.lit("/")).alias("url"), F.lit("").alias("title"), "text")
+    dup = profile.duplicate_urls(turns).select("url", F.lit("duplicate").alias("kind"), "again")
+    blocks = tables.line_blocks(turns, "page_id").where("text LIKE '%.'")
+    gone = profile.empty(turns, blocks).groupBy("url").agg(F.count(F.lit(1)).alias("again")).select("url", F.lit("empty").alias("kind"), "again")
     return dup.unionByName(gone)
 
 
+def profile_html(spark, sf_dir):
+    """Totals of the pages of HTML, whose blocks have anchors."""
+    pages = _table(spark, sf_dir, "pages")
+    return profile.totals(pages, written(html.html_blocks(pages), "blocks")).select("pages", "blocks", "chars", "anchored")
+
+
 def profile_rollup(spark, sf_dir):
     """Totals of several indexes and over all of them: documents and conversations."""
     docs = _site(spark, sf_dir)[1].select(F.lit("documents").alias("index"), "page_id", "text")
@@ -264,12 +360,17 @@ parts AS (SELECT '/part/' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-',
 PICKED = "brand#1 2"
 
 
+def _names(spark, sf_dir):
+    """The parts' names, folded once and stored."""
+    return written(names.prepared(_part_pages(spark, sf_dir)), "names")
+
+
 def palette_pick(spark, sf_dir):
-    return names.pick(names.prepared(_part_pages(spark, sf_dir)), PICKED).select("url", "title", F.col("score").cast("long").alias("score"))
+    return names.pick(_names(spark, sf_dir), PICKED).select("url", "title", F.col("score").cast("long").alias("score"))
 
 
 def palette_scores(spark, sf_dir):
-    return names.scored(names.prepared(_part_pages(spark, sf_dir)), PICKED).groupBy("score").agg(F.count(F.lit(1)).alias("names")).withColumn("score", F.col("score").cast("long"))
+    return names.scored(_names(spark, sf_dir), PICKED).groupBy("score").agg(F.count(F.lit(1)).alias("names")).withColumn("score", F.col("score").cast("long"))
 
 
 def section_doors(spark, sf_dir):
@@ -308,12 +409,21 @@ def html_sections(spark, sf_dir):
     return blocks.groupBy("heading").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("page_id").alias("pages"))
 
 
+def symbols_frequent(spark, sf_dir):
+    texts = _table(spark, sf_dir, "documents").select("text").unionByName(_table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
+    return names.frequent(names.usage(texts, "text", names.catalogue(spark)), names.catalogue(spark))
+
+
 def snippet_rows(spark, sf_dir):
-    pages, records = _records(spark, sf_dir)
-    terms = query.parse("the and")
-    found = search.search(pages, records, "the and")
-    shown = found.join(records.select("page_id", "block_seq", "text"), ["page_id", "block_seq"]).withColumn("s", snippets.snippets(F.col("text"), terms))
-    return shown.select("page_id", "block_seq", F.col("s.snippet").alias("snippet"), F.size("s.marks").alias("marks"))
+    stored = _index(spark, sf_dir, posted=False)
+    rows = answer.shown(stored.entries(spark), stored.pages(spark), query.parse("the and"))
+    return rows.select("page_id", "block_seq", "snippet", F.size("marks").alias("marks"))
+
+
+def answer_repaired(spark, sf_dir):
+    """What is shown for a query that nothing answers: (page_id, kind, block_seq, how, instead)."""
+    told = answer.answer(_index(spark, sf_dir), spark, "ationqz the")
+    return _found_rows(told.rows).withColumns({"how": F.lit(told.how).cast("string"), "instead": F.lit(told.instead).cast("string")})
 
 
 def _body_sql() -> str:
@@ -367,16 +477,20 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            search_and, search_count, search_ladder, two_tier_search, candidates_intersect, prefix_lookup, search_batch, blocks_from_lines, blocks_from_turns, blocks_from_paragraphs, lang_visible,
-            drop_repeated, section_rules, chunk_map, postings, lexicon_df, lexicon_tf, formula_bigrams, glyph_postings, formula_search, widen_stem, nearest_word, correct_query, prefix_owner, profile_totals,
-            profile_sections, profile_suspect, profile_samples, profile_repeated, profile_biggest, profile_empty_dup, profile_rollup, palette_pick, palette_scores, section_doors, symbol_match,
-            symbol_usage, html_blocks, html_text, html_sections, snippet_rows,
+            search_and, search_count, search_ladder, search_titles, search_scripts, result_rows, answer_repaired, two_tier_search, candidates_intersect, prefix_lookup, search_batch, blocks_from_lines, blocks_from_turns, blocks_from_paragraphs, lang_visible,
+            drop_repeated, section_rules, chunk_map, postings, lexicon_df, lexicon_tf, lexicon_merged, formula_bigrams, glyph_postings, formula_search, widen_stem, nearest_word, correct_query, correct_query_by_one, prefix_owner, profile_totals,
+            profile_sections, profile_suspect, profile_samples, profile_repeated, profile_biggest, profile_empty_dup, profile_html, profile_rollup, palette_pick, palette_scores, section_doors, symbol_match,
+            symbol_usage, symbols_frequent, html_blocks, html_text, html_sections, snippet_rows,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    wrong = lambda n: f"""{_ITEMS}, wrong AS (SELECT item_id, i - 1 AS pos, left(ws[i], 2) || substring(ws[i], 4) AS word FROM items, unnest(range(1, least(len(ws), {n}) + 1)) AS u(i))"""
+    wrong = f"""{_ITEMS}, wrong AS (SELECT item_id * 10000 + (i - 1) // 5 AS query_id, i - 1 AS pos, left(ws[i], 2) || substring(ws[i], 4) AS word FROM items, unnest(range(1, len(ws) + 1)) AS u(i))"""
+    corrected = lambda two: f"""WITH {_BLOCKS}, {wrong}, {_NEAREST.format(two=two)},
+            have AS (SELECT DISTINCT left(word, n) AS word FROM lex, unnest(range(1, length(word) + 1)) AS u(n)),
+            each AS (SELECT query_id, pos, w.word NOT IN (SELECT word FROM have) AS missing, CASE WHEN w.word IN (SELECT word FROM have) THEN w.word ELSE nearest END AS now FROM wrong w LEFT JOIN best USING (word))
+            SELECT query_id, CASE WHEN bool_and(now IS NOT NULL) AND bool_or(missing) THEN string_agg(now, ' ' ORDER BY pos) END AS corrected FROM each GROUP BY query_id"""
     return {
         "search_and": _search_sql(SEARCHED["search_and"]),
         "search_ladder": _search_sql(SEARCHED["search_ladder"]),
@@ -385,9 +499,13 @@ def oracle_sql() -> dict[str, str]:
         "candidates_intersect": f"""WITH {_BLOCKS}, t AS (SELECT chunk FROM posts WHERE {' OR '.join(f"starts_with(word, '{n}')" for n in _NEEDLES['que elle'][0].split('|'))} INTERSECT
             SELECT chunk FROM posts WHERE {' OR '.join(f"starts_with(word, '{n}')" for n in _NEEDLES['que elle'][1].split('|'))}) SELECT chunk FROM t""",
         "prefix_lookup": f"WITH {_BLOCKS} SELECT word, count(*) AS chunks FROM posts WHERE starts_with(word, 'ein') GROUP BY word",
-        "search_batch": f"""WITH {_BLOCKS}, {_ITEMS}, q AS (SELECT item_id, list_distinct(ws[1:2]) AS ws FROM items WHERE len(ws) > 0),
-            hit AS (SELECT item_id, page_id, block_seq FROM q, records WHERE regexp_matches(fold, '(^|[^a-z0-9])' || ws[1]) AND (len(ws) < 2 OR regexp_matches(fold, '(^|[^a-z0-9])' || ws[2])))
-            SELECT * FROM (SELECT item_id AS query_id, (row_number() OVER (PARTITION BY item_id ORDER BY page_id, block_seq))::INTEGER AS rank, page_id, block_seq FROM hit) WHERE rank <= 100""",
+        "search_batch": _batch_sql(),
+        "search_titles": _search_titles_sql(),
+        "search_scripts": _scripts_sql(),
+        "result_rows": f"""WITH {_BLOCKS}, {_PAGES}, hit AS (SELECT page_id, block_seq FROM records WHERE {_found('the', 'and')})
+            SELECT row_number() OVER (ORDER BY page_id, block_seq) AS rank, 1::INTEGER AS kind, page_id, block_seq, url,
+                   CASE WHEN section <> title THEN section || ' → ' ELSE '' END || title AS trail, (SELECT count(*) FROM hit) AS found
+            FROM hit JOIN pages_ USING (page_id) ORDER BY page_id, block_seq LIMIT 100""",
         "blocks_from_lines": f"WITH {_BLOCKS} SELECT page_id, block_seq, text FROM blocks",
         "blocks_from_turns": "SELECT conv_id AS page_id, role AS heading, count(*) AS blocks, sum(length(text))::BIGINT AS chars FROM conversations WHERE text <> '' GROUP BY ALL",
         "lang_visible": "SELECT doc_id AS page_id, lang FROM documents WHERE lang IS NULL OR lang = '' OR lower(left(lang, 2)) = 'de'",
@@ -399,16 +517,16 @@ def oracle_sql() -> dict[str, str]:
         "postings": f"WITH {_BLOCKS} SELECT word, count(*) AS chunks, min(chunk) AS first, max(chunk) AS last FROM posts GROUP BY word",
         "lexicon_df": f"WITH {_BLOCKS} SELECT word, count(*) AS weight FROM posts GROUP BY word",
         "lexicon_tf": f"WITH {_BLOCKS} SELECT word, count(*) AS weight FROM words GROUP BY word",
-        "widen_stem": f"""WITH {_BLOCKS}, {_ITEMS}, w AS (SELECT DISTINCT ws[1] || 'zq' AS word FROM items WHERE len(ws) > 0),
+        "lexicon_merged": f"""WITH {_BLOCKS}, t AS (SELECT word FROM words UNION ALL SELECT 'document' FROM documents UNION ALL SELECT doc_id::VARCHAR FROM documents
+            UNION ALL SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+')) FROM conversations) SELECT word, count(*) AS weight FROM t GROUP BY word""",
+        "widen_stem": f"""WITH {_BLOCKS}, {_ITEMS}, w AS (SELECT DISTINCT unnest(ws) || 'zq' AS word FROM items),
             pre AS (SELECT DISTINCT left(word, n) AS stem FROM (SELECT DISTINCT word FROM posts), unnest(range(4, length(word) + 1)) AS u(n)),
             tried AS (SELECT word, left(word, n) AS stem FROM w, unnest(range(greatest(4, ceil(length(word) * 0.6))::BIGINT, length(word))) AS u(n))
             SELECT w.word, (SELECT max_by(t.stem, length(t.stem)) FROM tried t JOIN pre USING (stem) WHERE t.word = w.word) AS stem FROM w""",
-        "nearest_word": f"""WITH {_BLOCKS}, {wrong(1)}, {_NEAREST.format(two=2)} SELECT word, nearest, distance FROM (SELECT DISTINCT word FROM wrong) LEFT JOIN best USING (word)""",
-        "correct_query": f"""WITH {_BLOCKS}, {wrong(3)}, {_NEAREST.format(two=1)},
-            have AS (SELECT DISTINCT left(word, n) AS word FROM lex, unnest(range(1, length(word) + 1)) AS u(n)),
-            each AS (SELECT item_id, pos, w.word NOT IN (SELECT word FROM have) AS missing, CASE WHEN w.word IN (SELECT word FROM have) THEN w.word ELSE nearest END AS now FROM wrong w LEFT JOIN best USING (word))
-            SELECT item_id AS query_id, CASE WHEN bool_and(now IS NOT NULL) AND bool_or(missing) THEN string_agg(now, ' ' ORDER BY pos) END AS corrected FROM each GROUP BY item_id""",
-        "prefix_owner": f"""WITH {_BLOCKS}, {_ITEMS}, p AS (SELECT DISTINCT unnest(ws[1:3]) AS word FROM items), l AS (SELECT DISTINCT word AS w FROM words)
+        "nearest_word": f"""WITH {_BLOCKS}, {wrong}, {_NEAREST.format(two=2)} SELECT word, nearest, distance FROM (SELECT DISTINCT word FROM wrong) LEFT JOIN best USING (word)""",
+        "correct_query": corrected(2),
+        "correct_query_by_one": corrected(1),
+        "prefix_owner": f"""WITH {_BLOCKS}, {_ITEMS}, p AS (SELECT DISTINCT unnest(ws) AS word FROM items), l AS (SELECT DISTINCT word AS w FROM words)
             SELECT word, CASE WHEN count(w) = 1 THEN min(w) END AS only FROM p LEFT JOIN l ON starts_with(w, word) GROUP BY word""",
         "profile_totals": rf"""WITH {_BLOCKS}, w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^0-9a-zа-яё]+')) AS w FROM blocks),
             s AS (SELECT (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM blocks) AS blocks, (SELECT coalesce(sum(length(text)), 0)::BIGINT FROM blocks) AS chars, 0::BIGINT AS anchored,
@@ -423,8 +541,10 @@ def oracle_sql() -> dict[str, str]:
         "profile_repeated": f"WITH {_BLOCKS} SELECT text, count(*) AS n FROM blocks WHERE length(text) >= 60 GROUP BY text HAVING count(*) > 1",
         "profile_biggest": f"""WITH {_BLOCKS}, {_PAGES}, s AS (SELECT page_id, count(*) AS blocks, sum(length(text)) AS chars FROM blocks GROUP BY page_id)
             SELECT page_id, url, title, coalesce(blocks, 0)::BIGINT AS blocks, coalesce(chars, 0)::BIGINT AS chars FROM pages_ LEFT JOIN s USING (page_id) ORDER BY chars DESC, page_id LIMIT 10""",
-        "profile_empty_dup": f"""WITH {_BLOCKS}, {_PAGES} SELECT url, 'duplicate' AS kind FROM pages GROUP BY url HAVING count(*) > 1 UNION ALL
-            SELECT url, 'empty' FROM pages_ WHERE page_id NOT IN (SELECT page_id FROM blocks)""",
+        "profile_empty_dup": """WITH t AS (SELECT '/' || conv_id || '/' AS url, text FROM conversations)
+            SELECT url, 'duplicate' AS kind, count(*) - 1 AS again FROM t GROUP BY url HAVING count(*) > 1 UNION ALL
+            SELECT url, 'empty', count(*) FROM t WHERE text IS NULL OR len(list_filter(string_split(text, chr(10)), lambda x: ends_with(x, '.'))) = 0 GROUP BY url""",
+        "profile_html": f"""WITH {_CUT} SELECT (SELECT count(*) FROM pages) AS pages, count(*) AS blocks, sum(length(text))::BIGINT AS chars, count(*) FILTER (anchor <> '') AS anchored FROM cut""",
         "profile_rollup": f"""WITH {_BLOCKS}, r AS (SELECT 'documents' AS index, page_id, text FROM blocks UNION ALL SELECT 'conversations', conv_id, text FROM conversations WHERE text <> '')
             SELECT index, count(*) AS blocks, sum(length(text))::BIGINT AS chars, count(DISTINCT page_id) AS pages FROM r GROUP BY ROLLUP (index)""",
         "palette_pick": f"""WITH {_scores_sql()} SELECT url, title, score FROM scored ORDER BY score, depth,
@@ -437,6 +557,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT token, rank, name, glyph FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY grade, ord) AS rank FROM g WHERE grade IS NOT NULL) WHERE rank <= 8""",
         "symbol_usage": f"""WITH s AS (SELECT * FROM (VALUES {_SYMBOL_ROWS}) AS v(ord, name, glyph)), c AS (SELECT glyph, min(ord)::BIGINT AS ord, string_agg(name, ' ' ORDER BY ord) AS names FROM s GROUP BY glyph)
             SELECT ord, glyph, names, ((SELECT coalesce(sum(length(text) - length(replace(text, glyph, ''))), 0) FROM documents) + (SELECT coalesce(sum(length(html) - length(replace(html, glyph, ''))), 0) FROM pages))::BIGINT AS uses FROM c""",
+        "symbols_frequent": f"""WITH s AS (SELECT * FROM (VALUES {_SYMBOL_ROWS}) AS v(ord, name, glyph)), c AS (SELECT glyph, min(ord) AS ord FROM s GROUP BY glyph),
+            u AS (SELECT glyph, ord, ((SELECT coalesce(sum(length(text) - length(replace(text, glyph, ''))), 0) FROM documents) + (SELECT coalesce(sum(length(html) - length(replace(html, glyph, ''))), 0) FROM pages))::BIGINT AS uses FROM c)
+            SELECT glyph, uses FROM u WHERE uses > 0 ORDER BY uses DESC, ord LIMIT 8""",
         "html_blocks": f"WITH {_CUT} SELECT page_id, block_seq::BIGINT AS block_seq, anchor, heading, text FROM cut",
         "html_text": f"""SELECT page_id, sha256({_clean_sql(f"regexp_replace({_body_sql()}, '<[^>]*>', ' ', 'g')")}) AS text_sha256 FROM pages""",
         "html_sections": f"WITH {_CUT} SELECT heading, count(*) AS blocks, count(DISTINCT page_id) AS pages FROM cut GROUP BY heading",

@@ -40,7 +40,7 @@ def read_index(spark: SparkSession, sources: list[dict], lang: str | None = None
         one = spark.read.schema(INDEX).json(s["url"], multiLine=True).select(F.lit(n).alias("source_seq"), F.posexplode("pages").alias("page_seq", "p"))
         raw = one if raw is None else raw.unionByName(one)
     rows = raw.join(F.broadcast(of), "source_seq")  # the list above: one row for each index
-    page_id = F.shiftleft(F.col("source_seq").cast("long"), 40) + F.col("page_seq")
+    page_id = F.shiftleft(F.col("source_seq").cast("long"), 40) + F.col("page_seq")  # up to 10,000 sources: 54 bits
     pages = rows.select(
         page_id.alias("page_id"), "p.url", "p.title", "p.also", "p.lang", F.coalesce("p.section", "s_section").alias("section"),
         F.coalesce("p.order", "s_order", F.lit(0)).alias("order_"), F.coalesce("p.fallback", F.lit(False)).alias("fallback"),

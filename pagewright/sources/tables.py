@@ -39,13 +39,25 @@ def line_blocks(docs: DataFrame, page_id: str = "doc_id", text: str = "text") ->
     )
 
 
+#: A block's class or comment that keeps it out.
+_UNSEARCHED = r"(class\s*=\s*[\"'][^\"']*|\{:[^}]*\.|<!--[^>]*)\bnosearch\b"
+
+
+def content_pages(pages: DataFrame, own: tuple[str, ...] = (), path: str = "path", front: str = "front") -> DataFrame:
+    """Pages of Markdown that take part: those in folders of `own` don't, nor those whose front matter (a map of strings) says search: false."""
+    kept = F.col(path).contains(".md") & (F.coalesce(F.lower(F.try_element_at(front, F.lit("search"))), F.lit("")) != "false")
+    for folder in own:
+        kept = kept & ~F.col(path).contains(folder)
+    return pages.where(kept)
+
+
 def paragraph_blocks(pages: DataFrame, page_id: str, content: str, least: int = 17) -> DataFrame:
     """Blocks of Markdown or plain text cut at blank lines, of `least` characters or more once its marks are gone.
 
-    Chunks that hold the word nosearch in a comment are left out.
+    Chunks with the class nosearch, or a comment that says so, are left out.
     """
-    chunks = F.filter(F.split(F.col(content), r"\n[ \t]*\n"), lambda x: ~x.contains("nosearch"))
-    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), r"(^|\n)\s*(#{1,6}|>|[-*+])\s+|\*\*|__|`|!?\[([^\]]*)\]\([^)]*\)", "$1$3"), r"\s+", " "))
+    chunks = F.filter(F.split(F.col(content), r"\n[ \t]*\n"), lambda x: ~x.rlike(_UNSEARCHED))
+    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>|\{:[^}]*\}", " "), r"(^|\n)\s*(#{1,6}|>|[-*+])\s+|\*\*|__|`|!?\[([^\]]*)\]\([^)]*\)", "$1$3"), r"\s+", " "))
     kept = F.filter(F.transform(chunks, clean), lambda x: F.length(x) >= least)
     return pages.select(F.col(page_id).alias("page_id"), F.posexplode(kept).alias("block_seq", "text")).select(
         "page_id", "block_seq", F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("string").alias("heading"), "text"

@@ -168,7 +168,7 @@ def test_predicate_in_spark(spark):
     df = formulas.with_record(spark.createDataFrame([(t,) for t in texts], "text string"), F.col("text")).cache()
     assert df.count() == len(texts)
     for q in [*bits, "oven", "хлеб rye", "lambda_k", "≠ bread", "x=2"]:
-        for r in df.withColumn("got", query.all_found(F.col("fold"), F.col("squeezed"), query.parse(q))).collect():
+        for r in df.withColumn("got", query.all_found(query.started(F.col("fold")), F.col("squeezed"), query.parse(q))).collect():
             assert r.got == query.answers(r.text, q), (r.text, q)
 
 

@@ -51,9 +51,31 @@ def test_json_index(spark, tmp_path):
     assert sorted(r["first"] for r in jsonindex.numbered(sizes).collect()) == [0, 2, 4]
 
 
+def test_many_sources_have_keys_of_their_own(spark, tmp_path):
+    for n in range(40):
+        (tmp_path / f"{n}.json").write_text(json.dumps({"pages": [{"url": f"/{n}/", "title": f"T {n}", "blocks": [f"block {k} of {n}" for k in range(40)]}]}))
+    sources = [{"url": f"file://{tmp_path}/{n}.json"} for n in range(40)]
+    pages, blocks = jsonindex.read_index(spark, sources)
+    chunks = index.chunk_map(blocks)
+    assert pages.select("page_id").distinct().count() == 40 and chunks.count() == chunks.select("page_id", "chunk").distinct().count() == 80
+    assert {tuple(r) for r in chunks.select("first_block", "n_blocks").distinct().collect()} == {(0, 32), (32, 8)}
+
+
+def test_content_pages(spark):
+    rows = [(1, "a/b.md", {"search": "false"}), (2, "a/c.md", {"search": "true"}), (3, "own/d.md", None), (4, "x.html", None), (5, "y.md", None)]
+    pages = spark.createDataFrame(rows, "id int, path string, front map<string,string>")
+    assert [r.id for r in tables.content_pages(pages, ("own/",)).orderBy("id").collect()] == [2, 5]
+
+
+def test_marks_in_names(spark):
+    titles = spark.createDataFrame([("Ünder the Crust crust",), ("none",), (None,)], "title string")
+    got = [[(m.start, m.end) for m in r.m] for r in titles.select(names.marks(F.col("title"), "crust und rus").alias("m")).collect()]
+    assert got == [[(0, 3), (10, 15)], [], []]
+
+
 def test_paragraphs_and_visibility(spark):
-    df = spark.createDataFrame([(1, "# A heading of some length\n\nshort\n\n**Bold** text with [a link](http://x) in it\n\n<!-- nosearch --> this long chunk is left out")], "id long, content string")
-    assert [r.text for r in tables.paragraph_blocks(df, "id", "content").orderBy("block_seq").collect()] == ["A heading of some length", "Bold text with a link in it"]
+    df = spark.createDataFrame([(1, "a nosearch flag is explained in this prose\n\nnot this one of some length\n{: .nosearch}\n\n<p class=\"x nosearch\">nor this long one here</p>\n\n# A heading of some length\n\nshort\n\n**Bold** text with [a link](http://x) in it\n\n<!-- nosearch --> this long chunk is left out")], "id long, content string")
+    assert [r.text for r in tables.paragraph_blocks(df, "id", "content").orderBy("block_seq").collect()] == ["a nosearch flag is explained in this prose", "A heading of some length", "Bold text with a link in it"]
     pages = spark.createDataFrame([(1, "de"), (2, "EN-us"), (3, None), (4, "")], "page_id long, lang string")
     assert [r.page_id for r in tables.visible(pages, "en").orderBy("page_id").collect()] == [2, 3, 4] and tables.visible(pages, None).count() == 4
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from pagewright.operators import index, search
 from pagewright.plans import catalog
 from pagewright.streaming import index as streaming
@@ -8,15 +10,20 @@ SF = "/root/testdata/sf0.001"
 def test_index_that_follows(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").repartition(3)
     source, folder = str(tmp_path / "in"), str(tmp_path / "index")
-    for n, part in enumerate((docs.where("doc_id < 100"), docs.where("doc_id >= 100"))):
+    old = docs.where("doc_id < 50").withColumn("text", F.lit("the and outdated"))
+    for part in (old, docs.where("doc_id < 100"), docs.where("doc_id >= 100")):  # the first fifty come twice
         part.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 100).parquet(source)
         query = streaming.maintain(stream, folder)
         query.awaitTermination()
         assert query.exception() is None
-    pages, records, postings = streaming.read(spark, folder)
-    whole_pages, whole_records = catalog._records(spark, SF)
-    assert pages.count() == 200 and records.count() == whole_records.count()
-    assert postings.exceptAll(index.postings(whole_records)).count() == 0
-    want = [tuple(r) for r in search.search(whole_pages, whole_records, "the and").collect()]
-    assert [tuple(r) for r in search.search_by_index(pages, records, postings, "the and").collect()] == want
+    whole = catalog._index(spark, SF)
+    pages, entries, postings = streaming.read(spark, folder)
+    assert pages.count() == 200 and entries.count() == whole.entries(spark).count()
+    assert postings.exceptAll(whole.postings(spark)).count() == 0
+    want = [tuple(r) for r in search.search(whole.entries(spark), "the and").select("page_id", "block_seq").collect()]
+    found = lambda e, p: [tuple(r) for r in search.search_by_index(e, p, "the and").select("page_id", "block_seq").collect()]
+    assert found(entries, postings) == want
+    compact = streaming.compact(spark, folder, str(tmp_path / "whole"))
+    assert found(compact.entries(spark), compact.postings(spark)) == want
+    assert compact.weights(spark).exceptAll(index.weights(whole.postings(spark))).count() == 0
