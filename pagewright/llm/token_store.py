@@ -227,17 +227,20 @@ _WHOLE = struct_of("n_tokens long,crc long,root binary")
 
 @F.arrow_udf(_WHOLE)
 def _whole(parts: pa.Array) -> pa.Array:
-    rows = []
-    for chunks in parts.to_pylist():
-        n = crc = 0
-        hashes = []
-        for c in sorted(chunks, key=lambda c: c["seq"]):
-            if c["n"] is None:
-                raise ValueError(f"no chunk {c['key'].hex()} in the store")
-            crc = crc_joined(crc, c["crc"], 4 * c["n"])
-            n += c["n"]
-            hashes.append(c["key"])
-        rows.append((n, crc, merkle(hashes)))
+    lengths, flat = pc.list_value_length(parts).to_numpy(zero_copy_only=False), parts.flatten()
+    of = np.repeat(np.arange(len(parts)), lengths)
+    flat = flat.take(pa.array(np.lexsort((flat.field("seq").to_numpy(), of))))
+    keys, ns, crcs = (flat.field(c).to_pylist() for c in ("key", "n", "crc"))
+    rows, at = [], 0
+    for length in lengths.tolist():
+        total = crc = 0
+        for k in range(at, at + length):
+            if ns[k] is None:
+                raise ValueError(f"no chunk {keys[k].hex()} in the store")
+            crc = crc_joined(crc, crcs[k], 4 * ns[k])
+            total += ns[k]
+        rows.append((total, crc, merkle(keys[at : at + length])))
+        at += length
     return struct_array(_WHOLE, rows)
 
 
