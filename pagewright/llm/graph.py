@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import written
+from pagewright.llm.shared import new_folder, removed, write
 
 
 def _state(links: DataFrame) -> tuple:
@@ -18,11 +18,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large and small stars in turn (Kiveris et al., 2014): every round hangs a node's larger neighbours, then
     its smaller ones, on the smallest, until all hang on the root of their component. Rounds grow with the
-    logarithm of the longest path. Each is written to the shared folder. Minima are taken before rows are
+    logarithm of the longest path. Each is written to the shared folder, where the last one stays. Minima are taken before rows are
     joined, so that a node with very many links is summed up where its links are.
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
-    now = written(pairs.distinct(), "links")
+    spark, path = links.sparkSession, new_folder(links.sparkSession, "links")
+    now = write(pairs.distinct(), path)
     state = _state(now)
     while state[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,9 +31,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lowest.select("u", F.col("m").alias("v")))
-        after = written(small.distinct(), "links")
-        before, state = state, _state(after)
-        now = after
+        last, path = path, new_folder(spark, "links")
+        now = write(small.distinct(), path)
+        before, state = state, _state(now)
+        removed(spark, last)
         if state == before:
             break
     roots = now.select(F.col("v").alias("node")).distinct()

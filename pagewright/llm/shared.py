@@ -2,44 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one.
-
-    Only a local master may do without; it then gets a temporary folder of its own.
-    """
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if root is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="pagewright-")
-        context.setCheckpointDir(root)
-        root = context.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """An unused path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from pagewright.storage import new_folder, removed, shared_root, spread, write, written  # noqa: F401
 
 
 _KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
@@ -86,14 +56,14 @@ class WordHashes(dict):
 
 
 _RNG = np.random.default_rng(20_240_301)
-_BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _RNG.integers(0, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Random odd numbers for each byte and place, in two lanes of their own.
+_BYTE, _PLACE = (_RNG.integers(0, 2**63, (2, n), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (256, 1024))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[*range(9, 14), 32]] = True
 
 
-def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, one after the other, and how many each text has.
+def hashed_words(texts: list[bytes | None], lanes: int = 1) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the words of all texts, one after the other, in as many independent lanes, and how many words each text has.
 
     A word is what words_of gives. All arithmetic is over the bytes of the texts together, which should be
     some hundred kB: a sum of products of random numbers for each byte and place, then spread.
@@ -104,14 +74,14 @@ def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return *(np.zeros(0, np.uint64) for _ in range(lanes)), counts
     bounds = np.cumsum([len(t or b"") + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
     lengths = ends - starts
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    sums = np.add.reduceat(_BYTE[data[~space]] * _PLACE[place & 1023], first)
-    return mixed(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), counts
+    place = (np.arange(int(lengths.sum())) - np.repeat(first, lengths)) & 1023
+    letters, added = data[~space], lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return *(mixed(np.add.reduceat(_BYTE[k][letters] * _PLACE[k][place], first) + added) for k in range(lanes)), counts
 
 
 def blocks_of(texts: list[bytes | None], size: int = 1 << 19) -> Iterator[tuple[int, int]]:

@@ -1,19 +1,19 @@
-"""Removing passages that recur, located by hashes and checked by Aho-Corasick automata.
+"""Removing passages that recur, by automata of repeated phrases.
 
-Documents are dealt into parts of some 8 MB. What leaves a part is hashes only, packed and dealt by value:
+Documents are dealt into parts of some 8 MB, and whatever travels between parts by value into shards.
 
 1. Anchors. Of every window of WINDOW words the smallest hash among its runs of SEED words: equal windows
    have equal anchors, and few words in a hundred begin one. Anchors met once are dropped.
-2. Confirmation. Windows with an anchor that recurs send their own hash; those met twice recur.
-3. Location. Each part looks its windows' hashes up among those confirmed for it: this locates them. They
-   are turned into phrases (runs of windows, each window in one phrase), whose tiles are compiled into an
-   automaton with pyahocorasick, and the part's documents that hold such windows, those only, are streamed
-   through it. A tile found is extended word by word against its phrase, so within a part what is removed
-   is equal in wording. A window's first occurrence in a part is the phrase itself, and the words of
-   occurrences in other parts aren't compared: between parts, equal 64-bit hashes decide. Every WINDOW words
-   of a phrase hold a whole tile, so none is missed.
-
-A part's automaton holds just those phrases that occur in it: work grows with the text, not with parts times phrases.
+2. Confirmation. Windows with an anchor that recurs send their own hash, of 128 bits; those met twice
+   recur. Of the parts that hold such a window the first owns it, and is told the others.
+3. Phrases. An owner cuts the runs of windows that it owns out of its texts, and sends their words to every
+   part that holds them. No window is in two phrases.
+4. Location. A part compiles the tiles of the phrases it got into an automaton with pyahocorasick, and streams
+   all of its documents through it. A tile found is extended word by word against its phrase, so what is
+   removed is equal in wording to what another place has. Every WINDOW words of a phrase hold a whole tile,
+   so none is missed.
+
+A part's automaton is the shard of all phrases that occur in it: work grows with the text, not with parts times phrases.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,11 @@ from pagewright.llm.shared import binaries, blocks_of, hashed_words, windows_of,
 WINDOW, SEED = 35, 8
 PART_BYTES = 8 << 20
 _SENT = "shard int, part int, hashes binary"
+_PAIRS = "shard int, part int, hashes binary, others binary"
+_OWNED = "part int, hashes binary, others binary, sizes binary, holders binary"
+_PHRASES = "part int, phrases binary"
+#: A second base, for the other half of a window's 128 bits.
+_OTHER = 0xC2B2AE3D27D4EB4F
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -68,13 +73,22 @@ def _once_or_twice(values: list[np.ndarray]) -> np.ndarray:
     return np.repeat(different, np.minimum(counts, 2))
 
 
-def _dealt(values: np.ndarray, part: int, shards: int) -> pa.Table:
-    """Sorted values packed by the shard that they belong to."""
+def _shards(values: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values the shard that each belongs to, and where a shard's values begin."""
     shard = ((values >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(shard)) + 1
-    starts = np.concatenate([[0], cuts]) if len(values) else np.zeros(0, np.int64)
-    packed = [x.tobytes() for x in np.split(values, cuts)] if len(values) else []
-    return pa.table({"shard": pa.array(shard[starts], pa.int32()), "part": pa.array(np.full(len(starts), part), pa.int32()), "hashes": pa.array(packed, pa.binary())})
+    return shard, np.flatnonzero(np.diff(shard, prepend=-1))
+
+
+def _dealt(values: np.ndarray, part: int, shards: int, **more: np.ndarray) -> pa.Table:
+    """Sorted values, and others beside them, packed by the shard that they belong to."""
+    shard, starts = _shards(values, shards)
+    pack = lambda x: pa.array([y.tobytes() for y in np.split(x, starts[1:])] if len(starts) else [], pa.binary())
+    columns = {"shard": pa.array(shard[starts], pa.int32()), "part": pa.array(np.full(len(starts), part), pa.int32()), "hashes": pack(values)}
+    return pa.table(columns | {name: pack(x) for name, x in more.items()})
+
+
+def _joined(column: pa.ChunkedArray, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 def _recurring(group: pa.Table) -> pa.Table:
@@ -87,6 +101,30 @@ def _recurring(group: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array(parts, pa.int32()), "hashes": pa.array([x.tobytes() for x in found if len(x)], pa.binary())})
 
 
+def _owners(group: pa.Table) -> pa.Table:
+    """Of a shard's windows those that are there twice: for each part the ones it owns, and which parts hold them."""
+    of = np.repeat(np.array(group.column("part").to_pylist(), np.int32), [len(x) // 8 for x in group.column("hashes").to_pylist()])
+    a, b = _joined(group.column("hashes")), _joined(group.column("others"))
+    order = np.lexsort((of, b, a))
+    a, b, of = a[order], b[order], of[order]
+    first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    number = np.cumsum(first) - 1
+    recurs = np.bincount(number)[number] > 1
+    # A part stands twice for a window that it has twice.
+    keep = recurs & (first | np.concatenate([[True], of[1:] != of[:-1]]))
+    starts = np.flatnonzero(first & recurs)
+    sizes = np.diff(np.append(np.searchsorted(np.flatnonzero(keep), starts), keep.sum())).astype(np.int32)
+    holders, begins = of[keep], np.cumsum(sizes) - sizes
+    owner, rows = of[starts], []
+    for part in np.unique(owner).tolist():
+        mine = np.flatnonzero(owner == part)
+        held = np.repeat(begins[mine] - np.cumsum(sizes[mine]) + sizes[mine], sizes[mine]) + np.arange(int(sizes[mine].sum()))
+        rows.append((part, a[starts[mine]].tobytes(), b[starts[mine]].tobytes(), sizes[mine].tobytes(), holders[held].tobytes()))
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    columns = list(zip(*rows)) if rows else [()] * 5
+    return pa.table({name: pa.array(c, k) for name, c, k in zip(("part", "hashes", "others", "sizes", "holders"), columns, kinds)})
+
+
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Whether each value is among the known, which are sorted."""
     if not len(known):
@@ -94,11 +132,6 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _gathered(told: pa.Table) -> np.ndarray:
-    held = [np.frombuffer(x, np.uint64) for x in told.column("hashes").to_pylist()]
-    return np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-
-
 class Phrases:
     """Word sequences, and an automaton over their tiles that finds every run of `window` words or more which they share with a text.
 
@@ -160,102 +193,190 @@ class Phrases:
         return out
 
 
-def covered_words(texts: list[bytes | None], confirmed: np.ndarray, window: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """How many words each text has; by text, if any, which of them lie in a window whose hash is confirmed."""
-    counts = np.zeros(len(texts), np.int64)
-    chosen: dict[int, np.ndarray] = {}
-    included = np.zeros(len(confirmed), bool)
-    for first, end in blocks_of(texts):
-        hashes, n = hashed_words(texts[first:end])
-        counts[first:end] = n
-        inside = _inside(n, window)
-        if not len(confirmed) or not inside.any():
+class Owned:
+    """The windows that a part owns, by their 128 bits, and the parts that hold each."""
+
+    def __init__(self, told: pa.Table):
+        a, b = _joined(told.column("hashes")), _joined(told.column("others"))
+        sizes, holders = _joined(told.column("sizes"), np.int32), _joined(told.column("holders"), np.int32)
+        order = np.lexsort((b, a))
+        self.a, self.b = a[order], b[order]
+        ends = np.cumsum(sizes)
+        sets: dict[bytes, int] = {}
+        named = [sets.setdefault(holders[e - n : e].tobytes(), len(sets)) for e, n in zip(ends.tolist(), sizes.tolist())]
+        self.sets = [np.frombuffer(x, np.int32).tolist() for x in sets]
+        self.set_of = np.array(named, np.int64)[order] if named else np.zeros(0, np.int64)
+        self.taken = np.zeros(len(self.a), bool)
+
+    def places(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of each window among those owned; -1 if it isn't."""
+        out = np.full(len(a), -1)
+        if not len(self.a):
+            return out
+        at = np.searchsorted(self.a, a)
+        left = np.flatnonzero(self.a[np.minimum(at, len(self.a) - 1)] == a)
+        at = at[left]
+        while len(left):  # several windows may have the first half in common
+            same = self.b[at] == b[left]
+            out[left[same]] = at[same]
+            left, at = left[~same], at[~same] + 1
+            more = at < len(self.a)
+            left, at = left[more], at[more]
+            more = self.a[at] == a[left]
+            left, at = left[more], at[more]
+        return out
+
+
+def phrases_of(texts: list[bytes | None], owned: Owned, window: int, mask: np.uint64) -> dict[int, list[bytes]]:
+    """By part the phrases that it needs: the words of runs of owned windows with the same holders, each window once."""
+    out: dict[int, list[bytes]] = {}
+    for first, end in blocks_of(texts) if len(owned.a) else ():
+        *lanes, counts = hashed_words(texts[first:end], 2)
+        inside = _inside(counts, window)
+        if not inside.any():
             continue
-        of = windows_of(hashes, window)
-        at = np.minimum(np.searchsorted(confirmed, of), len(confirmed) - 1)
-        found = inside & (confirmed[at] == of)
-        starts = np.cumsum(n) - n
-        for k in np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero(found), np.append(starts, len(hashes))))).tolist():
-            # The windows that no phrase has yet become phrases. They are dropped at once, so a window twice in this text is in one.
-            here = slice(starts[k], starts[k] + n[k] - window + 1)
-            new = found[here] & ~included[at[here]]
-            included[at[here][new]] = True
-            chosen[first + k] = new
+        at = owned.places(windows_of(lanes[0], window) & mask, windows_of(lanes[1], window, _OTHER))
+        at[~inside] = -1
+        starts = np.cumsum(counts) - counts
+        found = np.flatnonzero(at >= 0)
+        # Of each window its first place here, if no text before had it.
+        _, once = np.unique(at[found], return_index=True)
+        found = np.sort(found[once])
+        found = found[~owned.taken[at[found]]]
+        owned.taken[at[found]] = True
+        document = np.searchsorted(starts, found, side="right") - 1
+        # Texts without a word begin where the next does; the last of them has the words.
+        sets = owned.set_of[at[found]]
+        cut = np.flatnonzero((np.diff(found, prepend=-2) != 1) | (np.diff(sets, prepend=-1) != 0) | (np.diff(document, prepend=-1) != 0))
+        words, held = [], -1
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(found)]):
+            k = int(document[i])
+            if k != held:
+                words, held = words_of(texts[first + k]), k
+            here = int(found[i] - starts[k])
+            phrase = b" ".join(words[here : here + j - i + window - 1])
+            for part in owned.sets[int(sets[i])]:
+                out.setdefault(part, []).append(phrase)
+    return out
+
+
+def covered_words(texts: list[bytes | None], phrases: list[bytes], window: int):
+    """For each text its words, and which of them lie in `window` words that a phrase has too; None if none do."""
     vocabulary: dict[bytes, int] = {}
-    ids = {}
-    for k in chosen:
-        words = words_of(texts[k])
-        ids[k] = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words))
-    phrases = Phrases(window, len(vocabulary))
-    for k, new in chosen.items():
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], new, [False]]).view(np.int8)))
-        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            phrases.add(ids[k][start : end + window - 1])
-    phrases.compile()
-    return counts, {k: phrases.covered(of) for k, of in ids.items()}
-
-
-def remove_repeated(docs: DataFrame, text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """docs with n_words, n_removed and kept_text: the words outside windows that recur, joined by one space.
-
-    A window recurs if its words also start anywhere else, in the same text too. All columns of docs come
-    along unchanged; those it has of these three names are replaced. A null or empty text has no words and an
-    empty kept_text. Repeated rows are copies of each other, so they lose all windows. An empty table gives none.
-    """
-    spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_removed", "kept_text")
-    part = "part"
-    while part in docs.columns:
-        part += "_"
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    lists = [p.split(b" ") for p in phrases]
+    for words in lists:
+        for w in words:
+            vocabulary.setdefault(w, len(vocabulary) + 1)
+    of = Phrases(window, len(vocabulary) + 1)
+    for words in lists:
+        of.add(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
+    of.compile()
+    for text in texts:
+        words = words_of(text)
+        gone = None
+        if of.tiles and len(words) >= window:
+            ids = np.fromiter(map(vocabulary.get, words, itertools.repeat(0)), np.int64, len(words))
+            gone = of.covered(ids)
+        yield words, gone if gone is not None and gone.any() else None
+
+
+def _fresh(columns: list[str], name: str) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
+def _dealing(docs: DataFrame) -> Column:
+    """A hash of a row's values; what may hold a map goes by its JSON."""
+    plain = (F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes)
+    return F.xxhash64(*plain)
+
+
+def _located(docs: DataFrame, text: str, window: int, seed: int, bits: int) -> tuple[DataFrame, tuple[str, str, str]]:
+    """docs with three columns whose names they don't have: words, words removed, and the text that is kept."""
+    spark, mask = docs.sparkSession, np.uint64((1 << bits) - 1) << np.uint64(64 - bits)
+    part, *named = (_fresh(docs.columns, name) for name in ("_part", "_n_words", "_n_removed", "_kept"))
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    dealt = docs.withColumn(part, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map"))), F.lit(parts)).cast("int"))
+    dealt = docs.withColumn(part, F.pmod(_dealing(docs), F.lit(parts)).cast("int"))
 
     def anchors(table: pa.Table) -> pa.Table:
         found, texts = [], binaries(table.column(text))
         for first, end in blocks_of(texts):
-            seeds, inside, of = _anchors(*hashed_words(texts[first:end]), window, seed)
-            found.append(seeds[_among(seeds, np.unique(_changes(of[inside])))])
+            hashes, counts = hashed_words(texts[first:end])
+            seeds, inside, of = _anchors(hashes, counts, window, seed)
+            found.append(seeds[_among(seeds, np.unique(_changes(of[inside])))] & mask)
         return _dealt(_once_or_twice(found), table.column(part)[0].as_py(), parts)
 
     def windows(table: pa.Table, told: pa.Table) -> pa.Table:
-        known, found, texts = _gathered(told), [], binaries(table.column(text))
+        known, texts = np.sort(_joined(told.column("hashes"))), binaries(table.column(text))
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64),) * 2]
         for first, end in blocks_of(texts) if len(known) else ():
-            hashes, counts = hashed_words(texts[first:end])
-            _, inside, of = _anchors(hashes, counts, window, seed)
-            found.append(windows_of(hashes, window)[inside & _among(of, known)])
-        return _dealt(_once_or_twice(found), table.column(part)[0].as_py() if table.num_rows else 0, parts)
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+            *lanes, counts = hashed_words(texts[first:end], 2)
+            _, inside, of = _anchors(lanes[0], counts, window, seed)
+            some = inside & _among(of & mask, known)
+            if some.any():
+                found.append(((windows_of(lanes[0], window) & mask)[some], windows_of(lanes[1], window, _OTHER)[some]))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        # Each window once, or twice if it is there more than once.
+        third = np.zeros(len(a), bool)
+        third[2:] = (a[2:] == a[:-2]) & (b[2:] == b[:-2])
+        return _dealt(a[~third], table.column(part)[0].as_py() if table.num_rows else 0, parts, others=b[~third])
+
+    def phrases(table: pa.Table, told: pa.Table) -> pa.Table:
+        sent = phrases_of(binaries(table.column(text)), Owned(told), window, mask)
+        return pa.table({"part": pa.array(sent, pa.int32()), "phrases": pa.array([b"\n".join(x) for x in sent.values()], pa.binary())})
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(named, (T.LongType(), T.LongType(), T.StringType())))])
 
     def located(table: pa.Table, told: pa.Table) -> pa.Table:
-        texts = binaries(table.column(text))
-        counts, covered = covered_words(texts, _gathered(told), window)
-        kept = []
-        for k, t in enumerate(texts):
-            words = words_of(t)
-            if k in covered:
-                words = itertools.compress(words, (~covered[k]).tolist())
-            kept.append(b" ".join(words).decode("utf-8", "replace"))
+        counts, removed, kept = [], [], []
+        got = [p for x in told.column("phrases").to_pylist() for p in x.split(b"\n")]
+        for words, gone in covered_words(binaries(table.column(text)), got, window):
+            counts.append(len(words))
+            removed.append(0 if gone is None else int(gone.sum()))
+            kept.append(b" ".join(words if gone is None else itertools.compress(words, (~gone).tolist())).decode("utf-8", "replace"))
         out = table.drop_columns([part])
-        out = out.append_column("n_words", pa.array(counts, pa.int64()))
-        out = out.append_column("n_removed", pa.array([int(covered[k].sum()) if k in covered else 0 for k in range(len(texts))], pa.int64()))
-        return out.append_column("kept_text", pa.array(kept, pa.string()))
+        for name, values, kind in zip(named, (counts, removed, kept), (pa.int64(), pa.int64(), pa.string())):
+            out = out.append_column(name, pa.array(values, kind))
+        return out
 
-    # The three passes read the same exchange of documents, which Spark then makes once.
-    by_part = dealt.groupBy(part)
-    told = "part int, hashes binary"
-    recurring = by_part.applyInArrow(anchors, _SENT).groupBy("shard").applyInArrow(_recurring, told)
-    confirmed = by_part.cogroup(recurring.groupBy("part")).applyInArrow(windows, _SENT).groupBy("shard").applyInArrow(_recurring, told)
-    return by_part.cogroup(confirmed.groupBy("part")).applyInArrow(located, schema)
+    # The passes read the same exchange of documents, which Spark then makes once; it has as many partitions as
+    # there are parts, whatever the session says, and so have the exchanges of hashes.
+    by_part = dealt.repartition(parts, part).groupBy(part)
+    by_shard = lambda of: of.repartition(parts, "shard").groupBy("shard")
+    recurring = by_shard(by_part.applyInArrow(anchors, _SENT)).applyInArrow(_recurring, "part int, hashes binary")
+    owned = by_shard(by_part.cogroup(recurring.groupBy("part")).applyInArrow(windows, _PAIRS)).applyInArrow(_owners, _OWNED)
+    sent = by_part.cogroup(owned.groupBy("part")).applyInArrow(phrases, _PHRASES)
+    return by_part.cogroup(sent.groupBy("part")).applyInArrow(located, schema), tuple(named)
+
+
+def remove_repeated(docs: DataFrame, text: str = "text", window: int = WINDOW, seed: int = SEED, bits: int = 64) -> DataFrame:
+    """docs with n_words, n_removed and kept_text: the words outside windows that recur, joined by one space.
+
+    A window recurs if its words also start anywhere else, in the same text too. All columns of docs come
+    along unchanged; those it has of these three names are replaced. A null or empty text has no words and an
+    empty kept_text; a very long one is taken whole, by a task that holds it and its part. Repeated rows are
+    copies of each other, so they lose all windows. An empty table gives none. bits are those of the first half
+    of a hash, by which values are dealt; fewer make collisions, not errors.
+    """
+    out, named = _located(docs, text, window, seed, bits)
+    told = dict(zip(("n_words", "n_removed", "kept_text"), named))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in told), *(F.col(f"`{was}`").alias(name) for name, was in told.items()))
 
 
 def without_repeated(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """docs with what remains of their texts, and the length in characters set anew if there is such a column."""
-    out = remove_repeated(docs, text).withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), F.col("kept_text")))
-    if length in docs.columns:
-        out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs with what remains of their texts, and the length in characters set anew if there is such a column.
+
+    Every other column stays as it is, whatever its name. A null text stays null, one without words becomes empty.
+    Repeated rows lose what they share and stay; an empty table gives none.
+    """
+    out, (_, _, kept) = _located(docs, text, WINDOW, SEED, 64)
+    new = F.when(F.col(f"`{text}`").isNotNull(), F.col(f"`{kept}`"))
+    changed = {text: new} | ({length: F.length(new).cast(docs.schema[length].dataType)} if length in docs.columns else {})
+    return out.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

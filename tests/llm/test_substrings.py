@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,14 +33,19 @@ def test_sliding_min(items, size):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("aab"), max_size=40), max_size=5), st.integers(2, 6))
-def test_automaton_locates_whatever_recurs(texts, window):
+@given(st.lists(st.lists(st.sampled_from("aab"), max_size=40), max_size=5), st.integers(2, 6), st.sampled_from([64, 8]))
+def test_automaton_locates_whatever_recurs(texts, window, bits):
     joined = [" ".join(t).encode() for t in texts]
-    all_windows = [windows_of(hashed_words([t])[0], window) for t in joined]
-    different, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *all_windows]), return_counts=True)
-    n, covered = substrings.covered_words(joined, different[counts > 1], window)
-    want = brute([" ".join(t) for t in texts], window)
-    assert [(int(n[k]), int(covered[k].sum()) if k in covered else 0) for k in range(len(texts))] == [(a, b) for a, b, _ in want]
+    mask = np.uint64((1 << bits) - 1) << np.uint64(64 - bits)
+    *lanes, counts = hashed_words(joined, 2)
+    inside = substrings._inside(counts, window)
+    a, b = (windows_of(lanes[0], window) & mask)[inside[: max(0, len(lanes[0]) - window + 1)]], windows_of(lanes[1], window, substrings._OTHER)[inside[: max(0, len(lanes[0]) - window + 1)]]
+    group = pa.table({"part": pa.array([7], pa.int32()), "hashes": [a.tobytes()], "others": [b.tobytes()]})
+    owned = substrings.Owned(substrings._owners(group) if len(a) else group.slice(0, 0).append_column("sizes", pa.array([], pa.binary())).append_column("holders", pa.array([], pa.binary())))
+    sent = substrings.phrases_of(joined, owned, window, mask)
+    assert set(sent) <= {7}
+    got = [(len(w), 0 if gone is None else int(gone.sum())) for w, gone in substrings.covered_words(joined, sent.get(7, []), window)]
+    assert got == [(x, y) for x, y, _ in brute([" ".join(t) for t in texts], window)]
 
 
 @settings(max_examples=200, deadline=None)
@@ -78,11 +84,11 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("window,seed", [(35, 8), (10, 3)])
-def test_removal(spark, window, seed):
+@pytest.mark.parametrize("window,seed,bits", [(35, 8, 64), (10, 3, 64), (35, 8, 16), (10, 3, 6)])
+def test_removal(spark, window, seed, bits):
     texts = corpus()
     docs = spark.createDataFrame([(k, t, "other") for k, t in enumerate(texts)], "doc_id long, text string, part string")
-    rows = substrings.remove_repeated(docs, window=window, seed=seed).orderBy("doc_id").collect()
+    rows = substrings.remove_repeated(docs, window=window, seed=seed, bits=bits).orderBy("doc_id").collect()
     assert [(r.n_words, r.n_removed, r.kept_text) for r in rows] == brute(texts, window)
     assert all(r.part == "other" for r in rows)
 
@@ -103,3 +109,14 @@ def test_awkward_rows(spark, awkward, nothing):
     assert substrings.remove_repeated(nothing).count() == 0
     left = substrings.without_repeated(awkward)
     assert left.columns == awkward.columns and left.count() == len(AWKWARD)
+
+
+def test_columns_stay_as_they_are(spark):
+    words = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, words, 777, "mine", {"k": [{"m": 1}]}, 5), (2, words + " end", 778, "too", None, 6), (3, None, 1, None, {}, 7)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_words int, kept_text string, m map<string,array<map<string,int>>>, _part int")
+    left = substrings.without_repeated(docs)
+    assert left.dtypes == docs.dtypes
+    assert sorted(tuple(r) for r in left.collect()) == [(1, "", 777, "mine", {"k": [{"m": 1}]}, 5), (2, "end", 778, "too", None, 6), (3, None, 1, None, {}, 7)]
+    seen = substrings.remove_repeated(docs).orderBy("doc_id").collect()
+    assert [(r.n_words, r.kept_text, r._part) for r in seen] == [(50, "", 5), (51, "end", 6), (0, "", 7)]
