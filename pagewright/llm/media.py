@@ -29,17 +29,30 @@ UNIT = 192
 _HEADER = bytes((0xFF, 0xFA, 0x38, 0xC0))
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32) << np.uint32(8)
+    for _ in range(8):
+        table = np.where(table & 0x8000, table << 1 ^ 0x8005, table << 1) & 0xFFFF
+    return table.astype(np.uint16)
+
+
+_CRC = _crc_table()
+
+
+def checksums(rows: np.ndarray) -> np.ndarray:
+    """CRC-16 of MPEG audio of each row of bytes: polynomial 0x8005, start 0xFFFF, over the header's last two bytes and the side information."""
+    crc = np.full(len(rows), 0xFFFF, np.uint16)
+    for column in rows.T:
+        crc = (crc << np.uint16(8)) ^ _CRC[(crc >> np.uint16(8)) ^ column]
+    return crc
+
+
 @functools.lru_cache(4096)
 def checksum(data: bytes) -> int:
-    """CRC-16 of MPEG audio: polynomial 0x8005, start 0xFFFF, over the header's last two bytes and the side information."""
-    crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
-    return crc
+    return int(checksums(np.frombuffer(data, np.uint8)[None])[0])
 
 
+@functools.lru_cache(4096)
 def frame_size(header: bytes) -> int | None:
     """Bytes of the frame that begins with these four bytes; None if no MPEG-1 Layer III frame does."""
     if len(header) < 4 or header[0] != 0xFF or header[1] & 0xFE != 0xFA:
@@ -124,18 +137,17 @@ def _table(frame: bytes, at: int) -> tuple[int, int, bytes] | None:
     return None
 
 
-def _checked(data: bytes, at: int, n: int, size: int) -> int:
-    """Checksum errors of n frames of one size that stand one after the other and begin alike."""
-    head = data[at : at + 4]
-    if head[1] & 1:
-        return 0
-    width = 6 + side_bytes(head)
-    rows = np.frombuffer(data, np.uint8, n * size, at).reshape(n, size)[:, :width]
-    if (rows == rows[0]).all():
-        rows, times = rows[:1], n
-    else:
-        times = 1
-    return times * sum(checksum(bytes(r[2:4]) + bytes(r[6:])) != int(r[4]) << 8 | int(r[5]) for r in rows)
+def _crc_errors(data: bytes, offsets: np.ndarray) -> int:
+    """How many of the frames at these places have a checksum that isn't theirs."""
+    whole = np.frombuffer(data, np.uint8)
+    heads = whole[offsets[:, None] + np.arange(4)]
+    wrong = 0
+    for side, mono in ((17, True), (32, False)):
+        of = offsets[(heads[:, 1] & 1 == 0) & ((heads[:, 3] >> 6 == 3) == mono)]
+        rows = whole[of[:, None] + np.arange(6 + side)]
+        told = rows[:, 4].astype(np.uint16) << np.uint16(8) | rows[:, 5]
+        wrong += int((checksums(np.delete(rows[:, 2:], (2, 3), axis=1)) != told).sum())
+    return wrong
 
 
 def parse(data: bytes) -> Parsed:
@@ -144,32 +156,35 @@ def parse(data: bytes) -> Parsed:
     at, end = _id3v2(data, out.tags), len(data)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-    starts: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    lost = False
+    starts: list[int] = []
+    sizes: list[int] = []
+    lost, run = False, 1
     while at + 4 <= end:
         head = data[at : at + 4]
         size = frame_size(head)
         follows = size is not None and at + size <= end and (at + size == end or lost is False or frame_size(data[at + size : at + size + 4]) is not None)
         if not follows:
             out.resyncs += not lost
-            lost = True
+            lost, run = True, 1
             at = data.find(b"\xff", at + 1, end)
             if at < 0:
                 break
             continue
-        lost = False
-        most = (end - at) // size
-        heads = np.frombuffer(data, np.uint8, most * size, at).reshape(most, size)[:, :4]
-        differs = (heads != heads[0]).any(axis=1)
-        n = int(differs.argmax()) if differs.any() else most
-        starts.append(at + size * np.arange(n))
-        sizes.append(np.full(n, size))
+        lost, n = False, 1
+        # Frames that begin alike are taken together: up to twice as many as the last time, so little more is looked at than is taken.
+        most = min(run, (end - at) // size)
+        if most > 1:
+            heads = np.frombuffer(data, np.uint8, most * size, at).reshape(most, size)[:, :4]
+            differs = (heads != heads[0]).any(axis=1)
+            n = int(differs.argmax()) if differs.any() else most
+        run = 2 * n if n == most else 1
+        starts += range(at, at + n * size, size)
+        sizes += [size] * n
         out.rate = out.rate or RATES[head[2] >> 2 & 3]
-        out.crc_errors += _checked(data, at, n, size)
         at += n * size
     if starts:
-        out.offsets, out.sizes = np.concatenate(starts), np.concatenate(sizes)
+        out.offsets, out.sizes = np.array(starts, np.int64), np.array(sizes, np.int64)
+        out.crc_errors = _crc_errors(data, out.offsets)
         first = data[out.offsets[0] : out.offsets[0] + out.sizes[0]]
         out.table = _table(first, 4 + 2 * (not first[1] & 1) + side_bytes(first))
         if out.table is not None:  # that frame holds no sound
@@ -213,34 +228,63 @@ def media_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
-_FEATURES = struct_of("payload_bytes long,payload_sha256 string,tail_crc32 long,media_bytes long,media_sha256 string,feature string,duration_us long,seek_offsets binary")
+_INDEXED = struct_of("duration_us long,seek_offsets binary")
+
 
+def duration(parsed: Parsed) -> int:
+    """In microseconds, exact but for what is less than one."""
+    return 1_000_000 * parsed.samples // parsed.rate if parsed.rate else 0
 
-def features(media: bytes | None) -> tuple | None:
-    """Of a stored stream; None of null."""
+
+@F.arrow_udf(_INDEXED)
+def indexed(media: pa.Array) -> pa.Array:
+    rows = []
+    for m in media.to_pylist():
+        parsed = None if m is None else parse(m)
+        rows.append(None if parsed is None else {"duration_us": duration(parsed), "seek_offsets": parsed.offsets.astype("<u4").tobytes()})
+    return pa.array(rows, pa.struct([("duration_us", pa.int64()), ("seek_offsets", pa.binary())]))
+
+
+def with_index(media: DataFrame) -> DataFrame:
+    """The media table with duration_us and seek_offsets (the frames' places, little-endian u32), to be stored beside the streams.
+
+    They are null of a null stream, 0 and empty of one without a frame.
+    """
+    return media.withColumn("_i", indexed("media")).select(*media.columns, "_i.duration_us", "_i.seek_offsets")
+
+
+_FEATURES = struct_of("payload_bytes long,payload_sha256 string,tail_crc32 long,media_bytes long,media_sha256 string,feature string")
+
+
+def features(media: bytes | None, duration_us: int, seek_offsets: bytes) -> tuple | None:
+    """Of a stored stream, which must be as its stored duration and offsets say; None of null."""
     if media is None:
         return None
     parsed = parse(media)
+    if (duration(parsed), parsed.offsets.astype("<u4").tobytes()) != (duration_us, seek_offsets):
+        raise ValueError("a stream isn't what its stored duration and offsets say")
     payload = unpack(media, parsed)
-    seek = parsed.offsets.astype("<u4").tobytes()
-    duration = 1_000_000 * parsed.samples // parsed.rate if parsed.rate else 0
-    shown = f"frames={len(parsed.offsets)};samples={parsed.samples};rate={parsed.rate};crc_errors={parsed.crc_errors};resyncs={parsed.resyncs};table={parsed.table[0] if parsed.table else 0};seek={zlib.crc32(seek)}"
-    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), shown, duration, seek)
+    shown = f"frames={len(parsed.offsets)};samples={parsed.samples};rate={parsed.rate};crc_errors={parsed.crc_errors};resyncs={parsed.resyncs};table={parsed.table[0] if parsed.table else 0};seek={zlib.crc32(seek_offsets)}"
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), shown)
 
 
 @F.arrow_udf(_FEATURES)
-def featured(media: pa.Array) -> pa.Array:
-    rows = [features(m) for m in media.to_pylist()]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+def featured(media: pa.Array, durations: pa.Array, offsets: pa.Array) -> pa.Array:
+    rows = [features(*x) for x in zip(media.to_pylist(), durations.to_pylist(), offsets.to_pylist())]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     return pa.array([None if r is None else dict(zip(_FEATURES.names, r)) for r in rows], pa.struct(list(zip(_FEATURES.names, kinds))))
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """The media table with exact durations (microseconds), frame offsets (little-endian u32) and digests."""
-    return media.withColumn("f", featured("media")).select("doc_id", "n_bytes", "f.*")
+    """(doc_id, n_bytes, digests, feature, duration_us, seek_offsets) of a table of with_index: what the streams hold.
+
+    A null stream has null features. Very long streams are read whole, one at a time. Rows that repeat are read
+    each, an empty table gives none; other columns are left out.
+    """
+    return media.withColumn("f", featured("media", "duration_us", "seek_offsets")).select("doc_id", "n_bytes", "f.*", "duration_us", "seek_offsets")
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents stored as streams in the shared folder; what is returned comes from the stored bytes."""
-    stored = written(media_table(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
-    return media_features(stored).drop("duration_us", "seek_offsets")
+    """All documents stored as streams with their durations and seek offsets; what is returned comes from what is stored."""
+    media = with_index(media_table(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return media_features(written(media, "media"))

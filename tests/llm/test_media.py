@@ -48,6 +48,47 @@ def test_frames_of_several_sizes():
     assert parsed.samples == 5 * 1152
 
 
+def test_many_frames_of_alternating_size():
+    import time
+
+    frames = b"".join(bytes((0xFF, 0xFA, 0x90 | pad << 1, 0xC0)) + bytes((417 if not pad else 418) - 4) for pad in (0, 1)) * 50_000
+    start = time.perf_counter()
+    parsed = media.parse(frames)
+    assert time.perf_counter() - start < 2
+    assert len(parsed.offsets) == 100_000 and parsed.crc_errors == 100_000 and media.duration(parsed) == 1_000_000 * 1152 * 100_000 // 44_100
+    assert parsed.offsets.tolist() == [k // 2 * 835 + k % 2 * 417 for k in range(100_000)]
+
+
+def bit_by_bit(data):
+    """The checksum as the standard has it, one bit after the other."""
+    register = 0xFFFF
+    for bit in "".join(f"{b:08b}" for b in data):
+        carry = register >> 15 ^ int(bit)
+        register = register << 1 & 0xFFFF ^ (0x8005 if carry else 0)
+    return register
+
+
+@given(st.binary(min_size=1, max_size=34))
+def test_checksum(data):
+    assert media.checksum(data) == bit_by_bit(data)
+
+
+def test_seeking_by_the_stored_offsets(spark):
+    texts = ["a" * 1000, "short", None]
+    stored = media.with_index(media.media_table(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))).collect()
+    for r, text in zip(sorted(stored, key=lambda r: r.doc_id), texts):
+        offsets = [int.from_bytes(r.seek_offsets[k : k + 4], "little") for k in range(0, len(r.seek_offsets), 4)]
+        units = b"".join(bytes(r.media[o + 23 : o + 23 + 192]) for o in offsets)
+        assert units == media.padded((text or "").encode()) and all(r.media[o : o + 2] == b"\xff\xfa" for o in offsets)
+        assert r.duration_us == len(offsets) * 36_000
+
+
+def test_a_stream_that_its_index_does_not_fit(spark):
+    rows = media.with_index(media.media_table(spark.createDataFrame([(1, "text")], "doc_id int, text string"))).selectExpr("doc_id", "n_bytes", "media", "duration_us + 1 AS duration_us", "seek_offsets")
+    with pytest.raises(Exception, match="stored duration"):
+        media.media_features(rows).collect()
+
+
 def test_nothing_to_parse():
     for data in (b"", b"ID3", b"\xff" * 50, b"TAG" + bytes(125)):
         assert not len(media.parse(data).offsets)
@@ -69,7 +110,7 @@ def test_documents(spark):
 def test_awkward_rows(spark, awkward, nothing):
     from .conftest import AWKWARD
 
-    rows = check(spark, AWKWARD, media.media_features(media.media_table(awkward)))
+    rows = check(spark, AWKWARD, media.media_features(media.with_index(media.media_table(awkward))))
     assert len(rows) == len(AWKWARD) and all(r.duration_us == r.payload_bytes // 192 * 36_000 for r in rows)
     assert len({(r.media_sha256, r.feature) for r in rows if r.doc_id == 1}) == 1
-    assert media.media_features(media.media_table(nothing)).count() == 0
+    assert media.media_features(media.with_index(media.media_table(nothing))).count() == 0
