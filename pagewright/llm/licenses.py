@@ -35,20 +35,11 @@ class Template:
     base: bool = False
 
 
-#: The wording that the registered SQL holds; it is looser and shorter than TEMPLATES, and gives the same rows on the given tables.
-CONTRACT: tuple[Template, ...] = (
+#: Phrases and labels of the contract, of which every place counts.
+BASE: tuple[Template, ...] = (
     Template("mit", "under the mit license", base=True),
     Template("apache-2", "apache license version 2", base=True),
     Template("cc-by-nc", "cc by nc", base=True),
-    Template("mit", "<<optional>>released<<end>> <<optional>>licensed<<end>> under the <<optional>>terms of the<<end>> mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    Template("apache-2", "licensed under the apache license <<optional>>version<<end>> 2 <<optional>>0<<end>> <<optional>>the license<<end>>"),
-    Template("cc-by-nc", "licensed under <<optional>>a<<end>> <<optional>>creative commons<<end>> cc by nc <<var 0-2>>"),
-    Template("cc-by-nc", "creative commons attribution <<optional>>non commercial<<end>> <<optional>>noncommercial<<end>> <<var 0-1>> license"),
-    Template("gpl-3", "licensed under the gnu general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version 3 <<optional>>of the license<<end>> <<optional>>or at your option any later version<<end>>"),
-    Template("gpl-2", "licensed under the gnu general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version 2 <<optional>>of the license<<end>> <<optional>>or at your option any later version<<end>>"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 )
 
 #: Wording of public license notices, in full.
@@ -77,33 +68,96 @@ _ISC = (
 )
 
 
-def _gpl(n: int) -> Iterator[Template]:
-    for begin in ("licensed under <<optional>>the terms of<<end>>", "under the terms of"):
-        begin += " the gnu general public license <<optional>>gpl<<end>> <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>>"
-        yield Template(f"gpl-{n}", f"{begin} version {n} <<optional>>of the license<<end>> <<optional>>or at your option any later version<<end>>")
-        yield Template(f"gpl-{n}", f"{begin} v{n}")
+_0BSD = (
+    "permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted "
+    "the software is provided as is and <<var 1-20>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall <<var 1-20>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+_ZLIB = (
+    "this software is provided as is without any express or implied warranty in no event will <<var 1-20>> be held liable for any damages arising from the use of this software "
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+    "<<var 0-1>> the origin of this software must not be misrepresented you must not claim that you wrote the original software "
+    "if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+    "<<var 0-1>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+    "<<var 0-1>> this notice may not be removed or altered from any source distribution"
+)
+_UNLICENSE = (
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+    "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
+)
+_BOOST = (
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
+    "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so "
+    "all subject to the following"
+)
+_POSTGRESQL = (
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted "
+    "provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"
+)
+_MPL = (
+    "this source code form is subject to the terms of the mozilla public license v 2 0 "
+    "if a copy of the mpl was not distributed with this file you can obtain one at <<optional>>http<<end>> <<optional>>https<<end>> mozilla org mpl 2 0"
+)
+_APACHE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+    "<<optional>>http<<end>> <<optional>>https<<end>> www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+    "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
+)
+_CC0 = "to the extent possible under law <<var 1-30>> <<optional>>has<<end>> <<optional>>have<<end>> waived all copyright and related or neighboring rights to <<var 1-1>>"
 
 
-def _by_nc() -> Iterator[Template]:
-    # The version follows at once, so that NonCommercial-ShareAlike and -NoDerivatives are other licenses.
-    for word in ("non commercial", "noncommercial"):
-        yield Template("cc-by-nc", f"creative commons attribution {word} <<optional>>international<<end>> <<optional>>unported<<end>> <<optional>>generic<<end>> <<optional>>public<<end>> license")
+def _gnu(label: str, name: str, version: str) -> Iterator[Template]:
+    later = "<<optional>>of the license<<end>> <<optional>>only<<end>> <<optional>>or at your option any later version<<end>>"
+    for begin in ("licensed under <<optional>>the terms of<<end>>", "under the terms of"):
+        begin += f" the gnu {name} <<optional>>gpl<<end>> <<optional>>lgpl<<end>> <<optional>>agpl<<end>> <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>>"
+        yield Template(label, f"{begin} version {version} {later}")
+        yield Template(label, f"{begin} v{version}")
+
+
+def _creative_commons() -> Iterator[Template]:
+    """Each kind by its name with a version, and in short. What follows the kind is fixed, so that none is taken for a longer one."""
+    kinds = {
+        "cc-by": ("by", ("",)), "cc-by-sa": ("by sa", ("sharealike", "share alike")), "cc-by-nd": ("by nd", ("noderivatives", "no derivatives", "noderivs")),
+        "cc-by-nc": ("by nc", ("noncommercial", "non commercial")), "cc-by-nc-sa": ("by nc sa", ("noncommercial sharealike", "non commercial share alike")),
+        "cc-by-nc-nd": ("by nc nd", ("noncommercial noderivatives", "non commercial no derivatives", "noncommercial noderivs")),
+    }
+    for label, (short, names) in kinds.items():
         for version in ("1 0", "2 0", "2 1", "2 5", "3 0", "4 0"):
-            yield Template("cc-by-nc", f"creative commons attribution {word} <<optional>>version<<end>> {version} <<var 0-3>> license")
+            yield Template(label, f"licensed under <<optional>>a<<end>> <<optional>>creative commons<<end>> cc {short} {version}")
+            for name in names:
+                yield Template(label, f"creative commons attribution {name} <<optional>>version<<end>> {version} <<var 0-3>> license")
+        for name in names:
+            yield Template(label, f"creative commons attribution {name} <<optional>>international<<end>> <<optional>>unported<<end>> <<optional>>generic<<end>> <<optional>>public<<end>> license")
 
 
-#: Phrases and labels of the contract, and the wording of public license notices.
+#: The wording of public license notices.
 TEMPLATES: tuple[Template, ...] = (
-    *(t for t in CONTRACT if t.base),
-    Template("mit", "<<optional>>released<<end>> <<optional>>licensed<<end>> under the <<optional>>terms of the<<end>> mit license"),
+    *BASE,
+    *(Template("mit", f"{verb} under the <<optional>>terms of the<<end>> mit license") for verb in ("released", "licensed", "distributed", "available")),
     Template("mit", _MIT),
     Template("apache-2", "licensed under the apache license <<optional>>version<<end>> 2 <<optional>>0<<end>> <<optional>>the license<<end>>"),
-    Template("cc-by-nc", "licensed under <<optional>>a<<end>> <<optional>>creative commons<<end>> cc by nc <<var 0-2>>"),
-    *_by_nc(),
-    *_gpl(3),
-    *_gpl(2),
+    Template("apache-2", _APACHE),
+    *_creative_commons(),
+    Template("cc0", _CC0),
+    *_gnu("gpl-2", "general public license", "2"),
+    *_gnu("gpl-3", "general public license", "3"),
+    *_gnu("lgpl-2.1", "lesser general public license", "2 1"),
+    *_gnu("lgpl-3", "lesser general public license", "3"),
+    *_gnu("agpl-3", "affero general public license", "3"),
+    Template("mpl-2", _MPL),
+    Template("epl-2", "made available under the terms of the eclipse public license <<optional>>version<<end>> <<optional>>v<<end>> 2 0"),
+    Template("eupl-1.2", "licensed under the eupl <<optional>>version<<end>> 1 2"),
+    Template("ofl-1.1", "this font software is licensed under the sil open font license version 1 1"),
+    Template("artistic-2", "under the <<optional>>terms of the<<end>> artistic license <<optional>>version<<end>> 2 0"),
+    Template("boost-1", "distributed under the boost software license version 1 0"),
+    Template("boost-1", _BOOST),
     Template("bsd", _BSD),
     Template("isc", _ISC),
+    Template("0bsd", _0BSD),
+    Template("zlib", _ZLIB),
+    Template("unlicense", _UNLICENSE),
+    Template("postgresql", _POSTGRESQL),
 )
 
 
@@ -238,7 +292,7 @@ def scanned(templates: tuple[Template, ...] = TEMPLATES):
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score): a row for each row of docs.
 
-    A null text is empty: no words, no labels, score 0. score is 1 where a whole template is accepted, 0.5
+    Very long texts are scanned whole, word by word; other columns are ignored. A null text is empty: no words, no labels, score 0. score is 1 where a whole template is accepted, 0.5
     where only a base phrase stands, else 0. Repeated rows are scanned each; an empty table gives none.
     """
     return docs.select(F.col(doc_id).alias("doc_id"), scanned(templates)(F.col(text)).alias("s")).select("doc_id", "s.*")
@@ -248,38 +302,49 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _pattern(markup: str) -> str:
-    """The template as a regular expression over words that have a space on either side."""
-    out, end = "", 0
-    words = lambda part: "".join(f" {w.decode()} " for w in words_of(part.encode()))
-    for mark in _MARK.finditer(markup):
-        out += words(markup[end : mark.start()])
-        out += "(?:" if mark[1] == "optional" else ")?" if mark[1] == "end" else f"(?: [^ ]+ ){{{mark[2]},{mark[3]}}}"
-        end = mark.end()
-    return out + words(markup[end:])
-
-
-def oracle(templates: tuple[Template, ...] = CONTRACT) -> str:
-    base = [(t.label, _pattern(t.markup)) for t in templates if t.base]
-    own = [(t.label, _pattern(t.markup)) for t in templates if not t.base]
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    labels = lambda pairs: "[" + ", ".join(f"CASE WHEN regexp_matches(s, '{p}') THEN '{label}' END" for label, p in pairs) + "]"
-    joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter({x}, lambda v: v IS NOT NULL))), ',')"
-    first = lambda p: f"CASE WHEN strpos(s, '{p}') > 0 THEN (strpos(s, '{p}') - 1) - length(replace(left(s, strpos(s, '{p}') - 1), ' ', '')) END"
-    before = lambda p: f"left(s, length(s) - length(list_last(string_split(s, '{p}'))) - {len(p)})"
-    last = lambda p: f"CASE WHEN strpos(s, '{p}') > 0 THEN length({before(p)}) - length(replace({before(p)}, ' ', '')) END"
-    return f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
-n AS (SELECT doc_id, len(ws) AS n_words, ' ' || array_to_string(ws, '  ') || ' ' AS s FROM w)
-SELECT doc_id, n_words::BIGINT AS n_words,
-       ({' + '.join(f"(length(s) - length(replace(s, '{p}', ''))) // {len(p)}" for _, p in base)})::BIGINT AS n_base,
-       (least({', '.join(first(p) for _, p in base)}) // 2)::BIGINT AS first_word,
-       (greatest({', '.join(last(p) for _, p in base)}) // 2)::BIGINT AS last_word,
-       {joined(labels(base))} AS base_labels, {joined(labels([*base, *own]))} AS labels,
-       CASE WHEN len(list_filter({labels(own)}, lambda v: v IS NOT NULL)) > 0 THEN 1.0
-            WHEN len(list_filter({labels(base)}, lambda v: v IS NOT NULL)) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
-FROM n
-"""
+#: What SQL takes for a notice, written for itself: short ones in full, bodies by their first and last sentences.
+_NOTICES = (
+    ("mit", "(released|licensed|distributed|available) under the (terms of the )?mit license"),
+    ("apache-2", "licensed under the apache license (version )?2"),
+    ("cc-by", "(licensed under (a )?(creative commons )?cc by [1-4] [015]|creative commons attribution (version )?[1-4] [015] ([^ ]+ ){0,3}license|creative commons attribution (international |unported |generic |public )?license)"),
+    ("cc-by-sa", "(licensed under (a )?(creative commons )?cc by sa [1-4] [015]|creative commons attribution share ?alike (version )?[1-4] [015] ([^ ]+ ){0,3}license|creative commons attribution share ?alike (international |unported |generic |public )?license)"),
+    ("cc-by-nc", "(licensed under (a )?(creative commons )?cc by nc [1-4] [015]|creative commons attribution non ?commercial (version )?[1-4] [015] ([^ ]+ ){0,3}license|creative commons attribution non ?commercial (international |unported |generic |public )?license)"),
+    ("gpl-2", "(licensed under|under the terms of) (the terms of )?the gnu general public license (gpl )?(as published by the free software foundation )?(either )?(version 2|v2)"),
+    ("gpl-3", "(licensed under|under the terms of) (the terms of )?the gnu general public license (gpl )?(as published by the free software foundation )?(either )?(version 3|v3)"),
+    ("lgpl-3", "(licensed under|under the terms of) (the terms of )?the gnu lesser general public license (lgpl )?(as published by the free software foundation )?(either )?(version 3|v3)"),
+    ("agpl-3", "(licensed under|under the terms of) (the terms of )?the gnu affero general public license (agpl )?(as published by the free software foundation )?(either )?(version 3|v3)"),
+    ("boost-1", "distributed under the boost software license version 1 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and .* or the use or other dealings in the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted .* even if advised of the possibility of such damage"),
+    ("isc", "permission to use copy modify and (or )?distribute this software .* appear in all copies the software is .* the use or performance of this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone .* and by any means"),
+)
+
+_PHRASES = [(t.label, "".join(f" {w} " for w in t.markup.split())) for t in BASE]
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
+def _labels_sql(pairs: list[tuple[str, str]]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{label}' END" for label, test in pairs) + "], lambda v: v IS NOT NULL)"
 
-ORACLE = oracle()
+
+def _spaces_before(p: str, first: bool) -> str:
+    head = f"left(s, strpos(s, '{p}') - 1)" if first else f"left(s, length(s) - length(list_last(string_split(s, '{p}'))) - {len(p)})"
+    return f"CASE WHEN strpos(s, '{p}') > 0 THEN length({head}) - length(replace({head}, ' ', '')) END"
+
+
+# s has two spaces between words, so that phrases that touch are both found; t has one.
+ORACLE = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+n AS (SELECT doc_id, len(ws) AS n_words, ' ' || array_to_string(ws, '  ') || ' ' AS s, ' ' || array_to_string(ws, ' ') || ' ' AS t FROM w),
+f AS (SELECT *, {_labels_sql([(label, f"strpos(s, '{p}') > 0") for label, p in _PHRASES])} AS base,
+             {_labels_sql([(label, f"regexp_matches(t, ' {p} ')") for label, p in _NOTICES])} AS own FROM n)
+SELECT doc_id, n_words::BIGINT AS n_words,
+       ({' + '.join(f"(length(s) - length(replace(s, '{p}', ''))) // {len(p)}" for _, p in _PHRASES)})::BIGINT AS n_base,
+       (least({', '.join(_spaces_before(p, True) for _, p in _PHRASES)}) // 2)::BIGINT AS first_word,
+       (greatest({', '.join(_spaces_before(p, False) for _, p in _PHRASES)}) // 2)::BIGINT AS last_word,
+       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, own))), ',') AS labels,
+       CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM f
+"""
