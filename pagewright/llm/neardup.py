@@ -8,8 +8,10 @@
    crowded ones in blocks, pairs of blocks to a task, where signatures are compared in place.
 3. Documents of a region whose signatures agree in at least half the places form clusters. Documents that are similar
    enough share a region in some tree up to a chance of 1e-8 (similarity 0.85; 1e-5 at 0.8), so linked documents are in one cluster.
-4. Within a cluster all sets meet, and links are exact. Large clusters are dealt into blocks, and pairs of
-   blocks to tasks, so that a task holds two blocks at most; links come back as a spanning forest.
+4. The forest's own pairs are tried on whole sets first, and what is linked becomes one. Within a cluster then
+   all sets meet but those of its largest part among themselves. Large clusters are dealt into blocks, and pairs
+   of blocks to tasks, so that a task holds two blocks at most; links come back as a spanning forest. A set is
+   computed once.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.llm.graph import components
 from pagewright.llm.shared import WordHashes, binaries, grouped, mixed, windows_of, words_of, written
@@ -29,6 +32,8 @@ PERMUTATIONS, TREES, DEPTH = 128, 40, 5
 SMALL, CROWD = 8, 2048
 #: Documents, and shingles of all of them, in a block.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Pairs with one document in common that are tried together.
+TRIED = 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -227,18 +232,65 @@ def _sets(size: int):
                 part = batch.slice(k, 256)
                 sets = [shingle_set(t, size, hashes) for t in texts[k : k + 256]]
                 right = [set_class(s) == c for s, c in zip(sets, part.column("class").to_pylist())]
-                out = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "pair", "node")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "pair", "node", "shingles"])
+                out = pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
                 yield out.filter(pa.array(right, pa.bool_()))
 
     return run
 
 
+def _alike(percent: int):
+    """Whether two sets are linked, by one after the other."""
+
+    @F.arrow_udf(T.BooleanType())
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = np.concatenate([x, y])
+            both.sort(kind="stable")
+            shared = int((both[1:] == both[:-1]).sum())
+            out.append(100 * shared >= percent * (len(x) + len(y) - shared))
+        return pa.array(out, pa.bool_())
+
+    return run
+
+
+def _tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are linked. A document of very many pairs has its set sent once for TRIED of them."""
+    times = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TRIED).cast("int").alias("times"))
+    dealt = pairs.join(times, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("times")).cast("int").alias("turn"))
+    first = times.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("turn")).join(sets, "node")
+    first = first.select(F.col("node").alias("a"), "turn", F.col("shingles").alias("sa"))
+    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    met = dealt.hint("merge").join(first.hint("merge"), ["a", "turn"]).hint("merge").join(second.hint("merge"), "b")
+    return met.where(_alike(percent)("sa", "sb")).select("a", "b")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(cluster, pair, node): the pairs of blocks in which documents meet, of (node, cluster, part, n).
+
+    The largest part of a cluster is linked already, so its blocks meet those of the rest; these meet each other
+    too. A cluster of one part meets nowhere.
+    """
+    parts = members.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("items"))
+    largest = parts.groupBy("cluster").agg(F.max(F.struct("docs", "part")).alias("l"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    told = members.join(largest.select("cluster", F.col("l.part").alias("largest")), "cluster").withColumn("main", F.col("part") == F.col("largest"))
+    blocks = lambda of: F.greatest(F.ceil(F.count_if(of) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    sizes = told.groupBy("cluster").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("rests"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    placed = told.join(sizes, "cluster").withColumn("own", own)
+    # A pair of the rest's blocks is x * 2^31 + y, one of the rest's block x and the largest part's y is negative.
+    across = "transform(sequence(0, {n} - 1), y -> -1L - ({rest} * 2147483648L + {main}))"
+    among = "transform(sequence(0, rests - 1), y -> least(y, own) * 2147483648L + greatest(y, own))"
+    pairs = F.when(F.col("main"), F.expr(across.format(n="rests", rest="y", main="own"))).otherwise(F.concat(F.expr(across.format(n="mains", rest="own", main="y")), F.expr(among)))
+    return placed.select("cluster", F.explode(pairs).alias("pair"), "node")
+
+
 def _linked(percent: int):
     def run(batches):
         for group in grouped(batches, ["cluster", "pair"]):
-            held = dict(zip(group.column("node").to_pylist(), group.column("shingles").to_pylist()))
-            nodes = sorted(held)
-            found = spanning([np.frombuffer(held[x], np.uint64) for x in nodes], percent)
+            nodes = group.column("node").to_pylist()
+            found = spanning([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], percent)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
 
@@ -259,24 +311,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     named = signed.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(named.groupBy("class").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("trees").alias("trees")), "classes")
 
-    clusters = components(candidates(classes)).withColumnRenamed("component", "cluster")
-
+    pairs = written(candidates(classes).distinct(), "pairs")
+    clusters = components(pairs).withColumnRenamed("component", "cluster")
     members = written(classes.select("node", "class").join(clusters, "node").join(named.groupBy("class").agg(F.max("n_shingles").alias("n")), "class"), "members")
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # The pairs of blocks that a document's block is in: as many as there are blocks.
-    dealt = members.join(sizes, "cluster").select("node", "class", "cluster", "blocks", block.alias("block"))
-    dealt = dealt.select("node", "class", "cluster", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> least(x, block) * 1000000L + greatest(x, block))")).alias("pair"))
-    # Sorted and merged whatever the size: the table of clusters grows with the documents.
-    told = rows.hint("merge").join(dealt, rows.doc_id == dealt.node).select("cluster", "pair", "node", "class", "text")
-    sets = told.mapInArrow(_sets(size), "cluster long, pair long, node long, shingles binary")
-    met = sets.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair")
-    links = met.mapInArrow(_linked(percent), "a long, b long")
-    found = components(links)
+    # Sorted and merged whatever the size: the table of members grows with the documents.
+    told = rows.hint("merge").join(members.select("node", "class"), rows.doc_id == F.col("node")).select("node", "class", "text")
+    sets = written(told.distinct().mapInArrow(_sets(size), "node long, shingles binary"), "sets")
+
+    links = written(_tried(pairs, sets, percent), "links")
+    parts = components(links).withColumnRenamed("component", "part")
+    kept = members.groupBy("node", "cluster").agg(F.sum("n").alias("n")).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    left = _blocks(kept).hint("merge").join(sets.hint("merge"), "node").select("cluster", "pair", "node", "shingles")
+    met = left.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair")
+    found = components(links.unionAll(met.mapInArrow(_linked(percent), "a long, b long")))
 
     reached = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
-    # Classes of one document with several texts are one node, whatever its texts.
-    out = signed.join(reached, "class", "left")
+    # Classes of one document with several texts are one node, whatever its texts. Documents without words have no class to meet by.
+    plain = signed.select("doc_id", "n_shingles", "class")
+    out = plain.where("class IS NOT NULL").join(reached, "class", "left").select("doc_id", "n_shingles", "component")
+    out = out.unionAll(plain.where("class IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.least(F.coalesce("component", "doc_id"), "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -305,3 +358,16 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: three words to a shingle, similarity 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=85)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') AS shingle FROM w, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) AS u(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id, w.doc_id <= coalesce(c.least, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id
+"""

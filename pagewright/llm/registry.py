@@ -27,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": substrings.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
         "op8_warc_bundles": warc.ORACLE,
+        "op9_minhash_near_dedup": neardup.ORACLE,
     }

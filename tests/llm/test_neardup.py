@@ -84,9 +84,54 @@ def test_groups_at_the_threshold(spark, monkeypatch):
     for size, percent in ((3, 85), (5, 80)):
         assert got(neardup.near_duplicates(docs, size, percent)) == brute(rows, size, percent)
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "TRIED", 2)
     assert got(neardup.near_duplicates(docs, 3, 85)) == brute(rows, 3, 85)
 
 
+def test_chains_within_one_cluster(spark, monkeypatch):
+    """A family whose neighbours are alike while its ends are not: parts of a cluster must meet across blocks."""
+    rng = random.Random(9)
+    line = [f"c{k}" for k in range(400)]
+    rows = [(n, " ".join(line[4 * n : 4 * n + 100])) for n in range(60)] + [(100 + n, " ".join(line[4 * n : 4 * n + 100][::-1])) for n in range(20)]
+    rows += [(200 + n, " ".join([*line[:100], *(f"r{n}.{k}" for k in range(rng.choice((3, 9, 40, 60))))])) for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 1, 85)
+    assert got(neardup.near_duplicates(docs, 1, 85)) == want and len({c for _, _, c, _ in want}) > 10
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    monkeypatch.setattr(neardup, "TRIED", 3)
+    assert got(neardup.near_duplicates(docs, 1, 85)) == want
+
+
+def test_several_texts_of_one_document(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, None), (4, "")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).select("doc_id", "component_id").distinct().collect()
+    assert sorted(map(tuple, out)) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    df = neardup.op9_minhash_near_dedup(spark, "/root/testdata/sf0.01")
+    want = con.sql(neardup.ORACLE).select(", ".join(df.columns)).fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_crowded_regions_lose_nothing(spark):
+    """What the forest finds of linked pairs where thousands share a frame: all, in families around the threshold."""
+    rng = random.Random(2)
+    frame = [f"f{k}" for k in range(120)]
+    rows = []
+    for family in range(150):
+        own = [f"o{family}.{k}" for k in range(60)]
+        for copy in range(4):
+            rows.append((len(rows), " ".join([*frame, *own, *(f"n{family}.{copy}.{k}" for k in range(rng.randrange(4, 22)))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(neardup.near_duplicates(docs, 1, 85)) == brute(rows, 1, 85)
+
+
 def test_awkward_rows(spark, awkward, nothing):
     from .conftest import AWKWARD
 
