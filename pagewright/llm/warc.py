@@ -14,6 +14,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 import xxhash
@@ -22,9 +23,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import binaries, new_folder
+from pagewright.llm.shared import binaries, new_folder, spread
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 256 << 20, 3
+#: Frames of a bundle that are read together.
+READ = 64
 #: Payloads of fewer bytes are always stored.
 LEAST_PAYLOAD = 100
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -87,13 +90,18 @@ class BundleReader:
         return data
 
 
+def _broken(value: str) -> bool:
+    return "\r" in value or "\n" in value
+
+
 def _header(value: str) -> str:
-    """A header's value: what would end its line is percent-encoded."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in value or "\n" in value else value
+    """A header's value: what would end its line is percent-encoded, and then every % too."""
+    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if _broken(value) else value
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"urn:x-page:{'' if page_id is None else page_id}:{digest}"
+def record_id(page_id: int | None, digest: str, again: int | None = None) -> str:
+    """A record's identifier; `again` tells rows with one page and payload apart."""
+    return f"urn:x-page:{'' if page_id is None else page_id}:{digest}{'' if again is None else f':{again}'}"
 
 
 def page_of(identifier: str) -> int | None:
@@ -101,12 +109,14 @@ def page_of(identifier: str) -> int | None:
     return int(page) if page else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, again: int | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """A WARC/1.1 record: a response with its payload, or a revisit of refers_to's with the HTTP head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    lines = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id(page_id, digest)}>", f"WARC-Date: {date}"]
+    lines = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id(page_id, digest, again)}>", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_header(url)}")
+        if _broken(url):
+            lines.append("X-Target-URI-Encoding: percent")
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <{record_id(refers_to, digest)}>", f"WARC-Profile: {_PROFILE}"]
@@ -130,6 +140,8 @@ def parse(data: bytes) -> Read:
         raise ValueError("no WARC record here")
     fields = lambda of: {k.lower(): v for k, v in (line.split(": ", 1) for line in of)}
     headers = fields(lines)
+    if headers.get("x-target-uri-encoding") == "percent":
+        headers["warc-target-uri"] = unquote(headers["warc-target-uri"])
     block = rest[: int(headers["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     return Read(headers, fields(http.decode().split("\r\n")[1:]), payload)
@@ -140,16 +152,16 @@ def _write(folder: str):
         system, path = fs.FileSystem.from_uri(folder)
         writer, name, rows, n = None, "", [], 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("page_id", "url")], binaries(batch.column("html")), [batch.column(c).to_pylist() for c in ("digest", "refers_to")]
-            for page_id, url, html, digest, refers_to in zip(*columns[0], columns[1], *columns[2]):
+            columns = [batch.column(c).to_pylist() for c in ("page_id", "url")], binaries(batch.column("html")), [batch.column(c).to_pylist() for c in ("digest", "refers_to", "again")]
+            for page_id, url, html, digest, refers_to, again in zip(*columns[0], columns[1], *columns[2]):
                 if writer is None:
                     system.create_dir(path, recursive=True)
                     # A name that no other attempt at this task has; only the index tells which files count.
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     writer = BundleWriter(system.open_output_stream(posixpath.join(path, name), compression=None))
-                data = record(page_id, url, html or b"", digest, refers_to)
+                data = record(page_id, url, html or b"", digest, refers_to, again)
                 frame, offset = writer.add(data)
-                rows.append((record_id(page_id, digest), name, frame, offset, len(data)))
+                rows.append((record_id(page_id, digest, again), name, frame, offset, len(data)))
                 if writer.size > BUNDLE_BYTES:
                     writer.close()
                     writer = None
@@ -183,16 +195,24 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     Of rows with equal payloads of LEAST_PAYLOAD bytes or more that with the smallest page_id is a response,
     and those with larger ones are revisits of it. Rows that repeat the smallest page_id are responses too,
     and so are rows without page_id unless a row with one has their payload. A null html is an empty payload,
-    a null url leaves its header out. An empty table leaves an empty index.
+    a null url leaves its header out; a very long payload has a frame of its own. Rows that repeat page and
+    payload have identifiers of their own, by their place in the table. An empty table leaves an empty index; other
+    columns are ignored.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
     rows = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
     # Only identifiers and digests meet by digest; first a minimum for each, so that one digest of very many pages is small.
     known = rows.where(F.octet_length("html") >= LEAST_PAYLOAD).select("page_id", "digest")
     first = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
-    again = known.join(first, "digest").where("page_id IS NULL OR page_id > refers_to").distinct()
-    joined = rows.hint("merge").join(again.withColumnRenamed("page_id", "p").withColumnRenamed("digest", "d"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    ordered = joined.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id")
+    copies = known.join(first, "digest").where("page_id IS NULL OR page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    # The first row of a page and payload has the plain identifier; only those that repeat are told apart.
+    twice = rows.groupBy("page_id", "digest").agg(F.min("place").alias("plain"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    for extra in (copies, twice):
+        extra = extra.withColumnsRenamed({"page_id": "p", "digest": "d"})
+        rows = rows.hint("merge").join(extra, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
+    again = F.when(F.col("place") != F.col("plain"), F.col("place")).alias("again")
+    ordered = rows.select("page_id", "url", "html", "digest", "refers_to", again).sortWithinPartitions("page_id")
     ordered.mapInArrow(_write(f"{folder}/bundles"), _INDEX).write.option("compression", "zstd").parquet(f"{folder}/index")
     return Archive(folder)
 
@@ -233,15 +253,16 @@ def _frames(folder: str):
 def read_archive(archive: Archive, spark: SparkSession) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of all records, each frame read once.
 
-    Responses' payloads are held against their digests; revisits give what their own headers say.
+    Responses' payloads are held against their digests; revisits give what their own headers say. An empty
+    archive gives no rows. Frames are dealt READ at a time, so that a bundle's seek table is read for so many.
     """
-    dealt = archive.index(spark).repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    dealt = archive.index(spark).repartition("bundle", F.expr(f"frame div {READ}")).sortWithinPartitions("bundle", "frame", "offset")
     return dealt.mapInArrow(_frames(f"{archive.folder}/bundles"), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
-    archive = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_folder(spark, "warc"))
+    archive = write_archive(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")), new_folder(spark, "warc"))
     return read_archive(archive, spark).drop("url")
 
 

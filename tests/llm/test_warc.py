@@ -39,7 +39,15 @@ def test_round_trip(spark, rows, monkeypatch):
     archive = warc.write_archive(pages, new_folder(spark, "t"))
     read = warc.read_archive(archive, spark)
     assert result(read) == expected(rows)
-    assert {r.url for r in read.where("page_id = 9").collect()} == {"http://a/9%0D%0AX: y"}
+    assert {r.url for r in read.where("page_id = 9").collect()} == {"http://a/9\r\nX: y"}
+    # Every row has an identifier of its own, those that repeat too.
+    ids = [r.record_id for r in archive.index(spark).collect()]
+    assert len(ids) == len(set(ids)) == len(rows)
+
+
+def test_addresses_with_line_breaks_come_back():
+    for url in ("http://a/\r\nb", "http://a/%0D%0Ab", "http://a/%\nb%25", "http://a/100%"):
+        assert warc.parse(warc.record(1, url, b"x", "d", None)).headers["warc-target-uri"] == url
 
 
 def test_empty_table(spark):
