@@ -7,6 +7,8 @@ out, needs no look at the texts: it is bitwise arithmetic over the ledger.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import binaries, struct_array, struct_of, words_of
+from pagewright.llm.shared import binaries, spread, struct_array, struct_of, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _TYPE = struct_of(",".join(f"{m} long" for m in MEASURES))
@@ -79,14 +81,14 @@ def measured(texts: pa.Array) -> pa.Array:
     return struct_array(_TYPE, [measure(t) for t in binaries(texts)])
 
 
-#: Name and failure condition by bit, over the measurements. Bits are never given to another rule.
-RULES: tuple[tuple[str, str], ...] = (
-    ("too_few_words", "n_words < 10"),
-    ("repeated_phrases", "100 * n_repeat_words > 20 * n_words"),
-    ("symbols", "100 * n_symbols > 5 * word_chars"),
-    ("repeated_lines", "100 * n_dup_lines > 40 * n_lines"),
-    ("short_words", "word_chars < 2 * n_words"),
-    ("long_words", "word_chars > 20 * n_words"),
+#: Name and failure condition by bit, over the measurements of a row. Bits are never given to another rule.
+RULES: tuple[tuple[str, Callable[[Callable[[str], Column]], Column]], ...] = (
+    ("too_few_words", lambda m: m("n_words") < 10),
+    ("repeated_phrases", lambda m: 100 * m("n_repeat_words") > 20 * m("n_words")),
+    ("symbols", lambda m: 100 * m("n_symbols") > 5 * m("word_chars")),
+    ("repeated_lines", lambda m: 100 * m("n_dup_lines") > 40 * m("n_lines")),
+    ("short_words", lambda m: m("word_chars") < 2 * m("n_words")),
+    ("long_words", lambda m: m("word_chars") > 20 * m("n_words")),
 )
 
 
@@ -105,33 +107,37 @@ BASE = Policy("base-1", ("too_few_words", "repeated_phrases"))
 FULL = Policy("full-1", tuple(name for name, _ in RULES))
 
 
-def _bits(of: str) -> Column:
-    total = F.lit(0).cast("long")
-    for k, (_, failure) in enumerate(RULES):
-        total = total + F.when(F.expr(failure), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-    return total.alias(of)
+def failed_bits(m: Callable[[str], Column] = F.col) -> Column:
+    """A bit for each rule that fails, over measurements by name."""
+    bits = (F.when(failure(m), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, failure) in enumerate(RULES))
+    return functools.reduce(Column.bitwiseOR, bits)
 
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, MEASURES..., failed_bits): a row for each row of docs, whatever its doc_id.
 
-    A null or empty text measures zero and so has too few words. Repeated rows have a row each; an empty
-    table has an empty ledger.
+    A null or empty text measures zero and so has too few words; a very long one is measured whole. Repeated
+    rows have a row each; an empty table has an empty ledger. Other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), measured(F.col(text)).alias("m"))
-    return rows.select("doc_id", *(F.col(f"m.{m}").alias(m) for m in MEASURES)).select("*", _bits("failed_bits"))
+    return rows.select("doc_id", *(F.col(f"m.{m}").alias(m) for m in MEASURES)).select("*", failed_bits().alias("failed_bits"))
 
 
 def judged(of: DataFrame, policy: Policy) -> DataFrame:
     """The ledger with the policy's version and verdict."""
-    failed = F.col("failed_bits").bitwiseAND(F.lit(policy.mask))
-    return of.withColumns({"policy": F.lit(policy.version), "kept": failed == 0})
+    return of.withColumns({"policy": F.lit(policy.version), "kept": kept(F.col("failed_bits"), policy)})
+
+
+def kept(bits: Column, policy: Policy) -> Column:
+    """Whether a policy keeps a row with these failure bits."""
+    return bits.bitwiseAND(F.lit(policy.mask)) == 0
 
 
 def ablations(of: DataFrame, policy: Policy) -> DataFrame:
     """(rule, n_failed, n_only, n_kept, n_kept_without): what each rule of the policy does, and alone does.
 
-    Rows are first counted by failure bits, of which there are at most 2 to the number of rules.
+    Rows are first counted by failure bits, of which there are at most 2 to the number of rules. An empty ledger
+    has no rows here either.
     """
     masked = F.col("failed_bits").bitwiseAND(F.lit(policy.mask))
     counts = of.groupBy(masked.alias("bits")).agg(F.count(F.lit(1)).alias("n"))
@@ -148,27 +154,31 @@ def ablations(of: DataFrame, policy: Policy) -> DataFrame:
 
 
 def passing(docs: DataFrame, policy: Policy = FULL, text: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, all their columns unchanged."""
-    m = "__measures"
-    while m in docs.columns:
-        m += "_"
-    failed = F.lit(False)
-    for k, (_, failure) in enumerate(RULES):
-        if policy.mask >> k & 1:
-            for name in MEASURES:
-                failure = failure.replace(name, f"`{m}`.{name}")
-            failed = failed | F.expr(failure)
-    return docs.withColumn(m, measured(F.col(f"`{text}`"))).where(~failed).drop(m)
+    """The rows of docs that the policy keeps by their failure bits, all their columns unchanged.
+
+    Null and empty texts have too few words, very long ones are measured whole, repeated rows stay or go
+    together. Columns of any name come along. An empty table stays empty.
+    """
+    m, bits = "_measures", "_failed_bits"
+    while m in docs.columns or bits in docs.columns:
+        m, bits = m + "_", bits + "_"
+    rows = docs.withColumn(m, measured(F.col(f"`{text}`"))).withColumn(bits, failed_bits(lambda name: F.col(f"`{m}`.{name}")))
+    return rows.where(kept(F.col(f"`{bits}`"), policy)).drop(m, bits)
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the full policy does to all documents, and what leaving it out would do."""
+    return ablations(ledger(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))), FULL)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents under the full policy."""
-    rows = judged(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), FULL)
+    rows = judged(ledger(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))), FULL)
     base = F.col("failed_bits").bitwiseAND(F.lit(BASE.mask)) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits", "policy")
 
 
-ORACLE = r"""
+_LEDGER = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
 g AS (SELECT k, i, list_slice(ws, i, i + 4) AS gram FROM w, unnest(range(1, len(ws) - 3)) AS u(i)),
@@ -187,7 +197,18 @@ m AS (
     + 8 * (100 * n_dup_lines > 40 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT)::BIGINT AS failed_bits
   FROM m
 )
+"""
+
+ORACLE = _LEDGER + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept,
        failed_bits, 'full-1' AS policy
 FROM b
 """
+
+#: The rules' names stand in the order of their bits.
+ABLATIONS_ORACLE = _LEDGER + """
+SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_only,
+       count(*) FILTER (failed_bits = 0) AS n_kept, count(*) FILTER (failed_bits & ~bit = 0) AS n_kept_without
+FROM b, (VALUES ('too_few_words', 1::BIGINT), ('repeated_phrases', 2::BIGINT), ('symbols', 4::BIGINT), ('repeated_lines', 8::BIGINT), ('short_words', 16::BIGINT), ('long_words', 32::BIGINT)) AS r(rule, bit)
+GROUP BY rule
+"""

@@ -8,6 +8,7 @@ from pagewright.llm import chat, licenses, media, neardup, packing, pieces, qual
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "quality_ablations": quality.quality_ablations,
         "op2_token_store": token_store.op2_token_store,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_license_scan": licenses.op4_license_scan,
@@ -23,6 +24,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.ORACLE,
+        "quality_ablations": quality.ABLATIONS_ORACLE,
         "op4_license_scan": licenses.ORACLE,
         "op6_substring_dedup": substrings.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
