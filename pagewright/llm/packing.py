@@ -6,13 +6,14 @@ import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import binaries, grouped, written
+from pagewright.llm.shared import binaries, grouped, spread, written
 from pagewright.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -53,20 +54,30 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(counts: Counter, room: int, waste: int, most: int = 48) -> list[tuple[int, ...]]:
-    """Undominated ways to fill room from counts leaving at most `waste`, the fullest first.
+@dataclass(frozen=True)
+class Bounds:
+    """What the search may do in a lot. No bound leaves a piece out; each may cost sequences, which `proved` then tells."""
 
-    The search stops after `most` maximal ways and 20 times that many steps; then better ones may be missed, no item ever is.
-    """
+    #: Maximal fillings of a bin that are looked for, steps for each of them, and undominated ones that are tried.
+    fillings: int = 48
+    steps: int = 20
+    tried: int = 12
+    #: Bins that are completed in all: so many, or so many for each bin of the incumbent.
+    nodes: int = 3000
+    nodes_a_bin: int = 4
+
+
+def fillings(counts: Counter, room: int, waste: int, bounds: Bounds = Bounds()) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated ways to fill room from counts leaving at most `waste`, the fullest first; and whether these are all."""
     sizes = sorted((s for s in counts if counts[s] > 0 and s <= room), reverse=True)
     smallest = sizes[-1] if sizes else room + 1
     found: list[tuple[int, ...]] = []
-    steps = 20 * most
+    steps = bounds.steps * bounds.fillings
 
     def search(k: int, left: int, chosen: tuple[int, ...]) -> None:
         nonlocal steps
         steps -= 1
-        if len(found) >= most or steps < 0:
+        if len(found) >= bounds.fillings or steps < 0:
             return
         if left < smallest:
             if left <= waste:
@@ -79,39 +90,44 @@ def fillings(counts: Counter, room: int, waste: int, most: int = 48) -> list[tup
             if s <= left and used[s] < counts[s]:
                 maximal = False
                 search(k, left - s, (*chosen, s))
-                if len(found) >= most or steps < 0:
+                if len(found) >= bounds.fillings or steps < 0:
                     return
             k += 1
         if maximal and left <= waste:
             found.append(chosen)
 
     search(0, room, ())
+    whole = len(found) < bounds.fillings and steps >= 0
     found = sorted(set(found), key=lambda f: (room - sum(f), len(f), f))
-    if len(found) > 12:
-        found = found[:12]
-    return [f for k, f in enumerate(found) if not any(f != g and dominates(g, f) and not (dominates(f, g) and found.index(g) > k) for g in found)]
+    if found and sum(found[0]) == room and len(found[0]) <= 1:
+        found = found[:1]  # one item that fills the room dominates whatever else would
+    free = [f for k, f in enumerate(found) if not any(f != g and dominates(g, f) and not (dominates(f, g) and n > k) for n, g in enumerate(found))]
+    return free[: bounds.tried], whole and len(free) <= bounds.tried
 
 
-def complete_bins(lengths: list[int], capacity: int, nodes: int = 3000) -> list[list[int]]:
-    """Bins of indices, as few as branch and bound finds within its nodes, never more than best fit gives.
+def completed(lengths: list[int], capacity: int, bounds: Bounds = Bounds()) -> tuple[list[list[int]], bool]:
+    """Bins of indices, never more than best fit gives, and whether it is proved that fewer are impossible.
 
     Bins are completed around the largest item left. A branch ends where the waste of its bins is more than
     one bin fewer than the incumbent allows; if there is no such waste, best fit is optimal at once.
     """
     incumbent = best_fit(lengths, capacity)
-    total = sum(lengths)
+    total, proved = sum(lengths), True
     floor = -(-total // capacity)
-    while len(incumbent) > floor and nodes > 0:
+    nodes = max(bounds.nodes, bounds.nodes_a_bin * len(incumbent))
+    while len(incumbent) > floor:
         allowed = (len(incumbent) - 1) * capacity - total
         counts = Counter(lengths)
         path: list[tuple[int, ...]] = []
         stack: list[Iterator[tuple[int, ...]]] = []
-        wasted, better = [0], False
+        wasted, better, all_seen = [0], False, True
 
         def options() -> Iterator[tuple[int, ...]]:
+            nonlocal all_seen
             top = max(s for s in counts if counts[s] > 0)
             counts[top] -= 1
-            ways = fillings(counts, capacity - top, allowed - wasted[-1])
+            ways, whole = fillings(counts, capacity - top, allowed - wasted[-1], bounds)
+            all_seen &= whole
             counts[top] += 1
             return iter([(top, *w) for w in ways])
 
@@ -134,12 +150,17 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = 3000) -> list[
             counts += Counter()
             stack.append(options())
         if not better:
+            proved = all_seen and not stack
             break
         by_length: dict[int, list[int]] = {}
         for i, length in enumerate(lengths):
             by_length.setdefault(length, []).append(i)
         incumbent = [[by_length[s].pop() for s in way] for way in path]
-    return incumbent
+    return incumbent, proved
+
+
+def complete_bins(lengths: list[int], capacity: int, bounds: Bounds = Bounds()) -> list[list[int]]:
+    return completed(lengths, capacity, bounds)[0]
 
 
 def _pieces(path: str, end_id: int, capacity: int):
@@ -166,18 +187,19 @@ def _pieces(path: str, end_id: int, capacity: int):
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each row's ids and end_id, cut only if longer than capacity.
 
-    A null text is empty, one piece of the end id. Repeated rows have their pieces each.
+    A null or empty text is one piece of the end id, a very long one has as many as it needs. Repeated rows have
+    their pieces each; other columns are left out; an empty table gives none.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(_pieces(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _packed(capacity: int, level: int, final: bool):
+def _packed(capacity: int, level: int, final: bool, bounds: Bounds):
     def run(batches):
         for lot in grouped(batches, ["lot"]):
             lot = lot.combine_chunks().sort_by("rid")
             lengths = lot.column("length").to_pylist()
-            bins = complete_bins(lengths, capacity)
+            bins, proved = completed(lengths, capacity, bounds)
             bins.sort(key=lambda b: -sum(lengths[i] for i in b))
             number = (level << 56) | lot.column("lot")[0].as_py() << 20
             sequence, offset, done = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
@@ -187,13 +209,16 @@ def _packed(capacity: int, level: int, final: bool):
                     sequence[i], offset[i] = number + k, at
                     done[i] = final or k < len(bins) - AGAIN
                     at += lengths[i]
-            yield from pa.table({"rid": lot.column("rid"), "length": lot.column("length"), "sequence_id": sequence, "offset": offset, "done": done}).to_batches()
+            yield from pa.table({"rid": lot.column("rid"), "length": lot.column("length"), "sequence_id": sequence, "offset": offset, "done": done, "proved": np.full(len(lengths), proved)}).to_batches()
 
     return run
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset: sequences of at most capacity, without gaps.
+def pack(cut: DataFrame, capacity: int = CAPACITY, bounds: Bounds = Bounds()) -> DataFrame:
+    """The pieces with sequence_id, offset and proved: sequences of at most capacity, without gaps.
+
+    proved tells whether its lot's pieces can't be in fewer sequences, or a bound ended the search for them.
+    Ties go by the pieces' order; repeated pieces have a place each; other columns come along.
 
     Pieces are dealt at random into lots of some LOT pieces, packed by a task each. The AGAIN emptiest
     sequences of every lot are dealt anew and packed together, until one lot is left; a level has a small
@@ -206,9 +231,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         lots = max(1, -(-n // LOT))
         dealt = left.withColumn("lot", F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(lots)))
         last = lots == 1 or before is not None and n > before // 2
-        run = _packed(capacity, level, last)
-        done = written(dealt.repartition(min(lots, 100_000), "lot").sortWithinPartitions("lot").mapInArrow(run, "rid long, length long, sequence_id long, offset long, done boolean"), "packed")
-        placed.append(done.where("done").select("rid", "sequence_id", "offset"))
+        run = _packed(capacity, level, last, bounds)
+        done = written(dealt.repartition(min(lots, 100_000), "lot").sortWithinPartitions("lot").mapInArrow(run, "rid long, length long, sequence_id long, offset long, done boolean, proved boolean"), "packed")
+        placed.append(done.where("done").select("rid", "sequence_id", "offset", "proved"))
         if last:
             break
         before, left, level = n, done.where("NOT done").select("rid", "length"), level + 1
@@ -222,4 +247,4 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(pieces(docs, tokenizer_path(), end_id=1))
+    return pack(pieces(spread(docs), tokenizer_path(), end_id=1))

@@ -172,7 +172,7 @@ def test_a_changed_manifest_is_found(spark, store, change):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=14))
 def test_bins_are_as_few_as_can_be(lengths):
-    bins = packing.complete_bins(lengths, 30, nodes=20_000)
+    bins = packing.complete_bins(lengths, 30, packing.Bounds(nodes=20_000))
     assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
     assert all(sum(lengths[i] for i in b) <= 30 for b in bins)
     assert len(bins) <= len(packing.best_fit(lengths, 30))
@@ -196,6 +196,8 @@ def test_bins_are_as_few_as_can_be(lengths):
         return place(sorted(lengths, reverse=True))
 
     assert not bins or not fits(len(bins) - 1)
+    few, proved = packing.completed(lengths, 30, packing.Bounds(2, 3, 1, 2, 0))
+    assert sorted(i for b in few for i in b) == list(range(len(lengths))) and (not proved or len(few) == len(bins))
 
 
 def test_branch_and_bound_beats_best_fit():
