@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import binaries, struct_array, struct_of
+from pagewright.llm.shared import binaries, spread, struct_array, struct_of
 
 #: Upper case to lower case; whatever is no letter, digit or part of a longer character to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -299,7 +299,7 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return license_scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 #: What SQL takes for a notice, written for itself: short ones in full, bodies by their first and last sentences.
@@ -317,6 +317,20 @@ _NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and .* or the use or other dealings in the software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted .* even if advised of the possibility of such damage"),
     ("isc", "permission to use copy modify and (or )?distribute this software .* appear in all copies the software is .* the use or performance of this software"),
+    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation .* all subject to the following"),
+    ("lgpl-2.1", "(licensed under|under the terms of) (the terms of )?the gnu lesser general public license (lgpl )?(as published by the free software foundation )?(either )?(version 2 1|v2 1)"),
+    ("cc-by-nd", "(licensed under (a )?(creative commons )?cc by nd [1-4] [015]|creative commons attribution (noderivatives|no derivatives|noderivs) ((version )?[1-4] [015] ([^ ]+ ){0,3}|international |unported |generic |public )?license)"),
+    ("cc-by-nc-sa", "(licensed under (a )?(creative commons )?cc by nc sa [1-4] [015]|creative commons attribution (noncommercial sharealike|non commercial share alike) ((version )?[1-4] [015] ([^ ]+ ){0,3}|international |unported |generic |public )?license)"),
+    ("cc-by-nc-nd", "(licensed under (a )?(creative commons )?cc by nc nd [1-4] [015]|creative commons attribution (noncommercial noderivatives|non commercial no derivatives|noncommercial noderivs) ((version )?[1-4] [015] ([^ ]+ ){0,3}|international |unported |generic |public )?license)"),
+    ("cc0", "to the extent possible under law ([^ ]+ ){1,30}(has |have )?waived all copyright and related or neighboring rights to [^ ]+"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 .* mozilla org mpl 2 0"),
+    ("epl-2", "made available under the terms of the eclipse public license (version )?(v )?2 0"),
+    ("eupl-1.2", "licensed under the eupl (version )?1 2"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1"),
+    ("artistic-2", "under the (terms of the )?artistic license (version )?2 0"),
+    ("0bsd", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted the software is provided as is .* the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event .* this notice may not be removed or altered from any source distribution"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation .* the following two paragraphs appear in all copies"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone .* and by any means"),
 )
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import binaries, struct_of, written
+from pagewright.llm.shared import binaries, spread, struct_of, written
 
 #: Fixed values of the MPEG-1 Layer III frame header.
 BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -286,5 +286,5 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as streams with their durations and seek offsets; what is returned comes from what is stored."""
-    media = with_index(media_table(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    media = with_index(media_table(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
     return media_features(written(media, "media"))

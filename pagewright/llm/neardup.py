@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.llm.graph import components
-from pagewright.llm.shared import WordHashes, binaries, grouped, mixed, windows_of, words_of, written
+from pagewright.llm.shared import WordHashes, binaries, grouped, mixed, spread, windows_of, words_of, written
 
 PERMUTATIONS, TREES, DEPTH = 128, 40, 5
 #: Documents of a region that are named in pairs, and those in a block of a region that has more.
@@ -357,7 +357,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: three words to a shingle, similarity 0.85."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, percent=85)
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), size=3, percent=85)
 
 
 ORACLE = r"""

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.shared import spread
+
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -206,5 +208,5 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     only texts with a space mark of their own do not.
     """
     model = model_path()
-    rows = decode_documents(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), model), model)
+    rows = decode_documents(encode_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), model), model)
     return rows.select("doc_id", "n_pieces", "score", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("same"))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import binaries, mixed, new_folder, struct_array, struct_of, windows_of
+from pagewright.llm.shared import binaries, mixed, new_folder, spread, struct_array, struct_of, windows_of
 from pagewright.llm.tokens import encoder, tokenizer_path
 
 WINDOW, LEAST, MOST = 16, 64, 4096
@@ -316,5 +316,5 @@ def reconstruct(store: Store, spark: SparkSession) -> DataFrame:
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents tokenized, stored, and read back from the files."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return read_store(write_store(docs, new_folder(spark, "token-store"), tokenizer_path(), end_id=2), spark)
