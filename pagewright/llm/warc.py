@@ -202,15 +202,14 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     rows = rows.withColumn("place", F.monotonically_increasing_id())
     rows = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
-    # Only identifiers and digests meet by digest; first a minimum for each, so that one digest of very many pages is small.
-    known = rows.where(F.octet_length("html") >= LEAST_PAYLOAD).select("page_id", "digest")
-    first = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
-    copies = known.join(first, "digest").where("page_id IS NULL OR page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
-    # The first row of a page and payload has the plain identifier; only those that repeat are told apart.
-    twice = rows.groupBy("page_id", "digest").agg(F.min("place").alias("plain"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    for extra in (copies, twice):
-        extra = extra.withColumnsRenamed({"page_id": "p", "digest": "d"})
-        rows = rows.hint("merge").join(extra, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
+    # Only identifiers and digests meet by digest; counted first, so that one digest of very many pages is small.
+    told = rows.groupBy("page_id", "digest").agg(F.min("place").alias("plain"), F.count(F.lit(1)).alias("n"), F.max(F.octet_length("html")).alias("bytes"))
+    first = told.where(F.col("bytes") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("pages")).where("pages > 1 AND least IS NOT NULL")
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("least")), F.col("least")).alias("refers_to")
+    # The first row of a page and payload has the plain identifier; those that repeat are told apart.
+    extra = told.join(first, "digest", "left").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), refers, F.when(F.col("n") > 1, F.col("plain")).alias("plain"))
+    extra = extra.where("refers_to IS NOT NULL OR plain IS NOT NULL")
+    rows = rows.hint("merge").join(extra, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
     again = F.when(F.col("place") != F.col("plain"), F.col("place")).alias("again")
     ordered = rows.select("page_id", "url", "html", "digest", "refers_to", again).sortWithinPartitions("page_id")
     ordered.mapInArrow(_write(f"{folder}/bundles"), _INDEX).write.option("compression", "zstd").parquet(f"{folder}/index")
