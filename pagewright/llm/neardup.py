@@ -335,7 +335,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs less all documents that aren't the smallest doc_id of their component."""
+    """docs less all documents that aren't the smallest doc_id of their component.
+
+    Rows without words or doc_id stay, rows that repeat a doc_id stay or go together; all columns are kept as they
+    are, and an empty table stays empty.
+    """
     gone = near_duplicates(docs, size, percent).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
 
@@ -344,15 +348,19 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of alike texts: that of the smallest doc_id, rows without one last.
 
     Every row counts by its own text, so of rows that repeat a doc_id, or have none, one stays of each group
-    too, and rows of one doc_id with different texts stay each. Rows without words are alike to none. With
+    too, and rows of one doc_id with different texts stay each. Rows without words (null or empty texts) are alike
+    to none. Columns of any name stay as they are; very long texts count whole; an empty table stays empty. With
     unique ids these are the rows of without_near_duplicates.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(rows, size, percent, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    ids = rows.select("_row", F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, size, percent, doc_id=row).select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     # A minimum is taken before rows are dealt, so a group's size doesn't matter.
-    first = groups.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("none", "id", "_row")).alias("first"))
-    return rows.join(first.select("first._row"), "_row", "left_semi").select(docs.columns)
+    first = groups.join(ids, row).groupBy("component_id").agg(F.min(F.struct("none", "id", row)).alias("first"))
+    return rows.join(first.select(F.col("first")[row].alias(row)), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,28 @@ def test_stages_keep_the_columns(spark, awkward):
     assert texts[2] == (None, None) and texts[3] == ("", 0) and texts[1][0] == "plain different words stand here one after the other"
 
 
+AWKWARD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, rid string, body string, n_words int, kept_text string, _row int, _measures string, part int, lot int, sequence_id string"
+
+
+def test_stages_on_awkward_rows(spark):
+    from .conftest import AWKWARD
+
+    rows = [(i, t, None, None, None, "r", "b", 7, "k", 1, "m", 2, 3, "s") for i, t in AWKWARD]
+    docs = spark.createDataFrame(rows, AWKWARD_COLUMNS)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes
+        for r in out.collect():
+            assert tuple(r)[5:] == ("r", "b", 7, "k", 1, "m", 2, 3, "s")
+        assert stage(spark, docs.where("false"), SF).count() == 0
+    packed = corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(i for i, _ in AWKWARD) and max(r.piece for r in packed) == 7
+    assert all(r.proved for r in packed) and corpus_pipeline.best_fit_packing(spark, docs.where("false"), SF).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()} <= {i for i, _ in AWKWARD}
+    # Of the rows that repeat one stays; those without words, and the one without an id, stay too.
+    assert Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == Counter({i for i, _ in AWKWARD})
+
+
 def test_order():
     assert [re.sub("_.*", "", n) for n, _ in corpus_pipeline.STAGES] == ["quality", "minhash", "substring", "best"]
 
