@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,14 @@ def sections(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
+def across(**blocks: DataFrame) -> DataFrame:
+    """(index, blocks, chars, pages): of each index's blocks, and of all of them (index null). Pages of different indexes are different pages."""
+    rows = functools.reduce(DataFrame.unionByName, (of.select(F.lit(name).alias("index"), "page_id", "text") for name, of in blocks.items()))
+    pages = F.count_distinct(F.struct("index", "page_id")).alias("pages")
+    each = rows.withColumn("of", F.col("index")).rollup("of").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).cast("long").alias("chars"), pages)
+    return each.withColumnRenamed("of", "index")
+
+
 def biggest(pages: DataFrame, blocks: DataFrame, n: int = BIGGEST) -> DataFrame:
     return page_sizes(pages, blocks).orderBy(F.desc("chars"), "page_id").limit(n).select("page_id", "url", "title", "blocks", "chars")
 

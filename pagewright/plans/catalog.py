@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import formulas, query
 from pagewright.functions.tables import ENTITIES, LETTERS, SYMBOLS
 from pagewright.operators import answer, index, names, profile, repair, search
-from pagewright.sources import html, tables
+from pagewright.sources import html, jsonindex, tables
 from pagewright.storage import new_folder, spread, written
 
 
@@ -339,9 +339,17 @@ def profile_html(spark, sf_dir):
 
 def profile_rollup(spark, sf_dir):
     """Totals of several indexes and over all of them: documents and conversations."""
-    docs = _site(spark, sf_dir)[1].select(F.lit("documents").alias("index"), "page_id", "text")
-    turns = _table(spark, sf_dir, "conversations").where("text <> ''").select(F.lit("conversations").alias("index"), F.col("conv_id").alias("page_id"), "text")
-    return docs.unionByName(turns).rollup("index").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).cast("long").alias("chars"), F.count_distinct("page_id").alias("pages"))
+    turns = _table(spark, sf_dir, "conversations").where("text <> ''").select(F.col("conv_id").alias("page_id"), "text")
+    return profile.across(documents=_site(spark, sf_dir)[1], conversations=turns)
+
+
+def json_pages(spark, sf_dir):
+    """The documents written as an index of JSON lines and read back: (url, section, blocks, chars) of each page."""
+    path = new_folder(spark, "json")
+    jsonindex.write_index(*_site(spark, sf_dir), path, "gzip")
+    back = spark.read.schema("url string, section string, blocks array<struct<text:string>>").json(path)
+    chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+    return back.select("url", "section", F.size("blocks").cast("long").alias("blocks"), chars.alias("chars"))
 
 
 def _part_pages(spark, sf_dir):
@@ -479,7 +487,7 @@ def queries() -> dict:
         for f in (
             search_and, search_count, search_ladder, search_titles, search_scripts, result_rows, answer_repaired, two_tier_search, candidates_intersect, prefix_lookup, search_batch, blocks_from_lines, blocks_from_turns, blocks_from_paragraphs, lang_visible,
             drop_repeated, section_rules, chunk_map, postings, lexicon_df, lexicon_tf, lexicon_merged, formula_bigrams, glyph_postings, formula_search, widen_stem, nearest_word, correct_query, correct_query_by_one, prefix_owner, profile_totals,
-            profile_sections, profile_suspect, profile_samples, profile_repeated, profile_biggest, profile_empty_dup, profile_html, profile_rollup, palette_pick, palette_scores, section_doors, symbol_match,
+            profile_sections, profile_suspect, profile_samples, profile_repeated, profile_biggest, profile_empty_dup, profile_html, profile_rollup, json_pages, palette_pick, palette_scores, section_doors, symbol_match,
             symbol_usage, symbols_frequent, html_blocks, html_text, html_sections, snippet_rows,
         )
     }
@@ -546,7 +554,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT url, 'empty', count(*) FROM t WHERE text IS NULL OR len(list_filter(string_split(text, chr(10)), lambda x: ends_with(x, '.'))) = 0 GROUP BY url""",
         "profile_html": f"""WITH {_CUT} SELECT (SELECT count(*) FROM pages) AS pages, count(*) AS blocks, sum(length(text))::BIGINT AS chars, count(*) FILTER (anchor <> '') AS anchored FROM cut""",
         "profile_rollup": f"""WITH {_BLOCKS}, r AS (SELECT 'documents' AS index, page_id, text FROM blocks UNION ALL SELECT 'conversations', conv_id, text FROM conversations WHERE text <> '')
-            SELECT index, count(*) AS blocks, sum(length(text))::BIGINT AS chars, count(DISTINCT page_id) AS pages FROM r GROUP BY ROLLUP (index)""",
+            SELECT index, count(*) AS blocks, sum(length(text))::BIGINT AS chars, count(DISTINCT (index, page_id)) AS pages FROM r GROUP BY ROLLUP (index)""",
+        "json_pages": f"""WITH {_BLOCKS}, {_PAGES}, s AS (SELECT page_id, count(*) AS blocks, sum(length(text)) AS chars FROM blocks GROUP BY page_id)
+            SELECT url, section, coalesce(blocks, 0)::BIGINT AS blocks, coalesce(chars, 0)::BIGINT AS chars FROM pages_ LEFT JOIN s USING (page_id)""",
         "palette_pick": f"""WITH {_scores_sql()} SELECT url, title, score FROM scored ORDER BY score, depth,
             lower(regexp_replace(regexp_replace(title, '([0-9]+)', '000000000000\\1', 'g'), '0+([0-9]{{12}})([^0-9]|$)', '\\1\\2', 'g')), url LIMIT 12""",
         "palette_scores": f"WITH {_scores_sql()} SELECT score, count(*) AS names FROM scored GROUP BY score",
