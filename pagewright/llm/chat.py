@@ -43,7 +43,7 @@ def format_conversations(
 
     Turns go by (turn, role, text); nulls come first. Equal turn numbers are thus kept apart and in a fixed
     order, repeated rows stay repeated. A null role or text is empty; rows of a null conv_id are one
-    conversation. An empty table gives none. Other columns are ignored.
+    conversation. A very long text is formatted whole. An empty table gives none. Other columns are ignored.
     """
     rows = turns.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")

@@ -178,7 +178,9 @@ def _sliced(run, names: list[str], kinds: list[pa.DataType], size: int = 256):
 def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_pieces, score, ids): a row for each row of docs; ids are little-endian u32.
 
-    A null text is empty and has no pieces, score 0. Repeated rows are encoded each; an empty table gives none.
+    A null or empty text has no pieces, score 0; a very long one is encoded whole, a unit after the other. Of
+    segmentations with equal scores that with the longest last piece is taken. Repeated rows are encoded each; an
+    empty table gives none; other columns are left out.
     """
 
     def run(batch: pa.RecordBatch):
@@ -191,7 +193,7 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
-    """The rows of encode_documents with decoded: the text of their ids."""
+    """The rows of encode_documents with decoded: the text of their ids, empty where there are none. Repeated rows are decoded each; an empty table gives none."""
 
     def run(batch: pa.RecordBatch):
         of = pieces(model)
