@@ -34,6 +34,8 @@ SMALL, CROWD = 8, 2048
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Pairs with one document in common that are tried together.
 TRIED = 512
+#: Tasks that the documents of one cluster are dealt to, where each learns of the cluster's blocks.
+SALTS = 32
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -273,12 +275,18 @@ def _blocks(members: DataFrame) -> DataFrame:
     too. A cluster of one part meets nowhere.
     """
     parts = members.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("items"))
-    largest = parts.groupBy("cluster").agg(F.max(F.struct("docs", "part")).alias("l"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    told = members.join(largest.select("cluster", F.col("l.part").alias("largest")), "cluster").withColumn("main", F.col("part") == F.col("largest"))
-    blocks = lambda of: F.greatest(F.ceil(F.count_if(of) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
-    sizes = told.groupBy("cluster").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("rests"))
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
-    placed = told.join(sizes, "cluster").withColumn("own", own)
+    whole = parts.groupBy("cluster").agg(
+        F.max(F.struct("docs", "part", "items")).alias("l"), F.count(F.lit(1)).alias("parts"), F.sum("docs").alias("docs"), F.sum("items").alias("items")
+    )
+    blocks = lambda docs, items: F.greatest(F.ceil(docs / BLOCK), F.ceil(items / BLOCK_SHINGLES)).cast("int")
+    sizes = whole.where("parts > 1").select(
+        "cluster", F.col("l.part").alias("largest"), blocks(F.col("l.docs"), F.col("l.items")).alias("mains"),
+        blocks(F.col("docs") - F.col("l.docs"), F.col("items") - F.col("l.items")).alias("rests"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+    )
+    told = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(sizes, ["cluster", "salt"])
+    told = told.withColumn("main", F.col("part") == F.col("largest"))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    placed = told.withColumn("own", own)
     # A pair of the rest's blocks is x * 2^31 + y, one of the rest's block x and the largest part's y is negative.
     across = "transform(sequence(0, {n} - 1), y -> -1L - ({rest} * 2147483648L + {main}))"
     among = "transform(sequence(0, rests - 1), y -> least(y, own) * 2147483648L + greatest(y, own))"
