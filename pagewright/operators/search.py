@@ -7,14 +7,14 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.query import Term, all_found, keys, parse, parsed
+from pagewright.functions.query import Term, all_found, least_keys, parse, parsed
 from pagewright.operators.index import TITLE, Index
 from pagewright.sources.jsonindex import numbered
 from pagewright.storage import written
 
 LIMIT = 100
 #: Pages, first in site order, in which many queries are answered first, and how much further each round reaches.
-FIRST, FURTHER = 2048, 16
+FIRST, FURTHER = 256, 8
 
 
 def matches(entries: DataFrame, terms: list[Term]) -> DataFrame:
@@ -44,9 +44,7 @@ def candidates(postings: DataFrame, terms: list[Term]) -> DataFrame | None:
     """
     wanted = []
     for t, term in enumerate(terms):
-        needles = keys(term)
-        if all(needles):
-            wanted += [(t, n, k, key) for n, ks in enumerate(needles) for k, key in enumerate(dict.fromkeys(ks))]
+        wanted += [(t, n, k, key) for n, ks in enumerate(least_keys(term)) for k, key in enumerate(ks)]
     if not wanted:
         return None
     # The query's keys are known here; each becomes a filter that reaches the scan.

@@ -188,6 +188,15 @@ def test_record_keeps_places(text):
     assert of.places == sorted(of.places) and of.places[-1] == len(text)
 
 
+@given(st.text(alphabet="abrs-e1", min_size=1, max_size=7), st.text(alphabet="abrs-e1 ", max_size=12))
+def test_fewer_keys_tell_the_same(word, text):
+    for term in query.parse(word):
+        words = formulas.vocabulary(formulas.record(text))
+        holds = lambda needles: any(all(any(w.startswith(k) for w in words) for k in ks) for ks in needles)
+        if all(query.keys(term)):
+            assert query.least_keys(term) and holds(query.keys(term)) == holds(query.least_keys(term))
+
+
 @given(st.text(alphabet="bcdfstn", min_size=3, max_size=5), st.text(alphabet="aeiouy", max_size=4))
 def test_ladder(stem, vowels):
     assert query.ladder(stem + vowels, True) == [(stem + vowels)[: len(stem + vowels) - k] for k in range(min(2, len(vowels)) + 1)]
