@@ -172,7 +172,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id:
     numbered = ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rid"))
     numbered.write.option("compression", "zstd").parquet(f"{path}/recipes")
     store = Store(path)
-    pages_of(store.recipes(spark)).coalesce(64).write.option("compression", "zstd").parquet(f"{path}/manifest")
+    pages_of(store.recipes(spark)).write.option("compression", "zstd").parquet(f"{path}/manifest")
     spark.createDataFrame([_root(store, spark)], "n_parts int, root binary").coalesce(1).write.parquet(f"{path}/root")
     return store
 
