@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.llm.graph import components
-from pagewright.llm.shared import WordHashes, binaries, grouped, mixed, spread, windows_of, words_of, written
+from pagewright.llm.shared import WordHashes, binaries, grouped, mixed, partitions_for, spread, windows_of, words_of, written
 
 PERMUTATIONS, TREES, DEPTH = 128, 40, 5
 #: Documents of a region that are named in pairs, and those in a block of a region that has more.
@@ -323,7 +323,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     clusters = components(pairs).withColumnRenamed("component", "cluster")
     members = written(classes.select("node", "class").join(clusters, "node").join(named.groupBy("class").agg(F.max("n_shingles").alias("n")), "class"), "members")
     # Sorted and merged whatever the size: the table of members grows with the documents.
-    told = rows.hint("merge").join(members.select("node", "class"), rows.doc_id == F.col("node")).select("node", "class", "text")
+    dealt = rows.repartition(partitions_for(rows, "text"), "doc_id")
+    told = dealt.hint("merge").join(members.select("node", "class"), dealt.doc_id == F.col("node")).select("node", "class", "text")
     sets = written(told.distinct().mapInArrow(_sets(size), "node long, shingles binary"), "sets")
 
     links = written(_tried(pairs, sets, percent), "links")
@@ -368,7 +369,8 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     ids = rows.select(row, F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     # A minimum is taken before rows are dealt, so a group's size doesn't matter.
     first = groups.join(ids, row).groupBy("component_id").agg(F.min(F.struct("none", "id", row)).alias("first"))
-    return rows.join(first.select(F.col("first")[row].alias(row)), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    dealt = rows.repartition(partitions_for(rows, "text"), row)
+    return dealt.join(first.select(F.col("first")[row].alias(row)), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,23 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.storage import new_folder, removed, shared_root, spread, write, written  # noqa: F401
 
 
+#: Bytes of text to a partition where whole texts are shuffled.
+TEXT_BYTES = 32 << 20
+
+
+def partitions_for(docs: DataFrame, text: str) -> int:
+    """How many partitions whole texts are shuffled to: those of the session, or more if they would hold more than TEXT_BYTES."""
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TEXT_BYTES))
+
+
 _KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
 
 
