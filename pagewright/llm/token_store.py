@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import binaries, mixed, new_folder, spread, struct_array, struct_of, windows_of
+from pagewright.llm.shared import binaries, blocks_of, mixed, new_folder, spread, struct_array, struct_of, windows_of
 from pagewright.llm.tokens import encoder, tokenizer_path
 
 WINDOW, LEAST, MOST = 16, 64, 4096
@@ -101,19 +101,19 @@ def _cut(path: str, end_id: int):
         of, sent = encoder(path), set()
         for batch in batches:
             texts, doc_ids = binaries(batch.column("text")), batch.column("doc_id").to_pylist()
-            for k in range(0, len(texts), 256):
-                found = of.encode(texts[k : k + 256])
+            for k, stop_at in blocks_of(texts):
+                found = of.encode(texts[k:stop_at])
                 data = end.join([*found, b""])
                 ids, lengths = np.frombuffer(data, "<u4"), [len(x) // 4 + 1 for x in found]
                 narrow = ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else None
                 chunks, recipes, start = [], [], 0
-                for doc_id, n, stops in zip(doc_ids[k : k + 256], lengths, cuts(ids, lengths)):
+                for doc_id, n, stops in zip(doc_ids[k:stop_at], lengths, cuts(ids, lengths)):
                     hashes = []
                     for stop in stops:
                         chunk = data[4 * start : 4 * stop]
                         hashes.append(key := address(chunk))
                         if key not in sent:  # a chunk that this task has sent need not go again
-                            if len(sent) < 1_000_000:
+                            if len(sent) < 200_000:
                                 sent.add(key)
                             chunks.append((key, stop - start, _body(chunk) if narrow is None else b"\2" + narrow[2 * start : 2 * stop]))
                         start = stop
