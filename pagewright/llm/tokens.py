@@ -76,7 +76,7 @@ class Encoder:
     That bounds the memory and keeps whatever is frequent. Any other tokenizer encodes whole texts itself.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 550_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
