@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import chat, licenses, media, neardup, packing, pieces, quality, substrings, token_store, warc
+from pagewright.llm import chat, language, licenses, media, neardup, negatives, packing, pieces, quality, substrings, token_store, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_warc_bundles": warc.op8_warc_bundles,
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op10_media_columns": media.op10_media_columns,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_language_id": language.op12_language_id,
+        "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
@@ -30,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat_formatting": chat.ORACLE,
         "op8_warc_bundles": warc.ORACLE,
         "op9_minhash_near_dedup": neardup.ORACLE,
+        "op13_hard_negatives": negatives.ORACLE,
     }

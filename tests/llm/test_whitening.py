@@ -1,0 +1,102 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagewright.llm import whitening
+
+KIND = "vec_id long, embedding array<float>, z string, id int, deviation int"
+
+
+def _rows(vectors):
+    return [(k, None if v is None else [None if x is None else float(x) for x in v], "z", 0, 1) for k, v in enumerate(vectors)]
+
+
+def _expected(vectors):
+    """By the singular values of all rows at once: integers, n, sums, eigenvalues and eigenvectors falling."""
+    x = np.floor(1024 * np.float32(vectors).astype(float)).astype(np.int64) + 100_000
+    n, sums = len(x), x.sum(axis=0)
+    off = x - sums / n
+    _, values, directions = np.linalg.svd(off, full_matrices=False)
+    return x, n, sums, off, values**2 / n, directions.T
+
+
+def _held(spark, df, vectors):
+    by = whitening.fit(df)
+    x, n, sums, off, values, directions = _expected(vectors)
+    k = len(by.values)
+    assert by.n == n and by.sums == sums.tolist()
+    assert np.allclose(by.values, values[:k], rtol=1e-9) and math.isclose(by.trace, values.sum(), rel_tol=1e-12)
+    assert np.abs(by.directions.T @ by.directions - np.eye(k)).max() < 1e-13
+    got = whitening.whitened(df, by).collect()
+    assert len(got) == n
+    z = np.abs(off @ directions[:, :k] / np.sqrt(values[:k]))
+    for r in got:
+        at = r.id
+        assert r.deviation == sum((n * int(a) - int(s)) ** 2 for a, s in zip(x[at], sums))
+        assert np.allclose(np.abs(r.z), z[at], rtol=1e-6, atol=1e-6)
+    assert whitening.identity_error(whitening.whitened(df, by), k) < 1e-9
+
+
+def test_by_covariance(spark):
+    """Many tasks, so that triangles meet in a tree; a third of the rows are one vector; unusable rows."""
+    rng = np.random.default_rng(3)
+    good = np.vstack([rng.normal(size=(400, 12)) * (10.0 ** -np.arange(12)) * 30 + 5, np.tile(rng.normal(size=12), (200, 1))]).astype(np.float32)
+    bad = [None, [None] * 12, [math.nan] * 12, [math.inf] + [0.0] * 11, [1.0] * 5, []]
+    df = spark.createDataFrame(_rows([*good.tolist(), *bad]), KIND).repartition(70)
+    _held(spark, df, good)
+
+
+def test_few_directions(spark):
+    """Rank 2 of 5: two components. Equal rows: none. One row: none. No rows: no fit."""
+    rng = np.random.default_rng(5)
+    flat = np.floor(rng.normal(size=(50, 2)) * 1024) @ np.array([[1, 0, 1, 0, 2], [0, 1, 1, 0, 0]]) / 1024
+    by = whitening.fit(spark.createDataFrame(_rows(flat.tolist()), KIND))
+    assert len(by.values) == 2
+    for vectors in ([[1.0, 2.0]] * 9, [[1.0, 2.0]]):
+        by = whitening.fit(spark.createDataFrame(_rows(vectors), KIND))
+        assert by.n == len(vectors) and len(by.values) == 0
+    assert whitening.fit(spark.createDataFrame(_rows([None, []]), KIND)) is None
+
+
+def test_large_entries(spark):
+    """Entries beyond 62 bits become the largest integer; sums and squares stay exact, or null beyond a long."""
+    df = spark.createDataFrame(_rows([[1e30, 1.0], [-1e30, 2.0], [3.0, 3.0]]), KIND)
+    by = whitening.fit(df)
+    assert by.sums == [3 * 100_000 + 3 * 1024, 3 * 100_000 + 6 * 1024]
+    assert [r.deviation is None for r in whitening.whitened(df, by).orderBy("id").collect()] == [True, True, False]
+
+
+@pytest.mark.parametrize("values", [[5, 5, 5, 4, 4, 1, 1, 1], [5, 5 - 1e-13, 5 - 2e-12, 5 - 1e-9, 4, 1e-3, 1e-6, 1e-9], [3] * 8, [1, 0, 0, 0, 0, 0, 0, 0], [10.0**-k for k in range(8)]])
+def test_singular_values(values):
+    """Clusters, multiples, ranks and grades, by construction."""
+    rng = np.random.default_rng(7)
+    a, b = (np.linalg.qr(rng.normal(size=(8, 8)))[0] for _ in range(2))
+    m = a @ np.diag(values) @ b
+    squares, directions = whitening.principal(m, 8)
+    top = max(values)
+    assert np.allclose(np.sqrt(squares), sorted(values, reverse=True), rtol=0, atol=4e-15 * top)
+    k = directions.shape[1]
+    assert k >= sum(v > 1e-9 * top for v in values)
+    assert np.abs(directions.T @ directions - np.eye(k)).max() < 1e-13
+    assert np.abs(m.T @ (m @ directions) - directions * squares[:k]).max() < 1e-14 * top * top
+
+
+def test_relative_accuracy():
+    """A graded bidiagonal matrix of ones and known determinant: small singular values keep their digits."""
+    a = 10.0 ** -np.arange(0.0, 24.0, 2.0)
+    squares = whitening.singular_squares(a, a[:-1] / 3)
+    assert math.isclose(math.fsum(map(math.log, squares)), 2 * math.fsum(map(math.log, a)), rel_tol=1e-14)
+
+
+def test_query(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = _rows(rng.normal(size=(40, 10)).tolist()) + [(None, [0.5] * 10, "", 0, 0), (3, [0.25] * 10, "", 0, 0)]
+    spark.createDataFrame(rows, KIND).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = whitening.op11_embedding_whitening(spark, str(tmp_path))
+    assert got.count() == 42 * 8 and got.where("component > 8 OR identity_error > 0.0001 OR n <> 42").count() == 0
+    assert got.agg(F.sum_distinct("explained")).first()[0] < 1
+    spark.createDataFrame([], KIND).write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert whitening.op11_embedding_whitening(spark, f"{tmp_path}/none").columns == got.columns
+    assert whitening.op11_embedding_whitening(spark, f"{tmp_path}/none").count() == 0
