@@ -144,18 +144,6 @@ def _twisted(a: np.ndarray, b: np.ndarray, value: float, others: list[np.ndarray
         pivot = d[k] * l[k] ** 2 + p[k + 1] or tiny
         up[k] = l[k] * d[k] / pivot
         p[k] = p[k + 1] * d[k] / pivot - value
-    pivots = np.where(s[:-1] + d[:-1] == 0, tiny, s[:-1] + d[:-1]), s[-1] + d[-1] or tiny
-
-    def refined(z: np.ndarray) -> np.ndarray:
-        """The solution of (B'B - value) y = z."""
-        w = z.copy()
-        for k in range(1, n):
-            w[k] -= down[k - 1] * w[k - 1]
-        w /= np.append(*pivots)
-        for k in range(n - 2, -1, -1):
-            w[k] -= down[k] * w[k + 1]
-        return w / np.linalg.norm(w)
-
     def apart(z: np.ndarray) -> tuple[np.ndarray, float]:
         for _ in range(2):
             for o in others:
@@ -173,10 +161,12 @@ def _twisted(a: np.ndarray, b: np.ndarray, value: float, others: list[np.ndarray
         if rest > 0.5:
             return z / rest
     # Values equal to the last digit: what is left of their space, by inverse iteration from the unit vector farthest from the others.
+    whole = np.diag(d - value * (1 + 4 * _EPS) + np.append(0.0, b * b)) + np.diag(a[:-1] * b, 1) + np.diag(a[:-1] * b, -1)
     free = 1 - sum((o * o for o in others), np.zeros(n))
     z, rest = apart(np.eye(n)[int(free.argmax())])
     for _ in range(3):
-        z, rest = apart(refined(z / rest))
+        z = np.linalg.solve(whole, z / rest)
+        z, rest = apart(z / np.linalg.norm(z))
     return z / rest
 
 
@@ -189,7 +179,7 @@ def principal(r: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(n), np.zeros((n, 0))
     # A diagonal entry of 0 would part the factorisations; so small a change is less than the triangle's own rounding.
     a = np.where(np.abs(a) < top * _EPS / 8, top * _EPS / 8, a)
-    b = np.where(np.abs(b) <= _EPS * np.minimum(np.abs(a[:-1]), np.abs(a[1:])), 0.0, b)
+    b = np.where(np.abs(b) <= 16 * _EPS * np.minimum(np.abs(a[:-1]), np.abs(a[1:])), 0.0, b)
     edges = [0, *(np.flatnonzero(b == 0) + 1).tolist(), n]
     found = [(value, first, end) for first, end in zip(edges, edges[1:]) for value in singular_squares(a[first:end], b[first : end - 1])]
     found.sort(key=lambda x: -x[0])
