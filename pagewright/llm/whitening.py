@@ -130,7 +130,8 @@ def _twisted(a: np.ndarray, b: np.ndarray, value: float, others: list[np.ndarray
     """The unit eigenvector of B'B (diagonal a, superdiagonal b) for an eigenvalue, orthogonal to `others`.
 
     B'B - value is factorised from the top and from the bottom; where the two meet with the least rest, the
-    twist, the vector has its largest entries. The next best twists serve where neighbours are nearly equal.
+    twist, the vector has its largest entries. The next best twists serve where neighbours are nearly equal, if
+    they solve the equation as well.
     """
     d, l = a * a, b / a[:-1]
     n, tiny = len(a), np.finfo(float).tiny / _EPS
@@ -144,6 +145,9 @@ def _twisted(a: np.ndarray, b: np.ndarray, value: float, others: list[np.ndarray
         pivot = d[k] * l[k] ** 2 + p[k + 1] or tiny
         up[k] = l[k] * d[k] / pivot
         p[k] = p[k + 1] * d[k] / pivot - value
+    whole = np.diag(d + np.append(0.0, b * b)) + np.diag(a[:-1] * b, 1) + np.diag(a[:-1] * b, -1)
+    allowed = 64 * _EPS * float(np.abs(whole).max())
+
     def apart(z: np.ndarray) -> tuple[np.ndarray, float]:
         for _ in range(2):
             for o in others:
@@ -158,14 +162,13 @@ def _twisted(a: np.ndarray, b: np.ndarray, value: float, others: list[np.ndarray
         for k in range(twist, n - 1):
             z[k + 1] = -up[k] * z[k]
         z, rest = apart(z / np.linalg.norm(z))
-        if rest > 0.5:
+        if rest > 0.5 and np.linalg.norm(whole @ z - value * z) <= allowed * rest:
             return z / rest
     # Values equal to the last digit: what is left of their space, by inverse iteration from the unit vector farthest from the others.
-    whole = np.diag(d - value * (1 + 4 * _EPS) + np.append(0.0, b * b)) + np.diag(a[:-1] * b, 1) + np.diag(a[:-1] * b, -1)
     free = 1 - sum((o * o for o in others), np.zeros(n))
     z, rest = apart(np.eye(n)[int(free.argmax())])
     for _ in range(3):
-        z = np.linalg.solve(whole, z / rest)
+        z = np.linalg.solve(whole - np.eye(n) * value * (1 + 4 * _EPS), z / rest)
         z, rest = apart(z / np.linalg.norm(z))
     return z / rest
 
