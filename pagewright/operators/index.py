@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pagewright.functions.formulas import PART, with_record
 from pagewright.functions.query import started
 from pagewright.functions.tables import GLYPHS, LETTERS
+from pagewright.operators.repair import Dictionary
 
-#: Blocks to a chunk, characters from which a text is furniture, and the number of a title among blocks and chunks.
+#: Blocks to a chunk, of 64 at most; characters from which a text is furniture; the number of a title among blocks and chunks.
 CHUNK, REPEAT_CHARS, TITLE = 32, 60, -1
+#: Pages of a Parquet column in entries and lists: small ones, so that a reader can leave out most of a file.
+PAGED = {"compression": "zstd", "parquet.page.size": "65536", "parquet.page.row.count.limit": "256", "parquet.block.size": str(32 << 20)}
 WORDS = f"[{LETTERS}]+|[{GLYPHS}]"
 
 
@@ -27,12 +30,13 @@ def without_repeated(blocks: DataFrame, threshold: int = 4, least: int = REPEAT_
     return blocks.join(furniture, "text", "left_anti").select(*blocks.columns)
 
 
-def entries(pages: DataFrame, blocks: DataFrame, size: int = CHUNK) -> DataFrame:
+def entries(pages: DataFrame, blocks: DataFrame, size: int = CHUNK, clustered: bool = False) -> DataFrame:
     """What is searched: (order_, page_id, block_seq, chunk, anchor, heading, text, marked, squeezed).
 
     A page's title and other names are its block TITLE, in a chunk of its own; its other chunks are `size`
     blocks each. marked is the fold of heading and text with a sign before each word. Folding is most of the
-    work of a search: `build` stores these rows.
+    work of a search: `build` stores these rows. If clustered, each task sorts its rows in site order
+    before they are folded, so that a few pages of the site are a few parts of a file.
     """
     none = F.lit(None).cast("string")
     titles = pages.select(
@@ -42,7 +46,10 @@ def entries(pages: DataFrame, blocks: DataFrame, size: int = CHUNK) -> DataFrame
     under = blocks.join(pages.select("page_id", "order_"), "page_id").select(
         "order_", "page_id", "block_seq", "anchor", "heading", "text", F.concat(F.coalesce("heading", F.lit("")), F.lit(" "), F.col("text")).alias("said")
     )
-    rows = with_record(titles.unionByName(under), F.col("said"))
+    rows = titles.unionByName(under)
+    if clustered:
+        rows = rows.sortWithinPartitions("order_", "page_id", "block_seq")
+    rows = with_record(rows, F.col("said"))
     chunk = F.when(F.col("block_seq") == TITLE, TITLE).otherwise(chunk_of(size=size)).cast("int")
     return rows.select("order_", "page_id", "block_seq", chunk.alias("chunk"), "anchor", "heading", "text", started(F.col("fold")).alias("marked"), "squeezed")
 
@@ -66,9 +73,14 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return rows.withColumn("words", F.array_union(words, pairs))
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """(word, page_id, chunk), distinct: which chunks of the entries hold a word. Long lists stay rows, so a word of every chunk is no array."""
-    return vocabulary(rows).select("page_id", "chunk", F.explode("words").alias("word")).distinct().select("word", "page_id", "chunk")
+def postings(rows: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(word, order_, page_id, chunk, blocks): which chunks of the entries hold a word, and a bit for each of their blocks that does.
+
+    Long lists stay rows, so a word of every chunk is no array. A title is the first and only block of its chunk.
+    """
+    bit = F.when(F.col("block_seq") == TITLE, 0).otherwise(F.col("block_seq") - F.col("chunk") * size).cast("int")
+    each = vocabulary(rows).select("order_", "page_id", "chunk", bit.alias("bit"), F.explode("words").alias("word"))
+    return each.groupBy("word", "order_", "page_id", "chunk").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("blocks"))
 
 
 def weights(of: DataFrame) -> DataFrame:
@@ -100,6 +112,9 @@ class Index:
     """A stored index: pages, what is searched of them, and which chunks hold which words."""
 
     folder: str
+    size: int = CHUNK
+    #: Whether the words' dictionary is stored too.
+    repairs: bool = False
 
     def _table(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/{name}")
@@ -116,21 +131,35 @@ class Index:
     def weights(self, spark: SparkSession) -> DataFrame:
         return self._table(spark, "weights")
 
+    def dictionary(self, spark: SparkSession) -> Dictionary:
+        """The words, titles' too, as repairs look them up."""
+        return Dictionary.stored(spark, f"{self.folder}/dictionary")
+
 
 def write_postings(of: DataFrame, path: str) -> None:
-    """Postings sorted by word, so that a prefix is a few row groups. Spark's Parquet writer codes what neighbours share."""
-    of.repartitionByRange("word", "page_id", "chunk").sortWithinPartitions("word", "page_id", "chunk").write.option("compression", "zstd").parquet(path)
+    """Postings sorted by word and site order, so that a prefix, and a word's part of the site, are a few pages of a file."""
+    keys = ["word", "order_", "page_id", "chunk"]
+    of.repartitionByRange(*keys).sortWithinPartitions(*keys).write.options(**PAGED).parquet(path)
+
+
+def write_entries(of: DataFrame, path: str) -> None:
+    of.write.options(**PAGED).parquet(path)
 
 
-def build(pages: DataFrame, blocks: DataFrame, folder: str, size: int = CHUNK, posted: bool = True) -> Index:
+def build(pages: DataFrame, blocks: DataFrame, folder: str, size: int = CHUNK, posted: bool = True, repairs: bool = False) -> Index:
     """Write the index below folder. Every text is folded once, here; searches read what they need of it.
 
-    Without `posted` there are no postings and weights, which only searches by index and repairs need.
+    Without `posted` there are no postings and weights, which only searches by index and repairs need, nor are
+    entries in site order. Repairs also need the words' dictionary, with `repairs`.
     """
-    spark, index = pages.sparkSession, Index(folder)
+    if not 1 <= size <= 64:
+        raise ValueError("a chunk has 1 to 64 blocks")
+    spark, index = pages.sparkSession, Index(folder, size, posted and repairs)
     pages.write.option("compression", "zstd").parquet(f"{folder}/pages")
-    entries(index.pages(spark), blocks, size).write.option("compression", "zstd").parquet(f"{folder}/entries")
+    write_entries(entries(index.pages(spark), blocks, size, clustered=posted), f"{folder}/entries")
     if posted:
-        write_postings(postings(index.entries(spark)), f"{folder}/postings")
+        write_postings(postings(index.entries(spark), size), f"{folder}/postings")
         weights(index.postings(spark)).write.option("compression", "zstd").parquet(f"{folder}/weights")
+    if posted and repairs:
+        Dictionary.of(lexicon(index.weights(spark), titles=True)).write(f"{folder}/dictionary")
     return index

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import functools
+import operator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.query import Term, all_found, least_keys, parse, parsed
+from pagewright.functions.query import Term, all_found, exact, least_keys, parse, parsed
 from pagewright.operators.index import TITLE, Index
-from pagewright.sources.jsonindex import numbered
-from pagewright.storage import written
+from pagewright.storage import spread, written
 
 LIMIT = 100
 #: Pages, first in site order, in which many queries are answered first, and how much further each round reaches.
-FIRST, FURTHER = 256, 8
+FIRST, FURTHER = 1024, 16
+#: Chunks that a search by index reads first and at most by name; ranges of pages that a filter names.
+READ, NAMED, RANGES = 128, 8192, 64
+#: Pages, about, by which the site's order is known for rounds.
+SAMPLED = 4096
+_SITE = ["order_", "page_id", "chunk"]
 
 
 def matches(entries: DataFrame, terms: list[Term]) -> DataFrame:
@@ -36,86 +42,204 @@ def found(entries: DataFrame, query: str) -> DataFrame:
     return matches(entries, parse(query)).agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("kind") == 0).alias("titles"), F.count_distinct("page_id").alias("pages"))
 
 
-def candidates(postings: DataFrame, terms: list[Term]) -> DataFrame | None:
-    """(page_id, chunk): those that may hold all terms, by the index alone; None if it can tell of no term.
+def candidates(postings: DataFrame, terms: list[Term], together: bool = True) -> DataFrame | None:
+    """(order_, page_id, chunk, blocks): chunks that may hold all terms in one block, with a bit for each such block; None if the index can tell of no term.
 
-    A needle's keys must all be there, any needle of a term will do, and all terms must be met. Each step is
-    a count over distinct keys, summed up before the shuffle.
+    A needle's keys must all be there, any needle of a term will do, and all terms must be met. Where all terms are
+    `exact`, these blocks are the answer. If not `together`, terms may be in different blocks of the chunk. One pass over the keys' postings, whose bits are summed up before the shuffle.
     """
-    wanted = []
-    for t, term in enumerate(terms):
-        wanted += [(t, n, k, key) for n, ks in enumerate(least_keys(term)) for k, key in enumerate(ks)]
-    if not wanted:
+    told = [least for term in terms if (least := least_keys(term))]
+    if not told:
         return None
+    wanted = list(dict.fromkeys(key for term in told for keys in term for key in keys))
     # The query's keys are known here; each becomes a filter that reaches the scan.
-    hit = functools.reduce(Column.__or__, (F.col("word").startswith(key) for key in dict.fromkeys(key for *_, key in wanted)))
-    flags = F.array(*(F.when(F.col("word").startswith(key), F.struct(F.lit(t).alias("t"), F.lit(n).alias("n"), F.lit(k).alias("k"))) for t, n, k, key in wanted))
-    held = postings.where(hit).select("page_id", "chunk", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("f")).select("page_id", "chunk", "f.*").distinct()
-    sizes: dict[tuple[int, int], int] = {}
-    for t, n, *_ in wanted:
-        sizes[t, n] = sizes.get((t, n), 0) + 1
-    need = F.coalesce(*(F.when((F.col("t") == t) & (F.col("n") == n), F.lit(size)) for (t, n), size in sizes.items()))
-    whole = held.groupBy("page_id", "chunk", "t", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == need)
-    n_terms = len({t for t, *_ in wanted})
-    return whole.groupBy("page_id", "chunk").agg(F.count_distinct("t").alias("c")).where(F.col("c") == n_terms).select("page_id", "chunk")
+    hit = functools.reduce(operator.or_, (F.col("word").startswith(key) for key in wanted))
+    each = [F.coalesce(F.bit_or(F.when(F.col("word").startswith(key), F.col("blocks"))), F.lit(0).cast("long")).alias(f"k{n}") for n, key in enumerate(wanted)]
+    bits = lambda k: F.col(f"k{k}") if together else F.when(F.col(f"k{k}") != 0, F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
+    both = lambda keys: functools.reduce(lambda a, b: a.bitwiseAND(b), (bits(wanted.index(k)) for k in keys))
+    any_ = lambda term: functools.reduce(lambda a, b: a.bitwiseOR(b), map(both, term))
+    blocks = functools.reduce(lambda a, b: a.bitwiseAND(b), map(any_, told))
+    return postings.where(hit).groupBy(*_SITE).agg(*each).select(*_SITE, blocks.alias("blocks")).where("blocks <> 0")
+
+
+def _blocks(of: DataFrame, size: int) -> DataFrame:
+    """Chunks with bits as rows of (..., block_seq)."""
+    seq = F.when(F.col("chunk") == TITLE, TITLE).otherwise(F.col("chunk") * size + F.col("bit")).cast("int")
+    some = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("blocks").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    return of.withColumn("bit", F.explode(some)).withColumn("block_seq", seq).drop("bit", "blocks")
+
+
+def _in_pages(pages: list[tuple[int, int]]) -> Column:
+    """A filter that files' statistics can answer, for (order_, page_id) in site order: at most RANGES ranges, which may hold more than these pages."""
+    widest = sorted((b[1] - a[1] if a[0] == b[0] else 1 << 62, k) for k, (a, b) in enumerate(zip(pages, pages[1:]), 1))
+    edges = [0, *sorted(k for _, k in widest[-(RANGES - 1) :] if pages[k] != pages[k - 1]), len(pages)]
+    spans = [(pages[a], pages[b - 1]) for a, b in zip(edges, edges[1:])]
+    # A span over several orders has the pages of all of them between the least and the greatest.
+    return functools.reduce(operator.or_, (F.col("order_").between(x[0], y[0]) & F.col("page_id").between(*sorted((x[1], y[1]))) if x[0] == y[0] else F.col("order_").between(x[0], y[0]) for x, y in spans))
+
+
+def _chunks_read(entries: DataFrame, named: list[Row]) -> DataFrame:
+    """The entries of the named chunks, by a filter on their pages."""
+    if not named:
+        return entries.where("false")
+    keys = entries.sparkSession.createDataFrame([(r.page_id, r.chunk) for r in named], "page_id long, chunk int")
+    return entries.where(_in_pages(sorted({(r.order_, r.page_id) for r in named}))).join(F.broadcast(keys), ["page_id", "chunk"], "left_semi")  # NAMED rows at most
+
+
+def _behind(place: Row) -> Column:
+    at = (place.order_, place.page_id, place.chunk)
+    step = lambda k: functools.reduce(operator.and_, (F.col(c) == v for c, v in zip(_SITE[:k], at)), F.lit(True)) & (F.col(_SITE[k]) > at[k])
+    return step(0) | step(1) | step(2)
 
 
 def search_by_index(entries: DataFrame, postings: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
-    """The same rows as search: the index names chunks, which are then read and tested."""
+    """The same rows as search: the index names chunks, in site order; these alone are read from the stored entries and tested.
+
+    The first READ chunks are read by name, then FURTHER times as many, until `limit` rows are found or no chunk
+    is left. Beyond NAMED chunks the rest is joined.
+    """
     terms = parse(query)
     chunks = candidates(postings, terms)
-    near = entries if chunks is None else entries.join(chunks, ["page_id", "chunk"], "left_semi")
-    return top(matches(near, terms), limit)
+    if chunks is None:
+        return search(entries, query, limit)
+    # If the index tells all, each chunk has an answer.
+    sure = all(map(exact, terms))
+    parts, most, left = [], max(READ, limit) if sure else READ, chunks
+    while True:
+        if most > NAMED:
+            parts.append(matches(entries.join(left.select("page_id", "chunk"), ["page_id", "chunk"], "left_semi"), terms))
+            break
+        named = left.orderBy(*_SITE).limit(most + 1).collect()
+        parts.append(matches(_chunks_read(entries, named[:most]), terms))
+        if len(named) <= most or sure:
+            break
+        if functools.reduce(DataFrame.unionByName, parts).limit(limit).count() >= limit:
+            break
+        left, most = chunks.where(_behind(named[most - 1])), most * FURTHER
+    return top(functools.reduce(DataFrame.unionByName, parts), limit)
+
+
+@dataclass(frozen=True)
+class _Asked:
+    """What different lists of keys (of) ask of postings: words of needles with one key (of, word); and needles with several keys: (of, n, need, key) and the words of these keys (key, word)."""
 
+    single: DataFrame
+    #: Both None if there are none.
+    several: DataFrame | None
+    words: DataFrame | None
 
-def _chunks_of(index: Index, spark: SparkSession, terms: DataFrame) -> DataFrame:
-    """(of, page_id, chunk): for each different list of keys (of, needles) the chunks that the index names."""
-    each = terms.select("of", F.posexplode("needles").alias("n", "keys")).select("of", "n", F.size("keys").alias("need"), F.explode("keys").alias("key"))
-    short = lambda c: F.left(c, F.lit(3))
+    def only(self, of: DataFrame) -> _Asked:
+        return _Asked(self.single.join(of, "of", "left_semi"), None if self.several is None else self.several.join(of, "of", "left_semi"), self.words)
+
+    def lists(self, postings: DataFrame) -> DataFrame:
+        """(of, order_, page_id, chunk, blocks): for each list of keys the chunks that may have a needle, and in which blocks."""
+        one = self.single.join(postings, "word").select("of", *_SITE, "blocks")
+        if self.several is None:
+            return one.groupBy("of", *_SITE).agg(F.bit_or("blocks").alias("blocks"))
+        held = self.words.join(postings, "word").groupBy("key", *_SITE).agg(F.bit_or("blocks").alias("blocks"))
+        whole = self.several.join(held, "key").groupBy("of", "n", "need", *_SITE).agg(F.count(F.lit(1)).alias("c"), F.bit_and("blocks").alias("blocks")).where("c = need AND blocks <> 0")
+        return one.unionByName(whole.select(*one.columns)).groupBy("of", *_SITE).agg(F.bit_or("blocks").alias("blocks"))
+
+
+def _words_of(index: Index, terms: DataFrame) -> tuple[_Asked, DataFrame]:
+    """Of the different lists of keys (of, needles): what they ask, and how many chunks each has at most (of, size)."""
+    spark = terms.sparkSession
+    each = written(terms.select("of", F.posexplode("needles").alias("n", "keys")).select("of", "n", F.size("keys").alias("need"), F.explode("keys").alias("key")), "keys")
     # Keys meet words as equals: by three letters, or by all that shorter ones have.
-    words = index.weights(spark).select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.left("word", i)))).alias("k3"))
-    met = each.select("key").distinct().withColumn("k3", short(F.col("key"))).join(words, "k3").where(F.expr("startswith(word, key)")).select("key", "word")
-    held = met.join(index.postings(spark), "word").select("key", "page_id", "chunk").distinct()
-    whole = each.join(held, "key").groupBy("of", "n", "need", "page_id", "chunk").agg(F.count(F.lit(1)).alias("c")).where("c = need")
-    return whole.select("of", "page_id", "chunk").distinct()
+    starts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.left("word", i))))
+    words = spread(index.weights(spark)).select("word", (F.col("weight") + F.col("titles")).alias("w"), starts.alias("k3"))
+    met = each.select("key").distinct().withColumn("k3", F.left("key", F.lit(3))).join(words, "k3").where(F.expr("startswith(word, key)"))
+    met = written(met.select("key", "word", "w"), "words")
+    least = each.join(met.groupBy("key").agg(F.sum("w").alias("w")), "key", "left").groupBy("of", "n").agg(F.min(F.coalesce("w", F.lit(0))).alias("w"))
+    single = written(each.where("need = 1").join(met, "key").select("of", "word").distinct(), "single")
+    several = each.where("need > 1")
+    asked = _Asked(single, None, None) if several.isEmpty() else _Asked(single, several, met.join(several, "key", "left_semi").select("key", "word"))
+    return asked, least.groupBy("of").agg(F.sum("w").alias("size"))
 
 
-def search_batch(index: Index, queries: DataFrame, limit: int = LIMIT, first: int = FIRST, further: int = FURTHER) -> DataFrame:
-    """(query_id, rank, page_id, block_seq): for each of (query_id, query) the rows of `search`.
+def _all_met() -> Column:
+    """The test of a block for all of a row's terms, if the index can't tell."""
+    one = lambda n, t: F.when(t["formula"], F.contains(F.col("squeezed"), n)).otherwise(F.contains(F.col("marked"), n))
+    return F.forall("terms", lambda t: F.exists(t["needles"], lambda n: one(n, t)))
 
-    Each query is answered from the chunks of that of its terms which the fewest chunks have, found once for
-    all queries with that term. They are read in site order, in rounds that reach `further` times as many
-    pages each; queries that have all they show leave. So a query of common words reads few chunks, and one
-    of rare words has few.
+
+def _bounds(index: Index, spark: SparkSession, first: int, further: int) -> list[tuple[int, int] | None]:
+    """Where rounds end: about the first `first` pages in site order, then `further` times as many, and so on; None for the end of the site.
+
+    The order is known by some SAMPLED pages, the same ones each time.
     """
-    spark = queries.sparkSession
-    asked = written(queries.select("query_id", parsed("query").alias("terms")).where(F.size("terms") > 0), "queries")
-    each = asked.select("query_id", F.explode("terms.keys").alias("needles")).withColumn("of", F.to_json("needles"))
-    told = each.where(F.size("needles") > 0)
-    places = index.pages(spark).select("page_id", "order_", F.lit(1).alias("one"))
-    seq = numbered(places, "one").select("page_id", F.col("first").alias("seq"))
-    # Where no term can tell, all chunks are read.
-    every = index.entries(spark).select(F.lit("[]").alias("of"), "page_id", "chunk").distinct()
-    lists = _chunks_of(index, spark, told.select("of", "needles").distinct()).unionByName(every)
-    lists = written(lists.join(seq, "page_id"), "lists")
-    sizes = lists.where("of <> '[]'").groupBy("of").agg(F.count(F.lit(1)).alias("n"))
-    least = told.select("query_id", "of").distinct().join(sizes, "of", "left").groupBy("query_id").agg(F.min_by("of", F.coalesce("n", F.lit(0))).alias("of"))
-    left = written(asked.join(least, "query_id", "left").withColumn("of", F.coalesce("of", F.lit("[]"))), "left")
-
-    n_pages, low, high, rounds = places.count(), 0, first, []
-    order = Window.partitionBy("query_id").orderBy("seq", "block_seq")
-    test = F.forall(
-        "terms", lambda t: F.exists(t["needles"], lambda n: F.when(t["formula"], F.contains(F.col("squeezed"), n)).otherwise(F.contains(F.col("marked"), n)))
-    )
-    while True:
-        near = lists.where(F.col("seq").between(low, high - 1)).join(left, "of").select("query_id", "terms", "page_id", "chunk", "seq")
-        read = index.entries(spark).select("page_id", "chunk", "block_seq", "marked", "squeezed").join(near, ["page_id", "chunk"]).where(test)
-        ranked = read.select("query_id", "seq", "page_id", "block_seq").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-        rounds.append(written(ranked, "answers"))
-        if high >= n_pages:
-            break
-        low, high = high, high * further
+    pages = index.pages(spark).select("order_", "page_id")
+    n, ends = pages.count(), []
+    while first < n:
+        ends.append(first / n)
+        first *= further
+    if not ends:
+        return [None]
+    sample = sorted(map(tuple, pages.where(F.pmod(F.xxhash64("page_id"), F.lit(max(1, n // SAMPLED))) == 0).collect()))
+    return [*dict.fromkeys(sample[int(share * len(sample))] for share in ends if sample), None]
+
+
+def _between(low: tuple[int, int] | None, high: tuple[int, int] | None) -> Column:
+    after = F.lit(True) if low is None else (F.col("order_") > low[0]) | (F.col("order_") == low[0]) & (F.col("page_id") > low[1])
+    until = F.lit(True) if high is None else (F.col("order_") < high[0]) | (F.col("order_") == high[0]) & (F.col("page_id") <= high[1])
+    return after & until
+
+
+def search_terms(index: Index, asked: DataFrame, limit: int = LIMIT, first: int = FIRST, further: int = FURTHER) -> DataFrame:
+    """(query_id, rank, order_, page_id, block_seq): the rows of `search` for each of (query_id, terms), terms as `query.parsed` gives them.
+
+    Each query is answered from the chunks of that of its terms which the fewest chunks have; in these, the bits of its other
+    terms' lists leave the blocks that hold all. Lists are made once for all queries with a term, from the
+    postings of a part of the site, in site order; a query that has its rows leaves, and the next part is
+    `further` times as long. Blocks are read only for terms that the index can't tell, and of the same part.
+    """
+    spark = asked.sparkSession
+    asked = written(asked.select("query_id", "terms").where(F.size("terms") > 0), "queries")
+    told = asked.select("query_id", F.explode("terms.keys").alias("needles")).where(F.size("needles") > 0).withColumn("of", F.to_json("needles"))
+    asks_of, sizes = _words_of(index, told.select("of", "needles").distinct())
+    lists_of = told.select("query_id", "of").distinct().join(sizes, "of", "left").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "of"))).alias("l"))
+    # A list that is empty ends the query; the shortest is where it is answered from.
+    left = asked.join(lists_of, "query_id", "left").where("l IS NULL OR l[0].size > 0").select(
+        "query_id", "terms", F.coalesce(F.col("l")[0]["of"], F.lit("[]")).alias("of"), F.transform(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(1))), lambda x: x["of"]).alias("others"),
+        F.forall("terms", lambda t: t["exact"]).alias("sure"),
+    )
+    left = written(left, "left")
+    order = Window.partitionBy("query_id").orderBy("order_", "page_id", "block_seq")
+    rounds, low = [], None
+    for high in _bounds(index, spark, first, further):
+        part = _between(low, high)
+        asks_now = asks_of.only(_lists_left(left)) if rounds else asks_of
+        lists = written(asks_now.lists(index.postings(spark).where(part)), "lists")
+        near = lists.join(left.select("query_id", "of", "others", "sure"), "of").select("query_id", "sure", "others", *_SITE, "blocks")
+        more = near.select("query_id", *_SITE, F.explode("others").alias("of")).join(lists, ["of", *_SITE]).select("query_id", *_SITE, "blocks", F.lit(0).alias("n"), F.lit(None).cast("boolean").alias("sure"))
+        every = near.select("query_id", *_SITE, "blocks", (F.size("others") + 1).alias("n"), "sure").unionByName(more)
+        met = every.groupBy("query_id", *_SITE).agg(F.bit_and("blocks").alias("blocks"), F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("sure").alias("sure")).where("c = n AND blocks <> 0")
+        # A chunk of a sure query has a row at least: no more chunks than rows are opened.
+        by_site = Window.partitionBy("query_id").orderBy(*_SITE)
+        sure = met.where("sure").select("query_id", *_SITE, "blocks").withColumn("r", F.row_number().over(by_site)).where(F.col("r") <= limit).drop("r")
+        sure, open_ = (_blocks(of.select("query_id", *_SITE, "blocks"), index.size) for of in (sure, met.where("NOT sure")))
+        keys = ["query_id", "order_", "page_id", "block_seq"]
+        entries = index.entries(spark).where(part).select("page_id", "block_seq", "order_", "marked", "squeezed")
+        unsure = open_.select(*keys).join(left.select("query_id", "terms"), "query_id")
+        read = entries.join(unsure.drop("order_"), ["page_id", "block_seq"]).where(_all_met()).select(*keys)
+        # Queries whose terms are nothing that the index lists are tested on all blocks.
+        blind = entries.withColumn("of", F.lit("[]")).join(left.where("of = '[]'").select("query_id", "of", "terms"), "of").where(_all_met()).select(*keys)
+        found = sure.select(*keys).unionByName(read).unionByName(blind)
+        rounds.append(written(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit), "answers"))
+        low = high
         full = functools.reduce(DataFrame.unionByName, rounds).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
         left = written(left.join(full, "query_id", "left_anti"), "left")
+        if left.isEmpty():
+            break
     rows = functools.reduce(DataFrame.unionByName, rounds).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return rows.select("query_id", "rank", "page_id", "block_seq")
+    return rows.select("query_id", "rank", "order_", "page_id", "block_seq")
+
+
+def _lists_left(left: DataFrame) -> DataFrame:
+    """(of): the lists that queries still need."""
+    return left.select(F.explode(F.concat(F.array("of"), F.coalesce("others", F.array().cast("array<string>")))).alias("of")).distinct()
+
+
+def search_batch(index: Index, queries: DataFrame, limit: int = LIMIT, first: int = FIRST, further: int = FURTHER) -> DataFrame:
+    """(query_id, rank, page_id, block_seq): for each of (query_id, query) the rows of `search`."""
+    return search_terms(index, queries.select("query_id", parsed("query").alias("terms")), limit, first, further).drop("order_")

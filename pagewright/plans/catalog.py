@@ -25,9 +25,9 @@ def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tables.document_pages(docs), tables.line_blocks(docs)
 
 
-def _index(spark: SparkSession, sf_dir: str, posted: bool = True) -> index.Index:
+def _index(spark: SparkSession, sf_dir: str, posted: bool = True, repairs: bool = False) -> index.Index:
     """The documents' index, built once for each call."""
-    return index.build(*_site(spark, sf_dir), new_folder(spark, "index"), posted=posted)
+    return index.build(*_site(spark, sf_dir), new_folder(spark, "index"), posted=posted, repairs=repairs)
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ def two_tier_search(spark, sf_dir):
 
 
 def candidates_intersect(spark, sf_dir):
-    found = search.candidates(_index(spark, sf_dir).postings(spark), query.parse("que elle"))
+    found = search.candidates(_index(spark, sf_dir).postings(spark), query.parse("que elle"), together=False)
     return found.where(f"chunk <> {index.TITLE}").select(F.expr(_NUMBER).alias("chunk"))
 
 
@@ -252,7 +252,7 @@ def formula_search(spark, sf_dir):
 
 
 def widen_stem(spark, sf_dir):
-    lexicon = index.lexicon(_index(spark, sf_dir).weights(spark)).where(F.col("word").rlike(f"^[{LETTERS}]+$"))
+    lexicon = _dictionary(spark, index.lexicon(_index(spark, sf_dir).weights(spark)).where(F.col("word").rlike(f"^[{LETTERS}]+$")), "prefixes")
     words = _benchmark_words(spark, sf_dir).select(F.explode("words").alias("w")).select(F.concat("w", F.lit("zq")).alias("word"))
     return repair.widen(words, lexicon)
 
@@ -263,28 +263,33 @@ def _misspelt(spark, sf_dir):
     return rows.select("item_id", "pos", F.concat(F.left("w", F.lit(2)), F.substring("w", 4, 100)).alias("word"))
 
 
-def _by_occurrence(spark, sf_dir):
-    return written(index.lexicon_by_occurrence(_entries(spark, sf_dir)), "lexicon")
+def _dictionary(spark, lexicon, *tables):
+    """The lexicon's words and these of its tables, stored in order."""
+    return repair.Dictionary.of(lexicon).write(new_folder(spark, "dictionary"), tables)
+
+
+def _by_occurrence(spark, sf_dir, *tables):
+    return _dictionary(spark, index.lexicon_by_occurrence(_entries(spark, sf_dir)), *tables)
 
 
 def nearest_word(spark, sf_dir):
-    return repair.nearest(_misspelt(spark, sf_dir).select("word"), _by_occurrence(spark, sf_dir)).withColumn("distance", F.col("distance").cast("long"))
+    return repair.nearest(_misspelt(spark, sf_dir).select("word"), _by_occurrence(spark, sf_dir, "near")).withColumn("distance", F.col("distance").cast("long"))
 
 
 def correct_query(spark, sf_dir):
     """Each benchmark text with its words misspelt, a query of five words after the other, corrected."""
-    lexicon = _by_occurrence(spark, sf_dir)
+    lexicon = _by_occurrence(spark, sf_dir, "prefixes", "near")
     return repair.correct(_misspelt(spark, sf_dir).select((F.col("item_id") * 10_000 + F.floor(F.col("pos") / 5)).alias("query_id"), "pos", "word"), lexicon)
 
 
 def correct_query_by_one(spark, sf_dir):
     """The same where stems found something, so that a word may be one letter off only."""
-    lexicon = _by_occurrence(spark, sf_dir)
+    lexicon = _by_occurrence(spark, sf_dir, "prefixes", "near")
     return repair.correct(_misspelt(spark, sf_dir).select((F.col("item_id") * 10_000 + F.floor(F.col("pos") / 5)).alias("query_id"), "pos", "word"), lexicon, cap=1)
 
 
 def prefix_owner(spark, sf_dir):
-    return repair.only(_benchmark_words(spark, sf_dir).select(F.explode("words").alias("word")), _by_occurrence(spark, sf_dir))
+    return repair.only(_benchmark_words(spark, sf_dir).select(F.explode("words").alias("word")), _by_occurrence(spark, sf_dir, "prefixes"))
 
 
 _NEAREST = """
@@ -430,10 +435,30 @@ def snippet_rows(spark, sf_dir):
 
 def answer_repaired(spark, sf_dir):
     """What is shown for a query that nothing answers: (page_id, kind, block_seq, how, instead)."""
-    told = answer.answer(_index(spark, sf_dir), spark, "ationqz the")
+    told = answer.answer(_index(spark, sf_dir, repairs=True), spark, "ationqz the")
     return _found_rows(told.rows).withColumns({"how": F.lit(told.how).cast("string"), "instead": F.lit(told.instead).cast("string")})
 
 
+def _misspelt_pairs(spark, sf_dir):
+    """(query_id, query): the words of each benchmark text two by two, of all lengths, each second pair's first word without its third letter, each third one's second word with an ending."""
+    pairs = _benchmark_queries(spark, sf_dir).where("query_id % 10000 > 0").withColumn("w", F.split("query", " "))
+    first = F.when(F.col("query_id") % 2 == 0, F.concat(F.left(F.col("w")[0], F.lit(2)), F.substring(F.col("w")[0], 4, 1 << 30))).otherwise(F.col("w")[0])
+    second = F.when(F.col("query_id") % 3 == 0, F.concat(F.get("w", F.lit(1)), F.lit("zq"))).otherwise(F.get("w", F.lit(1)))
+    return pairs.select("query_id", F.concat_ws(" ", first, second).alias("query"))
+
+
+def answer_batch(spark, sf_dir):
+    """All benchmark words, two by two and misspelt, answered and repaired at once."""
+    return answer.answer_batch(_index(spark, sf_dir, repairs=True), _misspelt_pairs(spark, sf_dir))
+
+
+def snippet_batch(spark, sf_dir):
+    """What is shown for each benchmark text's words, two by two: the rows of search_batch with address, trail, snippet and how much is marked."""
+    stored, queries = _index(spark, sf_dir), _benchmark_queries(spark, sf_dir).where("query_id % 10000 > 0")
+    rows = answer.shown_batch(stored, queries, search.search_batch(stored, queries))
+    return rows.select("query_id", "rank", "page_id", "block_seq", "url", "trail", "snippet", F.size("marks").alias("marks"))
+
+
 def _body_sql() -> str:
     out = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
     for tag in ("script", "style", "noscript"):
@@ -488,7 +513,7 @@ def queries() -> dict:
             search_and, search_count, search_ladder, search_titles, search_scripts, result_rows, answer_repaired, two_tier_search, candidates_intersect, prefix_lookup, search_batch, blocks_from_lines, blocks_from_turns, blocks_from_paragraphs, lang_visible,
             drop_repeated, section_rules, chunk_map, postings, lexicon_df, lexicon_tf, lexicon_merged, formula_bigrams, glyph_postings, formula_search, widen_stem, nearest_word, correct_query, correct_query_by_one, prefix_owner, profile_totals,
             profile_sections, profile_suspect, profile_samples, profile_repeated, profile_biggest, profile_empty_dup, profile_html, profile_rollup, json_pages, palette_pick, palette_scores, section_doors, symbol_match,
-            symbol_usage, symbols_frequent, html_blocks, html_text, html_sections, snippet_rows,
+            symbol_usage, symbols_frequent, html_blocks, html_text, html_sections, snippet_rows, answer_batch, snippet_batch,
         )
     }
 

@@ -45,7 +45,7 @@ def compact(spark: SparkSession, folder: str, into: str) -> index.Index:
     """The index as it is now in one piece, in a folder of its own: few files, postings in order, nothing outdated."""
     pages, entries, postings = read(spark, folder)
     pages.write.option("compression", "zstd").parquet(f"{into}/pages")
-    entries.write.option("compression", "zstd").parquet(f"{into}/entries")
+    index.write_entries(entries.sortWithinPartitions("order_", "page_id", "block_seq"), f"{into}/entries")
     index.write_postings(postings, f"{into}/postings")
     whole = index.Index(into)
     index.weights(whole.postings(spark)).write.option("compression", "zstd").parquet(f"{into}/weights")

@@ -89,7 +89,43 @@ def test_searches_are_small_plans_over_stored_rows(spark):
     for name in ("search_and", "search_count", "two_tier_search", "palette_pick"):
         plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert len(plan) < 12_000 and "regexp_replace" not in plan.replace("regexp_replace(regexp_replace(title", ""), name
-    assert "StringStartsWith(word,que)" in catalog.two_tier_search(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(word,que)" in catalog.candidates_intersect(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def read_of(df, table):
+    """(rows, files): how many rows the scans of a stored table gave when df ran, and of how many files."""
+    df.collect()
+    plan, rows, found = df._jdf.queryExecution().executedPlan(), 0, 0
+    queue = [plan]
+    while queue:
+        node = queue.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            queue.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            queue.append(node.plan())
+        if node.nodeName().startswith("Scan parquet") and table in node.toString():
+            metrics = node.metrics()
+            rows += metrics.apply("numOutputRows").value()
+            found += metrics.apply("numFiles").value()
+        queue += [node.children().apply(k) for k in range(node.children().size())]
+    return rows, found
+
+
+def test_rare_words_read_little(spark, tmp_path_factory):
+    """A pair of rare words: of the stored entries, the pages in which both stand are read, and no others."""
+    sf = "/root/testdata/sf0.01"
+    stored = catalog._index(spark, sf)
+    entries = stored.entries(spark)
+    every = entries.count()
+    rare = stored.weights(spark).where("weight = 1 AND word RLIKE '^[a-z]{8,}$'").select("word")
+    pair = stored.postings(spark).join(rare, "word").groupBy("page_id", "chunk", "blocks").agg(F.sort_array(F.collect_list("word")).alias("ws")).where("size(ws) > 1").orderBy("page_id", "chunk").first()
+    q = " ".join(pair.ws[:2])
+    found = search.search_by_index(entries, stored.postings(spark), q)
+    rows, _ = read_of(found, "marked")
+    scan, _ = read_of(search.search(entries, q), "marked")
+    assert scan == every and 0 < rows * 10 < every
+    assert [r.page_id for r in found.collect()] == [pair.page_id]
 
 
 @pytest.fixture(scope="module")
