@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import binaries, new_folder, spread
+from pagewright.llm.shared import binaries, new_folder, spread, written
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 256 << 20, 3
 #: Frames of a bundle that are read together.
@@ -189,6 +189,23 @@ class Archive:
         return spark.read.schema(_INDEX).parquet(f"{self.folder}/index")
 
 
+def _told_apart(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """rows with `again`: null for the first row of a page and payload, which has the plain identifier; of those that repeat it, their place.
+
+    Rows that repeat are written with their places before these are compared: a row counted in two branches of a plan
+    may have another place in each.
+    """
+    repeated = told.where("n > 1").select(F.col("page_id").alias("p"), F.col("digest").alias("d"))
+    none = rows.withColumn("again", F.lit(None).cast("long"))
+    if repeated.isEmpty():
+        return none
+    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))
+    several = written(rows.hint("merge").join(repeated, same, "left_semi").withColumn("place", F.monotonically_increasing_id()), "repeats")
+    plain = several.groupBy(F.col("page_id").alias("p"), F.col("digest").alias("d")).agg(F.min("place").alias("plain"))
+    again = F.when(F.col("place") != F.col("plain"), F.col("place")).alias("again")
+    return none.hint("merge").join(repeated, same, "left_anti").unionByName(several.hint("merge").join(plain, same).select(*rows.columns, again))
+
+
 def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> Archive:
     """A record for each row of pages, in bundles below folder.
 
@@ -196,22 +213,19 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     and those with larger ones are revisits of it. Rows that repeat the smallest page_id are responses too,
     and so are rows without page_id unless a row with one has their payload. A null html is an empty payload,
     a null url leaves its header out; a very long payload has a frame of its own. Rows that repeat page and
-    payload have identifiers of their own, by their place in the table. An empty table leaves an empty index; other
+    payload have identifiers of their own; one of them has the plain one, to which revisits refer. An empty table leaves an empty index; other
     columns are ignored.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    rows = rows.withColumn("place", F.monotonically_increasing_id())
     rows = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
     # Only identifiers and digests meet by digest; counted first, so that one digest of very many pages is small.
-    told = rows.groupBy("page_id", "digest").agg(F.min("place").alias("plain"), F.count(F.lit(1)).alias("n"), F.max(F.octet_length("html")).alias("bytes"))
+    told = written(rows.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("html")).alias("bytes")), "told")
     first = told.where(F.col("bytes") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("pages")).where("pages > 1 AND least IS NOT NULL")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("least")), F.col("least")).alias("refers_to")
-    # The first row of a page and payload has the plain identifier; those that repeat are told apart.
-    extra = told.join(first, "digest", "left").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), refers, F.when(F.col("n") > 1, F.col("plain")).alias("plain"))
-    extra = extra.where("refers_to IS NOT NULL OR plain IS NOT NULL")
-    rows = rows.hint("merge").join(extra, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    again = F.when(F.col("place") != F.col("plain"), F.col("place")).alias("again")
-    ordered = rows.select("page_id", "url", "html", "digest", "refers_to", again).sortWithinPartitions("page_id")
+    extra = told.join(first, "digest").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), refers).where("refers_to IS NOT NULL")
+    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))
+    rows = _told_apart(rows, told).hint("merge").join(extra, same, "left")
+    ordered = rows.select("page_id", "url", "html", "digest", "refers_to", "again").sortWithinPartitions("page_id")
     ordered.mapInArrow(_write(f"{folder}/bundles"), _INDEX).write.option("compression", "zstd").parquet(f"{folder}/index")
     return Archive(folder)
 

@@ -6,6 +6,7 @@ import zstandard
 from pyarrow import fs
 
 from pagewright.llm import warc
+from pagewright.storage import spread
 from pagewright.llm.shared import new_folder
 
 
@@ -84,3 +85,30 @@ def test_frames_can_be_read_alone(tmp_path, monkeypatch):
 def _file(folder, data):
     (folder / "broken").write_bytes(data)
     return fs.LocalFileSystem().open_input_file(str(folder / "broken"))
+
+
+def test_references_are_to_records(spark, tmp_path):
+    """Repeated rows, revisits among them, from a file and dealt out anew: one plain identifier a page and payload, and each reference is in the index."""
+    from pyspark.sql import functions as F
+
+    body = "<p>" + "same words " * 20
+    rows = [(k, f"/{k}/", f"{body}{k // 4}") for k in range(40)] * 2 + [(3, "/other/", body + "0"), (None, None, body + "1"), (None, None, body + "1"), (7, "/7/", None), (7, "/7/", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{tmp_path}/pages.parquet"))
+    archive = warc.write_archive(pages, str(tmp_path / "archive"))
+    listed = archive.index(spark).collect()
+    names = [r.record_id for r in listed]
+    assert len(names) == len(set(names)) == len(rows)
+    assert len([n for n in names if n.count(":") == 3]) == len({(i, h) for i, _, h in rows})
+    referred, bundles = set(), {}
+    for r in listed:
+        at = f"{tmp_path}/archive/bundles/{r.bundle}"
+        reader = bundles.setdefault(r.bundle, warc.BundleReader(open(at, "rb")))
+        found = warc.parse(reader.frame(r.frame)[r.offset : r.offset + r.length])
+        assert found.headers["warc-record-id"] == f"<{r.record_id}>"
+        if "warc-refers-to" in found.headers:
+            referred.add(found.headers["warc-refers-to"][1:-1])
+    assert len(referred) == 10 and referred <= set(names)
+    back = warc.read_archive(archive, spark)
+    assert back.count() == len(rows) and back.where("record_type = 'revisit'").count() == 2 * 30 + 2
+    assert back.where(F.col("refers_to").isNotNull()).select("refers_to").distinct().count() == 10
