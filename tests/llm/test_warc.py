@@ -103,12 +103,12 @@ def test_references_are_to_records(spark, tmp_path):
     referred, bundles = set(), {}
     for r in listed:
         at = f"{tmp_path}/archive/bundles/{r.bundle}"
-        reader = bundles.setdefault(r.bundle, warc.BundleReader(open(at, "rb")))
+        reader = bundles.setdefault(r.bundle, warc.BundleReader(fs.LocalFileSystem().open_input_file(at)))
         found = warc.parse(reader.frame(r.frame)[r.offset : r.offset + r.length])
         assert found.headers["warc-record-id"] == f"<{r.record_id}>"
         if "warc-refers-to" in found.headers:
             referred.add(found.headers["warc-refers-to"][1:-1])
     assert len(referred) == 10 and referred <= set(names)
     back = warc.read_archive(archive, spark)
-    assert back.count() == len(rows) and back.where("record_type = 'revisit'").count() == 2 * 30 + 2
+    assert back.count() == len(rows) and back.where("record_type = 'revisit'").count() == 2 * 30 + 3
     assert back.where(F.col("refers_to").isNotNull()).select("refers_to").distinct().count() == 10
