@@ -37,9 +37,10 @@ def search(entries: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
     return top(matches(entries, parse(query)), limit)
 
 
-def found(entries: DataFrame, query: str) -> DataFrame:
-    """One row (found, titles, pages): how much answers the query, shown or not."""
-    return matches(entries, parse(query)).agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("kind") == 0).alias("titles"), F.count_distinct("page_id").alias("pages"))
+def found(entries: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
+    """One row (found, titles, pages, shown): how much answers the query, and how many rows of it are shown."""
+    n = F.count(F.lit(1))
+    return matches(entries, parse(query)).agg(n.alias("found"), F.count_if(F.col("kind") == 0).alias("titles"), F.count_distinct("page_id").alias("pages"), F.least(n, F.lit(limit)).alias("shown"))
 
 
 def candidates(postings: DataFrame, terms: list[Term], together: bool = True) -> DataFrame | None:

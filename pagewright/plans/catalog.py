@@ -84,11 +84,19 @@ SCRIPTS = ("НОЧНАЯ", "вьюга", "vyug", "12345", "12 345 step", "ω_{g}
 _ANSWERED = {"НОЧНАЯ": 0, "вьюга": 0, "vyug": 0, "12345": 1, "12 345 step": 1, "ω_{g}": 2, r"\omega_g=2": 2, "omega_g": 2}
 
 
+#: Endings with glyphs of the catalogue, by page, and what of them an index lists, by hand.
+GLYPH_ENDINGS = (" plain", " α → β", " ∞ ± α α", " ≤")
+_GLYPHS = ((1, "α"), (1, "→"), (1, "β"), (2, "∞"), (2, "±"), (2, "α"), (3, "≤"))
+
+
+def _ending(page_id: str, endings: tuple[str, ...]):
+    return F.element_at(F.array(*map(F.lit, endings)), (F.pmod(page_id, F.lit(len(endings))) + 1).cast("int"))
+
+
 def search_scripts(spark, sf_dir):
     """(query, found, pages): how many of the documents' lines, each with an ending by its page, answer each query."""
     pages, blocks = _site(spark, sf_dir)
-    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.pmod("page_id", F.lit(len(ENDINGS))) + 1).cast("int"))
-    stored = index.build(pages, blocks.withColumn("text", F.concat("text", ending)), new_folder(spark, "index"), posted=False).entries(spark)
+    stored = index.build(pages, blocks.withColumn("text", F.concat("text", _ending("page_id", ENDINGS))), new_folder(spark, "index"), posted=False).entries(spark)
     told = None
     for q in SCRIPTS:
         one = search.found(stored, q).select(F.lit(q).alias("query"), "found", "pages")
@@ -112,7 +120,7 @@ def _scripts_sql() -> str:
 
 
 def search_count(spark, sf_dir):
-    return search.found(_entries(spark, sf_dir), "the and").select("found", "pages")
+    return search.found(_entries(spark, sf_dir), "the and").select("found", "pages", "shown")
 
 
 def result_rows(spark, sf_dir):
@@ -242,8 +250,10 @@ def formula_bigrams(spark, sf_dir):
 
 
 def glyph_postings(spark, sf_dir):
-    """The entries that are neither words of letters nor pairs: Greek letters, arrows, operators."""
-    rest = _index(spark, sf_dir).postings(spark).where(f"NOT (word RLIKE '^[{LETTERS}]+$' OR word LIKE '$%') AND chunk <> {index.TITLE}")
+    """The entries that are neither words of letters nor pairs: Greek letters, arrows, operators; of lines with an ending by their page."""
+    pages, blocks = _site(spark, sf_dir)
+    stored = index.build(pages, blocks.withColumn("text", F.concat("text", _ending("page_id", GLYPH_ENDINGS))), new_folder(spark, "index"))
+    rest = stored.postings(spark).where(f"NOT (word RLIKE '^[{LETTERS}]+$' OR word LIKE '$%') AND chunk <> {index.TITLE}")
     return _chunks_by_word(rest)
 
 
@@ -401,11 +411,16 @@ def symbol_match(spark, sf_dir):
     return names.matching(names.catalogue(spark), _tokens(spark, sf_dir)).select("token", F.col("rank").cast("long").alias("rank"), "name", "glyph")
 
 
+def _with_glyphs(spark, sf_dir):
+    """(text): the documents, each with an ending by its number, and the pages."""
+    docs = _table(spark, sf_dir, "documents").select(F.concat("text", _ending("doc_id", GLYPH_ENDINGS)).alias("text"))
+    return docs.unionByName(_table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
+
+
 def symbol_usage(spark, sf_dir):
     """Which glyphs of the catalogue stand in the documents and pages, and under which names they are offered."""
     cells = names.cells(names.catalogue(spark))
-    texts = _table(spark, sf_dir, "documents").select("text").unionByName(_table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
-    used = names.usage(texts, "text", names.catalogue(spark))
+    used = names.usage(_with_glyphs(spark, sf_dir), "text", names.catalogue(spark))
     return cells.join(used, "glyph", "left").select(F.col("ord").cast("long").alias("ord"), "glyph", "names", F.coalesce("uses", F.lit(0)).cast("long").alias("uses"))
 
 
@@ -423,8 +438,7 @@ def html_sections(spark, sf_dir):
 
 
 def symbols_frequent(spark, sf_dir):
-    texts = _table(spark, sf_dir, "documents").select("text").unionByName(_table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
-    return names.frequent(names.usage(texts, "text", names.catalogue(spark)), names.catalogue(spark))
+    return names.frequent(names.usage(_with_glyphs(spark, sf_dir), "text", names.catalogue(spark)), names.catalogue(spark))
 
 
 def snippet_rows(spark, sf_dir):
@@ -492,6 +506,7 @@ n AS (SELECT *, last_value(CASE WHEN is_heading AND text <> '' THEN text END IGN
 cut AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY piece) - 1 AS block_seq, anchor, heading, text FROM n WHERE NOT is_heading AND length(text) > 1)
 """
 
+_TOLD = f"told AS (SELECT text || ([{', '.join(repr(e) for e in GLYPH_ENDINGS)}])[doc_id % {len(GLYPH_ENDINGS)} + 1] AS text FROM documents)"
 _SYMBOL_ROWS = ", ".join(f"({n}, '{name}', '{glyph}')" for n, (name, glyph) in enumerate(SYMBOLS))
 _LEAK = r"""CASE WHEN regexp_matches(text, '(?i)</?[a-z][^>]*>') THEN 'markup' WHEN regexp_matches(text, '(?i)&(?:[a-z]+|#\d+);') THEN 'entities'
             WHEN regexp_matches(text, '\]\(|^\s*#{1,6}\s|\*\*') THEN 'markdown' END"""
@@ -528,7 +543,7 @@ def oracle_sql() -> dict[str, str]:
         "search_and": _search_sql(SEARCHED["search_and"]),
         "search_ladder": _search_sql(SEARCHED["search_ladder"]),
         "two_tier_search": _search_sql(SEARCHED["two_tier_search"]),
-        "search_count": f"WITH {_BLOCKS} SELECT count(*) AS found, count(DISTINCT page_id) AS pages FROM records WHERE {_found('the', 'and')}",
+        "search_count": f"WITH {_BLOCKS} SELECT count(*) AS found, count(DISTINCT page_id) AS pages, least(count(*), 100) AS shown FROM records WHERE {_found('the', 'and')}",
         "candidates_intersect": f"""WITH {_BLOCKS}, t AS (SELECT chunk FROM posts WHERE {' OR '.join(f"starts_with(word, '{n}')" for n in _NEEDLES['que elle'][0].split('|'))} INTERSECT
             SELECT chunk FROM posts WHERE {' OR '.join(f"starts_with(word, '{n}')" for n in _NEEDLES['que elle'][1].split('|'))}) SELECT chunk FROM t""",
         "prefix_lookup": f"WITH {_BLOCKS} SELECT word, count(*) AS chunks FROM posts WHERE starts_with(word, 'ein') GROUP BY word",
@@ -548,6 +563,8 @@ def oracle_sql() -> dict[str, str]:
             CASE source WHEN 'src1' THEN 1 WHEN 'src2' THEN 2 ELSE 9 END AS order_, source NOT IN ('src1', 'src2') AS fallback FROM documents) GROUP BY ALL""",
         "chunk_map": f"WITH {_BLOCKS} SELECT page_id * 1048576 + block_seq // 32 AS chunk, page_id, min(block_seq)::BIGINT AS first_block, count(*) AS n_blocks FROM blocks GROUP BY ALL",
         "postings": f"WITH {_BLOCKS} SELECT word, count(*) AS chunks, min(chunk) AS first, max(chunk) AS last FROM posts GROUP BY word",
+        "glyph_postings": f"""WITH {_BLOCKS}, g AS (SELECT * FROM (VALUES {', '.join(map(str, _GLYPHS))}) AS v(k, word)), p AS (SELECT word, page_id * 1048576 + block_seq // 32 AS chunk FROM blocks JOIN g ON page_id % {len(GLYPH_ENDINGS)} = k)
+            SELECT word, count(DISTINCT chunk) AS chunks, min(chunk) AS first, max(chunk) AS last FROM p GROUP BY word""",
         "lexicon_df": f"WITH {_BLOCKS} SELECT word, count(*) AS weight FROM posts GROUP BY word",
         "lexicon_tf": f"WITH {_BLOCKS} SELECT word, count(*) AS weight FROM words GROUP BY word",
         "lexicon_merged": f"""WITH {_BLOCKS}, t AS (SELECT word FROM words UNION ALL SELECT 'document' FROM documents UNION ALL SELECT doc_id::VARCHAR FROM documents
@@ -590,10 +607,10 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT unnest(string_split_regex(p_name, '[^A-Za-z]+')) AS w FROM part), t AS (SELECT DISTINCT left(w, n) AS token FROM w, unnest([1, 2, 3]) AS u(n) WHERE w <> ''),
             g AS (SELECT *, CASE WHEN name = token THEN 0 WHEN starts_with(name, token) THEN 1 WHEN lower(name) = lower(token) THEN 2 WHEN starts_with(lower(name), lower(token)) THEN 3 END AS grade FROM t, s)
             SELECT token, rank, name, glyph FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY grade, ord) AS rank FROM g WHERE grade IS NOT NULL) WHERE rank <= 8""",
-        "symbol_usage": f"""WITH s AS (SELECT * FROM (VALUES {_SYMBOL_ROWS}) AS v(ord, name, glyph)), c AS (SELECT glyph, min(ord)::BIGINT AS ord, string_agg(name, ' ' ORDER BY ord) AS names FROM s GROUP BY glyph)
-            SELECT ord, glyph, names, ((SELECT coalesce(sum(length(text) - length(replace(text, glyph, ''))), 0) FROM documents) + (SELECT coalesce(sum(length(html) - length(replace(html, glyph, ''))), 0) FROM pages))::BIGINT AS uses FROM c""",
-        "symbols_frequent": f"""WITH s AS (SELECT * FROM (VALUES {_SYMBOL_ROWS}) AS v(ord, name, glyph)), c AS (SELECT glyph, min(ord) AS ord FROM s GROUP BY glyph),
-            u AS (SELECT glyph, ord, ((SELECT coalesce(sum(length(text) - length(replace(text, glyph, ''))), 0) FROM documents) + (SELECT coalesce(sum(length(html) - length(replace(html, glyph, ''))), 0) FROM pages))::BIGINT AS uses FROM c)
+        "symbol_usage": f"""WITH {_TOLD}, s AS (SELECT * FROM (VALUES {_SYMBOL_ROWS}) AS v(ord, name, glyph)), c AS (SELECT glyph, min(ord)::BIGINT AS ord, string_agg(name, ' ' ORDER BY ord) AS names FROM s GROUP BY glyph)
+            SELECT ord, glyph, names, ((SELECT coalesce(sum(length(text) - length(replace(text, glyph, ''))), 0) FROM told) + (SELECT coalesce(sum(length(html) - length(replace(html, glyph, ''))), 0) FROM pages))::BIGINT AS uses FROM c""",
+        "symbols_frequent": f"""WITH {_TOLD}, s AS (SELECT * FROM (VALUES {_SYMBOL_ROWS}) AS v(ord, name, glyph)), c AS (SELECT glyph, min(ord) AS ord FROM s GROUP BY glyph),
+            u AS (SELECT glyph, ord, ((SELECT coalesce(sum(length(text) - length(replace(text, glyph, ''))), 0) FROM told) + (SELECT coalesce(sum(length(html) - length(replace(html, glyph, ''))), 0) FROM pages))::BIGINT AS uses FROM c)
             SELECT glyph, uses FROM u WHERE uses > 0 ORDER BY uses DESC, ord LIMIT 8""",
         "html_blocks": f"WITH {_CUT} SELECT page_id, block_seq::BIGINT AS block_seq, anchor, heading, text FROM cut",
         "html_text": f"""SELECT page_id, sha256({_clean_sql(f"regexp_replace({_body_sql()}, '<[^>]*>', ' ', 'g')")}) AS text_sha256 FROM pages""",
