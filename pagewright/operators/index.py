@@ -18,6 +18,7 @@ CHUNK, REPEAT_CHARS, TITLE = 32, 60, -1
 #: Pages of a Parquet column in entries and lists: small ones, so that a reader can leave out most of a file.
 PAGED = {"compression": "zstd", "parquet.page.size": "65536", "parquet.page.row.count.limit": "256", "parquet.block.size": str(32 << 20)}
 WORDS = f"[{LETTERS}]+|[{GLYPHS}]"
+SITE = "order_", "page_id", "chunk"
 
 
 def without_repeated(blocks: DataFrame, threshold: int = 4, least: int = REPEAT_CHARS) -> DataFrame:
@@ -79,8 +80,8 @@ def postings(rows: DataFrame, size: int = CHUNK) -> DataFrame:
     Long lists stay rows, so a word of every chunk is no array. A title is the first and only block of its chunk.
     """
     bit = F.when(F.col("block_seq") == TITLE, 0).otherwise(F.col("block_seq") - F.col("chunk") * size).cast("int")
-    each = vocabulary(rows).select("order_", "page_id", "chunk", bit.alias("bit"), F.explode("words").alias("word"))
-    return each.groupBy("word", "order_", "page_id", "chunk").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("blocks"))
+    each = vocabulary(rows).select(*SITE, bit.alias("bit"), F.explode("words").alias("word"))
+    return each.groupBy("word", *SITE).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("blocks"))
 
 
 def weights(of: DataFrame) -> DataFrame:
@@ -137,9 +138,11 @@ class Index:
 
 
 def write_postings(of: DataFrame, path: str) -> None:
-    """Postings sorted by word and site order, so that a prefix, and a word's part of the site, are a few pages of a file."""
-    keys = ["word", "order_", "page_id", "chunk"]
-    of.repartitionByRange(*keys).sortWithinPartitions(*keys).write.options(**PAGED).parquet(path)
+    """Postings as they are dealt out, each file by word and site order: a prefix, or a word's part of the site, is a few pages of each file.
+
+    A word of every chunk is dealt out too, so that no task has the whole of it.
+    """
+    of.sortWithinPartitions("word", *SITE).write.options(**PAGED).parquet(path)
 
 
 def write_entries(of: DataFrame, path: str) -> None:

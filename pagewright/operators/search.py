@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.query import Term, all_found, exact, least_keys, parse, parsed
-from pagewright.operators.index import TITLE, Index
+from pagewright.operators.index import SITE, TITLE, Index
 from pagewright.storage import spread, written
 
 LIMIT = 100
@@ -20,7 +20,6 @@ FIRST, FURTHER = 1024, 16
 READ, NAMED, RANGES = 128, 8192, 64
 #: Pages, about, by which the site's order is known for rounds.
 SAMPLED = 4096
-_SITE = ["order_", "page_id", "chunk"]
 
 
 def matches(entries: DataFrame, terms: list[Term]) -> DataFrame:
@@ -60,7 +59,7 @@ def candidates(postings: DataFrame, terms: list[Term], together: bool = True) ->
     both = lambda keys: functools.reduce(lambda a, b: a.bitwiseAND(b), (bits(wanted.index(k)) for k in keys))
     any_ = lambda term: functools.reduce(lambda a, b: a.bitwiseOR(b), map(both, term))
     blocks = functools.reduce(lambda a, b: a.bitwiseAND(b), map(any_, told))
-    return postings.where(hit).groupBy(*_SITE).agg(*each).select(*_SITE, blocks.alias("blocks")).where("blocks <> 0")
+    return postings.where(hit).groupBy(*SITE).agg(*each).select(*SITE, blocks.alias("blocks")).where("blocks <> 0")
 
 
 def _blocks(of: DataFrame, size: int) -> DataFrame:
@@ -89,7 +88,7 @@ def _chunks_read(entries: DataFrame, named: list[Row]) -> DataFrame:
 
 def _behind(place: Row) -> Column:
     at = (place.order_, place.page_id, place.chunk)
-    step = lambda k: functools.reduce(operator.and_, (F.col(c) == v for c, v in zip(_SITE[:k], at)), F.lit(True)) & (F.col(_SITE[k]) > at[k])
+    step = lambda k: functools.reduce(operator.and_, (F.col(c) == v for c, v in zip(SITE[:k], at)), F.lit(True)) & (F.col(SITE[k]) > at[k])
     return step(0) | step(1) | step(2)
 
 
@@ -110,7 +109,7 @@ def search_by_index(entries: DataFrame, postings: DataFrame, query: str, limit:
         if most > NAMED:
             parts.append(matches(entries.join(left.select("page_id", "chunk"), ["page_id", "chunk"], "left_semi"), terms))
             break
-        named = left.orderBy(*_SITE).limit(most + 1).collect()
+        named = left.orderBy(*SITE).limit(most + 1).collect()
         parts.append(matches(_chunks_read(entries, named[:most]), terms))
         if len(named) <= most or sure:
             break
@@ -134,12 +133,12 @@ class _Asked:
 
     def lists(self, postings: DataFrame) -> DataFrame:
         """(of, order_, page_id, chunk, blocks): for each list of keys the chunks that may have a needle, and in which blocks."""
-        one = self.single.join(postings, "word").select("of", *_SITE, "blocks")
+        one = self.single.join(postings, "word").select("of", *SITE, "blocks")
         if self.several is None:
-            return one.groupBy("of", *_SITE).agg(F.bit_or("blocks").alias("blocks"))
-        held = self.words.join(postings, "word").groupBy("key", *_SITE).agg(F.bit_or("blocks").alias("blocks"))
-        whole = self.several.join(held, "key").groupBy("of", "n", "need", *_SITE).agg(F.count(F.lit(1)).alias("c"), F.bit_and("blocks").alias("blocks")).where("c = need AND blocks <> 0")
-        return one.unionByName(whole.select(*one.columns)).groupBy("of", *_SITE).agg(F.bit_or("blocks").alias("blocks"))
+            return one.groupBy("of", *SITE).agg(F.bit_or("blocks").alias("blocks"))
+        held = self.words.join(postings, "word").groupBy("key", *SITE).agg(F.bit_or("blocks").alias("blocks"))
+        whole = self.several.join(held, "key").groupBy("of", "n", "need", *SITE).agg(F.count(F.lit(1)).alias("c"), F.bit_and("blocks").alias("blocks")).where("c = need AND blocks <> 0")
+        return one.unionByName(whole.select(*one.columns)).groupBy("of", *SITE).agg(F.bit_or("blocks").alias("blocks"))
 
 
 def _words_of(index: Index, terms: DataFrame) -> tuple[_Asked, DataFrame]:
@@ -211,14 +210,14 @@ def search_terms(index: Index, asked: DataFrame, limit: int = LIMIT, first: int
         part = _between(low, high)
         asks_now = asks_of.only(_lists_left(left)) if rounds else asks_of
         lists = written(asks_now.lists(index.postings(spark).where(part)), "lists")
-        near = lists.join(left.select("query_id", "of", "others", "sure"), "of").select("query_id", "sure", "others", *_SITE, "blocks")
-        more = near.select("query_id", *_SITE, F.explode("others").alias("of")).join(lists, ["of", *_SITE]).select("query_id", *_SITE, "blocks", F.lit(0).alias("n"), F.lit(None).cast("boolean").alias("sure"))
-        every = near.select("query_id", *_SITE, "blocks", (F.size("others") + 1).alias("n"), "sure").unionByName(more)
-        met = every.groupBy("query_id", *_SITE).agg(F.bit_and("blocks").alias("blocks"), F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("sure").alias("sure")).where("c = n AND blocks <> 0")
+        near = lists.join(left.select("query_id", "of", "others", "sure"), "of").select("query_id", "sure", "others", *SITE, "blocks")
+        more = near.select("query_id", *SITE, F.explode("others").alias("of")).join(lists, ["of", *SITE]).select("query_id", *SITE, "blocks", F.lit(0).alias("n"), F.lit(None).cast("boolean").alias("sure"))
+        every = near.select("query_id", *SITE, "blocks", (F.size("others") + 1).alias("n"), "sure").unionByName(more)
+        met = every.groupBy("query_id", *SITE).agg(F.bit_and("blocks").alias("blocks"), F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("sure").alias("sure")).where("c = n AND blocks <> 0")
         # A chunk of a sure query has a row at least: no more chunks than rows are opened.
-        by_site = Window.partitionBy("query_id").orderBy(*_SITE)
-        sure = met.where("sure").select("query_id", *_SITE, "blocks").withColumn("r", F.row_number().over(by_site)).where(F.col("r") <= limit).drop("r")
-        sure, open_ = (_blocks(of.select("query_id", *_SITE, "blocks"), index.size) for of in (sure, met.where("NOT sure")))
+        by_site = Window.partitionBy("query_id").orderBy(*SITE)
+        sure = met.where("sure").select("query_id", *SITE, "blocks").withColumn("r", F.row_number().over(by_site)).where(F.col("r") <= limit).drop("r")
+        sure, open_ = (_blocks(of.select("query_id", *SITE, "blocks"), index.size) for of in (sure, met.where("NOT sure")))
         keys = ["query_id", "order_", "page_id", "block_seq"]
         entries = index.entries(spark).where(part).select("page_id", "block_seq", "order_", "marked", "squeezed")
         unsure = open_.select(*keys).join(left.select("query_id", "terms"), "query_id")

@@ -46,7 +46,7 @@ def compact(spark: SparkSession, folder: str, into: str) -> index.Index:
     pages, entries, postings = read(spark, folder)
     pages.write.option("compression", "zstd").parquet(f"{into}/pages")
     index.write_entries(entries.sortWithinPartitions("order_", "page_id", "block_seq"), f"{into}/entries")
-    index.write_postings(postings, f"{into}/postings")
+    index.write_postings(postings.repartition("word", *index.SITE), f"{into}/postings")
     whole = index.Index(into)
     index.weights(whole.postings(spark)).write.option("compression", "zstd").parquet(f"{into}/weights")
     return whole
