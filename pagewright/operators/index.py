@@ -142,7 +142,7 @@ def write_postings(of: DataFrame, path: str) -> None:
 
     A word of every chunk is dealt out too, so that no task has the whole of it.
     """
-    of.sortWithinPartitions("word", *SITE).write.options(**PAGED).parquet(path)
+    of.sortWithinPartitions("word", *SITE).write.options(**PAGED | {"parquet.page.row.count.limit": "8192"}).parquet(path)
 
 
 def write_entries(of: DataFrame, path: str) -> None:
