@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from pagewright.functions import formulas, query
 from pagewright.functions.fold import fold as fold_of
+from pagewright.sources.html import page_blocks
 
 
 @F.arrow_udf(T.StringType())
@@ -35,7 +36,40 @@ def answering(text: Column, q: str) -> Column:
     return answers(text, F.lit(q))
 
 
+def _fields(*named: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in named])
+
+
+_TEXT = T.StringType()
+
+
+@F.arrow_udf(_fields(("fold", _TEXT), ("squeezed", _TEXT)))
+def record(texts: pa.Array) -> pa.Array:
+    """What an index stores of each text: its fold and its formulas squeezed; null of null."""
+    return formulas.records(texts)
+
+
+@F.udtf(returnType=_fields(("block_seq", T.IntegerType()), ("anchor", _TEXT), ("heading", _TEXT), ("text", _TEXT)))
+class HtmlBlocks:
+    """The blocks of a page of HTML, none of null."""
+
+    def eval(self, html: str):
+        yield from page_blocks(html)
+
+
+@F.udtf(returnType=_fields(("pos", T.IntegerType()), ("word", _TEXT), ("formula", T.BooleanType()), ("needles", T.ArrayType(_TEXT))))
+class QueryTerms:
+    """A query's terms in order, with the spellings that each may have; none of null, nor of what isn't a query."""
+
+    def eval(self, q: str):
+        if q is not None and query.asks(q):
+            for pos, term in enumerate(query.parse(q)):
+                yield pos, term.word, term.formula, list(term.needles)
+
+
 def register(spark: SparkSession) -> None:
-    """fold(text), vocabulary(text), answers(text, query) and parse_query(query) for SQL."""
-    for name, f in (("fold", fold), ("vocabulary", vocabulary), ("answers", answers), ("parse_query", query.parsed)):
+    """For SQL: fold(text), vocabulary(text), answers(text, query), record(text), parse_query(query), and the table functions html_blocks(html) and query_terms(query)."""
+    for name, f in (("fold", fold), ("vocabulary", vocabulary), ("answers", answers), ("record", record), ("parse_query", query.parsed)):
         spark.udf.register(name, f)
+    for name, t in (("html_blocks", HtmlBlocks), ("query_terms", QueryTerms)):
+        spark.udtf.register(name, t)

@@ -48,13 +48,21 @@ def scored(names: DataFrame, query: str) -> DataFrame:
 
 
 def natural(title: Column) -> Column:
-    """A key by which numbers in titles sort by value: every run of digits padded to 12."""
-    padded = F.regexp_replace(F.regexp_replace(title, "([0-9]+)", "000000000000$1"), "0+([0-9]{12})(?![0-9])", "$1")
-    return F.lower(padded)
+    """A key by which numbers of any length in titles sort by value: each run of digits becomes its length, without zeros at its start, and its digits."""
+
+    def part(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+(?=[0-9])", "")
+        return F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(x)
+
+    return F.array_join(F.transform(F.regexp_extract_all(title, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), part), "")
+
+
+#: Whose alphabet orders names that are otherwise equal.
+COLLATION = "ru"
 
 
 def pick(names: DataFrame, query: str, shown: int = SHOWN) -> DataFrame:
-    rows = scored(names, query).withColumn("key", natural(F.col("title")))
+    rows = scored(names, query).withColumn("key", F.collate(natural(F.col("title")), COLLATION))
     return rows.orderBy("score", "order_", "depth", "key", "url").limit(shown).drop("key")
 
 

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TINY, REPEAT, SAMPLE, CUT, BIGGEST = 25, 60, 8, 140, 10
+TINY, REPEAT, SAMPLE, CUT, BIGGEST, REPEATED = 25, 60, 8, 140, 10, 8
 
 
 def totals(pages: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -39,6 +39,12 @@ def sections(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
+def section_table(of: DataFrame) -> DataFrame:
+    """Sections in the order in which they are shown, by order and name; none if all pages are without one."""
+    some = of.where("section <> '—'").limit(1).select(F.lit(1).alias("some"))
+    return of.join(F.broadcast(some), F.lit(True), "left_semi").orderBy(F.coalesce("order_", F.lit(0)), "section")  # one row
+
+
 def across(**blocks: DataFrame) -> DataFrame:
     """(index, blocks, chars, pages): of each index's blocks, and of all of them (index null). Pages of different indexes are different pages."""
     rows = functools.reduce(DataFrame.unionByName, (of.select(F.lit(name).alias("index"), "page_id", "text") for name, of in blocks.items()))
@@ -87,3 +93,9 @@ def complaint_samples(of: DataFrame, n: int = SAMPLE) -> DataFrame:
 def repeated(blocks: DataFrame) -> DataFrame:
     """(text, n): texts of REPEAT characters or more that are several blocks."""
     return blocks.where(F.length("text") >= REPEAT).groupBy("text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def repeated_table(of: DataFrame, n: int = REPEATED) -> DataFrame:
+    """(rank, text, n): the texts that are most often repeated, cut, equal ones in the order of their texts."""
+    first = of.orderBy(F.desc("n"), "text").limit(n)  # so few that one window ranks them
+    return first.select(F.row_number().over(Window.orderBy(F.desc("n"), "text")).alias("rank"), F.left("text", F.lit(CUT)).alias("text"), "n")

@@ -6,10 +6,10 @@ names of parts are names of pages. Words that queries look for are written here
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions import formulas, query
+from pagewright.functions import formulas, query, sql
 from pagewright.functions.tables import ENTITIES, LETTERS, SYMBOLS
 from pagewright.operators import answer, index, names, profile, repair, search
 from pagewright.sources import html, jsonindex, tables
@@ -333,6 +333,10 @@ def profile_repeated(spark, sf_dir):
     return profile.repeated(_site(spark, sf_dir)[1])
 
 
+def profile_repeated_first(spark, sf_dir):
+    return profile.repeated_table(profile.repeated(_site(spark, sf_dir)[1])).select(F.col("rank").cast("long").alias("rank"), "text", "n")
+
+
 def profile_biggest(spark, sf_dir):
     return profile.biggest(*_site(spark, sf_dir)).select("page_id", "url", "title", "blocks", "chars")
 
@@ -367,6 +371,40 @@ def json_pages(spark, sf_dir):
     return back.select("url", "section", F.size("blocks").cast("long").alias("blocks"), chars.alias("chars"))
 
 
+def json_sites(spark, sf_dir):
+    """Documents and turns written as indexes of lines that a third index names, and read back through it: (url, section, order_, blocks, chars) of each page."""
+    root = new_folder(spark, "site")
+    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.concat(F.lit("/turn/"), "conv_id", F.lit("/"), "turn").alias("url"), "text")
+    # A number in an index is not negative.
+    turns = turns.withColumn("page_id", F.when(F.col("page_id") < 0, (1 << 39) - F.col("page_id")).otherwise(F.col("page_id")))
+    pages = turns.select("page_id", "url", F.lit(None).cast("string").alias("title"), *(F.lit(None).cast("string").alias(c) for c in ("also", "lang", "section")), F.lit(None).cast("int").alias("order_"), F.lit(False).alias("fallback"))
+    for name, (of, blocks) in {"documents": _site(spark, sf_dir), "turns": (pages, tables.line_blocks(turns, "page_id"))}.items():
+        jsonindex.write_index(of, blocks, f"{root}/{name}", "gzip")
+    named = {"de": "Gespräche"}
+    shards = [{"url": "../documents/", "section": "Rest", "order": 5}, {"url": "../turns/", "section": "Turns", "named": named, "order": 7}, {"url": "../turns/"}]
+    spark.createDataFrame([(shards,)], jsonindex.INDEX.split(", ", 1)[1].replace("shards ", "shards: ", 1)).coalesce(1).write.json(f"{root}/all")
+    pages, blocks = jsonindex.read_index(spark, jsonindex.read_sources(spark, f"{root}/all/"), "de")
+    return profile.page_sizes(pages, blocks).select("url", "section", "order_", "blocks", "chars")
+
+
+#: Front matter that documents get by their number, and what it makes of a page, by hand: (title, section, order_), or none.
+FRONTS = ("", "---\ntitle: 'Number'\norder: 4\n---\n", "---\nsearch: False\n---\n", '---\ntitle: first\nsection: "Own"\ntitle: Last: one\n---\n', "---\nno end\n")
+_FRONTED = ((0, None, None, 0), (1, "Number", None, 4), (3, "Last: one", "Own", 0), (4, None, None, 0))
+
+
+def _markdown(spark, sf_dir):
+    """(page_id, path, text): the documents as Markdown files, each with a front matter by its number, a fifth of them in a folder that is the search's own."""
+    docs = _table(spark, sf_dir, "documents")
+    folder = F.when(F.pmod("doc_id", F.lit(25)) == 5, "sitesearch/").otherwise("notes/")
+    text = F.concat(_ending("doc_id", FRONTS), F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return tables.markdown_pages(docs.select(F.col("doc_id").alias("page_id"), F.concat(folder, "doc_id", F.lit(".md")).alias("path"), text.alias("text")))
+
+
+def markdown_site(spark, sf_dir):
+    """(page_id, url, title, section, order_, chars): the Markdown files that take part, by their front matter."""
+    return _markdown(spark, sf_dir).select("page_id", "url", "title", "section", "order_", F.length("content").cast("long").alias("chars"))
+
+
 def _part_pages(spark, sf_dir):
     part = _table(spark, sf_dir, "part")
     url = F.concat(F.lit("/part/"), F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]+", "-")), F.lit("/"), F.col("p_partkey"), F.lit("/"))
@@ -392,6 +430,20 @@ def palette_pick(spark, sf_dir):
     return names.pick(_names(spark, sf_dir), PICKED).select("url", "title", F.col("score").cast("long").alias("score"))
 
 
+#: What parts are called by their number, and how that is ordered in Russian, by hand.
+_CALLED = ("Ёлка", "Ель", "жук", "Август")
+_IN_ORDER = (1, 2, 3, 0)
+
+
+def palette_natural(spark, sf_dir):
+    """The first names of all parts (number 0's first, in which the query begins a word), called by words and by numbers of many digits, in the order of the alphabet and of the numbers' values."""
+    number = F.concat(F.when(F.pmod("p_partkey", F.lit(3)) == 0, "00").otherwise(""), "p_partkey", F.lit("0000000000000000"))
+    called = F.when(F.col("p_partkey") < 20, F.concat(_ending("p_partkey", _CALLED), F.lit(" "), number)).otherwise(F.concat(F.lit("яма "), number))
+    part = _table(spark, sf_dir, "part").select(F.concat(F.lit("/"), "p_partkey", F.lit("/")).alias("url"), called.alias("title"), F.lit(None).cast("string").alias("section"))
+    rows = names.pick(names.prepared(part.withColumns({"order_": F.lit(0), "fallback": F.lit(False)})), "0000", shown=100)
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy("score", F.collate(names.natural(F.col("title")), names.COLLATION), "url")).cast("long")).select("rank", "url", "title")  # the hundred shown
+
+
 def palette_scores(spark, sf_dir):
     return names.scored(_names(spark, sf_dir), PICKED).groupBy("score").agg(F.count(F.lit(1)).alias("names")).withColumn("score", F.col("score").cast("long"))
 
@@ -428,6 +480,21 @@ def html_blocks(spark, sf_dir):
     return html.html_blocks(_table(spark, sf_dir, "pages")).select("page_id", F.col("block_seq").cast("long").alias("block_seq"), "anchor", "heading", "text")
 
 
+def sql_html_blocks(spark, sf_dir):
+    """The blocks of all pages by the table function, in SQL alone."""
+    sql.register(spark)
+    _table(spark, sf_dir, "pages").createOrReplaceTempView("pagewright_pages")
+    return spark.sql("SELECT page_id, CAST(b.block_seq AS BIGINT) AS block_seq, b.anchor, b.heading, b.text FROM pagewright_pages, LATERAL html_blocks(html) AS b")
+
+
+def sql_query_terms(spark, sf_dir):
+    """The terms of each benchmark text as a query, and whether the text answers its own terms, in SQL alone."""
+    sql.register(spark)
+    _table(spark, sf_dir, "benchmark").createOrReplaceTempView("pagewright_benchmark")
+    return spark.sql("""SELECT item_id, CAST(t.pos AS BIGINT) AS pos, t.word, t.formula, contains(record(text).fold, t.word) AS held
+                        FROM pagewright_benchmark, LATERAL query_terms(text) AS t""")
+
+
 def html_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.sha2(html.text(html.body(F.col("html"))), 256).alias("text_sha256"))
 
@@ -527,7 +594,7 @@ def queries() -> dict:
         for f in (
             search_and, search_count, search_ladder, search_titles, search_scripts, result_rows, answer_repaired, two_tier_search, candidates_intersect, prefix_lookup, search_batch, blocks_from_lines, blocks_from_turns, blocks_from_paragraphs, lang_visible,
             drop_repeated, section_rules, chunk_map, postings, lexicon_df, lexicon_tf, lexicon_merged, formula_bigrams, glyph_postings, formula_search, widen_stem, nearest_word, correct_query, correct_query_by_one, prefix_owner, profile_totals,
-            profile_sections, profile_suspect, profile_samples, profile_repeated, profile_biggest, profile_empty_dup, profile_html, profile_rollup, json_pages, palette_pick, palette_scores, section_doors, symbol_match,
+            profile_sections, profile_suspect, profile_samples, profile_repeated, profile_repeated_first, profile_biggest, profile_empty_dup, profile_html, profile_rollup, json_pages, json_sites, markdown_site, palette_natural, sql_html_blocks, sql_query_terms, palette_pick, palette_scores, section_doors, symbol_match,
             symbol_usage, symbols_frequent, html_blocks, html_text, html_sections, snippet_rows, answer_batch, snippet_batch,
         )
     }
@@ -601,6 +668,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT url, section, coalesce(blocks, 0)::BIGINT AS blocks, coalesce(chars, 0)::BIGINT AS chars FROM pages_ LEFT JOIN s USING (page_id)""",
         "palette_pick": f"""WITH {_scores_sql()} SELECT url, title, score FROM scored ORDER BY score, depth,
             lower(regexp_replace(regexp_replace(title, '([0-9]+)', '000000000000\\1', 'g'), '0+([0-9]{{12}})([^0-9]|$)', '\\1\\2', 'g')), url LIMIT 12""",
+        "json_sites": f"""WITH {_BLOCKS}, {_PAGES}, s AS (SELECT page_id, count(*) AS blocks, sum(length(text)) AS chars FROM blocks GROUP BY page_id),
+            t AS (SELECT '/turn/' || conv_id || '/' || turn AS url, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM conversations)
+            SELECT url, coalesce(section, 'Rest') AS section, 0::INTEGER AS order_, coalesce(blocks, 0)::BIGINT AS blocks, coalesce(chars, 0)::BIGINT AS chars FROM pages_ LEFT JOIN s USING (page_id)
+            UNION ALL SELECT url, 'Gespräche', 7, coalesce(len(ls), 0)::BIGINT, coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0)::BIGINT FROM t WHERE url IS NOT NULL""",
+        "markdown_site": f"""WITH f AS (SELECT * FROM (VALUES {', '.join(str(f).replace('None', 'NULL') for f in _FRONTED)}) AS v(k, title, section, order_)),
+            p AS (SELECT doc_id, '/notes/' || doc_id || '/' AS url, text FROM documents WHERE doc_id % 25 <> 5)
+            SELECT doc_id AS page_id, url, coalesce(title, url) AS title, section, order_::INTEGER AS order_, (length(replace(text, chr(10), chr(10) || chr(10))) + CASE k WHEN 4 THEN {len(FRONTS[4])} ELSE 0 END)::BIGINT AS chars
+            FROM p JOIN f ON doc_id % {len(FRONTS)} = k""",
+        "palette_natural": f"""WITH p AS (SELECT p_partkey AS n, '/' || p_partkey || '/' AS url, CASE WHEN p_partkey < 20 THEN ([{', '.join(map(repr, _CALLED))}])[p_partkey % 4 + 1] ELSE 'яма' END AS w,
+                CASE WHEN p_partkey < 20 THEN ([{', '.join(map(str, _IN_ORDER))}])[p_partkey % 4 + 1] ELSE 4 END AS o FROM part)
+            SELECT row_number() OVER (ORDER BY n > 0, o, n) AS rank, url, w || ' ' || CASE WHEN n % 3 = 0 THEN '00' ELSE '' END || n || '0000000000000000' AS title FROM p ORDER BY n > 0, o, n LIMIT 100""",
+        "sql_html_blocks": f"WITH {_CUT} SELECT page_id, block_seq::BIGINT AS block_seq, anchor, heading, text FROM cut",
+        "sql_query_terms": """WITH w AS (SELECT item_id, list_filter(string_split_regex(strip_accents(lower(text)), '\\s+'), lambda x: x <> '') AS ws FROM benchmark)
+            SELECT item_id, i - 1 AS pos, ws[i] AS word, false AS formula, true AS held FROM w, unnest(range(1, len(ws) + 1)) AS u(i)""",
+        "profile_repeated_first": f"""WITH {_BLOCKS}, r AS (SELECT text, count(*) AS n FROM blocks WHERE length(text) >= 60 GROUP BY text HAVING count(*) > 1)
+            SELECT row_number() OVER (ORDER BY n DESC, text) AS rank, left(text, 140) AS text, n FROM r ORDER BY n DESC, r.text LIMIT 8""",
         "palette_scores": f"WITH {_scores_sql()} SELECT score, count(*) AS names FROM scored GROUP BY score",
         "section_doors": f"WITH {_PARTS} SELECT url, section, lower(section) AS home FROM parts WHERE depth = 2",
         "symbol_match": f"""WITH s AS (SELECT * FROM (VALUES {_SYMBOL_ROWS}) AS v(ord, name, glyph)),

@@ -6,9 +6,13 @@ blocks: page_id, block_seq, anchor, heading, text
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.storage import written
+
 
 def language(tag: Column) -> Column:
     """The first two letters of a language tag, in lower case; null if there are none."""
@@ -51,6 +55,48 @@ def content_pages(pages: DataFrame, own: tuple[str, ...] = (), path: str = "path
     return pages.where(kept)
 
 
+_FRONT = r"(?s)\A\x{FEFF}?---[ \t]*\r?\n(.*?\r?\n)??---[ \t]*(\r?\n|\z)"
+
+
+def front_matter(text: Column) -> Column:
+    """The lines `key: value` between the two lines --- at a text's start, as a map; the last one of a key counts, quotes around a value go. Nested lines and lists don't count."""
+    lines = F.filter(F.split(F.regexp_extract(text, _FRONT, 1), r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*[ \t]*:"))
+    name = lambda x: F.regexp_extract(x, r"^([\w-]+)", 1)
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\w-]+[ \t]*:[ \t]*|[ \t]+$", ""), "^([\"'])(.*)\\1$", "$2")
+    last = lambda k: F.element_at(F.filter(lines, lambda x: name(x) == k), -1)
+    return F.map_from_entries(F.transform(F.array_distinct(F.transform(lines, name)), lambda k: F.struct(k, bare(last(k)))))
+
+
+def markdown_pages(files: DataFrame, own: tuple[str, ...] = ("sitesearch/",), lang: str | None = None) -> DataFrame:
+    """(page_id, url, title, also, lang, section, order_, fallback, content) of (page_id, path, text): those Markdown files that take part, without front matter.
+
+    A page's address is its permalink, else its path without ending, index being its folder. Its title is its
+    address if it has none, its language the site's. Sections by address are `with_sections`'s; one in the front matter stays.
+    """
+    parted = files.withColumns({"front": front_matter(F.coalesce("text", F.lit(""))), "content": F.regexp_replace("text", _FRONT, "")})
+    of = lambda key: F.nullif(F.try_element_at("front", F.lit(key)), F.lit(""))
+    stem = F.regexp_replace(F.regexp_replace("path", r"\.md$", ""), r"(^|/)index$", "$1")
+    url = F.coalesce(of("permalink"), F.regexp_replace(F.concat(F.lit("/"), stem, F.lit("/")), "/+", "/"))
+    return content_pages(parted, own).select(
+        "page_id", url.alias("url"), F.coalesce(of("title"), url).alias("title"), of("also").alias("also"), F.coalesce(of("lang"), F.lit(lang)).alias("lang"),
+        of("section").alias("section"), F.coalesce(of("order").try_cast("int"), F.lit(0)).alias("order_"), F.lit(False).alias("fallback"), "content",
+    )
+
+
+def markdown_files(spark: SparkSession, root: str) -> DataFrame:
+    """(page_id, path, text): all Markdown files below root, each a row, numbered in the order of their paths. Spark lists no files of zero bytes.
+
+    The numbering lists paths only (binaryFile reads no contents for that) and is written, so that it stays what it is.
+    """
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.md"}
+    listed = spark.read.options(**options).format("binaryFile").load(root).select(F.regexp_replace("path", "^file:/+", "file:/").alias("file"))
+    numbers = written(listed.repartitionByRange("file").sortWithinPartitions("file").withColumn("page_id", F.monotonically_increasing_id()), "paths")
+    texts = spark.read.options(**options).text(root, wholetext=True).select(F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"), F.lit("+"), F.lit("%2B"))).alias("file"), F.col("value").alias("text"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    return texts.join(numbers, "file").select("page_id", F.substring("file", len(re.sub("^file:/+", "file:/", base)) + 1, 1 << 20).alias("path"), "text")
+
+
 def paragraph_blocks(pages: DataFrame, page_id: str, content: str, least: int = 17) -> DataFrame:
     """Blocks of Markdown or plain text cut at blank lines, of `least` characters or more once its marks are gone.
 

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from pagewright.functions import sql
 from pagewright.operators import index, names, profile, repair
 from pagewright.sources import html, jsonindex, tables
 
@@ -61,6 +62,80 @@ def test_many_sources_have_keys_of_their_own(spark, tmp_path):
     assert {tuple(r) for r in chunks.select("first_block", "n_blocks").distinct().collect()} == {(0, 32), (32, 8)}
 
 
+def test_many_sources_are_one_scan(spark, tmp_path):
+    for n in range(1000):
+        (tmp_path / f"a b+{n}.json").write_text(json.dumps({"pages": [{"url": f"/{n}/", "blocks": ["x"]}], "shards": [{"url": f"./a b+{n + 1}.json"}] if n in (0, 1) else []}))
+    assert len(jsonindex.read_sources(spark, f"file:{tmp_path}/a b+0.json")) == 3
+    pages, blocks = jsonindex.read_index(spark, [{"url": f"{tmp_path}/a b+{n}.json", "order": n} for n in (*range(1000), 5)])
+    assert pages._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted((int(r.url.strip("/")), r.order_) for r in pages.collect()) == [(n, n) for n in range(1000)] and blocks.count() == 1000
+
+
+def test_addresses_in_indexes():
+    of = jsonindex.resolved
+    assert of("s3a://b/x/all.json", "y/z.json") == "s3a://b/x/y/z.json" and of("hdfs://h:9/x/a.json", "../b.json") == "hdfs://h:9/b.json"
+    assert of("file:/x/a.json", "/b.json") == "file:/b.json" and of("/x/a/", "../b/") == "/x/b/" and of("/x/a.json", "https://h/b.json") == "https://h/b.json" and of("/x/a/", "../b") == "/x/b"
+
+
+def test_folders_of_lines(spark, tmp_path):
+    pages = spark.createDataFrame([(7, "/a/", "A"), (3, "/b/", None)], "page_id long, url string, title string")
+    pages = pages.withColumns({c: F.lit(None).cast("string") for c in ("also", "lang", "section")} | {"order_": F.lit(None).cast("int"), "fallback": F.lit(False)})
+    blocks = spark.createDataFrame([(7, 0, "x", None, "{not json"), (7, 1, None, "H", "plain")], "page_id long, block_seq int, anchor string, heading string, text string")
+    jsonindex.write_index(pages, blocks, f"{tmp_path}/lines")
+    got, of = jsonindex.read_index(spark, [{"url": f"{tmp_path}/lines/", "section": "S", "order": 2}])
+    assert sorted((r.page_id, r.url, r.section, r.order_) for r in got.collect()) == [(3, "/b/", "S", 2), (7, "/a/", "S", 2)]
+    assert [(r.page_id, r.anchor, r.heading, r.text) for r in of.orderBy("block_seq").collect()] == [(7, "x", None, "{not json"), (7, None, "H", "plain")]
+
+
+def test_markdown_files(spark, tmp_path):
+    files = {
+        "b/index.md": "---\ntitle: \"Bee: one\"\nlang: en\norder: 3\ntags:\n  - x\n---\nA paragraph that is long enough\n\nshort\n\n## Another of some length",
+        "a/ü+ %41.md": "no front matter in this one, which is long enough", "a/hidden.md": "---\nsearch: FALSE\n---\nthis text is long enough to be one", "sitesearch/x.md": "a file of the search's own, long enough",
+        "c.md": "---\r\npermalink: /see/\r\ntitle:\r\n---\r\nwindows lines that are long enough", "d.txt": "not a page at all, but long", "e.md": "", "f.md": "---\n---\nan empty front matter, and text",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    of = tables.markdown_files(spark, str(tmp_path))
+    assert [r.path for r in of.orderBy("page_id").collect()] == sorted(n for n in files if n.endswith(".md") and files[n])
+    pages = tables.markdown_pages(of, lang="ru")
+    got = {r.url: (r.title, r.lang, r.order_) for r in pages.collect()}
+    assert got == {"/b/": ("Bee: one", "en", 3), "/a/ü+ %41/": ("/a/ü+ %41/", "ru", 0), "/see/": ("/see/", "ru", 0), "/f/": ("/f/", "ru", 0)}
+    texts = tables.paragraph_blocks(pages, "page_id", "content").join(pages.select("page_id", "url"), "page_id").orderBy("url", "block_seq")
+    assert [(r.url, r.block_seq, r.text) for r in texts.collect()] == [
+        ("/a/ü+ %41/", 0, "no front matter in this one, which is long enough"), ("/b/", 0, "A paragraph that is long enough"), ("/b/", 1, "Another of some length"),
+        ("/f/", 0, "an empty front matter, and text"), ("/see/", 0, "windows lines that are long enough"),
+    ]
+
+
+def test_natural_order(spark):
+    titles = ["ель 2", "Ёлка 10", "Ёлка 9", "август", "жук 123456789012346", "жук 123456789012345", "жук 0099", "Part 2b", "Part 2a", "", "007", "8"]
+    df = spark.createDataFrame([(t,) for t in titles], "title string")
+    got = [r.title for r in df.orderBy(F.collate(names.natural(F.col("title")), names.COLLATION)).collect()]
+    # Russian has its own letters before Latin ones.
+    assert got == ["", "007", "8", "август", "Ёлка 9", "Ёлка 10", "ель 2", "жук 0099", "жук 123456789012345", "жук 123456789012346", "Part 2a", "Part 2b"]
+
+
+def test_audit_tables(spark):
+    of = spark.createDataFrame([("—", 1, 0), ("Z", 2, None), ("B", 3, 1), ("A", 4, 1)], "section string, pages long, order_ int")
+    assert [r.section for r in profile.section_table(of).collect()] == ["Z", "—", "A", "B"]
+    assert profile.section_table(of.where("section = '—'")).count() == 0
+    repeated = spark.createDataFrame([(c * 200, n) for c, n in zip("abcdefghij", (3, 9, 2, 2, 5, 5, 2, 2, 2, 2))], "text string, n long")
+    assert [(r["rank"], r.text[:1], len(r.text)) for r in profile.repeated_table(repeated).collect()] == [(k + 1, c, 140) for k, c in enumerate("befacdgh")]
+
+
+def test_table_functions(spark):
+    sql.register(spark)
+    page = """<body>&#60;x <nav>menu</nav><H2 ID="a">He<b>ad</b></H2>one<td>x</td><td></td></tr><h3 id="b"></h3>two two<a name="c">three<p>four<div id="d"><h4></div>in a heading</h4>five
+    <span class="math inline">a &lt; b</span><script>x</script> y<br></body>z"""
+    spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<p>x</p>"), (5, "bare &amp;lt; text")], "page_id long, html string").createOrReplaceTempView("t_pages")
+    by_function = spark.sql("SELECT page_id, b.* FROM t_pages, LATERAL html_blocks(html) AS b")
+    assert sorted(map(str, by_function.collect())) == sorted(map(str, html.html_blocks(spark.table("t_pages")).collect())) and by_function.count() > 5
+    terms = spark.sql("SELECT t.* FROM VALUES ('Foo $x_1$'), (NULL), ('') AS v(q), LATERAL query_terms(q) AS t").orderBy("pos").collect()
+    assert [(t.pos, t.formula) for t in terms] == [(0, False), (1, True)] and terms[0].word == "foo"
+    assert spark.sql("SELECT r.* FROM (SELECT record('Übel $x_1$') AS r)").first().asDict() == {"fold": "ubel  x_1 ", "squeezed": "x1"}
+
+
 def test_content_pages(spark):
     rows = [(1, "a/b.md", {"search": "false"}), (2, "a/c.md", {"search": "true"}), (3, "own/d.md", None), (4, "x.html", None), (5, "y.md", None)]
     pages = spark.createDataFrame(rows, "id int, path string, front map<string,string>")
