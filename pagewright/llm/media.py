@@ -2,12 +2,15 @@
 
 `pack` stores bytes losslessly as an MPEG-1 Layer III stream (mono, 32 kHz, 48 kbit/s, checksums on, so that
 each frame is 216 bytes and carries a unit of 192): an ID3v2 tag, a frame with the seek table of the Xing
-form, the frames, an ID3v1 tag. `parse` reads any MPEG-1 Layer III stream: it skips tags, finds frames again
-after foreign bytes, verifies checksums, and gives exact durations and the frames' places.
+form, the frames, an ID3v1 tag. `parse` reads streams of MPEG-1, 2 and 2.5, Layers I to III: it reads tags
+(ID3v2.2 to 2.4, APE and ID3v1 skipped), finds frames again after foreign bytes, verifies checksums (of Layers I
+and III; what Layer II's cover depends on its allocation tables), and gives exact durations and the frames'
+places. Frames of free bitrate aren't known; a frame of another version, layer or sampling rate than the first is none.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import hashlib
 import struct
@@ -21,10 +24,16 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.shared import binaries, spread, struct_of, written
 
-#: Fixed values of the MPEG-1 Layer III frame header.
-BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
-RATES = (44_100, 48_000, 32_000)
-SAMPLES = 1152
+# Fixed values of the frame header: kbit/s by (MPEG-1, layer), sampling rates by the bits of the version.
+BITRATES = {
+    (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (True, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (True, 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (False, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (False, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+    (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+RATES = {3: (44_100, 48_000, 32_000), 2: (22_050, 24_000, 16_000), 0: (11_025, 12_000, 8_000)}
 UNIT = 192
 _HEADER = bytes((0xFF, 0xFA, 0x38, 0xC0))
 
@@ -52,19 +61,48 @@ def checksum(data: bytes) -> int:
     return int(checksums(np.frombuffer(data, np.uint8)[None])[0])
 
 
+@dataclass(frozen=True)
+class Kind:
+    """What a frame's header says of it."""
+
+    first: bool  # MPEG-1
+    layer: int
+    rate: int
+    size: int
+    #: Bytes behind header and checksum that the checksum covers; None if the header alone can't tell.
+    covered: int | None
+
+    @property
+    def samples(self) -> int:
+        return 384 if self.layer == 1 else 576 if self.layer == 3 and not self.first else 1152
+
+
+def _covered(first: bool, layer: int, mode: int, extension: int) -> int | None:
+    if layer == 3:
+        return (17 if mode == 3 else 32) if first else (9 if mode == 3 else 17)
+    # Layer I: four bits for each of 32 bands and each channel; joint channels share the bands above a bound.
+    return {3: 16, 1: 16 + 2 * (extension + 1)}.get(mode, 32) if layer == 1 else None
+
+
 @functools.lru_cache(4096)
-def frame_size(header: bytes) -> int | None:
-    """Bytes of the frame that begins with these four bytes; None if no MPEG-1 Layer III frame does."""
-    if len(header) < 4 or header[0] != 0xFF or header[1] & 0xFE != 0xFA:
+def frame_kind(header: bytes) -> Kind | None:
+    """Of the frame that begins with these four bytes; None if none does."""
+    if len(header) < 4 or header[0] != 0xFF or header[1] & 0xE0 != 0xE0:
         return None
+    version, layer = header[1] >> 3 & 3, 4 - (header[1] >> 1 & 3)
     bitrate, rate = header[2] >> 4, header[2] >> 2 & 3
-    if not 0 < bitrate < 15 or rate == 3:
+    if version == 1 or layer == 4 or not 0 < bitrate < 15 or rate == 3:
         return None
-    return 144_000 * BITRATES[bitrate] // RATES[rate] + (header[2] >> 1 & 1)
+    first, hertz, padding = version == 3, RATES[version][rate], header[2] >> 1 & 1
+    bits = 1000 * BITRATES[first, layer][bitrate]
+    kind = Kind(first, layer, hertz, 0, _covered(first, layer, header[3] >> 6, header[3] >> 4 & 3))
+    size = (12 * bits // hertz + padding) * 4 if layer == 1 else kind.samples // 8 * bits // hertz + padding
+    return dataclasses.replace(kind, size=size)
 
 
-def side_bytes(header: bytes) -> int:
-    return 17 if header[3] >> 6 == 3 else 32
+def frame_size(header: bytes) -> int | None:
+    kind = frame_kind(header)
+    return kind and kind.size
 
 
 def _syncsafe(n: int) -> bytes:
@@ -91,6 +129,8 @@ def pack(data: bytes) -> bytes:
 @dataclass
 class Parsed:
     rate: int = 0
+    #: Samples of a frame.
+    each: int = 1152
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     crc_errors: int = 0
@@ -102,25 +142,69 @@ class Parsed:
 
     @property
     def samples(self) -> int:
-        return SAMPLES * len(self.offsets)
+        return self.each * len(self.offsets)
+
+
+#: By the byte that begins a text in a tag.
+_ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+
+
+def _texts(body: bytes) -> list[str]:
+    """The strings of a text frame; UTF-16 without a mark of its order has the one first. A byte that names no encoding gives none."""
+    if not body or body[0] >= len(_ENCODINGS):
+        return []
+    encoding, out, order = _ENCODINGS[body[0]], [], "utf-16-be"
+    wide = 2 if encoding.startswith("utf-16") else 1
+    data, at = body[1:], 0
+    while at < len(data):
+        end = next((k for k in range(at, len(data) - wide + 1, wide) if not any(data[k : k + wide])), len(data))
+        one = data[at:end]
+        if encoding == "utf-16":
+            marked = one[:2] in (b"\xff\xfe", b"\xfe\xff")
+            order = ("utf-16-le" if one[0] == 0xFF else "utf-16-be") if marked else order
+            one = one[2:] if marked else one
+        out.append(one.decode(order if encoding == "utf-16" else encoding, "replace"))
+        at = end + wide
+    return out
 
 
 def _id3v2(data: bytes, tags: dict[str, str]) -> int:
-    """Where the tag at the start ends."""
+    """Where the tag at the start ends. Its texts go to tags, several values parted by a slash; all other frames are left alone."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
     unsafe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end, at = min(len(data), 10 + unsafe(data[6:10])), 10
-    while at + 10 <= end and data[at] != 0:
-        size = unsafe(data[at + 4 : at + 8]) if data[3] >= 4 else int.from_bytes(data[at + 4 : at + 8])
-        name, body = data[at : at + 4].decode("latin-1"), data[at + 10 : min(end, at + 10 + size)]
-        if name == "TXXX":
-            key, _, value = body[1:].partition(b"\0")
-            tags[f"TXXX:{key.decode('utf-8', 'replace')}"] = value.decode("utf-8", "replace")
-        else:
-            tags[name] = body[1:].decode("utf-8", "replace")
-        at += 10 + size
-    return end
+    version, flags, size = data[3], data[5], unsafe(data[6:10])
+    after = min(len(data), 10 + size + 10 * (version >= 4 and bool(flags & 0x10)))
+    tag = data[10 : 10 + size]
+    if flags & 0x80 and version < 4:  # of version 4 each frame says so itself
+        tag = tag.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 0x40 and version >= 3 and len(tag) >= 4:
+        at = unsafe(tag) if version >= 4 else 4 + int.from_bytes(tag[:4])
+    named, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(tag) and tag[at] != 0:
+        told = tag[at + named : at + 2 * named]
+        length = unsafe(told) if version >= 4 else int.from_bytes(told)
+        name, body, of = tag[at : at + named].decode("latin-1"), tag[at + head : at + head + length], tag[at + 9] if version >= 4 else 0
+        at += head + length
+        packed = tag[at - length - 1] & 0x0C if version >= 4 else tag[at - length - 1] & 0xC0 if version == 3 else 0
+        if name[0] != "T" or packed:  # no text, or compressed or encrypted
+            continue
+        body = body[4:] if of & 1 else body
+        strings = _texts(body.replace(b"\xff\0", b"\xff") if of & 2 else body)
+        if name in ("TXXX", "TXX"):
+            tags[f"TXXX:{strings[0] if strings else ''}"] = "/".join(strings[1:])
+        elif strings:
+            tags[name] = "/".join(strings)
+    return after
+
+
+def _ape_bytes(data: bytes, end: int) -> int:
+    """Bytes of an APE tag that ends there, its header included."""
+    foot = data[max(0, end - 32) : end]
+    if len(foot) < 32 or foot[:8] != b"APETAGEX":
+        return 0
+    return min(end, int.from_bytes(foot[12:16], "little") + 32 * (foot[23] >> 7))
 
 
 def _table(frame: bytes, at: int) -> tuple[int, int, bytes] | None:
@@ -141,9 +225,18 @@ def _crc_errors(data: bytes, offsets: np.ndarray) -> int:
     """How many of the frames at these places have a checksum that isn't theirs."""
     whole = np.frombuffer(data, np.uint8)
     heads = whole[offsets[:, None] + np.arange(4)]
+    checked = heads[:, 1] & 1 == 0
+    modes = heads[:, 3] >> 4
     wrong = 0
-    for side, mono in ((17, True), (32, False)):
-        of = offsets[(heads[:, 1] & 1 == 0) & ((heads[:, 3] >> 6 == 3) == mono)]
+    # A stream has one version and layer, so the mode tells what a checksum covers.
+    for mode in np.unique(modes[checked]).tolist():
+        alike = checked & (modes == mode)
+        side = frame_kind(heads[int(alike.argmax())].tobytes()).covered
+        if side is None:
+            continue
+        of = offsets[alike]
+        of, short = of[of + 6 + side <= len(whole)], int((of + 6 + side > len(whole)).sum())
+        wrong += short
         if not len(of):
             continue
         rows = whole[of[:, None] + np.arange(6 + side)]
@@ -162,13 +255,20 @@ def parse(data: bytes) -> Parsed:
     at, end = _id3v2(data, out.tags), len(data)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
+    end -= _ape_bytes(data, end)
     starts: list[int] = []
     sizes: list[int] = []
-    lost, run = False, 1
+    lost, run, first = False, 1, None
+
+    def alike(head: bytes) -> Kind | None:
+        kind = frame_kind(head)
+        return kind if kind and (first is None or (kind.first, kind.layer, kind.rate) == (first.first, first.layer, first.rate)) else None
+
     while at + 4 <= end:
         head = data[at : at + 4]
-        size = frame_size(head)
-        follows = size is not None and at + size <= end and (at + size == end or lost is False or frame_size(data[at + size : at + size + 4]) is not None)
+        kind = alike(head)
+        size = kind and kind.size
+        follows = kind is not None and at + size <= end and (at + size == end or lost is False or alike(data[at + size : at + size + 4]) is not None)
         if not follows:
             out.resyncs += not lost
             lost, run = True, 1
@@ -176,7 +276,7 @@ def parse(data: bytes) -> Parsed:
             if at < 0:
                 break
             continue
-        lost, n = False, 1
+        lost, n, first = False, 1, first or kind
         # Frames that begin alike are taken together: up to twice as many as the last time, so little more is looked at than is taken.
         most = min(run, (end - at) // size)
         if most > 1:
@@ -186,13 +286,13 @@ def parse(data: bytes) -> Parsed:
         run = 2 * n if n == most else 1
         starts += range(at, at + n * size, size)
         sizes += [size] * n
-        out.rate = out.rate or RATES[head[2] >> 2 & 3]
         at += n * size
     if starts:
+        out.rate, out.each = first.rate, first.samples
         out.offsets, out.sizes = np.array(starts, np.int64), np.array(sizes, np.int64)
         out.crc_errors = _crc_errors(data, out.offsets)
-        first = data[out.offsets[0] : out.offsets[0] + out.sizes[0]]
-        out.table = _table(first, 4 + 2 * (not first[1] & 1) + side_bytes(first))
+        frame = data[out.offsets[0] : out.offsets[0] + out.sizes[0]]
+        out.table = _table(frame, 4 + 2 * (not frame[1] & 1) + first.covered) if first.layer == 3 else None
         if out.table is not None:  # that frame holds no sound
             out.offsets, out.sizes = out.offsets[1:], out.sizes[1:]
     return out

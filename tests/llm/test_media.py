@@ -48,6 +48,78 @@ def test_frames_of_several_sizes():
     assert parsed.samples == 5 * 1152
 
 
+#: By hand from the standard's tables: header, bytes of a frame, samples of a frame, sampling rate.
+KINDS = [
+    ((0xFF, 0xFF, 0x10, 0xC0), 32, 384, 44_100), ((0xFF, 0xFF, 0xE6, 0x00), 452, 384, 48_000), ((0xFF, 0xFD, 0x80, 0x00), 417, 1152, 44_100), ((0xFF, 0xFD, 0xE8, 0x00), 1728, 1152, 32_000),
+    ((0xFF, 0xF3, 0x80, 0xC0), 208, 576, 22_050), ((0xFF, 0xF3, 0xE4, 0x00), 480, 576, 24_000), ((0xFF, 0xF5, 0x88, 0xC0), 576, 1152, 16_000), ((0xFF, 0xF7, 0x14, 0xC0), 64, 384, 24_000),
+    ((0xFF, 0xE3, 0x10, 0xC0), 52, 576, 11_025), ((0xFF, 0xE3, 0x88, 0xC0), 576, 576, 8_000),
+]
+
+
+@pytest.mark.parametrize("head,size,samples,rate", KINDS)
+def test_kinds_of_frames(head, size, samples, rate):
+    frame = bytes(head).ljust(size, b"\0")
+    parsed = media.parse(frame * 3 + b"\xff\xfa junk" + frame * 2)
+    assert parsed.sizes.tolist() == [size] * 5 and (parsed.rate, parsed.samples, parsed.resyncs) == (rate, 5 * samples, 1)
+
+
+def test_other_kinds_are_no_frames():
+    one, other = bytes((0xFF, 0xF3, 0x80, 0xC0)).ljust(208, b"\0"), bytes((0xFF, 0xFB, 0x90, 0xC0)).ljust(417, b"\0")
+    assert media.parse(one * 2 + other * 3 + one * 2).sizes.tolist() == [208] * 4
+    assert not len(media.parse(b"\xff\xea\x90\xc0" + bytes(500)).offsets) and not len(media.parse(b"\xff\xf9\x90\xc0" + bytes(500)).offsets)
+
+
+@pytest.mark.parametrize("head,covered", [((0xFF, 0xFE, 0xC0, 0x00), 32), ((0xFF, 0xFE, 0xC0, 0xC0), 16), ((0xFF, 0xFE, 0xC0, 0x50), 20), ((0xFF, 0xF2, 0x80, 0xC0), 9), ((0xFF, 0xF2, 0x80, 0x00), 17), ((0xFF, 0xFA, 0x90, 0x40), 32)])
+def test_what_checksums_cover(head, covered):
+    body = bytes(range(1, covered + 1))
+    size = media.frame_size(bytes(head))
+    frame = (bytes(head) + bit_by_bit(bytes(head[2:]) + body).to_bytes(2) + body).ljust(size, b"\0")
+    assert media.parse(frame * 3).crc_errors == 0
+    wrong = frame[: 5 + covered] + b"\0" + frame[6 + covered :]
+    assert media.parse(frame + wrong + frame).crc_errors == 1
+
+
+def tagged(version, frames, flags=0, before=b"", after=b""):
+    body = before + b"".join(frames)
+    return b"ID3" + bytes((version, 0, flags)) + bytes(len(body) >> s & 0x7F for s in (21, 14, 7, 0)) + body + after
+
+
+def tag_frame(name, body, version=3, of=0):
+    size = bytes(len(body) >> s & 0x7F for s in (21, 14, 7, 0)) if version == 4 else len(body).to_bytes(3 if version == 2 else 4)
+    return name + size + (b"" if version == 2 else bytes((0, of))) + body
+
+
+@pytest.mark.parametrize("body", [b"\0caf\xe9", b"\1\xff\xfec\0a\0f\0\xe9\0", b"\1\xfe\xff\0c\0a\0f\0\xe9\0\0", b"\2\0c\0a\0f\0\xe9", "\3café\0".encode(), b"\1\0c\0a\0f\0\xe9"])
+def test_encodings_of_tags(body):
+    sound = bytes((0xFF, 0xFB, 0x90, 0xC0)).ljust(417, b"\0")
+    for version in (2, 3, 4):
+        name = b"TT2" if version == 2 else b"TIT2"
+        picture = tag_frame(b"PIC" if version == 2 else b"APIC", b"\0binary", version)
+        parsed = media.parse(tagged(version, [picture, tag_frame(name, body, version)]) + sound * 2)
+        assert parsed.tags == {name.decode(): "café"} and len(parsed.offsets) == 2 and parsed.resyncs == 0
+
+
+def test_tags_with_more_about_them():
+    sound = bytes((0xFF, 0xFB, 0x90, 0xC0)).ljust(417, b"\0")
+    title = tag_frame(b"TIT2", b"\0x")
+    third = tagged(3, [title, bytes(20)], 0x40, b"\0\0\0\6" + bytes(6))
+    fourth = tagged(4, [tag_frame(b"TIT2", b"\3x\0y", 4)], 0x50, b"\0\0\0\6\1\0", after=b"3DI" + bytes(7))
+    synced = tagged(3, [tag_frame(b"TIT2", b"\1\xff\xfex\0")[:-4] + b"\xff\0\xfex\0"], 0x80)
+    frame = tagged(4, [tag_frame(b"TIT2", b"\0\0\0\5\1\xff\0\xfex\0", 4, 3)])
+    hidden = tagged(3, [tag_frame(b"TIT2", b"\0x", 3, 0x80), tag_frame(b"TXXX", b"\1\xff\xfek\0\0\0\xff\xfev\0")])
+    for tag, told in ((third, {"TIT2": "x"}), (fourth, {"TIT2": "x/y"}), (synced, {"TIT2": "x"}), (frame, {"TIT2": "x"}), (hidden, {"TXXX:k": "v"}), (tagged(4, [tag_frame(b"TIT2", b"\7x", 4), tag_frame(b"TPE1", b"", 4)]), {})):
+        parsed = media.parse(tag + sound * 2)
+        assert (parsed.tags, len(parsed.offsets), parsed.resyncs) == (told, 2, 0)
+
+
+def test_tags_at_the_end():
+    sound = bytes((0xFF, 0xFB, 0x90, 0xC0)).ljust(417, b"\0")
+    foot = lambda flags: b"APETAGEX" + (2000).to_bytes(4, "little") + (42).to_bytes(4, "little") + (1).to_bytes(4, "little") + flags.to_bytes(4, "little") + bytes(8)
+    for ape in (foot(0xA0 << 24) + bytes(10) + foot(1 << 31), bytes(10) + foot(0)):
+        parsed = media.parse(sound * 2 + ape + b"TAG".ljust(128, b"\0"))
+        assert len(parsed.offsets) == 2 and parsed.resyncs == 0
+
+
 def test_many_frames_of_alternating_size():
     import time
 
