@@ -43,13 +43,15 @@ BASE: tuple[Template, ...] = (
 )
 
 #: Wording of public license notices, in full.
-_MIT = (
+_MIT = [
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
-    "including without limitation the rights to use copy modify merge publish distribute <<var 1-2>> and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "including without limitation the rights to use copy modify merge publish distribute " + sublicense + " and or sell copies of the software and to permit persons to whom the software is furnished to do so "
     "subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software "
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and <<var 1-2>> "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and " + noninfringement + " "
     "in no event shall <<var 1-20>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
-)
+    for sublicense in ("sublicense", "sub license")
+    for noninfringement in ("noninfringement", "non infringement")
+]
 _BSD = (
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
     "<<var 0-1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
@@ -84,16 +86,30 @@ _ZLIB = (
 )
 _UNLICENSE = (
     "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
-    "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
+    "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means "
+    "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain "
+    "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors "
+    "we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+    "<<optional>>noninfringement<<end>> <<optional>>non infringement<<end>> in no event shall the authors be liable for any claim damages or other liability "
+    "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
 )
 _BOOST = (
     "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
     "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so "
-    "all subject to the following"
+    "all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer "
+    "must be included in all copies of the software in whole or in part and all derivative works of the software "
+    "unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and "
+    "<<optional>>noninfringement<<end>> <<optional>>non infringement<<end>> in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability "
+    "whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
 )
 _POSTGRESQL = (
     "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted "
-    "provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"
+    "provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies "
+    "in no event shall <<var 1-20>> be liable to any party for direct indirect special incidental or consequential damages including lost profits arising out of the use of this software and its documentation "
+    "even if <<var 1-20>> has been advised of the possibility of such damage <<var 1-20>> specifically disclaims any warranties including but not limited to the implied warranties of merchantability "
+    "and fitness for a particular purpose the software provided hereunder is on an as is basis and <<var 1-20>> has no obligations to provide maintenance support updates enhancements or modifications"
 )
 _MPL = (
     "this source code form is subject to the terms of the mozilla public license v 2 0 "
@@ -113,6 +129,17 @@ def _gnu(label: str, name: str, version: str) -> Iterator[Template]:
         begin += f" the gnu {name} <<optional>>gpl<<end>> <<optional>>lgpl<<end>> <<optional>>agpl<<end>> <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>>"
         yield Template(label, f"{begin} version {version} {later}")
         yield Template(label, f"{begin} v{version}")
+    short = {"general": "gpl", "lesser": "lgpl", "affero": "agpl"}[name.split()[0]]
+    for begin in ("licensed under", "licensed under the", "under the", "under the terms of the"):
+        for said in (f"{short}v{version}", f"{short} v{version}", f"{short} version {version}"):
+            yield Template(label, f"{begin} <<optional>>gnu<<end>> {said}")
+
+
+#: What may stand between a version and the word license.
+_PORTS = (
+    "international", "unported", "generic", "public", "united states", "germany", "austria", "switzerland", "france", "spain", "italy", "netherlands", "poland", "portugal", "australia",
+    "new zealand", "canada", "japan", "brazil", "igo",
+)
 
 
 def _creative_commons() -> Iterator[Template]:
@@ -122,11 +149,12 @@ def _creative_commons() -> Iterator[Template]:
         "cc-by-nc": ("by nc", ("noncommercial", "non commercial")), "cc-by-nc-sa": ("by nc sa", ("noncommercial sharealike", "non commercial share alike")),
         "cc-by-nc-nd": ("by nc nd", ("noncommercial noderivatives", "non commercial no derivatives", "noncommercial noderivs")),
     }
+    ports = " ".join(f"<<optional>>{port}<<end>>" for port in _PORTS)
     for label, (short, names) in kinds.items():
         for version in ("1 0", "2 0", "2 1", "2 5", "3 0", "4 0"):
             yield Template(label, f"licensed under <<optional>>a<<end>> <<optional>>creative commons<<end>> cc {short} {version}")
             for name in names:
-                yield Template(label, f"creative commons attribution {name} <<optional>>version<<end>> {version} <<var 0-3>> license")
+                yield Template(label, f"creative commons attribution {name} <<optional>>version<<end>> {version} {ports} license")
         for name in names:
             yield Template(label, f"creative commons attribution {name} <<optional>>international<<end>> <<optional>>unported<<end>> <<optional>>generic<<end>> <<optional>>public<<end>> license")
 
@@ -135,7 +163,7 @@ def _creative_commons() -> Iterator[Template]:
 TEMPLATES: tuple[Template, ...] = (
     *BASE,
     *(Template("mit", f"{verb} under the <<optional>>terms of the<<end>> mit license") for verb in ("released", "licensed", "distributed", "available")),
-    Template("mit", _MIT),
+    *(Template("mit", markup) for markup in _MIT),
     Template("apache-2", "licensed under the apache license <<optional>>version<<end>> 2 <<optional>>0<<end>> <<optional>>the license<<end>>"),
     Template("apache-2", _APACHE),
     *_creative_commons(),
@@ -302,26 +330,28 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+_PORT = "((international|unported|generic|public|united states|germany|austria|switzerland|france|spain|italy|netherlands|poland|portugal|australia|new zealand|canada|japan|brazil|igo) )*"
 #: What SQL takes for a notice, written for itself: short ones in full, bodies by their first and last sentences.
 _NOTICES = (
     ("mit", "(released|licensed|distributed|available) under the (terms of the )?mit license"),
     ("apache-2", "licensed under the apache license (version )?2"),
-    ("cc-by", "(licensed under (a )?(creative commons )?cc by [1-4] [015]|creative commons attribution (version )?[1-4] [015] ([^ ]+ ){0,3}license|creative commons attribution (international |unported |generic |public )?license)"),
-    ("cc-by-sa", "(licensed under (a )?(creative commons )?cc by sa [1-4] [015]|creative commons attribution share ?alike (version )?[1-4] [015] ([^ ]+ ){0,3}license|creative commons attribution share ?alike (international |unported |generic |public )?license)"),
-    ("cc-by-nc", "(licensed under (a )?(creative commons )?cc by nc [1-4] [015]|creative commons attribution non ?commercial (version )?[1-4] [015] ([^ ]+ ){0,3}license|creative commons attribution non ?commercial (international |unported |generic |public )?license)"),
+    ("cc-by", "(licensed under (a )?(creative commons )?cc by [1-4] [015]|creative commons attribution (version )?[1-4] [015] " + _PORT + "license|creative commons attribution (international |unported |generic |public )?license)"),
+    ("cc-by-sa", "(licensed under (a )?(creative commons )?cc by sa [1-4] [015]|creative commons attribution share ?alike (version )?[1-4] [015] " + _PORT + "license|creative commons attribution share ?alike (international |unported |generic |public )?license)"),
+    ("cc-by-nc", "(licensed under (a )?(creative commons )?cc by nc [1-4] [015]|creative commons attribution non ?commercial (version )?[1-4] [015] " + _PORT + "license|creative commons attribution non ?commercial (international |unported |generic |public )?license)"),
     ("gpl-2", "(licensed under|under the terms of) (the terms of )?the gnu general public license (gpl )?(as published by the free software foundation )?(either )?(version 2|v2)"),
     ("gpl-3", "(licensed under|under the terms of) (the terms of )?the gnu general public license (gpl )?(as published by the free software foundation )?(either )?(version 3|v3)"),
     ("lgpl-3", "(licensed under|under the terms of) (the terms of )?the gnu lesser general public license (lgpl )?(as published by the free software foundation )?(either )?(version 3|v3)"),
     ("agpl-3", "(licensed under|under the terms of) (the terms of )?the gnu affero general public license (agpl )?(as published by the free software foundation )?(either )?(version 3|v3)"),
+    *((f"{kind}gpl-{version}", f"(licensed under|licensed under the|under the|under the terms of the) (gnu )?{kind}gpl(v| v| version ){version.replace('.', ' ')}") for kind, version in (("", "2"), ("", "3"), ("l", "2.1"), ("l", "3"), ("a", "3"))),
     ("boost-1", "distributed under the boost software license version 1 0"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and .* or the use or other dealings in the software"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and .* publish distribute sub ?license and or sell .* fitness for a particular purpose and non ?infringement in no event .* or the use or other dealings in the software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted .* even if advised of the possibility of such damage"),
     ("isc", "permission to use copy modify and (or )?distribute this software .* appear in all copies the software is .* the use or performance of this software"),
-    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation .* all subject to the following"),
+    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation .* all subject to the following the copyright notices .* generated by a source language processor the software .* or the use or other dealings in the software"),
     ("lgpl-2.1", "(licensed under|under the terms of) (the terms of )?the gnu lesser general public license (lgpl )?(as published by the free software foundation )?(either )?(version 2 1|v2 1)"),
-    ("cc-by-nd", "(licensed under (a )?(creative commons )?cc by nd [1-4] [015]|creative commons attribution (noderivatives|no derivatives|noderivs) ((version )?[1-4] [015] ([^ ]+ ){0,3}|international |unported |generic |public )?license)"),
-    ("cc-by-nc-sa", "(licensed under (a )?(creative commons )?cc by nc sa [1-4] [015]|creative commons attribution (noncommercial sharealike|non commercial share alike) ((version )?[1-4] [015] ([^ ]+ ){0,3}|international |unported |generic |public )?license)"),
-    ("cc-by-nc-nd", "(licensed under (a )?(creative commons )?cc by nc nd [1-4] [015]|creative commons attribution (noncommercial noderivatives|non commercial no derivatives|noncommercial noderivs) ((version )?[1-4] [015] ([^ ]+ ){0,3}|international |unported |generic |public )?license)"),
+    ("cc-by-nd", "(licensed under (a )?(creative commons )?cc by nd [1-4] [015]|creative commons attribution (noderivatives|no derivatives|noderivs) ((version )?[1-4] [015] " + _PORT + "|international |unported |generic |public )?license)"),
+    ("cc-by-nc-sa", "(licensed under (a )?(creative commons )?cc by nc sa [1-4] [015]|creative commons attribution (noncommercial sharealike|non commercial share alike) ((version )?[1-4] [015] " + _PORT + "|international |unported |generic |public )?license)"),
+    ("cc-by-nc-nd", "(licensed under (a )?(creative commons )?cc by nc nd [1-4] [015]|creative commons attribution (noncommercial noderivatives|non commercial no derivatives|noncommercial noderivs) ((version )?[1-4] [015] " + _PORT + "|international |unported |generic |public )?license)"),
     ("cc0", "to the extent possible under law ([^ ]+ ){1,30}(has |have )?waived all copyright and related or neighboring rights to [^ ]+"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 .* mozilla org mpl 2 0"),
     ("epl-2", "made available under the terms of the eclipse public license (version )?(v )?2 0"),
@@ -330,8 +360,8 @@ _NOTICES = (
     ("artistic-2", "under the (terms of the )?artistic license (version )?2 0"),
     ("0bsd", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted the software is provided as is .* the use or performance of this software"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event .* this notice may not be removed or altered from any source distribution"),
-    ("postgresql", "permission to use copy modify and distribute this software and its documentation .* the following two paragraphs appear in all copies"),
-    ("unlicense", "this is free and unencumbered software released into the public domain anyone .* and by any means"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation .* the following two paragraphs appear in all copies in no event .* has no obligations to provide maintenance support updates enhancements or modifications"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone .* and by any means in jurisdictions .* under copyright law the software .* or the use or other dealings in the software"),
 )
 
 _PHRASES = [(t.label, "".join(f" {w} " for w in t.markup.split())) for t in BASE]

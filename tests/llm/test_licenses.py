@@ -109,12 +109,35 @@ subject to the following restrictions: 1. The origin of this software must not b
 software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such,
 and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
 UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
-software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make
+this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING
+FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this
 license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit
-third-parties to whom the Software is furnished to do so, all subject to the following:"""
+third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all
+copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable
+object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 POSTGRESQL = """Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby
-granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."""
+granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.
+
+IN NO EVENT SHALL THE UNIVERSITY OF CALIFORNIA BE LIABLE TO ANY PARTY FOR DIRECT, INDIRECT, SPECIAL, INCIDENTAL, OR CONSEQUENTIAL DAMAGES, INCLUDING LOST PROFITS, ARISING
+OUT OF THE USE OF THIS SOFTWARE AND ITS DOCUMENTATION, EVEN IF THE UNIVERSITY OF CALIFORNIA HAS BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+
+THE UNIVERSITY OF CALIFORNIA SPECIFICALLY DISCLAIMS ANY WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE. THE SOFTWARE PROVIDED HEREUNDER IS ON AN "AS IS" BASIS, AND THE UNIVERSITY OF CALIFORNIA HAS NO OBLIGATIONS TO PROVIDE MAINTENANCE, SUPPORT, UPDATES, ENHANCEMENTS,
+OR MODIFICATIONS."""
 MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
 https://mozilla.org/MPL/2.0/."""
 CC = "Creative Commons Attribution{} {} License"
@@ -155,6 +178,11 @@ WHOLE = [
     (CC.format("-ShareAlike", "4.0 International"), "cc-by-sa"),
     (CC.format("-ShareAlike", ""), "cc-by-sa"),
     (CC.format("-NoDerivatives", "4.0 International"), "cc-by-nd"),
+    ("released under the GNU GPLv3 in 2020", "gpl-3"),
+    ("under the terms of the GNU GPL version 2 or later", "gpl-2"),
+    ("Licensed under LGPL v2.1", "lgpl-2.1"),
+    ("it is under the AGPLv3", "agpl-3"),
+    (MIT.replace("sublicense", "sub-license"), "mit"),
     (CC.format("-NonCommercial-ShareAlike", "4.0 International"), "cc-by-nc-sa"),
     (CC.format("-NonCommercial-NoDerivs", "3.0 Unported"), "cc-by-nc-nd"),
 ]
@@ -174,6 +202,9 @@ def test_standard_notices(text, labels):
         "Creative Commons License", "Creative Commons Attribution-Sampling 1.0 License", "Creative Commons Zero 4.0 License", "under the terms of the GNU Lesser General Public License, version 4",
         "under the terms of the GNU Free Documentation License, version 3", "the Mozilla Public License, v. 2.0", "Licensed under the Apache License, Version 1.1", "Apache License 2",
         "Licensed under the EUPL, Version 1.1", "the MIT License", "waived all copyright and related or neighboring rights to this", MIT[:250], BSD[:200], ISC[:150], ZLIB[:400], UNLICENSE[:120], BOOST[:200],
+        # A text that begins like a notice and goes on differently is another one.
+        CC.format("", "4.0 NonCommercial"), CC.format("", "3.0 for no license"), CC.format("-ShareAlike", "4.0 but not a"), MIT.replace("NONINFRINGEMENT", "USEFULNESS"), MIT.replace("sublicense", "relicense"),
+        MIT.replace(" sublicense,", ""), BOOST.replace("object code", "source code"), POSTGRESQL.split("THE UNIVERSITY")[0], UNLICENSE.split("We make")[0], "under the GNU GPLv4", "GPL version 3", "under the GNU LGPL version 2.0",
     ],
 )
 def test_other_licenses(text):
