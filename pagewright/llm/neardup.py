@@ -2,13 +2,16 @@
 
 1. A document's set is that of its hashed word shingles. Documents with equal sets are one class, linked by
    that; only its representative (the smallest doc_id) goes on.
-2. Signatures of PERMUTATIONS minima. A forest of TREES, each over its own permutation of the signature;
-   documents with equal first values are in one region. All documents of a region meet, however many they
-   are and whatever lies between them: in regions of up to SMALL as pairs, each named once over all trees; in
-   crowded ones in blocks, pairs of blocks to a task, where signatures are compared in place.
-3. Documents of a region whose signatures agree in at least half the places form clusters. Documents that are similar
-   enough share a region in some tree up to a chance of 1e-8 (similarity 0.85; 1e-5 at 0.8), so linked documents are in one cluster.
-4. The forest's own pairs are tried on whole sets first, and what is linked becomes one. Within a cluster then
+2. Signatures of PERMUTATIONS minima, and an LSH forest of TREES sorted orders: each tree sorts by the signature in
+   a permutation of its own. Documents with equal first DEPTH values are in one region of a tree. In a region
+   of up to SMALL all are neighbours of all. A larger one is split by further minima, the more the more crowded
+   it is, and read in sorted order, where those with the longest common prefix stand side by side: each document
+   proposes the next one on either side whose signature agrees, past up to REACH - 1 that don't.
+3. Documents whose signatures agree in at least half the places form clusters. What sorting or splitting has kept apart
+   in a region meets after that: all documents but those of its largest cluster meet all of the region, pairs of blocks to
+   a task. So all documents of a region have met, directly or in a cluster. Documents that are similar enough share a region
+   in some tree up to a chance of 1e-8 (similarity 0.85; 1e-5 at 0.8), so linked documents are in one cluster.
+4. Each document's NEAREST neighbours by signature are tried on whole sets first, and what is linked becomes one. Within a cluster then
    all sets meet but those of its largest part among themselves. Large clusters are dealt into blocks, and pairs
    of blocks to tasks, so that a task holds two blocks at most; links come back as a spanning forest. A set is
    computed once.
@@ -16,6 +19,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -28,8 +32,10 @@ from pagewright.llm.graph import components
 from pagewright.llm.shared import WordHashes, binaries, grouped, mixed, partitions_for, spread, windows_of, words_of, written
 
 PERMUTATIONS, TREES, DEPTH = 128, 40, 5
-#: Documents of a region that are named in pairs, and those in a block of a region that has more.
+#: Documents of a region that are named in pairs, and those from which it is split; also those in a block.
 SMALL, CROWD = 8, 2048
+#: How far neighbours are looked for in a sorted order, and how many of a document's are tried on whole sets at first.
+REACH, NEAREST = 16, 3
 #: Documents, and shingles of all of them, in a block.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Pairs with one document in common that are tried together.
@@ -50,11 +56,12 @@ def set_class(of: np.ndarray) -> bytes | None:
     return hashlib.blake2b(of.tobytes(), digest_size=16).digest() if len(of) else None
 
 
+@functools.lru_cache(1)
 def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_229)
     a = rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
-    orders = np.array([rng.permutation(PERMUTATIONS)[:DEPTH] for _ in range(TREES)])
+    orders = np.array([rng.permutation(PERMUTATIONS) for _ in range(TREES)])
     return a, b, orders
 
 
@@ -111,24 +118,74 @@ def _signed(size: int):
     return run
 
 
-def _agree(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Whether signatures agree in at least half the places."""
-    x = np.frombuffer(b"".join(a.to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
-    y = np.frombuffer(b"".join(b.to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
-    return pa.array((x == y).sum(axis=1) * 2 >= PERMUTATIONS)
+def _equal_places(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places signatures (rows of bytes) are equal."""
+    # Eight places to a word, up to 16 in each byte; the product adds its bytes up.
+    return ((x == y).view(np.uint64).sum(axis=1) * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int32)
 
 
-def meeting(signed: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of signatures (rows of bytes) that agree in at least half the places."""
-    left, out = np.arange(len(signed)), []
-    rows = signed
+def _rows(array: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(array.to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
+
+
+def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(_equal_places(_rows(a), _rows(b)), pa.int32())
+
+
+def _ordered(tree: pa.Array, signature: pa.Array) -> pa.Array:
+    """Signatures in the order of a tree."""
+    orders = _constants()[2]
+    of = np.take_along_axis(_rows(signature), orders[tree.to_numpy()], axis=1)
+    return pa.array([row.tobytes() for row in of], pa.binary())
+
+
+def neighbours(regions: np.ndarray, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, equal places): for each row of a sorted order the next one on either side that agrees, within REACH and its region."""
+    n = len(regions)
+    right, left, out = np.ones(n, bool), np.ones(n, bool), []
+    for step in range(1, min(REACH, n - 1) + 1):
+        wanted = np.flatnonzero((regions[:-step] == regions[step:]) & (right[:-step] | left[step:]))
+        same = _equal_places(orders[wanted], orders[wanted + step])
+        near = same * 2 >= PERMUTATIONS
+        found = wanted[near]
+        right[found] = left[found + step] = False
+        out.append((found, found + step, same[near]))
+    i, j, same = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    return i, j, same
+
+
+def _neighbours(batches):
+    """Links of neighbours from rows sorted by (region, order); the last rows of a batch are seen again with the next."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        regions, nodes, orders = batch.column("region").to_numpy(), batch.column("node").to_numpy(), _rows(batch.column("order"))
+        if held is not None:
+            regions, nodes, orders = (np.concatenate(x) for x in zip(held, (regions, nodes, orders)))
+        i, j, same = neighbours(regions, orders)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i], pa.int64()), pa.array(nodes[j], pa.int64()), pa.array(same, pa.int32())], names=["a", "b", "same"])
+        held = regions[-REACH:], nodes[-REACH:], orders[-REACH:]
+
+
+def meeting(signed: np.ndarray, main: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of signatures (rows of bytes) that agree in at least half the places.
+
+    Rows of `main` are known to belong together: none of them is compared with another.
+    """
+    main = np.zeros(len(signed), bool) if main is None else main
+    left, rows, fixed, out = np.flatnonzero(~main), signed[~main], signed[main], []
+    names = np.flatnonzero(main)
     while len(left):
         rest, left, rows = [int(left[0])], left[1:], rows[1:]
-        while rest and len(left):
+        reached = not len(names)
+        while rest and (len(left) or not reached):
             x = rest.pop()
-            # Eight places to a word, up to 16 in each byte; the product adds its bytes up.
-            same = (rows == signed[x]).view(np.uint64).sum(axis=1) * np.uint64(0x0101010101010101) >> np.uint64(56)
-            near = same * 2 >= PERMUTATIONS
+            if not reached:
+                near = np.flatnonzero(_equal_places(fixed, signed[x]) * 2 >= PERMUTATIONS)
+                if reached := bool(len(near)):
+                    out.append((x, int(names[near[0]])))
+            near = _equal_places(rows, signed[x]) * 2 >= PERMUTATIONS
             if near.any():
                 rest += left[near].tolist()
                 out += [(x, y) for y in left[near].tolist()]
@@ -137,33 +194,54 @@ def meeting(signed: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _met(batches):
-    for group in grouped(batches, ["region", "pair"]):
+    for group in grouped(batches, ["cluster", "pair"]):
         group = group.combine_chunks()
         nodes = group.column("node").to_numpy()
-        found = meeting(np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS))
+        found = meeting(_rows(group.column("signature")), group.column("main").to_numpy())
         if found:
             i, j = np.array(found).T
             yield pa.RecordBatch.from_arrays([pa.array(nodes[i], pa.int64()), pa.array(nodes[j], pa.int64())], names=["a", "b"])
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): links that join all nodes that share a region and agree, from (class, node, signature, trees)."""
+    """(a, b, same): links that join all nodes that share a region and agree, from (class, node, signature, trees), and their equal places."""
     # A class by its hash: a node stands for several only if its doc_id has several texts; then any agreement counts.
     keyed = classes.select(F.xxhash64("class").alias("k"), "node", "signature")
-    placed = classes.select(F.xxhash64("class").alias("k"), F.explode("trees").alias("region"))
-    places = written(placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("region"))).where("n > 1"), "places")
+    placed = classes.select(F.xxhash64("class").alias("k"), F.posexplode("trees").alias("tree", "region"))
+    # Counted before rows are dealt, so a region's size doesn't matter.
+    sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    places = written(placed.join(sizes, "region"), "places")
 
     few = places.where(F.col("n") <= SMALL).groupBy("region").agg(F.sort_array(F.collect_set("k")).alias("ks"))
     pairs = few.select(F.explode(F.expr(f"flatten(transform(ks, (x, i) -> transform(slice(ks, i + 2, {SMALL}), y -> struct(x AS ka, y AS kb))))")).alias("p")).select("p.*").distinct()
     sides = [keyed.select(F.col("k").alias(f"k{x}"), F.col("node").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"]
-    agree = F.arrow_udf(_agree, "boolean")
-    told = pairs.join(sides[0], "ka").join(sides[1], "kb").where("a <> b").where(agree("sa", "sb")).select("a", "b")
-
-    crowd = places.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / CROWD).cast("int"))
-    crowd = crowd.withColumn("block", F.pmod(F.xxhash64("k", "region"), F.col("blocks")).cast("int"))
-    crowd = crowd.join(keyed, "k").select("region", "node", "signature", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> least(x, block) * 1000000L + greatest(x, block))")).alias("pair"))
-    met = crowd.repartition("region", "pair").sortWithinPartitions("region", "pair").mapInArrow(_met, "a long, b long")
-    return told.unionAll(met.where("a <> b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    same = F.arrow_udf(_agreement, "int")("sa", "sb")
+    told = pairs.join(sides[0], "ka").join(sides[1], "kb").where("a <> b").select("a", "b", same.alias("same")).where(f"same * 2 >= {PERMUTATIONS}")
+
+    crowd = places.where(F.col("n") > SMALL)
+    sorted_by = crowd.join(keyed, "k").select("region", "n", "node", F.arrow_udf(_ordered, "binary")("tree", "signature").alias("order"))
+    # A further minimum, 256 ways, for each 64 times that a region is more crowded.
+    deeper = F.expr(f"CASE WHEN n <= {CROWD} THEN X'' ELSE substring(order, {DEPTH} + 1, 1 + cast(log(64, n / {CROWD}) AS int)) END")
+    dealt = sorted_by.withColumn("deeper", deeper).repartition("region", "deeper").sortWithinPartitions("region", "order")
+    told = told.unionAll(dealt.select("region", "node", "order").mapInArrow(_neighbours, "a long, b long, same int").where("a <> b"))
+    told = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same")
+    told = written(told.groupBy("a", "b").agg(F.max("same").alias("same")), "told")
+
+    members = crowd.join(keyed.select("k", "node"), "k").select(F.col("region").alias("cluster"), "node", F.lit(1).alias("n")).distinct()
+    members = members.join(components(told), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    rest = _blocks(written(members.select("cluster", "part", "node", "n"), "crowds"), CROWD)
+    apart = rest.join(keyed.select("node", "signature"), "node").select("cluster", "pair", "node", "main", "signature")
+    met = apart.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair").mapInArrow(_met, "a long, b long").where("a <> b")
+    return told.unionAll(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(PERMUTATIONS // 2).alias("same")))
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """(a, b): of the pairs (a, b, same) those that are among the NEAREST of one of their nodes."""
+    both = pairs.select("a", "b", "same").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
+    # A limit within a window is applied before rows are dealt, so a node of very many pairs sends a few from each task.
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("same"), "b"))
+    first = both.withColumn("rank", rank).where(F.col("rank") <= NEAREST)
+    return first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -268,8 +346,8 @@ def _tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(_alike(percent)("sa", "sb")).select("a", "b")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """(cluster, pair, node): the pairs of blocks in which documents meet, of (node, cluster, part, n).
+def _blocks(members: DataFrame, most: int) -> DataFrame:
+    """(cluster, pair, node, main): the pairs of blocks of up to `most` in which documents meet, of (node, cluster, part, n).
 
     The largest part of a cluster is linked already, so its blocks meet those of the rest; these meet each other
     too. A cluster of one part meets nowhere.
@@ -278,7 +356,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     whole = parts.groupBy("cluster").agg(
         F.max(F.struct("docs", "part", "items")).alias("l"), F.count(F.lit(1)).alias("parts"), F.sum("docs").alias("docs"), F.sum("items").alias("items")
     )
-    blocks = lambda docs, items: F.greatest(F.ceil(docs / BLOCK), F.ceil(items / BLOCK_SHINGLES)).cast("int")
+    blocks = lambda docs, items: F.greatest(F.ceil(docs / most), F.ceil(items / BLOCK_SHINGLES)).cast("int")
     sizes = whole.where("parts > 1").select(
         "cluster", F.col("l.part").alias("largest"), blocks(F.col("l.docs"), F.col("l.items")).alias("mains"),
         blocks(F.col("docs") - F.col("l.docs"), F.col("items") - F.col("l.items")).alias("rests"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
@@ -291,7 +369,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     across = "transform(sequence(0, {n} - 1), y -> -1L - ({rest} * 2147483648L + {main}))"
     among = "transform(sequence(0, rests - 1), y -> least(y, own) * 2147483648L + greatest(y, own))"
     pairs = F.when(F.col("main"), F.expr(across.format(n="rests", rest="y", main="own"))).otherwise(F.concat(F.expr(across.format(n="mains", rest="own", main="y")), F.expr(among)))
-    return placed.select("cluster", F.explode(pairs).alias("pair"), "node")
+    return placed.select("cluster", F.explode(pairs).alias("pair"), "node", "main")
 
 
 def _linked(percent: int):
@@ -319,7 +397,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     named = signed.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(named.groupBy("class").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("trees").alias("trees")), "classes")
 
-    pairs = written(candidates(classes).distinct(), "pairs")
+    pairs = written(candidates(classes), "pairs")
     clusters = components(pairs).withColumnRenamed("component", "cluster")
     members = written(classes.select("node", "class").join(clusters, "node").join(named.groupBy("class").agg(F.max("n_shingles").alias("n")), "class"), "members")
     # Sorted and merged whatever the size: the table of members grows with the documents.
@@ -327,10 +405,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     told = dealt.hint("merge").join(members.select("node", "class"), dealt.doc_id == F.col("node")).select("node", "class", "text")
     sets = written(told.distinct().mapInArrow(_sets(size), "node long, shingles binary"), "sets")
 
-    links = written(_tried(pairs, sets, percent), "links")
+    links = written(_tried(nearest(pairs), sets, percent), "links")
     parts = components(links).withColumnRenamed("component", "part")
     kept = members.groupBy("node", "cluster").agg(F.sum("n").alias("n")).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    left = _blocks(kept).hint("merge").join(sets.hint("merge"), "node").select("cluster", "pair", "node", "shingles")
+    left = _blocks(kept, BLOCK).hint("merge").join(sets.hint("merge"), "node").select("cluster", "pair", "node", "shingles")
     met = left.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair")
     found = components(links.unionAll(met.mapInArrow(_linked(percent), "a long, b long")))
 

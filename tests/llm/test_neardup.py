@@ -175,3 +175,35 @@ def test_crowded_boilerplate(spark, monkeypatch):
     assert got(neardup.near_duplicates(docs, 1, 80)) == want
     monkeypatch.setattr(neardup, "CROWD", 16)
     assert got(neardup.near_duplicates(docs, 1, 80)) == want
+
+
+def test_neighbours_of_a_sorted_order():
+    rng = np.random.default_rng(11)
+    rows = np.repeat(rng.integers(0, 256, (12, neardup.PERMUTATIONS)).astype(np.uint8), 9, axis=0)
+    rows = np.where(rng.random(rows.shape) < 0.2, rng.integers(0, 256, rows.shape), rows).astype(np.uint8)[rng.permutation(108)]
+    regions = np.repeat([3, 5, 9], (1, 47, 60))
+    want = set()
+    for x in range(108):
+        for side in (range(x + 1, min(108, x + neardup.REACH + 1)), range(x - 1, max(-1, x - neardup.REACH - 1), -1)):
+            y = next((y for y in side if regions[x] == regions[y] and 2 * (rows[x] == rows[y]).sum() >= neardup.PERMUTATIONS), None)
+            if y is not None:
+                want.add((min(x, y), max(x, y), int((rows[x] == rows[y]).sum())))
+    assert set(zip(*map(np.ndarray.tolist, neardup.neighbours(regions, rows)))) == want and len(want) > 50
+    assert all(len(x) == 0 for n in (0, 1) for x in neardup.neighbours(regions[:n], rows[:n]))
+
+
+def test_meeting_of_what_belongs_together_already():
+    rng = np.random.default_rng(13)
+    rows = rng.integers(0, 2, (50, neardup.PERMUTATIONS)).astype(np.uint8)
+    main = np.arange(50) % 3 == 0
+    agree = (rows[:, None] == rows[None]).sum(axis=2) * 2 >= neardup.PERMUTATIONS
+    found = neardup.meeting(rows, main)
+    assert all(agree[x, y] and not (main[x] and main[y]) for x, y in found)
+
+    def groups(links):
+        group = np.where(main, 0, np.arange(50))
+        for x, y in links:
+            group[group == max(group[x], group[y])] = min(group[x], group[y])
+        return group.tolist()
+
+    assert groups(found) == groups([(x, y) for x in range(50) for y in range(50) if x != y and agree[x, y]])
