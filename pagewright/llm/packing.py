@@ -43,13 +43,27 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
         return True
     if sum(b) > sum(a) or not a or b[0] > a[0]:
         return False
-    seen = set()
-    for k, room in enumerate(a):
-        if room < b[0]:
-            break
-        if room not in seen:
+    # An item may as well stand in one of its own size: whatever else is there then stands where the item stood.
+    rooms, rest = list(a), []
+    for s in b:
+        if s in rooms:
+            rooms.remove(s)
+        else:
+            rest.append(s)
+    return _dealt(rooms, rest, 0)
+
+
+def _dealt(rooms: list[int], items: list[int], k: int) -> bool:
+    if k == len(items):
+        return True
+    s, seen = items[k], set()
+    for n, room in enumerate(rooms):
+        if room >= s and room not in seen:
             seen.add(room)
-            if dominates(tuple(sorted((*a[:k], room - b[0], *a[k + 1 :]), reverse=True)), b[1:]):
+            rooms[n] = room - s
+            whole = _dealt(rooms, items, k + 1)
+            rooms[n] = room
+            if whole:
                 return True
     return False
 
@@ -69,12 +83,18 @@ class Bounds:
 
 def fillings(counts: Counter, room: int, waste: int, bounds: Bounds = Bounds()) -> tuple[list[tuple[int, ...]], bool]:
     """Undominated ways to fill room from counts leaving at most `waste`, the fullest first; and whether these are all."""
-    sizes = sorted((s for s in counts if counts[s] > 0 and s <= room), reverse=True)
-    smallest = sizes[-1] if sizes else room + 1
+    return _fillings(counts, sorted(s for s in counts if counts[s] > 0), room, waste, bounds)
+
+
+def _fillings(counts: Counter, present: list[int], room: int, waste: int, bounds: Bounds) -> tuple[list[tuple[int, ...]], bool]:
+    """fillings from counts whose sizes above 0 are `present`, in ascending order."""
+    fitting = bisect.bisect_right(present, room)
+    smallest = present[0] if fitting else room + 1
     found: list[tuple[int, ...]] = []
     steps = bounds.steps * bounds.fillings
 
     def search(k: int, left: int, chosen: tuple[int, ...]) -> None:
+        # Sizes from the k-th downwards are tried; those above what is left are passed over at once.
         nonlocal steps
         steps -= 1
         if len(found) >= bounds.fillings or steps < 0:
@@ -84,24 +104,23 @@ def fillings(counts: Counter, room: int, waste: int, bounds: Bounds = Bounds())
                 found.append(chosen)
             return
         maximal = True
-        used = Counter(chosen)
-        while k < len(sizes):
-            s = sizes[k]
-            if s <= left and used[s] < counts[s]:
+        for k in range(bisect.bisect_right(present, left, 0, k), 0, -1):
+            s = present[k - 1]
+            if chosen.count(s) < counts[s]:
                 maximal = False
                 search(k, left - s, (*chosen, s))
                 if len(found) >= bounds.fillings or steps < 0:
                     return
-            k += 1
         if maximal and left <= waste:
             found.append(chosen)
 
-    search(0, room, ())
+    search(fitting, room, ())
     whole = len(found) < bounds.fillings and steps >= 0
     found = sorted(set(found), key=lambda f: (room - sum(f), len(f), f))
     if found and sum(found[0]) == room and len(found[0]) <= 1:
         found = found[:1]  # one item that fills the room dominates whatever else would
-    free = [f for k, f in enumerate(found) if not any(f != g and dominates(g, f) and not (dominates(f, g) and n > k) for n, g in enumerate(found))]
+    sums = [*map(sum, found)]
+    free = [f for k, f in enumerate(found) if not any(f != g and sums[n] >= sums[k] and g[:1] >= f[:1] and dominates(g, f) and not (dominates(f, g) and n > k) for n, g in enumerate(found))]
     return free[: bounds.tried], whole and len(free) <= bounds.tried
 
 
@@ -118,17 +137,31 @@ def completed(lengths: list[int], capacity: int, bounds: Bounds = Bounds()) -> t
     while len(incumbent) > floor:
         allowed = (len(incumbent) - 1) * capacity - total
         counts = Counter(lengths)
+        present = sorted(counts)
+
+        def taken(way: tuple[int, ...]) -> None:
+            for s in way:
+                counts[s] -= 1
+                if not counts[s]:
+                    del present[bisect.bisect_left(present, s)]
+
+        def put_back(way: tuple[int, ...]) -> None:
+            for s in way:
+                if not counts[s]:
+                    bisect.insort(present, s)
+                counts[s] += 1
+
         path: list[tuple[int, ...]] = []
         stack: list[Iterator[tuple[int, ...]]] = []
         wasted, better, all_seen = [0], False, True
 
         def options() -> Iterator[tuple[int, ...]]:
             nonlocal all_seen
-            top = max(s for s in counts if counts[s] > 0)
-            counts[top] -= 1
-            ways, whole = fillings(counts, capacity - top, allowed - wasted[-1], bounds)
+            top = present[-1]
+            taken((top,))
+            ways, whole = _fillings(counts, present, capacity - top, allowed - wasted[-1], bounds)
             all_seen &= whole
-            counts[top] += 1
+            put_back((top,))
             return iter([(top, *w) for w in ways])
 
         stack.append(options())
@@ -137,17 +170,16 @@ def completed(lengths: list[int], capacity: int, bounds: Bounds = Bounds()) -> t
             if way is None:
                 stack.pop()
                 if path:
-                    counts.update(path.pop())
+                    put_back(path.pop())
                     wasted.pop()
                 continue
             nodes -= 1
-            counts.subtract(way)
+            taken(way)
             path.append(way)
             wasted.append(wasted[-1] + capacity - sum(way))
-            if not any(counts.values()):
+            if not present:
                 better = True
                 break
-            counts += Counter()
             stack.append(options())
         if not better:
             proved = all_seen and not stack

@@ -1,3 +1,5 @@
+import itertools
+import random
 import zlib
 from collections import Counter
 
@@ -262,3 +264,19 @@ def test_store_of_documents(spark, plain):
         start += len(ids)
     rows = token_store.op2_token_store(spark, "/root/testdata/sf0.001").collect()
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows) == want
+
+
+def test_fillings_from_sorted_sizes_are_those_of_a_plain_search():
+    """Dominance against trying all ways to deal, and fillings from the sorted sizes against a plain enumeration."""
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (tuple(sorted((rng.randint(1, 12) for _ in range(rng.randint(0, 4))), reverse=True)) for _ in range(2))
+        dealt = any(all(sum(s for s, k in zip(b, where) if k == n) <= room for n, room in enumerate(a)) for where in itertools.product(range(len(a)), repeat=len(b)))
+        assert packing.dominates(a, b) == dealt, (a, b)
+    for _ in range(100):
+        counts, room = Counter(rng.randint(1, 9) for _ in range(6)), rng.randint(1, 20)
+        items = sorted(counts.elements(), reverse=True)
+        every = {tuple(x for x, on in zip(items, mask) if on) for mask in itertools.product((0, 1), repeat=len(items))}
+        maximal = {f for f in every if sum(f) <= room and not any(n > f.count(s) and s <= room - sum(f) for s, n in counts.items())}
+        found, whole = packing.fillings(counts, room, room, packing.Bounds(1000, 1000, 1000))
+        assert whole and set(found) <= maximal and all(any(packing.dominates(f, g) for f in found) for g in maximal)
