@@ -220,3 +220,23 @@ def test_tables():
     assert len({name for name, _ in tables.SYMBOLS}) == len(tables.SYMBOLS) and len(tables.GREEK) == 24
     assert set(tables.NAMED.values()) <= {glyph for _, glyph in tables.SYMBOLS}
     assert regex.search(tables.SIGNED, "n-") and not regex.search(tables.SIGNED, "oven-baked")
+
+
+def test_records_keep_no_places(monkeypatch):
+    """Of a batch's texts one at a time has its places in memory."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    most, plain = 0, formulas.record
+
+    def counted(text):
+        nonlocal most
+        most = max(most, sum(isinstance(x, formulas.Record) for x in gc.get_objects()))
+        return plain(text)
+
+    monkeypatch.setattr(formulas, "record", counted)
+    got = formulas.records(pa.array(["a = b", None, "plain", ""] * 20))
+    assert got.to_pylist()[:4] == [{"fold": "a = b", "squeezed": "a=b"}, None, {"fold": "plain", "squeezed": ""}, {"fold": "", "squeezed": ""}]
+    assert most <= 1
