@@ -8,14 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.fold import fold, fold_places, folded
+from pagewright.functions.fold import fold, fold_places, with_fold
 from pagewright.functions.tables import SYMBOLS
 
 SHOWN, OFFERED = 12, 8
 
 
 def prepared(pages: DataFrame) -> DataFrame:
-    """Pages with fold, depth, tail and home: the folded section of pages that lie no deeper than any other of their section.
+    """Pages with fold, depth, key (`natural`), tail and home: the folded section of pages that lie no deeper than any other of their section.
 
     Pages that are in a section by default are no doors and don't count.
     """
@@ -23,13 +23,12 @@ def prepared(pages: DataFrame) -> DataFrame:
     own = F.col("section").isNotNull() & (F.col("section") != "") & ~F.coalesce("fallback", F.lit(False))
     rows = pages.withColumns({"depth": depth, "own": own, "order_": F.coalesce("order_", F.lit(0))})
     # Sections are counted before they are joined, so that one of very many pages is one row.
-    least = rows.where("own").groupBy("section").agg(F.min("depth").alias("least"))
-    joined = rows.join(least, "section", "left")
-    return joined.select(
-        "url", "title", "section", "order_", "depth", folded(F.col("title")).alias("fold"),
-        folded(F.concat("url", F.lit(" "), F.coalesce("section", F.lit("")))).alias("tail"),
-        F.when(F.col("own") & (F.col("depth") == F.col("least")), folded(F.col("section"))).alias("home"),
-    )
+    least = with_fold(rows.where("own").groupBy("section").agg(F.min("depth").alias("least")), "section", "door")
+    joined = rows.join(least, "section", "left").withColumn("said", F.concat("url", F.lit(" "), F.coalesce("section", F.lit(""))))
+    home = F.when(F.col("own") & (F.col("depth") == F.col("least")), F.col("door"))
+    return with_fold(with_fold(joined, "title", "fold"), "said", "tail").select(
+        "url", "title", "section", "order_", "depth", "fold", "tail", home.alias("home"), natural(F.col("title")).alias("key")
+    )
 
 
 def _against(name: Column, word: str) -> Column:
@@ -62,8 +61,7 @@ COLLATION = "ru"
 
 
 def pick(names: DataFrame, query: str, shown: int = SHOWN) -> DataFrame:
-    rows = scored(names, query).withColumn("key", F.collate(natural(F.col("title")), COLLATION))
-    return rows.orderBy("score", "order_", "depth", "key", "url").limit(shown).drop("key")
+    return scored(names, query).orderBy("score", "order_", "depth", F.collate("key", COLLATION), "url").limit(shown).drop("key")
 
 
 def marks(title: Column, query: str) -> Column:
