@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.llm import tokens
 from pagewright.llm.graph import components
 from pagewright.llm.shared import WordHashes, binaries, grouped, mixed, partitions_for, spread, windows_of, words_of, written
 
@@ -84,6 +85,7 @@ def signatures(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarr
 
 def _signed(size: int):
     def run(batches):
+        tokens.forget()
         hashes, (a, b, orders) = WordHashes(), _constants()
         salts = mixed(np.arange(1, TREES + 1, dtype=np.uint64))
         for batch in batches:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm import tokens
 from pagewright.llm.shared import binaries, spread, struct_array, struct_of, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -78,6 +79,7 @@ def measure(text: bytes | None) -> tuple[int, ...]:
 
 @F.arrow_udf(_TYPE)
 def measured(texts: pa.Array) -> pa.Array:
+    tokens.forget()
     return struct_array(_TYPE, [measure(t) for t in binaries(texts)])
 
 
