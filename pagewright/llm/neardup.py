@@ -38,7 +38,7 @@ SMALL, CROWD = 8, 2048
 #: How far neighbours are looked for in a sorted order, and how many of a document's are tried on whole sets at first.
 REACH, NEAREST = 16, 3
 #: Documents, and shingles of all of them, in a block.
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Pairs with one document in common that are tried together.
 TRIED = 512
 #: Tasks that the documents of one cluster are dealt to, where each learns of the cluster's blocks.
@@ -89,9 +89,9 @@ def _signed(size: int):
         hashes, (a, b, orders) = WordHashes(), _constants()
         salts = mixed(np.arange(1, TREES + 1, dtype=np.uint64))
         for batch in batches:
-            texts, doc_ids = binaries(batch.column("text")), batch.column("doc_id")
+            texts, doc_ids = batch.column("text"), batch.column("doc_id")
             for k in range(0, len(texts), 256):
-                sets = [shingle_set(t, size, hashes) for t in texts[k : k + 256]]
+                sets = [shingle_set(t, size, hashes) for t in binaries(texts.slice(k, 256))]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 signed: list[bytes | None] = [None] * len(sets)
                 trees: list[np.ndarray | None] = [None] * len(sets)
@@ -130,8 +130,16 @@ def _rows(array: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(array.to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
 
 
-def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array(_equal_places(_rows(a), _rows(b)), pa.int32())
+def _agreeing(batches):
+    """(a, b, same): of rows (a, b, sa, sb) those whose signatures agree in at least half the places, and their equal places.
+
+    Told and chosen in one go: a function whose result is filtered is run for the filter and again for the column, each time
+    by a Python worker of its own.
+    """
+    for batch in batches:
+        same = _equal_places(_rows(batch.column("sa")), _rows(batch.column("sb")))
+        found = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.int32())], names=["a", "b", "same"])
+        yield found.filter(pa.array(same * 2 >= PERMUTATIONS))
 
 
 def _ordered(tree: pa.Array, signature: pa.Array) -> pa.Array:
@@ -217,8 +225,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     few = places.where(F.col("n") <= SMALL).groupBy("region").agg(F.sort_array(F.collect_set("k")).alias("ks"))
     pairs = few.select(F.explode(F.expr(f"flatten(transform(ks, (x, i) -> transform(slice(ks, i + 2, {SMALL}), y -> struct(x AS ka, y AS kb))))")).alias("p")).select("p.*").distinct()
     sides = [keyed.select(F.col("k").alias(f"k{x}"), F.col("node").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"]
-    same = F.arrow_udf(_agreement, "int")("sa", "sb")
-    told = pairs.join(sides[0], "ka").join(sides[1], "kb").where("a <> b").select("a", "b", same.alias("same")).where(f"same * 2 >= {PERMUTATIONS}")
+    told = pairs.join(sides[0], "ka").join(sides[1], "kb").where("a <> b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long, same int")
 
     crowd = places.where(F.col("n") > SMALL)
     sorted_by = crowd.join(keyed, "k").select("region", "n", "node", F.arrow_udf(_ordered, "binary")("tree", "signature").alias("order"))
@@ -249,10 +256,11 @@ def nearest(pairs: DataFrame) -> DataFrame:
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many items each two sets share."""
     n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ids = ids.astype(np.int32)
     common = counts > max(8, n // 16)
-    out = np.zeros((n, n), np.float64)
+    out = np.zeros((n, n), np.int32)
     number = np.cumsum(common) - 1
     dense = common[ids]
     columns, rows = number[ids[dense]], owner[dense]
@@ -260,19 +268,23 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         here = (columns >= start) & (columns < start + 2048)
         x = np.zeros((n, min(2048, int(common.sum()) - start)), np.float32)
         x[rows[here], columns[here] - start] = 1
-        out += x @ x.T
+        out += (x @ x.T).astype(np.int32)
+    del columns, rows
     rare = ~dense & (counts[ids] > 1)
-    order = np.argsort(ids[rare], kind="stable")
-    item, doc = ids[rare][order], owner[rare][order]
-    step, flat = 1, np.zeros(n * n, np.int64)
+    item, doc = ids[rare], owner[rare]
+    del ids, owner, dense, rare
+    order = np.argsort(item, kind="stable")
+    item, doc = item[order], doc[order].astype(np.int64)
+    step, half = 1, np.zeros(n * n, np.int32)
     while step < len(item):
         same = item[step:] == item[:-step]
         if not same.any():
             break
-        flat += np.bincount(doc[:-step][same] * n + doc[step:][same], minlength=n * n)
+        half += np.bincount(doc[:-step][same] * n + doc[step:][same], minlength=n * n).astype(np.int32)
         step += 1
-    flat = flat.reshape(n, n)
-    out += flat + flat.T
+    half = half.reshape(n, n)
+    out += half
+    out += half.T
     np.fill_diagonal(out, [len(s) for s in sets])
     return out
 
@@ -287,7 +299,6 @@ def spanning(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(0, 1)] if 100 * shared >= percent * (sizes.sum() - shared) else []
     shared = overlaps(sets)
-    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
     out, left = [], np.ones(n, bool)
     for root in range(n):
         if not left[root]:
@@ -296,7 +307,8 @@ def spanning(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         rest = [root]
         while rest:
             x = rest.pop()
-            for y in np.flatnonzero(linked[x] & left).tolist():
+            of = shared[x].astype(np.int64)
+            for y in np.flatnonzero((100 * of >= percent * (sizes[x] + sizes - of)) & left).tolist():
                 left[y] = False
                 out.append((x, y))
                 rest.append(y)
@@ -309,10 +321,9 @@ def _sets(size: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            texts = binaries(batch.column("text"))
-            for k in range(0, len(texts), 256):
+            for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                sets = [shingle_set(t, size, hashes) for t in texts[k : k + 256]]
+                sets = [shingle_set(t, size, hashes) for t in binaries(part.column("text"))]
                 right = [set_class(s) == c for s, c in zip(sets, part.column("class").to_pylist())]
                 out = pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
                 yield out.filter(pa.array(right, pa.bool_()))
@@ -378,7 +389,7 @@ def _linked(percent: int):
     def run(batches):
         for group in grouped(batches, ["cluster", "pair"]):
             nodes = group.column("node").to_pylist()
-            found = spanning([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], percent)
+            found = spanning([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")], percent)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
 

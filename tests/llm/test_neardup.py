@@ -1,4 +1,6 @@
 import random
+import re
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -207,3 +209,28 @@ def test_meeting_of_what_belongs_together_already():
         return group.tolist()
 
     assert groups(found) == groups([(x, y) for x in range(50) for y in range(50) if x != y and agree[x, y]])
+
+
+def test_no_function_runs_twice_in_a_plan(spark, monkeypatch):
+    plans = []
+
+    def written(df, name, write=neardup.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(neardup, "written", written)
+    neardup.op9_minhash_near_dedup(spark, "/root/testdata/sf0.001")
+    # A function that runs twice in a task takes two Python workers of every core.
+    found = [re.findall(r"(?:EvalPython|InArrow) \[?(\w+)\(", plan) for plan in plans]
+    assert sum(map(len, found)) >= 6 and all(len(names) == len(set(names)) for names in found), found
+
+
+def test_memory_of_two_full_blocks():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**63, 600, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(600) < 0.12, rng.integers(0, 2**63, 600, dtype=np.uint64), words)) for _ in range(2 * neardup.BLOCK)]
+    tracemalloc.start()
+    found = neardup.spanning(sets, 85)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110e6 and len(found) < len(sets)
