@@ -48,8 +48,19 @@ def _table() -> tuple[str, str, str]:
 
 
 def needs_python() -> str:
-    """A Java regular expression for texts with characters that fold to several."""
-    return f"[가-힣{_table()[2]}]"
+    """A Java regular expression for texts with characters that fold to several, as ranges: a class of many single ones is slow."""
+    ranges: list[list[str]] = []
+    for c in sorted(_table()[2]):
+        if ranges and ord(c) == ord(ranges[-1][1]) + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return f"[가-힣{''.join(a if a == b else f'{a}-{b}' for a, b in ranges)}]"
+
+
+def has_several(text: Column) -> Column:
+    """Whether `needs_python` finds a text; it is only tried where a character is of the scripts that it knows."""
+    return text.rlike(r"[\x{622}-\x{1FFF}\x{2C00}-\x{FFFF}]") & text.rlike(needs_python())
 
 
 def _without_gaps(c: Column) -> Column:
@@ -58,7 +69,7 @@ def _without_gaps(c: Column) -> Column:
 
 def _lower(c: Column) -> Column:
     # Character by character: at the end of a word lower() would give another sigma.
-    return F.lower(F.regexp_replace(c, "Σ", "σ"))
+    return F.lower(F.replace(c, F.lit("Σ"), F.lit("σ")))
 
 
 def _from_cyrillic(c: Column) -> Column:
@@ -72,7 +83,7 @@ def _from_cyrillic(c: Column) -> Column:
 
 def _without_marks(c: Column) -> Column:
     ones, to, _ = _table()
-    return F.translate(F.regexp_replace(c, "[ṛṝ]", "ri"), ones, to)
+    return F.translate(F.replace(F.replace(c, F.lit("ṛ"), F.lit("ri")), F.lit("ṝ"), F.lit("ri")), ones, to)
 
 
 def folded(text: Column) -> Column:

@@ -116,10 +116,17 @@ def lexicon_by_occurrence(rows: DataFrame, titles: bool = False) -> DataFrame:
 def lexicon_of_blocks(blocks: DataFrame) -> DataFrame:
     """(word, weight): the occurrences in headings and texts, for a lexicon alone: the blocks are folded and counted as they are read, nothing is stored or joined."""
     said = F.concat(F.coalesce("heading", F.lit("")), F.lit(" "), F.col("text"))
-    words = with_record(blocks.select("heading", "text"), said).select(F.explode(F.regexp_extract_all("fold", F.lit(f"[{LETTERS}]+"), F.lit(0))).alias("word"))
+    words = with_record(blocks.select("heading", "text"), said, squeezed=None).select(F.explode(F.regexp_extract_all("fold", F.lit(f"[{LETTERS}]+"), F.lit(0))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def glyphs_of_blocks(blocks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(word, page_id, chunk): the postings of single glyphs alone, of all blocks with a page. The blocks are folded as they are read, nothing is stored or joined; no words are posted."""
+    said = F.concat(F.coalesce("heading", F.lit("")), F.lit(" "), F.col("text"))
+    rows = with_record(blocks.where("page_id IS NOT NULL").select("page_id", chunk_of(size=size).alias("chunk"), "heading", "text"), said, squeezed=None)
+    return rows.select(F.explode(F.array_distinct(F.regexp_extract_all("fold", F.lit(f"[{GLYPHS}]"), F.lit(0)))).alias("word"), "page_id", "chunk").distinct()
+
+
 @dataclass(frozen=True)
 class Index:
     """A stored index: pages, what is searched of them, and which chunks hold which words."""

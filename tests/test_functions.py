@@ -240,3 +240,24 @@ def test_records_keep_no_places(monkeypatch):
     got = formulas.records(pa.array(["a = b", None, "plain", ""] * 20))
     assert got.to_pylist()[:4] == [{"fold": "a = b", "squeezed": "a=b"}, None, {"fold": "plain", "squeezed": ""}, {"fold": "", "squeezed": ""}]
     assert most <= 1
+
+
+def test_texts_with_glyphs_fold_without_python(spark):
+    """The fold alone of every glyph, among letters, is Python's; only texts with something to spell are sent there."""
+    glyphs = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and regex.match(f"[{tables.GLYPHS}]", chr(c))]
+    texts = [t for g in glyphs for t in (g, f"Éa{g} Ω = {g}Ж")]
+    df = formulas.with_record(spark.createDataFrame([(t,) for t in texts], "text string"), F.col("text"), squeezed=None)
+    assert df.columns == ["text", "fold"]
+    assert [r for r in df.collect() if r.fold != formulas.record(r.text).text] == []
+    used = formulas.records
+
+    def refused(texts):
+        if any(t.is_valid for t in texts):
+            raise ValueError("a text without formulas")
+        return used(texts)
+
+    formulas.records = refused
+    try:
+        assert [r.fold for r in formulas.with_record(spark.createDataFrame([("É α → b ±",)], "text string"), F.col("text"), squeezed=None).collect()] == ["e α → b ±"]
+    finally:
+        formulas.records = used
