@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,30 @@ def test_stored_lookups_read_little(spark, stored, tmp_path):
         rows, files = read_of(of, f"/d/{table}]")
         assert rows < (known.near if lookup is repair.nearest else known.prefixes).count() / 5, (lookup, rows)
     assert {r.word: r.only for r in repair.only(asked, known, few=repair.FEW).collect()} == {"w1234x": None, "w77777": "w77777"}
+
+
+def test_postings_are_made_and_stored_as_lists(spark, tmp_path, monkeypatch):
+    """Lists hold the postings that grouped rows give, whatever a task holds at once; no posting is a row until it is asked for, and a part of the site is read as such."""
+    rows = [(n % 2, None if n == 7 else n // 90, n % 90, f"w{n % 11} a{'b' * (n % 5)} common {'x = y' if n % 13 == 0 else ''} α") for n in range(400)]
+    blocks = spark.createDataFrame(rows, "order_ int, page_id long, block_seq int, text string").withColumns({"anchor": F.lit(None).cast("string"), "heading": F.lit(None).cast("string")})
+    pages = blocks.groupBy("page_id").agg(F.min("order_").alias("order_"), F.lit("common title").alias("title")).withColumn("also", F.lit(None).cast("string"))
+    for size in (32, 64):
+        stored = index.build(pages, blocks.drop("order_"), f"{tmp_path}/{size}", size)
+        want = index.postings(stored.entries(spark), size).cache()
+        got = stored.postings(spark)
+        assert got.dtypes == want.dtypes and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+        assert stored.weights(spark).exceptAll(index.weights(want)).count() == 0
+        listed = spark.read.parquet(f"{tmp_path}/{size}/postings")
+        assert 0 < listed.count() < want.count()
+        asked = spark.createDataFrame([("common", 1), ("w3", 2), ("none", 3)], "word string, of int")
+        for low, high in ((None, None), (None, (0, 2)), ((0, 1), (1, 3)), ((1, 2), None)):
+            rest = asked.join(want, "word").where(index.between(low, high)).select("word", "of", *index.SITE, "blocks")
+            mine = stored.posted(spark, asked, low, high).select(*rest.columns)
+            assert sorted(map(tuple, mine.collect()), key=repr) == sorted(map(tuple, rest.collect()), key=repr)
+    # A task that holds few postings puts out many lists, which say the same.
+    monkeypatch.setattr(index, "HELD", 3)
+    columns = ["order_", "page_id", "chunk", "bit", "marked", "squeezed"]
+    batch = pa.RecordBatch.from_pydict(dict(zip(columns, zip(*((0, n // 4, 0, n % 4, f"a w{n} a", "") for n in range(40))))))
+    out = [r for b in index._lots(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["word"], h["page_id"], h["blocks"]) for r in out for h in r["held"]) == sorted([*(("a", p, 15) for p in range(10)), *((f"w{n}", n // 4, 1 << n % 4) for n in range(40))])
+    assert len([r for r in out if r["word"] == "a"]) == 10 and all((r["from_page"], r["to_page"]) == (h["page_id"],) * 2 for r in out for h in r["held"])
